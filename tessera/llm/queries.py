@@ -24,6 +24,35 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op9_sharding": op9_sharding}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labelled texts outside the held-out quarter, predicts every text."""
+    from tessera.llm.langid import held_out, identify, train
+
+    docs = _docs(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = train(docs.where(~out))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import with_pii
+
+    found = with_pii(_docs(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", *[f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.neardup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), words=2, percent=80)
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op5_language_id": op5_language_id,
+    "op8_pii": op8_pii,
+    "op9_sharding": op9_sharding,
+    "op10_minhash": op10_minhash,
+}
 
 ORACLES: dict[str, str] = {}
