@@ -24,6 +24,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fingerprint import fingerprints
+
+    return fingerprints(_docs(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labelled texts outside the held-out quarter, predicts every text."""
     from tessera.llm.langid import held_out, identify, train
@@ -49,6 +55,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_fingerprint": op2_fingerprint,
     "op5_language_id": op5_language_id,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
