@@ -30,6 +30,14 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_docs(spark, sf_dir))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_crf import train, training_pages, with_main_text
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = with_main_text(pages, train(training_pages()))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labelled texts outside the held-out quarter, predicts every text."""
     from tessera.llm.langid import held_out, identify, train
@@ -40,6 +48,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontam import copies
+
+    return copies(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import with_pii
 
@@ -56,7 +70,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_fingerprint": op2_fingerprint,
+    "op3_html": op3_html,
     "op5_language_id": op5_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
