@@ -44,6 +44,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that goes to a Python worker. Texts can be long, and a worker holds a few batches at once.
+BATCH_ROWS = 512
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch, so that a worker's memory stays bounded with long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches
 
 #: Element kinds of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea datalist".split())
 #: Their content is text up to the end tag.
 RAW = frozenset("script style noscript template iframe title textarea".split())
@@ -39,6 +38,9 @@ SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 #: Tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 
+#: Elements that begin a block; all others are part of the line that they stand in.
+BLOCK = ENDS_P | HIDDEN | frozenset("html head body li dt dd tr td th thead tbody tfoot caption legend summary option button menuitem".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
@@ -56,105 +58,104 @@ class Block:
     linked: int
 
 
-@dataclass(slots=True)
-class _Open:
-    tag: str
-    words: str
-    number: int
+#: Ancestors that a block's path keeps, innermost last.
+PATH_DEPTH = 48
 
 
 @dataclass(slots=True)
 class _State:
-    stack: list[_Open] = field(default_factory=list)
+    """Open block elements as (tag, class words, number), the pieces of the block in work, and the blocks done."""
+
+    stack: list[tuple[str, str, int]] = field(default_factory=list)
+    open_tags: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
+    hidden: int = 0
+    #: Depth at which the open link began, or -1.
+    link: int = -1
+
+    def text(self, raw: str) -> None:
+        if raw and not self.hidden:
+            plain = html.unescape(raw) if "&" in raw else raw
+            self.parts.append(plain)
+            if self.link >= 0:
+                self.linked.append(plain)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                holders = [o for o in self.stack if o.tag not in INLINE]
+                path = tuple((tag, words) for tag, words, _ in self.stack[-PATH_DEPTH:])
                 linked = len(" ".join("".join(self.linked).split()))
-                self.blocks.append(Block(tuple((o.tag, o.words) for o in holders), holders[-2].number if len(holders) > 1 else 0, text, linked))
+                self.blocks.append(Block(path, self.stack[-2][2] if len(self.stack) > 1 else 0, text, linked))
             self.parts.clear()
             self.linked.clear()
 
+    def open(self, tag: str, words: str, number: int) -> None:
+        self.flush()
+        self.stack.append((tag, words, number))
+        self.open_tags[tag] += 1
+        self.hidden += tag in HIDDEN
+
     def close(self, at: int) -> None:
-        if any(o.tag not in INLINE for o in self.stack[at:]):
-            self.flush()
+        self.flush()
+        for tag, _, _ in self.stack[at:]:
+            self.open_tags[tag] -= 1
+            self.hidden -= tag in HIDDEN
         del self.stack[at:]
+        if self.link > at:
+            self.link = -1
+
+    def end_implied(self, tag: str) -> None:
+        """Closes what a start tag of this kind ends without an end tag."""
+        if tag in ENDS_P and self.stack and self.stack[-1][0] == "p":
+            self.close(len(self.stack) - 1)
+        elif tag in ENDS and any(self.open_tags[t] for t in ENDS[tag]):
+            at = first = len(self.stack)
+            while at and self.stack[at - 1][0] not in SCOPE[tag]:
+                at -= 1
+                first = at if self.stack[at][0] in ENDS[tag] else first
+            if first < len(self.stack):
+                self.close(first)
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks in page order. End tags that the source leaves out are supplied as browsers do; white space in a
     block is one space; contents of HIDDEN elements and comments are no text."""
     state = _State()
-    stack = state.stack
-    end, number, hidden, links = 0, 0, 0, 0
-
-    def text(raw: str) -> None:
-        if raw and not hidden:
-            plain = html.unescape(raw) if "&" in raw else raw
-            state.parts.append(plain)
-            if links:
-                state.linked.append(plain)
-
-    pos, size = 0, len(page)
-    while pos < size:
-        m = TOKEN.search(page, pos)
-        if not m:
-            break
-        text(page[end : m.start()])
-        end = pos = m.end()
-        tag = m[2]
-        if not tag:
+    end = number = 0
+    while m := TOKEN.search(page, end):
+        state.text(page[end : m.start()])
+        end = m.end()
+        tag = (m[2] or "").lower()
+        if tag == "a":
+            state.link = -1 if m[1] else len(state.stack)
+        elif tag == "br":
+            state.text(" ")
+        elif tag == "hr":
+            state.end_implied(tag)
+            state.flush()
+        elif tag not in BLOCK:
             continue
-        tag = tag.lower()
-        if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if at < 0 or (tag in INLINE and any(o.tag not in INLINE for o in stack[at:])):
-                if tag in INLINE and at >= 0:
-                    del stack[at]
-                elif tag == "p":
-                    state.flush()
-            else:
+        elif m[1]:
+            if state.open_tags[tag]:
+                at = len(state.stack) - 1
+                while state.stack[at][0] != tag:
+                    at -= 1
                 state.close(at)
-            hidden = sum(o.tag in HIDDEN for o in stack)
-            links = sum(o.tag == "a" for o in stack)
-            continue
-        if tag == "br":
-            text(" ")
-            continue
-        if tag in VOID:
-            if tag == "hr":
+            elif tag == "p":
                 state.flush()
-            continue
-        if tag in ENDS_P:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in ("p", "button", "td", "th", "li", "div", "article", "section", "table")), -1)
-            if at >= 0 and stack[at].tag == "p":
-                state.close(at)
-        elif tag in ENDS:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in ENDS[tag] or stack[i].tag in SCOPE[tag]), -1)
-            if at >= 0 and stack[at].tag in ENDS[tag]:
-                state.close(at)
-        if tag not in INLINE:
+        elif tag in RAW:
             state.flush()
-            links = sum(o.tag == "a" for o in stack)
-        if m[3].rstrip().endswith("/") and tag in HIDDEN:
-            continue
-        if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, end)
-            end = pos = close.end() if close else size
-            continue
-        number += 1
-        words = ""
-        if m[3] and tag not in INLINE:
-            words = " ".join(dict.fromkeys(w for n in NAMED.finditer(m[3]) for w in PART.findall((n[2] or n[3] or n[4] or "").lower())))
-        stack.append(_Open(tag, words, number))
-        hidden += tag in HIDDEN
-        links += tag == "a"
-    text(page[end:])
+            end = close.end() if close else len(page)
+        elif not (tag in HIDDEN and m[3].endswith("/")):
+            state.end_implied(tag)
+            number += 1
+            words = dict.fromkeys(w for n in NAMED.finditer(m[3]) for w in PART.findall((n[2] or n[3] or n[4] or "").lower())) if m[3] else ()
+            state.open(tag, " ".join(words), number)
+    state.text(page[end:])
     state.flush()
     return state.blocks
 

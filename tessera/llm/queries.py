@@ -38,6 +38,12 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_count import with_token_counts
+
+    return with_token_counts(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "tokens.*")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labelled texts outside the held-out quarter, predicts every text."""
     from tessera.llm.langid import held_out, identify, train
@@ -48,6 +54,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels outside the held-out fifth, scores every text."""
+    from tessera.llm.langid import held_out
+    from tessera.llm.quality import train, with_quality
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
+    return with_quality(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontam import copies
 
@@ -71,7 +88,9 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_fingerprint": op2_fingerprint,
     "op3_html": op3_html,
+    "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
