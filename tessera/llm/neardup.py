@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small
+from tessera.llm.common import Scratch, bounded_batches, small
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: Bits of the sketch, and the distance beyond which a pair cannot have the similarity: 0.8 gives 12.8 of 128
@@ -199,6 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.save(signed(texts, words), "signed")
