@@ -57,7 +57,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKE
 
     Tokens are the runs of non-blank characters. The histogram of all lengths (bounded: its cells grow
     with the logarithm of the longest text) goes to the driver, where dynamic programming finds the
-    boundaries of least padding. A batch of a bucket holds as many rows as fit batch_tokens when padded
+    boundaries of least padding, each the longest length of a cell. A batch of a bucket holds as many rows as fit batch_tokens when padded
     to the bucket's boundary; a row longer than batch_tokens makes a batch alone. batch counts from 0 in
     each bucket and slot from 0 in each batch. Null and empty texts have 0 tokens and share the lowest
     bucket; repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
@@ -65,12 +65,12 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKE
     spark = docs.sparkSession
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"))
     counted = Scratch(spark, "pack").save(counted.withColumn("cell", cell_of(F.col("n_tokens"), cells)), "lengths")
-    histogram = counted.groupBy("cell").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("cell").toPandas()
+    histogram = counted.groupBy("cell").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("top")).orderBy("cell").toPandas()
     if histogram.empty:
         edges = [0]
     else:
-        edges, _ = best_boundaries(histogram["cell"].to_numpy(), histogram["n"].to_numpy(), histogram["t"].to_numpy(), buckets)
-    bucket = sum((F.when(F.col("cell") > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0))
+        edges, _ = best_boundaries(histogram["top"].to_numpy(), histogram["n"].to_numpy(), histogram["t"].to_numpy(), buckets)
+    bucket = sum((F.when(F.col("n_tokens") > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0))
     upper = F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("bucket") + 1)
     rows = counted.withColumn("bucket", bucket.cast("int")).withColumn("bucket_tokens", upper)
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SUBS)))
