@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import hygiene
+from tessera.plans import hygiene, texts
 
-MODULES = (hygiene,)
+MODULES = (hygiene, texts)
 
 
 def queries() -> dict[str, Callable]:
