@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import hygiene, texts
+from tessera.plans import hygiene, relations, texts
 
-MODULES = (hygiene, texts)
+MODULES = (hygiene, texts, relations)
 
 
 def queries() -> dict[str, Callable]:
