@@ -3,9 +3,10 @@
 A signature has CHUNKS * WIDTH symbols of 16 bits. By the pigeonhole principle two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS errors; enumerating the places of the errors in
 each chunk turns that into equality of keys, so every such pair meets under a key. Keys with one member are dropped.
-Members of a key are never paired all with all: each is compared with the key's lowest and highest member first, and
-only pairs that these links leave in different components are then joined, filtered inside the join by set size and
-by a 128-bit sketch of one-bit symbols.
+Members of a key are never paired all with all. Each is first confirmed against the member that shares most with
+others, which joins most copies of a text into one component. Pairs of members that are then still in different
+components are compared inside a join, by set size and by a long sketch of one-bit symbols, under the least key that
+they share; what passes, nearly all of it true links, is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, bounded_batches, small
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
-#: Bits of the sketch, and the distance beyond which a pair cannot have the similarity: 0.8 gives 12.8 of 128
-#: bits on average with a deviation of 3.4; 36 lies 6.8 deviations beyond.
-SKETCH, SKETCH_DISTANCE = 128, 36
+#: Bits of the sketch, and the distance beyond which a pair cannot have the similarity 0.8: that gives a tenth of the
+#: bits on average, 204.8, with a deviation of 13.6; 268 lies 4.7 deviations beyond.
+SKETCH, SKETCH_DISTANCE = 2_048, 268
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
@@ -90,31 +91,29 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 _RNG = np.random.default_rng(10)
-_MULTIPLY = _RNG.integers(1, 1 << 63, CHUNKS * WIDTH, dtype=np.uint64) * _U(2) + _U(1)
-_SKETCH_MULTIPLY = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
+_MULTIPLY = _RNG.integers(0, 1 << 31, CHUNKS * WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SKETCH_MULTIPLY = _RNG.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minima(hashes: np.ndarray, multiply: np.ndarray) -> np.ndarray:
-    """For each multiplier, the least of the products' high words; hashes are handled in pieces."""
-    high = (hashes >> _U(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
-    low = multiply.astype(np.uint32) | np.uint32(1)
-    best = np.full(len(multiply), 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(high), 4096):
-        piece = high[at : at + 4096]
-        best = np.minimum(best, (piece[:, None] * low[None, :]).min(axis=0))
-    return best
+    """For each odd multiplier, a mix of the least product modulo 2^32 with the folded hashes: multiplication is
+    a permutation of them. Hashes are handled in pieces."""
+    folded = (hashes >> _U(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
+    least = np.full(len(multiply), 0xFFFFFFFF, dtype=np.uint32)
+    step = max(1, (1 << 18) // len(multiply))
+    for at in range(0, len(folded), step):
+        np.minimum(least, (folded[at : at + step, None] * multiply[None, :]).min(axis=0), out=least)
+    return mix(least.astype(np.uint64) + (np.arange(len(least), dtype=np.uint64) << _U(40)))
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Symbols of 16 bits, and the sketch as two signed longs.
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The symbols of 16 bits."""
+    return minima(hashes, _MULTIPLY) >> _U(48)
 
-    Multiplication by an odd number modulo 2^32 is a permutation of the folded hashes; a mix of the
-    least product makes the symbol."""
-    least = minima(hashes, np.concatenate([_MULTIPLY, _SKETCH_MULTIPLY]))
-    mixed = mix(least.astype(np.uint64) + (np.arange(len(least), dtype=np.uint64) << _U(40)))
-    symbols = (mixed[: CHUNKS * WIDTH] >> _U(48)).astype(np.uint64)
-    bits = np.packbits((mixed[CHUNKS * WIDTH :] >> _U(63)).astype(np.uint8)).view(np.int64)
-    return symbols, int(bits[0]), int(bits[1])
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH one-bit symbols as longs."""
+    return np.packbits((minima(hashes, _SKETCH_MULTIPLY) >> _U(63)).astype(np.uint8)).view(np.int64)
 
 
 _KEPT = [keep for keep in combinations(range(WIDTH), WIDTH - ERRORS)]
@@ -133,7 +132,7 @@ def keys(symbols: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-SIGNED = "n_shingles long, digest binary, b0 long, b1 long, keys array<long>"
+SIGNED = "n_shingles long, digest binary, keys array<long>"
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -142,12 +141,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
         rows = []
         for text in texts:
             own = shingles(text, words)
-            if not len(own):
-                rows.append((0, None, None, None, None))
-                continue
-            symbols, b0, b1 = signature(own)
-            rows.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), b0, b1, keys(symbols)))
-        return pd.DataFrame(rows, columns=["n_shingles", "digest", "b0", "b1", "keys"]).astype({"b0": "Int64", "b1": "Int64"})
+            if len(own):
+                rows.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), keys(signature(own))))
+            else:
+                rows.append((0, None, None))
+        return pd.DataFrame(rows, columns=["n_shingles", "digest", "keys"])
 
     return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
 
@@ -205,52 +203,49 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     rows = scratch.save(signed(texts, words), "signed")
     # one node for each distinct set, named by its least doc_id
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = F.min_by(F.struct("b0", "b1", "keys"), "doc_id").alias("s")
-    nodes = scratch.save(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), first).select("digest", "node", "n", "s.*"), "nodes")
+    first = F.min_by("keys", "doc_id").alias("keys")
+    nodes = scratch.save(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), first), "nodes")
     key = Window.partitionBy("key")
-    met = nodes.select("node", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(key), "high": F.max("node").over(key)})
-    met = scratch.save(met.where("low < high"), "met")
-    about = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "b0", "b1")
-    about = scratch.save(about, "about")
-    known = about.count()
-
-    def alike(a: str, b: str):
-        bits = F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))) + F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1")))
-        fits = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
-        return fits & (bits <= SKETCH_DISTANCE)
-
-    def side(p: str) -> DataFrame:
-        return small(about.select(*[F.col(c).alias(f"{p}{c}") for c in about.columns]), known)
-
-    def full_sets(pairs: DataFrame, name: str) -> DataFrame:
-        """The hashes of the sets that the pairs name, read again from the texts."""
-        wanted = scratch.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-wanted")
-
-        @F.pandas_udf("array<long>")
-        def of(column: pd.Series) -> pd.Series:
-            return pd.Series([shingles(t, words).view(np.int64) for t in column])
-
-        needed = texts.join(small(wanted, wanted.count()), texts["doc_id"] == wanted["node"], "left_semi")
-        # a doc_id that stands on several rows has as many texts: only that of the node's set counts
-        own = needed.select(F.col("doc_id").alias("node"), of("text").alias("hashes"), F.xxhash64("text").alias("t"))
-        sure = own.join(nodes.select("node", "n"), "node").where(F.size("hashes") == F.col("n"))
-        return scratch.save(sure.groupBy("node").agg(F.min_by("hashes", "t").alias("hashes")), f"{name}-sets")
-
-    hubs = met.select(F.col("low").alias("a"), F.col("node").alias("b")).union(met.select("node", "high")).where("a < b").distinct()
-    hubs = hubs.join(side("a_"), F.col("a") == F.col("a_node")).join(side("b_"), F.col("b") == F.col("b_node")).where(alike("a_", "b_")).select("a", "b")
-    hubs = scratch.save(hubs, "hubs")
-    links = scratch.save(confirm(hubs, full_sets(hubs, "hub"), percent), "hub-links")
+    met = nodes.select("node", F.explode("keys").alias("key")).withColumn("members", F.count("*").over(key))
+    met = scratch.save(met.where("members > 1"), "met")
+    shares = scratch.save(met.groupBy("node").agg(F.sum("members").alias("shares")), "shares")
+    known = shares.count()
+    nearby = lambda df: small(df, known)
+
+    @F.pandas_udf("hashes array<long>, sketch array<long>")
+    def of(column: pd.Series) -> pd.DataFrame:
+        own = [shingles(t, words) for t in column]
+        return pd.DataFrame({"hashes": [h.view(np.int64) for h in own], "sketch": [sketch(h) for h in own]})
+
+    # the sets of the nodes that meet others; a doc_id on rows of different texts has as many: the node's has its size
+    needed = texts.join(nearby(shares.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    sets = needed.select(F.col("doc_id").alias("node"), of("text").alias("s")).select("node", "s.*")
+    sets = sets.join(nodes.join(nearby(shares), "node").select("node", "n", "keys"), "node").where(F.size("hashes") == F.col("n"))
+    sets = scratch.save(sets, "sets")
+    if sets.count() > known:
+        sets = scratch.save(sets.groupBy("node").agg(*[F.min_by(c, "hashes").alias(c) for c in ("n", "keys", "sketch")], F.min("hashes").alias("hashes")), "one-set")
+
+    rank = F.struct("shares", (-F.col("node")).alias("least"))
+    led = met.join(nearby(shares), "node").withColumn("hub", F.max(rank).over(key))
+    hubs = led.groupBy("node").agg(F.max("hub").alias("hub")).select("node", (-F.col("hub.least")).alias("hub")).where("node <> hub")
+    hubs = scratch.save(hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hubs")
+    links = scratch.save(confirm(hubs, sets, percent), "hub-links")
     comps = components(links, scratch, "hub")
-    # keys whose members are still in several components: their cross pairs are compared without exception
-    open_ = met.select("key", "node").join(side(""), "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = open_.withColumns({"lo": F.min("comp").over(key), "hi": F.max("comp").over(key)}).where("lo < hi").drop("lo", "hi")
-    open_ = scratch.save(open_, "open")
+    # keys whose members are still in several components: all their cross pairs are compared
+    open_ = met.select("key", "node").join(nearby(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = open_.withColumns({"lo": F.min("comp").over(key), "hi": F.max("comp").over(key)}).where("lo < hi").select("key", "node", "comp")
+    open_ = open_.join(sets.select("node", "n", "sketch", "keys"), "node")
     x, y = (open_.select(F.col("key"), *[F.col(c).alias(f"{p}{c}") for c in open_.columns if c != "key"]) for p in ("x_", "y_"))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & alike("x_", "y_"))
-    cross = scratch.save(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti"), "cross")
-    more = confirm(cross, full_sets(cross, "cross"), percent)
+    apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp"))
+    fits = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    bits = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    # a pair counts once, under the least key that both have
+    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
+    cross = x.join(y, (x["key"] == y["key"]) & apart & fits & (bits <= SKETCH_DISTANCE) & once)
+    cross = scratch.save(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).join(hubs, ["a", "b"], "left_anti"), "cross")
+    more = confirm(cross, sets, percent)
     comps = components(scratch.save(links.union(more), "links"), scratch, "all")
-    scratch.drop("met", "about", "open", "hub-sets", "cross-sets", "hub-wanted", "cross-wanted", "hub-edges", "all-edges")
+    scratch.drop("met", "shares", "sets", "one-set", "hub-edges", "all-edges")
     named = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
