@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def confusion(rows: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
-    return rows.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+def confusion(rows: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    return rows.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
 
 
 def class_scores(counts: DataFrame) -> DataFrame:
-    """support, predicted, hits, precision, recall and f1 of each label of a confusion matrix (true, pred, n)."""
-    truth = counts.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits"))
+    """support, predicted, hits, precision, recall and f1 of each label of a confusion matrix (gold, pred, n)."""
+    truth = counts.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits"))
     drawn = counts.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("predicted"))
     both = truth.join(drawn, "label", "full_outer").na.fill(0, ["support", "hits", "predicted"]).where("label IS NOT NULL")
     ratio = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -23,7 +23,7 @@ def class_scores(counts: DataFrame) -> DataFrame:
 def summary(counts: DataFrame, nameable: list[str] | None = None) -> DataFrame:
     """One row: accuracy, coverage (answers that are not null), accuracy among answers, macro-F1 over nameable labels or those with support."""
     n = F.sum("n")
-    hits = F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0))
+    hits = F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0))
     answered = F.sum(F.when(F.col("pred").isNotNull(), F.col("n")).otherwise(0))
     totals = counts.agg((hits / n).alias("accuracy"), (answered / n).alias("coverage"), (hits / F.nullif(answered, F.lit(0))).alias("answered_accuracy"))
     labels = class_scores(counts)

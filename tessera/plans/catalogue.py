@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import hygiene, relations, texts
+from tessera.plans import hygiene, measures, relations, texts
 
-MODULES = (hygiene, texts, relations)
+MODULES = (hygiene, texts, relations, measures)
 
 
 def queries() -> dict[str, Callable]:
