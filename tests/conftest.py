@@ -1,4 +1,4 @@
-"""One local session for all tests; its shared folder is set so that operators find it as on a cluster."""
+"""One local session for all tests."""
 
 from __future__ import annotations
 
@@ -11,11 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from tessera.session import local_session
 
     session = local_session("4", partitions=4, memory="3g")
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     session.stop()
 
