@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only on a local master without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    return _OWN.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='tessera-')}")
 
 
 class Scratch:
