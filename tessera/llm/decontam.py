@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, bounded_batches, small, text_or_empty
-from tessera.llm.neardup import mix, word_hashes
+from tessera.llm.neardup import _POWERS, mix, word_hashes, words_at
 
 #: Words of a seed. An n-gram is rare if its document frequency is RARE or 1 in RARE_PART of all documents at most.
 SEED_WORDS, RARE, RARE_PART = 3, 16, 10_000
@@ -22,14 +24,22 @@ _U = np.uint64
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+#: Bytes of texts that are hashed together: small texts then share the cost of a pass.
+GROUP_BYTES = 1 << 18
+
+
+def prepared(text: str | None) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE) if text else b""
+
+
 def words_of(text: str | None) -> np.ndarray:
     """Hashes of a text's words: lower case, punctuation of ASCII apart."""
-    return word_hashes(text.lower().encode("utf-8", "surrogatepass").translate(_TABLE)) if text else np.zeros(0, dtype=np.uint64)
+    return word_hashes(prepared(text)) if text else np.zeros(0, dtype=np.uint64)
 
 
-def grams_of(words: np.ndarray) -> np.ndarray:
+def grams_of(words: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
     """The hash of the n-gram that starts at each word; of the whole where there are fewer words."""
-    size = min(SEED_WORDS, len(words))
+    size = min(size, len(words))
     n = len(words) - size + 1 if size else 0
     with np.errstate(over="ignore"):
         h = np.full(n, _U(size))
@@ -38,6 +48,40 @@ def grams_of(words: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def grams_of_all(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the text, n-gram) arrays that together hold the n-grams of all texts, a group of texts at a time."""
+    group: list[tuple[int, bytes]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        data = prepared(text)
+        if len(data) >= GROUP_BYTES:
+            own = grams_of(word_hashes(data))
+            yield np.full(len(own), i), own
+            continue
+        if group and held + len(data) > _POWERS - GROUP_BYTES:
+            yield from _grams_of_group(group)
+            group, held = [], 0
+        group.append((i, data))
+        held += len(data) + 1
+    if group:
+        yield from _grams_of_group(group)
+
+
+def _grams_of_group(group: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    words, at = words_at(b"\n".join(data for _, data in group))
+    begins = np.cumsum([0, *(len(data) + 1 for _, data in group[:-1])])
+    owner = np.searchsorted(begins, at, side="right") - 1
+    places = np.array([i for i, _ in group])
+    if len(words) >= SEED_WORDS:
+        whole = owner[: len(words) - SEED_WORDS + 1] == owner[SEED_WORDS - 1 :]
+        yield places[owner[: len(whole)][whole]], grams_of(words)[whole]
+    counts = np.bincount(owner, minlength=len(group))
+    ends = np.cumsum(counts)
+    for k in np.flatnonzero((counts > 0) & (counts < SEED_WORDS)):
+        own = grams_of(words[ends[k] - counts[k] : ends[k]])
+        yield np.full(len(own), places[k]), own
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two word sequences: score, and start and end (exclusive) in the text.
 
@@ -109,19 +153,24 @@ def gram_hits(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def hits(texts: pd.Series) -> pd.Series:
-        out = []
         mask = _U((1 << 18) - 1)
         known = shared.value if shared else None
         if known is not None:
             seen = np.zeros(1 << 18, dtype=bool)
             seen[(known & mask).astype(np.int64)] = True
-        for t in texts:
-            own = grams_of(words_of(t))
-            if known is not None:
-                own = own[seen[(own & mask).astype(np.int64)]]
-                own = own[np.isin(own, known)] if len(own) else own
-            out.append(np.unique(own).view(np.int64))
-        return pd.Series(out)
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        for places, own in grams_of_all(texts):
+            if known is not None and len(known):
+                maybe = np.flatnonzero(seen[(own & mask).astype(np.int64)])
+                at = np.minimum(np.searchsorted(known, own[maybe]), len(known) - 1)
+                maybe = maybe[known[at] == own[maybe]]
+                places, own = places[maybe], own[maybe]
+            elif known is not None:
+                continue
+            cuts = np.flatnonzero(np.diff(places)) + 1
+            for p, part in zip(places[np.concatenate([[0], cuts])] if len(places) else (), np.split(own, cuts), strict=False):
+                found[p].append(part)
+        return pd.Series([np.unique(np.concatenate(f)).view(np.int64) if f else np.zeros(0, dtype=np.int64) for f in found])
 
     found = docs.select("doc_id", F.explode(hits("text")).alias("gram"))
     return found if shared else found.join(grams, "gram", "left_semi").select("doc_id", "gram")

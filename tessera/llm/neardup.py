@@ -68,13 +68,18 @@ def word_hashes(data: bytes) -> np.ndarray:
         if at:
             found.append(word_hashes(b" ".join(at)))
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+    return words_at(data)[0]
+
+
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of at most _POWERS bytes, and the bytes at which they start."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.concatenate([[False], (raw != 32) & ((raw < 9) | (raw > 13)), [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     with np.errstate(over="ignore"):
         total = np.concatenate([[_U(0)], np.cumsum((raw.astype(np.uint64) + _U(1)) * _FORWARD[: len(raw)], dtype=np.uint64)])
-        return mix((total[ends] - total[starts]) * _BACKWARD[starts] + (ends - starts).astype(np.uint64))
+        return mix((total[ends] - total[starts]) * _BACKWARD[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
