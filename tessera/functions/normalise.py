@@ -76,11 +76,8 @@ def guarded(text: str, rules: Rules = RULES) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text) if m[0][0].isupper() and any(foreign_letter(c, rules) for c in m[0])]
 
 
-def normalise(text: str | None, rules: Rules = RULES, fold: bool = False) -> str | None:
-    """The canonical form; a second application changes nothing."""
-    if not text:
-        return text
-    shown = "".join(c for c in unicodedata.normalize("NFC", text) if c not in INVISIBLE)
+def _pass(text: str, rules: Rules, fold: bool) -> str:
+    shown = unicodedata.normalize("NFC", "".join(c for c in text if c not in INVISIBLE))
     kept = set()
     for start, end in guarded(shown, rules) if any(c in rules.letters for c in shown) else ():
         kept.update(range(start, end))
@@ -91,6 +88,17 @@ def normalise(text: str | None, rules: Rules = RULES, fold: bool = False) -> str
     return "\n".join(line.strip() for line in lines).strip()
 
 
+def normalise(text: str | None, rules: Rules = RULES, fold: bool = False) -> str | None:
+    """The canonical form. Passes repeat until nothing changes, since a rewritten letter can compose with a mark that
+    follows it; nearly all texts are done after one."""
+    if not text:
+        return text
+    out = _pass(text, rules, fold)
+    while not out.isascii() and (again := _pass(out, rules, fold)) != out:
+        out = again
+    return out
+
+
 def report(text: str, rules: Rules = RULES) -> tuple[list[tuple], list[tuple]]:
     """Changes as (kind, position, before, after) and flags as (kind, position, text), by position in the composed text."""
     composed = unicodedata.normalize("NFC", text)

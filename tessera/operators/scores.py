@@ -46,4 +46,4 @@ def average_rank(value: str, within: list[str] | None = None) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's, 0 for fewer than two rows or no variance."""
-    return F.when((F.count("*") < 2) | (F.stddev_pop(a) == 0) | (F.stddev_pop(b) == 0), F.lit(0.0)).otherwise(F.corr(a, b))
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))

@@ -15,13 +15,16 @@ MANIFEST = "source_id string, path string, sha256 string, kind string, target st
 DEFERRAL = "source_id string, reason string, detail string, recorded_at timestamp"
 REMOVAL = "source_id string, path string, sha256 string, reason string, removed_at timestamp"
 
-# Redistribution classes of licences; anything else is unclear.
-CLASS_OF = {
-    "CC0-1.0": "permissive", "CC-BY-2.0": "permissive", "CC-BY-3.0": "permissive", "CC-BY-4.0": "permissive", "CC-BY-2.0-FR": "permissive", "MIT": "permissive", "Apache-2.0": "permissive",
-    "CC-BY-SA-3.0": "share-alike", "CC-BY-SA-4.0": "share-alike", "GPL-3.0": "share-alike", "GFDL": "share-alike",
-    "CC-BY-NC-4.0": "non-commercial", "CC-BY-NC-SA-4.0": "non-commercial", "CC-BY-NC-ND-4.0": "non-commercial",
-}
-RANK = {"permissive": 0, "share-alike": 1, "unclear": 2, "non-commercial": 3}
+# Redistribution classes of licences (anything else is unclear), and the ranks of classes and tiers.
+CLASSES = {
+    "permissive": "cc0-1.0 mit apache-2.0 cc-by-2.0 cc-by-3.0 cc-by-4.0 odc-by",
+    "share-alike": "cc-by-sa-3.0 cc-by-sa-4.0 gfdl mpl-2.0 odbl",
+    "non-commercial": "cc-by-nc-4.0 cc-by-nc-sa-4.0",
+}
+CLASS_OF = {licence: name for name, licences in CLASSES.items() for licence in licences.split()}
+RANK = {"permissive": 0, "share-alike": 1, "unclear": 2, "non-commercial": 3, "none": 4}
+TIER_RANK = {"core": 0, "supplementary": 1, "reference": 2, "excluded": 3}
+LOCAL_BYTES = 2 * 1024**3
 SKIPPED_MODALITIES = ("speech", "tool", "lexicon")
 
 
@@ -31,7 +34,7 @@ class RegistryError(ValueError):
 
 def redistribution(licence: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in CLASS_OF.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, licence), F.lit("unclear"))
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(licence))), F.lit("unclear"))
 
 
 def load(spark: SparkSession, entries: list[dict]) -> DataFrame:
@@ -62,8 +65,9 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
 def eligible(catalogue: DataFrame, benchmarks: list[str]) -> DataFrame:
     """Sources whose text may enter the corpus, in the order in which first copies win."""
     kept = catalogue.where((F.col("tier") != "excluded") & ~F.col("modality").isin(*SKIPPED_MODALITIES) & ~F.col("id").isin(*benchmarks))
-    rank = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])
-    return kept.withColumn("priority", F.element_at(rank, F.col("redistribution"))).orderBy("priority", F.when(F.col("tier") == "core", 0).otherwise(1), "id")
+    ranked = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    kept = kept.withColumn("priority", F.coalesce(F.try_element_at(ranked(RANK), F.col("redistribution")), F.lit(4)))
+    return kept.orderBy("priority", F.coalesce(F.try_element_at(ranked(TIER_RANK), F.col("tier")), F.lit(3)), "id")
 
 
 def permissive(rows: DataFrame) -> DataFrame:
@@ -106,9 +110,10 @@ def verify(listing: DataFrame, manifest: DataFrame, removals: DataFrame) -> Data
     return both.select("path", verdict.alias("verdict"))
 
 
-def placement(tier: Column, modality: Column, size: Column) -> Column:
-    """Where an artifact goes: a pure function of its tier, modality and size in bytes."""
-    return F.when(tier == "excluded", "none").when(modality == "speech", "volume").when(size > 5 * 1024**3, "bucket").otherwise("local")
+def placement(tier: Column, modality: Column, path: Column, size: Column) -> Column:
+    """Where an artifact goes: nowhere if excluded; sound, scans and what exceeds LOCAL_BYTES to remote storage."""
+    heavy = path.rlike(r"(?i)\.(wav|mp3|ogg|flac|opus|m4a|pdf|djvu|epub)$") | ((modality == "speech") & ~path.rlike(r"(?i)\.(tsv|csv|txt|jsonl?|ndjson|ya?ml|md|conllu|xml)$"))
+    return F.when(tier == "excluded", "none").when(heavy | (size > LOCAL_BYTES), "remote").otherwise("local")
 
 
 def compose(stats: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -118,17 +118,19 @@ def test_sinks(spark, tmp_path):
 
 
 def entry(i: str, **more) -> dict:
-    return {"id": i, "name": i, "modality": "text", "tier": "core", "access": "open", "uri": "u", "licence": "CC0-1.0", "languages": ["kab_Latn"], "size": {"rows": 5}, "retrieved": dt.date(2024, 1, 1)} | more
+    return {"id": i, "name": i, "modality": "text", "tier": "core", "access": "open", "uri": "u", "licence": "CC0-1.0 ", "languages": ["kab_Latn"], "size": {"rows": 5}, "retrieved": dt.date(2024, 1, 1)} | more
 
 
 def test_catalogue(spark):
-    cat = registry.load(spark, [entry("a"), entry("b", licence="GPL-3.0"), entry("c", licence="own terms"), entry("d", modality="speech"), entry("e", tier="excluded"), entry("f", tier="supplementary", languages=["fr"])])
+    cat = registry.load(spark, [entry("a"), entry("b", licence="ODbL"), entry("c", licence="own terms"), entry("d", modality="speech"), entry("e", tier="excluded"), entry("f", tier="supplementary", languages=["fr"])])
     assert [r["id"] for r in registry.eligible(cat, ["zz"]).collect()] == ["a", "f", "b", "c"]
     assert {r["id"] for r in registry.find(cat, language="kab", modality="text", tier="core").collect()} == {"a", "b", "c"}
     assert registry.permissive(cat).count() == 4
     for broken in ([entry("a"), entry("a")], [entry("a", colour=1)], [entry("a", size={})]):
         with pytest.raises(registry.RegistryError):
             registry.load(spark, broken)
+    places = spark.createDataFrame([("core", "text", "a.txt", 5), ("core", "speech", "a.tar.gz", 5), ("core", "speech", "a.tsv", 5), ("core", "text", "b.pdf", 5), ("core", "text", "c.bin", 3 << 30), ("excluded", "text", "a", 1)], "t string, m string, p string, s long")
+    assert [r[0] for r in places.select(registry.placement(F.col("t"), F.col("m"), F.col("p"), F.col("s"))).collect()] == ["local", "remote", "local", "remote", "remote", "none"]
     shares = {r["redistribution"]: r["share"] for r in registry.compose(spark.createDataFrame([("a", 6), ("b", 3), ("?", 1)], "source_id string, kept long"), cat).collect()}
     assert shares == {"permissive": 0.6, "share-alike": 0.3, "unregistered": 0.1}
 
