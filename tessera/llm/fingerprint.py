@@ -21,6 +21,8 @@ SUBTABLES, WIDTH, GROWTH = 3, 32, 4
 PASSES = 4
 #: Rows that a stretch of the doc_id order has on average, and the most stretches there are.
 STRETCH_ROWS, STRETCHES = 512, 1 << 16
+#: Documents whose sketches a task builds and peels at most, on average.
+PART_ROWS = 8_192
 
 
 def check_of(digest: Column) -> Column:
@@ -117,20 +119,21 @@ def peel(cells: DataFrame, width: int) -> DataFrame:
     return state.select("pos", "kind", "slot", F.when(F.col("slot") < 0, F.col("of")).otherwise(F.col("x")).alias("x"), "c")
 
 
-def version_pairs(versions: DataFrame, width: int) -> DataFrame:
+def version_pairs(versions: DataFrame, width: int, parts: int) -> DataFrame:
     """Peeled differences of the pairs that versions asks for (columns edit_open, next_open).
 
     versions has pos and the digests of the text (own), of its edited form (edited) and of the next
-    document (next). Rows are dealt by pos once; every aggregation below keeps that partitioning."""
-    dealt = versions.repartition("pos")
+    document (next). Rows are dealt by pos once, to a stated number of parts since the rows are few but fan out;
+    every aggregation below keeps that partitioning."""
+    dealt = versions.repartition(parts, "pos")
     term = lambda kind, sign, on: F.when(F.col(on), F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign")))
     sets = F.array(
         F.struct(F.col("own").alias("digests"), F.array_compact(F.array(term("edit", 1, "edit_open"), term("next", 1, "next_open"))).alias("terms")),
         F.struct(F.col("edited").alias("digests"), F.array_compact(F.array(term("edit", -1, "edit_open"))).alias("terms")),
         F.struct(F.col("next").alias("digests"), F.array_compact(F.array(term("next", -1, "next_open"))).alias("terms")),
     )
-    parts = dealt.select("pos", F.posexplode(sets).alias("version", "v")).select("pos", "version", "v.digests", "v.terms").where(F.size("terms") > 0)
-    cells = sketch(parts, ["pos", "version", "terms"], width)
+    each = dealt.select("pos", F.posexplode(sets).alias("version", "v")).select("pos", "version", "v.digests", "v.terms").where(F.size("terms") > 0)
+    cells = sketch(each, ["pos", "version", "terms"], width)
     return peel(subtract(cells, F.col("terms")), width)
 
 
@@ -161,11 +164,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("next_text")).alias("next"),
     )
     versions = scratch.save(versions, "versions")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(versions.count() / PART_ROWS))
     width, level = WIDTH, 0
     open_ = versions.withColumns({"edit_open": F.lit(True), "next_open": F.lit(True)})
     results = []
     while True:
-        peeled = scratch.save(version_pairs(open_.select("pos", "own", "edited", "next", "edit_open", "next_open"), width), f"peeled-{level}")
+        peeled = scratch.save(version_pairs(open_.select("pos", "own", "edited", "next", "edit_open", "next_open"), width, parts), f"peeled-{level}")
         failed = peeled.where("slot >= 0 OR abs(c) <> 1").select("pos", "kind").distinct()
         failed = scratch.save(failed.groupBy("pos").agg(F.max(F.col("kind") == "edit").alias("edit_open"), F.max(F.col("kind") == "next").alias("next_open")), f"failed-{level}")
         left = failed.count()
@@ -184,7 +188,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     side = lambda kind, sign: F.count_if((F.col("kind") == kind) & (F.col("c") == sign))
     counted = recovered.groupBy("pos").agg(side("edit", 1).alias("e_own"), side("edit", -1).alias("e_other"), side("next", 1).alias("n_own"), side("next", -1).alias("n_other"))
     pairs = versions.select("pos", F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("own").alias("digests")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("digests")))).alias("v"))
-    cells = sketch(pairs.repartition("pos").select("pos", "v.version", "v.digests"), ["pos", "version"], WIDTH)
+    cells = sketch(pairs.repartition(parts, "pos").select("pos", "v.version", "v.digests"), ["pos", "version"], WIDTH)
     cell = F.struct("slot", F.concat_ws(".", F.col("slot"), F.col("c"), F.lower(F.hex("x")), F.lower(F.hex(F.col("h").bitwiseAND(0xFFFFFFFF)))).alias("s"))
     listed = lambda v: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("version") == v, cell))), lambda x: x["s"]), ",")
     named = cells.groupBy("pos").agg(listed(0).alias("f0"), listed(1).alias("f1"))
