@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 #: Hash buckets of the n-grams, and the n-gram lengths in characters.
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 #: Labelled texts used for each language at most, chosen by a hash of doc_id: the fit's documented bound.
@@ -68,6 +70,7 @@ def text_buckets(text: str) -> Iterator[np.ndarray]:
 def train(labelled: DataFrame) -> Model:
     """Fits on (doc_id, text, lang). Texts per language are bounded by FIT_TEXTS through a hash of doc_id;
     each task sends one sparse count vector for each language it meets, so the driver gets bounded data."""
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -113,6 +116,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", label: str = "la
     """docs with the columns label and score added. Whole texts are scored; repeated rows get equal
     results; a null text or one without letters is `und` with score 0; an empty table stays empty. The
     model is broadcast: BUCKETS x languages floats."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("label string, score double")
