@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import corpora, hygiene, measures, relations, texts
+from tessera.plans import corpora, files, hygiene, measures, relations, texts
 
-MODULES = (hygiene, texts, relations, measures, corpora)
+MODULES = (hygiene, texts, relations, measures, corpora, files)
 
 
 def queries() -> dict[str, Callable]:
