@@ -24,6 +24,11 @@ FRENCH = (
 LATIN_LEAST = 0.55
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once for each row: an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tokens(text: Column) -> Column:
     """White-space tokens, none empty."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
@@ -136,10 +141,13 @@ def token_divergence(before: Column, after: Column) -> Column:
 
 def ngrams(text: Column, size: int) -> Column:
     """Distinct token n-grams of the lower-cased text; none for shorter texts."""
-    own = tokens(F.lower(text))
-    n = F.size(own) - size + 1
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(own, i, F.lit(size)), " "))
-    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def of(own: Column) -> Column:
+        n = F.size(own) - size + 1
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(own, i, F.lit(size)), " "))
+        return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    return let(tokens(F.lower(text)), of)
 
 
 def strip_html(text: Column) -> Column:
@@ -219,19 +227,19 @@ def failed_translation(source: Column, output: Column) -> Column:
     out_words, in_words = words(output), words(source)
     n_in, n_out = F.size(tokens(source)), F.size(tokens(output))
     blank = source.rlike(r"\p{L}") & ~output.rlike(r"\p{L}")
-    own = tokens(output)
 
-    def looping(size: int, repeats: int) -> Column:
+    def looping(own: Column, size: int, repeats: int) -> Column:
         # a phrase repeats back to back if each token equals the one `size` places on, long enough in a row
         run = size * (repeats - 1)
         last = F.size(own) - size * repeats + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.exists(starts, lambda i: F.slice(own, i, F.lit(run)) == F.slice(own, i + size, F.lit(run)))
 
-    loops = reduce(lambda a, b: a | b, [looping(k, 3 if k <= 2 else 4) for k in range(1, 6)])
+    loops = let(tokens(output), lambda own: reduce(lambda a, b: a | b, [looping(own, k, 3 if k <= 2 else 4) for k in range(1, 6)]))
     stutter = output.rlike(r"(\b\p{L}{2,8}\b|\b\p{L}{2,8}[\s·\-_]+)([\s·\-_]*\1){2,}")
-    length = (n_in >= 4) & ~(n_out / n_in).between(0.25, 3.0)
-    copied = (F.size(out_words) >= 4) & (F.size(F.filter(out_words, lambda w: F.array_contains(in_words, w))) / F.size(out_words) >= 0.75)
+    length = (n_in >= 4) & ~F.coalesce(F.try_divide(n_out, n_in), F.lit(1.0)).between(0.25, 3.0)
+    shared = let(in_words, lambda known: F.size(F.filter(out_words, lambda w: F.array_contains(known, w))))
+    copied = (F.size(out_words) >= 4) & (shared >= 0.75 * F.size(out_words))
     return blank | loops | stutter | length | copied
 
 
