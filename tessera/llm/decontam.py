@@ -1,4 +1,5 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find candidates, rare ones at once and frequent ones through a bound
+that no copy fails, and Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
 #: Distinct n-grams of the items up to which their table goes to every task (8 bytes each); beyond, n-grams are joined by shuffle.
 SHARED_GRAMS = 2_000_000
+#: Items, on average, that go to the alignment beside one copy of a document's text.
+ITEMS_AT_ONCE = 64
 _U = np.uint64
 #: Letters A to Z in lower case, all other ASCII but digits a blank; bytes of other characters stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -111,10 +114,19 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def best_copy(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
+def most(item: np.ndarray, text: np.ndarray) -> int:
+    """A bound that no local alignment exceeds: the best stretch of the text where a word of the item counts as
+    a match and any other costs no more than a mismatch or a gap."""
+    if not len(text):
+        return 0
+    total = np.cumsum(np.where(np.isin(text, item), MATCH, max(MISMATCH, GAP)))
+    return max(0, int((total - np.minimum.accumulate(np.concatenate([[0], total[:-1]]))).max()))
+
+
+def best_copy(item: np.ndarray, text: np.ndarray, least: float = 0.0, grams: np.ndarray | None = None) -> tuple[float, int, int]:
     """The best alignment over the windows around the text's words that start a seed-sized n-gram of the
-    item; score as a share of the item's best possible."""
-    spots = np.flatnonzero(np.isin(grams_of(text), grams_of(item)))
+    item; score as a share of the item's best possible. Windows that `most` shows to stay below the least score are left out."""
+    spots = np.flatnonzero(np.isin(grams_of(text) if grams is None else grams, grams_of(item)))
     found = (0.0, 0, 0)
     reach = len(item) * 2
     at = 0
@@ -124,7 +136,10 @@ def best_copy(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
             high = spots[at]
             at += 1
         start = max(0, low - reach)
-        score, s, e = align(item, text[start : high + reach + SEED_WORDS])
+        window = text[start : high + reach + SEED_WORDS]
+        if least and most(item, window) / (MATCH * len(item)) < least:
+            continue
+        score, s, e = align(item, window)
         if score > found[0] * MATCH * len(item):
             found = (score / (MATCH * len(item)), int(start + s), int(start + e))
     return found
@@ -181,8 +196,9 @@ def copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     of the aligned words in the document, item_words.
 
     The document frequency of every item n-gram is counted over all documents. A document is aligned with
-    an item if it shares a rare n-gram with it, or any two of its n-grams (so that seeds which many copies
-    of a passage have made frequent still count), or the item has no more than two. Null and
+    every item that it shares an n-gram with. If that n-gram is rare, or there are two, or the item has no more
+    than two, this needs nothing else; after a single frequent one, only windows in which an alignment can
+    reach the threshold at all are aligned, so frequency costs no copy. Null and
     blank texts and items match nothing; an item with fewer words than a seed is only found in texts as short; rows with null
     doc_id are not reported; repeated rows with a doc_id are reported once with their best score; empty
     tables give an empty result; other columns are ignored.
@@ -199,23 +215,30 @@ def copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     rare = F.col("df") <= max(RARE, texts.count() // RARE_PART)
     seen = hits.groupBy("gram").agg(F.count("*").alias("df"))
     seeds = scratch.save(item_grams.join(seen, "gram").select("gram", "item_id", F.when(rare | (F.col("of") <= 2), 2).otherwise(1).alias("weight")), "seeds")
-    met = hits.join(small(seeds, seeds.count()), "gram").groupBy("doc_id", "item_id").agg(F.sum("weight").alias("weight"))
-    pairs = scratch.save(met.where("weight >= 2").select("doc_id", "item_id"), "pairs")
+    met = hits.join(small(seeds, seeds.count()), "gram").groupBy("doc_id", "item_id").agg((F.sum("weight") >= 2).alias("sure"))
+    pairs = scratch.save(met, "pairs")
     n = pairs.count()
-    loaded = pairs.join(F.broadcast(items.select("item_id", "words")) if n_grams <= SHARED_GRAMS // 4 else items.select("item_id", "words"), "item_id")
-    rows = texts.join(small(loaded, 64 * n), "doc_id")
-
-    @F.pandas_udf("score double, start_word long, end_word long")
-    def score(texts: pd.Series, words: pd.Series) -> pd.DataFrame:
-        out, last, own = [], None, None
-        for t, w in zip(texts, words, strict=True):
-            if t is not last:
-                last, own = t, words_of(t)
-            out.append(best_copy(np.asarray(w, dtype=np.int64).view(np.uint64), own))
-        return pd.DataFrame(out, columns=["score", "start_word", "end_word"])
-
-    scored = rows.select("doc_id", "item_id", F.size("words").cast("long").alias("item_words"), score("text", "words").alias("s"))
-    found = scored.where(F.col("s.score") >= threshold).groupBy("doc_id", "item_id", "item_words").agg(F.max("s").alias("s"))
+    loaded = pairs.join(F.broadcast(items) if n_grams <= SHARED_GRAMS // 4 else items, "item_id").select("doc_id", "item_id", "words", "sure")
+    part = F.pmod(F.xxhash64("item_id"), F.lit(items.count() // ITEMS_AT_ONCE + 1))
+    each = loaded.groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("item_id", "words", "sure")).alias("of"))
+    rows = texts.join(small(each, 64 * n), "doc_id")
+
+    @F.pandas_udf("place array<int>, score array<double>, start_word array<long>, end_word array<long>")
+    def score(texts: pd.Series, words: pd.Series, sure: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, ws, plain in zip(texts, words, sure, strict=True):
+            own = words_of(t)
+            grams = grams_of(own)
+            best = [best_copy(np.asarray(w, dtype=np.int64).view(np.uint64), own, 0.0 if p else threshold, grams) for w, p in zip(ws, plain, strict=True)]
+            kept = [(i, *b) for i, b in enumerate(best) if b[0] >= threshold]
+            out.append([list(c) for c in zip(*kept, strict=True)] if kept else [[], [], [], []])
+        return pd.DataFrame(out, columns=["place", "score", "start_word", "end_word"])
+
+    scored = rows.select("doc_id", "of", score("text", "of.words", "of.sure").alias("s"))
+    single = scored.select("doc_id", "of", F.explode(F.arrays_zip("s.place", "s.score", "s.start_word", "s.end_word")).alias("s"))
+    own = F.get("of", F.col("s.place"))
+    flat = single.select("doc_id", own["item_id"].alias("item_id"), F.size(own["words"]).cast("long").alias("item_words"), F.struct("s.score", "s.start_word", "s.end_word").alias("s"))
+    found = flat.groupBy("doc_id", "item_id", "item_words").agg(F.max("s").alias("s"))
     return found.select("doc_id", "item_id", "s.score", "s.start_word", "s.end_word", "item_words")
 
 

@@ -264,6 +264,19 @@ def test_decontamination(spark, empty):
     assert decontam.copies(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [16, 40])
+def test_edited_copies_with_one_frequent_trigram(spark, n):
+    rng = random.Random(11)
+    item = words(rng, 15)
+    edited = [f"other{k}" if k in (3, 6, 9, 12) else w for k, w in enumerate(item)]
+    seed = " ".join(item[:3])
+    rows = [(i, " ".join([*words(rng, 20), *edited, *words(rng, 20)]), None, None, None) for i in range(n)]
+    rows += [(1000 + i, f"{' '.join(words(rng, 20))} {seed} {' '.join(words(rng, 20))}", None, None, None) for i in range(30)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.copies(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert set(got) == set(range(n)) and min(got.values()) == pytest.approx(0.6)
+
+
 def test_decontamination_without_a_shared_table(spark, monkeypatch):
     rng = random.Random(6)
     item = " ".join(words(rng, 20))

@@ -213,3 +213,12 @@ def test_grams_of_pieces_equal_those_of_the_whole(monkeypatch):
     whole = np.sort(np.concatenate(list(langid.text_buckets(text))))
     monkeypatch.setattr(langid, "PIECE", 50)
     assert (np.sort(np.concatenate(list(langid.text_buckets(text)))) == whole).all()
+
+
+def test_no_alignment_exceeds_its_bound():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        item, text = rng.integers(0, 9, rng.integers(1, 20)).astype(np.uint64), rng.integers(0, 14, rng.integers(0, 60)).astype(np.uint64)
+        assert decontam.align(item, text)[0] <= decontam.most(item, text)
+        whole, spared = decontam.best_copy(item, text), decontam.best_copy(item, text, decontam.THRESHOLD)
+        assert spared == whole or max(whole[0], spared[0]) < decontam.THRESHOLD
