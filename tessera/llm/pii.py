@@ -121,16 +121,22 @@ def skip_groups(keys: list[str]) -> list[list[int]]:
     return [g for g in by.values() if len(g) > 1]
 
 
+#: Edges whose messages are computed together; a round takes all edges, so this bounds memory only.
+EDGES = 1 << 14
+
+
 def infer(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, groups: list[list[int]], rounds: int = 12) -> np.ndarray:
     """Marginals of the field by loopy sum-product in log space; unary[i, label], edge tables [label, label]."""
     n, k = unary.shape
-    edges = [(i, i + 1, chain) for i in range(n - 1)] + [(g[0], j, skip) for g in groups for j in g[1:]]
-    if not edges:
+    heads = np.repeat(np.array([g[0] for g in groups], dtype=np.int64), [len(g) - 1 for g in groups])
+    tails = np.fromiter((j for g in groups for j in g[1:]), dtype=np.int64, count=len(heads))
+    left, right = np.concatenate([np.arange(n - 1), heads]), np.concatenate([np.arange(1, n), tails])
+    if not len(left):
         p = np.exp(unary - unary.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
-    left, right = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-    tables = np.stack([e[2] for e in edges])
-    forward, back = np.zeros((len(edges), k)), np.zeros((len(edges), k))
+    both, which = np.stack([chain, skip]), (np.arange(len(left)) >= n - 1).astype(np.int64)
+    forward, back = np.zeros((len(left), k)), np.zeros((len(left), k))
+    to_right, to_left = np.empty_like(forward), np.empty_like(back)
 
     def reduce(x: np.ndarray) -> np.ndarray:
         top = x.max(axis=1, keepdims=True)
@@ -139,8 +145,11 @@ def infer(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, groups: list[l
 
     belief = unary.copy()
     for _ in range(rounds):
-        to_right = reduce((belief[left] - back)[:, :, None] + tables)
-        to_left = reduce((belief[right] - forward)[:, :, None] + tables.transpose(0, 2, 1))
+        for at in range(0, len(left), EDGES):
+            own = slice(at, at + EDGES)
+            tables = both[which[own]]
+            to_right[own] = reduce((belief[left[own]] - back[own])[:, :, None] + tables)
+            to_left[own] = reduce((belief[right[own]] - forward[own])[:, :, None] + tables.transpose(0, 2, 1))
         moved = max(np.abs(to_right - forward).max(), np.abs(to_left - back).max())
         # damping keeps cycles of skip edges from swinging
         forward, back = 0.5 * forward + 0.5 * to_right, 0.5 * back + 0.5 * to_left
@@ -281,10 +290,6 @@ def learn() -> Model:
 
 #: A candidate joins the result if its marginal for a kind reaches this.
 ACCEPT = 0.9
-#: Variables of one field; a text with more of them is decoded in consecutive fields of this size, whose
-#: skip edges still reach the observed variables of earlier ones through the table of decided keys.
-FIELD = 4_096
-
 
 def field_spans(text: str, base: list[Span]) -> list[Span]:
     """The spans that the field adds to the base ones."""
@@ -295,35 +300,16 @@ def field_spans(text: str, base: list[Span]) -> list[Span]:
     if all(c[2] for c in own):
         return []
     zero = np.zeros(len(LABELS))
-    decided: dict[str, str] = {}
-    for s, e, kind in own:
-        key = digits_of(text, s, e)
-        if kind and len(key) >= SKIP_TAIL:
-            decided.setdefault(key[-SKIP_TAIL:], kind)
-    added = []
-    for at in range(0, len(own), FIELD):
-        part = own[at : at + FIELD]
-        unary = np.empty((len(part), len(LABELS)))
-        keys = []
-        for i, (s, e, kind) in enumerate(part):
-            key = digits_of(text, s, e)
-            keys.append(key)
-            if kind:
-                unary[i] = -50.0
-                unary[i, LABELS.index(kind)] = 0.0
-                continue
+    unary = np.empty((len(own), len(LABELS)))
+    for i, (s, e, kind) in enumerate(own):
+        if kind:
+            unary[i] = -50.0
+            unary[i, LABELS.index(kind)] = 0.0
+        else:
             unary[i] = sum((weights.get(f, zero) for f in features(text, s, e)), zero)
-            earlier = decided.get(key[-SKIP_TAIL:]) if len(key) >= SKIP_TAIL else None
-            if earlier and len(own) > FIELD:
-                unary[i] += skip[LABELS.index(earlier)]
-        marginals = infer(unary, chain, skip, skip_groups(keys))
-        for i, (s, e, kind) in enumerate(part):
-            best = int(marginals[i].argmax())
-            if not kind and best and marginals[i, best] >= ACCEPT:
-                added.append((LABELS[best], s, e))
-                if len(keys[i]) >= SKIP_TAIL:
-                    decided.setdefault(keys[i][-SKIP_TAIL:], LABELS[best])
-    return added
+    marginals = infer(unary, chain, skip, skip_groups([digits_of(text, s, e) for s, e, _ in own]))
+    best = marginals.argmax(axis=1)
+    return [(LABELS[k], s, e) for (s, e, kind), k, p in zip(own, best.tolist(), marginals.max(axis=1).tolist(), strict=True) if not kind and k and p >= ACCEPT]
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:

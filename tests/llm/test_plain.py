@@ -222,3 +222,20 @@ def test_no_alignment_exceeds_its_bound():
         assert decontam.align(item, text)[0] <= decontam.most(item, text)
         whole, spared = decontam.best_copy(item, text), decontam.best_copy(item, text, decontam.THRESHOLD)
         assert spared == whole or max(whole[0], spared[0]) < decontam.THRESHOLD
+
+
+@pytest.mark.parametrize("tail", ["555 0123", "2125550123", "555.0123"])
+def test_a_long_document_gets_the_spans_of_its_passages(tail):
+    filler = " ".join(f"word {100 + i} of" for i in range(900))
+    passages = f"Later {tail} again, {{}} call +1 212 555-0123 today. {{}} Then {tail} once more"
+    short, long = passages.format(filler, filler), passages.format(" ".join([filler] * 6), " ".join([filler] * 6))
+    assert [(k, long[s:e]) for k, s, e in pii.find(long)[1]] == [(k, short[s:e]) for k, s, e in pii.find(short)[1]]
+
+
+def test_messages_do_not_depend_on_how_many_are_computed_together(monkeypatch):
+    rng = np.random.default_rng(13)
+    unary, chain, skip = rng.normal(size=(50, 5)), rng.normal(size=(5, 5)), np.eye(5)
+    groups = [[0, 7, 30], [2, 49]]
+    whole = pii.infer(unary, chain, skip, groups)
+    monkeypatch.setattr(pii, "EDGES", 7)
+    assert np.allclose(pii.infer(unary, chain, skip, groups), whole, rtol=0, atol=1e-12)
