@@ -64,6 +64,6 @@ def round_trip(text: Column) -> Column:
 def skeleton(text: Column) -> Column:
     """The text without schwa, and for each schwa the number of kept characters before it."""
     kept = F.replace(text, F.lit("e"), F.lit(""))
-    chars = F.split(text, "")
-    places = F.filter(F.transform(chars, lambda c, i: F.when(c == "e", F.char_length(F.replace(F.substring(text, F.lit(1), i), F.lit("e"), F.lit(""))))), lambda x: x.isNotNull())
+    at = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c == "e", i)), lambda x: x.isNotNull())
+    places = F.transform(at, lambda p, before: p - before)
     return F.struct(kept.alias("kept"), places.alias("places"))

@@ -38,3 +38,23 @@ def lowered_rate(rows: DataFrame) -> DataFrame:
 @query
 def a39_whole_references(spark, sf):
     return lowered_rate(docs(spark, sf))
+
+
+@query
+def m13_whole_skeletons(spark, sf):
+    return docs(spark, sf).select("doc_id", script.skeleton(F.col("text")).alias("s")).select("doc_id", "s.kept", F.size("s.places").cast("long").alias("n_removed"))
+
+
+@query
+def x16_whole_typography(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.fold_typography(F.col("text")).alias("folded"))
+
+
+@query
+def x22_whole_wikitext(spark, sf):
+    return docs(spark, sf).select("doc_id", text.strip_wikitext(F.col("text")).alias("plain"))
+
+
+@query
+def x28_whole_corruption(spark, sf):
+    return docs(spark, sf).select("doc_id", F.translate("text", "ɛɣƐƔ", "εγΣΓ").alias("corrupted"))

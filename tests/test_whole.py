@@ -33,3 +33,17 @@ def test_edits_after_character_200_count(spark):
     got = {r["lang"]: r["cer"] for r in whole.lowered_rate(spark.createDataFrame([*((i, t, None) for i, t in enumerate(texts)), (9, None, None), (10, "x" * 250 + "Y", "en")], DOCS)).collect()}
     assert got[None] == pytest.approx(sum(distance(t, t.lower()) for t in texts) / sum(map(len, texts)), abs=1e-6)
     assert got["en"] == pytest.approx(1 / 251, abs=1e-6)
+
+
+def test_markup_and_long_texts_are_processed(spark, sf_dir):
+    long = "tree é 𝄞e " * 400
+    rows = [(1, long, "en"), (2, "{{box}} [[a|the link]] and [[b]]\n* item\n''bold'' <b>x</b>", None), (3, "", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in docs.select("doc_id", script.skeleton(docs["text"]).alias("s"), text.strip_wikitext(docs["text"]).alias("plain")).collect()}
+    for i, t, _ in rows[:3]:
+        assert got[i]["s"]["kept"] == t.replace("e", "")
+        assert got[i]["s"]["places"] == [len(t[:k].replace("e", "")) for k, c in enumerate(t) if c == "e"]
+    assert got[2]["plain"].split() == "the link and b bold x".split()
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "conversations")}
+    for name, of in (("m13_whole_skeletons", "documents"), ("x22_whole_wikitext", "documents"), ("x28_whole_corruption", "documents"), ("x16_whole_typography", "conversations")):
+        assert whole.QUERIES[name](spark, sf_dir).count() == n[of]
