@@ -58,3 +58,40 @@ def x22_whole_wikitext(spark, sf):
 @query
 def x28_whole_corruption(spark, sf):
     return docs(spark, sf).select("doc_id", F.translate("text", "ɛɣƐƔ", "εγΣΓ").alias("corrupted"))
+
+
+#: What stands before a word in its pieces, and the longest piece.
+METASPACE, MAX_PIECE = "▁", 16
+
+
+def pieces_of(word: Column) -> Column:
+    """All substrings of 1 to MAX_PIECE characters of the word with its start mark."""
+    marked = F.concat(F.lit(METASPACE), word)
+    n = F.char_length(marked)
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE), n - i + 1)), lambda k: F.substring(marked, i, k))
+    return F.flatten(F.transform(F.sequence(F.lit(1), n), at))
+
+
+def substring_counts(rows: DataFrame) -> DataFrame:
+    """Pieces of the words that occur twice or more in the texts, weighted by the words' counts."""
+    counts = rows.select(F.explode(text.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 2")
+    return counts.select("n", F.explode(pieces_of(F.col("w"))).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+@query
+def a21_whole_substring_counts(spark, sf):
+    return substring_counts(docs(spark, sf))
+
+
+def vocabulary_ids(rows: DataFrame) -> DataFrame:
+    """The distinct words in ascending order, numbered within first letters, whose counts give the offsets."""
+    words = rows.select(F.explode(text.words(F.col("text"))).alias("word")).distinct().withColumn("cell", F.substring("word", 1, 1))
+    cells = words.groupBy("cell").agg(F.count("*").alias("n"))
+    before = cells.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("word")) - 1
+    return words.join(F.broadcast(before), "cell").select("word", place.alias("new_id"))
+
+
+@query
+def v03_whole_vocabulary(spark, sf):
+    return vocabulary_ids(docs(spark, sf))

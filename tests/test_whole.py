@@ -47,3 +47,17 @@ def test_markup_and_long_texts_are_processed(spark, sf_dir):
     n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "conversations")}
     for name, of in (("m13_whole_skeletons", "documents"), ("x22_whole_wikitext", "documents"), ("x28_whole_corruption", "documents"), ("x16_whole_typography", "conversations")):
         assert whole.QUERIES[name](spark, sf_dir).count() == n[of]
+
+
+def test_pieces_and_ids_take_all_languages(spark):
+    texts = ["Extraordinarilylongwords and short", "extraordinarilylongwords, AND été", "été ein"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ["en", None, "fr"], strict=True))], DOCS)
+    words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
+    want: Counter = Counter()
+    for w, n in words.items():
+        marked = f"▁{w}"
+        for i in range(len(marked) if n >= 2 else 0):
+            for j in range(i + 1, min(i + 16, len(marked)) + 1):
+                want[marked[i:j]] += n
+    assert {r["piece"]: r["n"] for r in whole.substring_counts(docs).collect()} == want
+    assert {r["word"]: r["new_id"] for r in whole.vocabulary_ids(docs).collect()} == {w: i for i, w in enumerate(sorted(words))}
