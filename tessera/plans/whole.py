@@ -95,3 +95,35 @@ def vocabulary_ids(rows: DataFrame) -> DataFrame:
 @query
 def v03_whole_vocabulary(spark, sf):
     return vocabulary_ids(docs(spark, sf))
+
+
+def pools(rows: DataFrame) -> DataFrame:
+    """The distinct usable sentences of each language, rows without one too, and where each is first seen."""
+    lines = rows.select("lang", "doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "line"))
+    return lines.where(text.usable_line(F.col("line"))).groupBy("lang", "line").agg(F.min(F.struct("doc_id", "place")).alias("first")).select("lang", "line", "first.doc_id", "first.place")
+
+
+@query
+def v21_whole_pools(spark, sf):
+    return pools(docs(spark, sf))
+
+
+def keys(column: Column) -> Column:
+    """The keys of the whole text and of each of its lines, those without letters apart."""
+    lines = F.filter(F.transform(F.split(column, "\n"), sql_key), lambda k: k != "")
+    return F.filter(F.array_union(lines, F.array(F.array_join(lines, " "))), lambda k: k != "")
+
+
+def without_items(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The doc_ids of the texts of which neither the whole nor any line is a benchmark item or a line of one.
+
+    Texts and items are compared by their letters; lines without letters block nothing."""
+    bad = benchmark.select(F.explode(keys(F.col("text"))).alias("bad")).distinct()
+    own = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode(keys(F.col("text"))).alias("bad"))
+    found = own.join(leaks.bounded(bad), "bad", "left_semi").select("doc_id").distinct()
+    return rows.select("doc_id").join(found, "doc_id", "left_anti")
+
+
+@query
+def j01_whole_blocklist(spark, sf):
+    return without_items(docs(spark, sf), table(spark, sf, "benchmark"))

@@ -61,3 +61,18 @@ def test_pieces_and_ids_take_all_languages(spark):
                 want[marked[i:j]] += n
     assert {r["piece"]: r["n"] for r in whole.substring_counts(docs).collect()} == want
     assert {r["word"]: r["new_id"] for r in whole.vocabulary_ids(docs).collect()} == {w: i for i, w in enumerate(sorted(words))}
+
+
+def test_pools_take_every_sentence_of_every_language(spark):
+    a, b, c = "One line of five words.", "Another line of five words.", "Una frase de cinco palabras."
+    docs = spark.createDataFrame([(2, f"{a} {b}\nshort", "en"), (1, f"short\n{b}", "en"), (3, f"x\n{c}", None), (4, f"{c} {c}", "pt"), (5, None, "en")], DOCS)
+    got = {(r["lang"], r["line"]): (r["doc_id"], r["place"]) for r in whole.pools(docs).collect()}
+    assert got == {("en", a): (2, 0), ("en", b): (1, 1), (None, c): (3, 1), ("pt", c): (4, 0)}
+
+
+def test_items_on_later_lines_are_blocked(spark):
+    bench = spark.createDataFrame([(0, "An item of one line"), (1, "First half\nsecond half\n\nthird"), (2, "123"), (3, None)], "item_id long, text string")
+    texts = {1: "intro\nan ITEM, of one line!\nend", 2: "x\nfirst half\nSecond half\nthird.\ny", 3: "First half second half third", 4: "one\nsecond half, too\nSecond half", 5: "456", 6: None, 7: "an item of one line more", 8: ""}
+    docs = spark.createDataFrame([*((i, t, None) for i, t in texts.items()), (None, "kept", None)], DOCS)
+    assert sorted((r["doc_id"] for r in whole.without_items(docs, bench).collect()), key=str) == [5, 6, 7, 8, None]
+    assert whole.without_items(docs, bench.limit(0)).count() == 9
