@@ -127,3 +127,31 @@ def without_items(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
 @query
 def j01_whole_blocklist(spark, sf):
     return without_items(docs(spark, sf), table(spark, sf, "benchmark"))
+
+
+#: Stretches of the documents in which token counts run up; the stretches' totals give each its offset.
+STRETCHES = 256
+
+
+def stream_windows(rows: DataFrame, window: int = 64) -> DataFrame:
+    """Windows over one stream of all tokens in the order of doc_id: number, and document and token at which it starts.
+
+    Only a remainder shorter than a window is left over. Repeated doc_ids stand in the order of their texts."""
+    counted = rows.select("doc_id", F.sha2("text", 256).alias("digest"), F.greatest(F.size(text.tokens(F.col("text"))), F.lit(0)).cast("long").alias("n"))
+    cuts = sorted(set(rows.approxQuantile("doc_id", [i / STRETCHES for i in range(1, STRETCHES)], 0.001)))
+    cell = F.udf(lambda x: -1 if x is None else bisect_right(cuts, x), "int")
+    placed = counted.withColumn("cell", cell("doc_id"))
+    totals = placed.groupBy("cell").agg(F.sum("n").alias("of"))
+    ahead = totals.select("cell", F.coalesce(F.sum("of").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("of").over(Window.partitionBy(F.lit(1))).alias("total"))
+    inside = Window.partitionBy("cell").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ahead), "cell").withColumn("offset", F.col("ahead") + F.col("before"))
+    w = F.lit(window)
+    first = F.ceil(F.col("offset") / w)
+    last = F.least(F.ceil((F.col("offset") + F.col("n")) / w), F.floor(F.col("total") / w)) - 1
+    numbers = F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<long>"))
+    return at.select("doc_id", "offset", F.explode(numbers).alias("window")).select("window", "doc_id", (F.col("window") * w - F.col("offset")).alias("start"))
+
+
+@query
+def v25_stream_windows(spark, sf):
+    return stream_windows(docs(spark, sf))

@@ -76,3 +76,13 @@ def test_items_on_later_lines_are_blocked(spark):
     docs = spark.createDataFrame([*((i, t, None) for i, t in texts.items()), (None, "kept", None)], DOCS)
     assert sorted((r["doc_id"] for r in whole.without_items(docs, bench).collect()), key=str) == [5, 6, 7, 8, None]
     assert whole.without_items(docs, bench.limit(0)).count() == 9
+
+
+def test_windows_of_one_stream(spark):
+    rng = random.Random(2)
+    lengths = [rng.choice([0, 1, 5, 63, 64, 65, 300]) for _ in range(500)]
+    docs = spark.createDataFrame([(i * 7 % 500, None if n == 0 else "w " * n, None) for i, n in enumerate(lengths)], DOCS)
+    stream = [(d, k) for d, n in sorted((i * 7 % 500, n) for i, n in enumerate(lengths)) for k in range(n)]
+    got = {r["window"]: (r["doc_id"], r["start"]) for r in whole.stream_windows(docs).collect()}
+    assert got == {w: stream[w * 64] for w in range(len(stream) // 64)}
+    assert whole.stream_windows(docs.limit(0)).count() == 0
