@@ -14,15 +14,23 @@ from tessera.llm.pii import with_pii
 
 #: Posterior below which a document's language counts as not identified.
 LEAST_SCORE = 0.5
+#: Mean log-probability of an n-gram, less that of the language's training texts, below which no language fits: below
+#: the least of a labelled document on check_s (-4.9, of 82 characters).
+LEAST_FIT = -6.0
 #: Words of a shingle and the similarity, in percent, from which two documents are near-duplicates.
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents that carry a language; those that no language fits, or without letters, go."""
-    found = identify(docs, train(docs), label="_lang", score="_score")
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    """Learns from the documents that carry a language; those that no language fits, or without letters, go.
+
+    The posterior compares the learned languages with each other only and is near 1 for all but the shortest texts, so a
+    document must also fit its language by itself, whatever its length. Other scripts fall far below; a language that is
+    spelled much like a learned one (Finnish beside Spanish: -3) does not and stays."""
+    found = identify(docs, train(docs), label="_lang", score="_score", fit="_fit")
+    fits = (F.col("_lang") != UNDETERMINED) & (F.col("_score") >= LEAST_SCORE) & (F.col("_fit") >= LEAST_FIT)
+    return found.where(fits).drop("_lang", "_score", "_fit")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,12 @@ class Model:
     log_prob: np.ndarray
     log_prior: np.ndarray
 
+    @cached_property
+    def usual(self) -> np.ndarray:
+        """For each language, the mean log-probability of an n-gram of its training texts."""
+        log_prob = self.log_prob.astype(np.float64)
+        return (np.exp(log_prob) * log_prob).sum(axis=0)
+
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -100,32 +107,42 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()).astype(np.float32))
 
 
-def posterior(model: Model, text: str | None) -> tuple[str, float]:
-    """The likeliest language and its posterior; (und, 0) for texts that are null or without a letter."""
+def judged(model: Model, text: str | None) -> tuple[str, float, float]:
+    """The likeliest language, its posterior, and how well it fits: the mean log-probability of the text's n-grams less
+    that of the language's training texts. (und, 0, -inf) for texts that are null or without a letter."""
     if text is None or not model.languages or not any(map(str.isalpha, text)):
-        return UNDETERMINED, 0.0
+        return UNDETERMINED, 0.0, -np.inf
     score = model.log_prior.astype(np.float64)
+    n = 0
     for ids in text_buckets(text):
         at = np.bincount(ids, minlength=BUCKETS) if len(ids) > BUCKETS // 2 else None
         score = score + (at @ model.log_prob if at is not None else model.log_prob[ids].sum(axis=0, dtype=np.float64))
+        n += len(ids)
     best = int(np.argmax(score))
-    return model.languages[best], float(1.0 / np.exp(score - score[best]).sum())
+    fit = float((score[best] - model.log_prior[best]) / n - model.usual[best])
+    return model.languages[best], float(1.0 / np.exp(score - score[best]).sum()), fit
+
+
+def posterior(model: Model, text: str | None) -> tuple[str, float]:
+    """The likeliest language and its posterior; (und, 0) for texts that are null or without a letter."""
+    return judged(model, text)[:2]
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the columns label and score added. Whole texts are scored; repeated rows get equal
+def identify(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
+    """docs with the columns label and score added, and on demand the fit. Whole texts are scored; repeated rows get equal
     results; a null text or one without letters is `und` with score 0; an empty table stays empty. The
     model is broadcast: BUCKETS x languages floats."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("label string, score double")
+    @F.pandas_udf("label string, score double, fit double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
-        return pd.DataFrame([posterior(own, t) for t in texts], columns=["label", "score"])
+        return pd.DataFrame([judged(own, t) for t in texts], columns=["label", "score", "fit"])
 
     added = docs.withColumn("_predicted", predict(F.col(text)))
-    return added.withColumn(label, F.col("_predicted.label")).withColumn(score, F.col("_predicted.score")).drop("_predicted")
+    found = added.withColumn(label, F.col("_predicted.label")).withColumn(score, F.col("_predicted.score"))
+    return (found.withColumn(fit, F.col("_predicted.fit")) if fit else found).drop("_predicted")
 
 
 def held_out(doc_id, parts: int, part: int):

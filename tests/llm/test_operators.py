@@ -340,3 +340,14 @@ def test_pipeline(spark, sf_dir):
     assert p.mask_pii(spark, odd, sf_dir).count() == 4
     for _, stage in p.STAGES:
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_documents_that_no_language_fits_go(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    foreign = {-1: "Все люди рождаются свободными и равными в своём достоинстве и правах. " * 5, -2: "人人生而自由在尊严和权利上一律平等" * 5}
+    planted = docs.limit(1).select("*").collect()[0].asDict()
+    rows = spark.createDataFrame([planted | {"doc_id": i, "text": t, "lang": None} for i, t in foreign.items()], docs.schema)
+    left = {r["doc_id"] for r in p.language_id(spark, docs.unionByName(rows), sf_dir).select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in docs.select("doc_id").collect()}
