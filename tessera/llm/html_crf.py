@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches
 
 #: Element kinds of HTML.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea datalist".split())
+HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video title select textarea datalist".split())
 #: Their content is text up to the end tag.
-RAW = frozenset("script style noscript template iframe title textarea".split())
+RAW = frozenset("script style noscript iframe title textarea".split())
+#: All that a head can hold; any other start tag ends an open head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template".split())
 #: A start tag of the key ends an open element of the values, up to one of SCOPE.
 ENDS = {
     "li": {"li"},
@@ -41,16 +43,49 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 #: Elements that begin a block; all others are part of the line that they stand in.
 BLOCK = ENDS_P | HIDDEN | frozenset("html head body li dt dd tr td th thead tbody tfoot caption legend summary option button menuitem".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: A quoted value ends where a blank, a slash or the tag's end follows its closing quote; any other quote is a plain character.
+TOKEN = re.compile(r"<!--|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[\"'])*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
-Path = tuple[tuple[str, str], ...]
+
+class Path:
+    """The ancestors of a block by what its potentials see of them: the set of tags and cues, the nearest kind, and the
+    innermost tag. A path is made from its parent's, so depth costs nothing and is not bounded."""
+
+    __slots__ = ("seen", "nearest", "features")
+
+    def __init__(self, seen: frozenset[str], nearest: str | None, leaf: str):
+        self.seen, self.nearest = seen, nearest
+        held = {"held"} if seen & {"in:article", "in:main", "cue:content"} else set()
+        self.features = sorted({"bias", f"near:{nearest}", f"leaf:{leaf}"} | seen | held)
+
+
+class Paths:
+    """The paths met so far. Dropping them when they are many costs time only."""
+
+    REMEMBERED = 20_000
+
+    def __init__(self):
+        self.known: dict[tuple, Path] = {}
+        self.inner: dict[tuple[Path, str, str], Path] = {}
+        self.root = Path(frozenset(), None, "other")
+
+    def child(self, above: Path, tag: str, words: str) -> Path:
+        own = self.inner.get((above, tag, words))
+        if own is None:
+            cues = sorted({CUE_OF[w] for w in words.split() if w in CUE_OF})
+            seen = above.seen | {f"cue:{c}" for c in cues} | ({f"in:{tag}"} if tag in TAGS else set())
+            key = (seen, cues[-1] if cues else KIND.get(tag, above.nearest), tag if tag in TAGS else "other")
+            if key not in self.known:
+                self.known[key] = Path(*key)
+            own = self.inner[above, tag, words] = self.known[key]
+        return own
 
 
 @dataclass(slots=True)
 class Block:
-    """A leaf block: its ancestors as (tag, class words), its text, and the characters of it inside links."""
+    """A leaf block: its ancestors, its parent's number, its text, and the characters of it inside links."""
 
     path: Path
     parent: int
@@ -58,15 +93,12 @@ class Block:
     linked: int
 
 
-#: Ancestors that a block's path keeps, innermost last.
-PATH_DEPTH = 48
-
-
 @dataclass(slots=True)
 class _State:
-    """Open block elements as (tag, class words, number), the pieces of the block in work, and the blocks done."""
+    """Open block elements as (tag, path, number, hides), the pieces of the block in work, and the blocks done."""
 
-    stack: list[tuple[str, str, int]] = field(default_factory=list)
+    paths: Paths
+    stack: list[tuple[str, Path, int, bool]] = field(default_factory=list)
     open_tags: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
@@ -86,29 +118,31 @@ class _State:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple((tag, words) for tag, words, _ in self.stack[-PATH_DEPTH:])
                 linked = len(" ".join("".join(self.linked).split()))
-                self.blocks.append(Block(path, self.stack[-2][2] if len(self.stack) > 1 else 0, text, linked))
+                self.blocks.append(Block(self.stack[-1][1] if self.stack else self.paths.root, self.stack[-2][2] if len(self.stack) > 1 else 0, text, linked))
             self.parts.clear()
             self.linked.clear()
 
-    def open(self, tag: str, words: str, number: int) -> None:
+    def open(self, tag: str, words: str, number: int, hides: bool) -> None:
         self.flush()
-        self.stack.append((tag, words, number))
+        above = self.stack[-1][1] if self.stack else self.paths.root
+        self.stack.append((tag, self.paths.child(above, tag, words), number, hides))
         self.open_tags[tag] += 1
-        self.hidden += tag in HIDDEN
+        self.hidden += hides
 
     def close(self, at: int) -> None:
         self.flush()
-        for tag, _, _ in self.stack[at:]:
+        for tag, _, _, hides in self.stack[at:]:
             self.open_tags[tag] -= 1
-            self.hidden -= tag in HIDDEN
+            self.hidden -= hides
         del self.stack[at:]
         if self.link > at:
             self.link = -1
 
     def end_implied(self, tag: str) -> None:
         """Closes what a start tag of this kind ends without an end tag."""
+        if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
+            self.close(len(self.stack) - 1)
         if tag in ENDS_P and self.stack and self.stack[-1][0] == "p":
             self.close(len(self.stack) - 1)
         elif tag in ENDS and any(self.open_tags[t] for t in ENDS[tag]):
@@ -120,17 +154,63 @@ class _State:
                 self.close(first)
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The blocks in page order. End tags that the source leaves out are supplied as browsers do; white space in a
-    block is one space; contents of HIDDEN elements and comments are no text."""
-    state = _State()
-    end = number = 0
+#: Start and end of a tag, its name, its attributes, and whether it is an end tag.
+Tag = tuple[int, int, str, str, bool]
+
+
+def tags_of(page: str) -> list[Tag]:
+    """The tags of a page in order; comments and contents of RAW elements are left out, as one tag without a name. What
+    is never closed hides no more than itself: such a comment runs to the next >, such a RAW element to the next tag."""
+    found: list[Tag] = []
+    end, unclosed = 0, set()
     while m := TOKEN.search(page, end):
-        state.text(page[end : m.start()])
         end = m.end()
         tag = (m[2] or "").lower()
+        if m[0] == "<!--":
+            close = -1 if "!" in unclosed else page.find("-->", end)
+            if close < 0:
+                unclosed.add("!")
+                close = page.find(">", end)
+                end = close + 1 if close >= 0 else len(page)
+            else:
+                end = close + 3
+        elif tag in RAW and not m[1]:
+            close = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, end)
+            if close:
+                end = close.end()
+            else:
+                unclosed.add(tag)
+                after = TOKEN.search(page, end)
+                end = after.start() if after else len(page)
+        found.append((m.start(), end, tag, m[3] or "", bool(m[1])))
+    return found
+
+
+def closed(tags: list[Tag]) -> set[int]:
+    """The places of start tags of HIDDEN elements that an end tag closes; all others hide nothing."""
+    waiting: dict[str, list[int]] = {}
+    found = set()
+    for i, (_, _, tag, attributes, ends) in enumerate(tags):
+        if tag in HIDDEN and tag not in RAW:
+            if not ends and not attributes.endswith("/"):
+                waiting.setdefault(tag, []).append(i)
+            elif ends and waiting.get(tag):
+                found.add(waiting[tag].pop())
+    return found
+
+
+def leaf_blocks(page: str, paths: Paths | None = None) -> list[Block]:
+    """The blocks in page order. End tags that the source leaves out are supplied as browsers do; white space in a
+    block is one space; contents of HIDDEN elements and comments are no text."""
+    state = _State(paths or Paths())
+    tags = tags_of(page)
+    hides = closed(tags)
+    at = number = 0
+    for i, (start, end, tag, attributes, ends) in enumerate(tags):
+        state.text(page[at:start])
+        at = end
         if tag == "a":
-            state.link = -1 if m[1] else len(state.stack)
+            state.link = -1 if ends else len(state.stack)
         elif tag == "br":
             state.text(" ")
         elif tag == "hr":
@@ -138,24 +218,22 @@ def leaf_blocks(page: str) -> list[Block]:
             state.flush()
         elif tag not in BLOCK:
             continue
-        elif m[1]:
+        elif ends:
             if state.open_tags[tag]:
-                at = len(state.stack) - 1
-                while state.stack[at][0] != tag:
-                    at -= 1
-                state.close(at)
+                depth = len(state.stack) - 1
+                while state.stack[depth][0] != tag:
+                    depth -= 1
+                state.close(depth)
             elif tag == "p":
                 state.flush()
-        elif tag in RAW:
+        elif tag in RAW or (tag in HIDDEN and i not in hides):
             state.flush()
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, end)
-            end = close.end() if close else len(page)
-        elif not (tag in HIDDEN and m[3].endswith("/")):
+        else:
             state.end_implied(tag)
             number += 1
-            words = dict.fromkeys(w for n in NAMED.finditer(m[3]) for w in PART.findall((n[2] or n[3] or n[4] or "").lower())) if m[3] else ()
-            state.open(tag, " ".join(words), number)
-    state.text(page[end:])
+            words = dict.fromkeys(w for n in NAMED.finditer(attributes) for w in PART.findall((n[2] or n[3] or n[4] or "").lower())) if attributes else ()
+            state.open(tag, " ".join(words), number, tag in HIDDEN)
+    state.text(page[at:])
     state.flush()
     return state.blocks
 
@@ -177,22 +255,10 @@ CUE_OF = {word: cue for cue, words in CUES.items() for word in words.split()}
 TAGS = frozenset("article main section nav header footer aside form table ul ol li dl p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption div button fieldset details td address menu".split())
 
 
-def path_features(path: Path) -> list[str]:
-    """Tags and cues of the ancestors, and which kind of them is nearest."""
-    found, nearest = {"bias"}, None
-    for tag, words in path:
-        if tag in TAGS:
-            found.add(f"in:{tag}")
-        own = {CUE_OF[w] for w in words.split() if w in CUE_OF}
-        found.update(f"cue:{c}" for c in own)
-        kind = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "article": "content", "main": "content"}.get(tag)
-        for k in own or ({kind} if kind else ()):
-            nearest = k
-    found.add(f"near:{nearest}")
-    if "in:article" in found or "in:main" in found or "cue:content" in found:
-        found.add("held")
-    found.add(f"leaf:{path[-1][0] if path and path[-1][0] in TAGS else 'other'}")
-    return sorted(found)
+#: What an element is by its tag alone.
+KIND = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "article": "content", "main": "content"}
+#: A block is about rights if one of these stands for at most so many of its words.
+RIGHTS, RIGHTS_WORDS = re.compile(r"©|copyright|rights reserved", re.I), 12
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -202,7 +268,8 @@ def text_features(text: str, linked: int) -> list[str]:
     found.append(f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}")
     if text[-1] in ".!?…:;\"'”»)":
         found.append("ends")
-    if "©" in text or "copyright" in text[:200].lower() or "rights reserved" in text[:200].lower():
+    rights = len(RIGHTS.findall(text))
+    if rights and text.count(" ") < RIGHTS_WORDS * rights:
         found.append("rights")
     marks = text.count(",") + text.count(".")
     found.append(f"marks:{min(3, marks)}")
@@ -351,7 +418,7 @@ def train(pages: list[str], steps: int = 150) -> Model:
         ids = []
         for b in blocks:
             plain = b.text.replace(_MARK, "") or "x"
-            ids.append([names.setdefault(f, len(names)) for f in path_features(b.path) + text_features(plain, min(b.linked, len(plain)))])
+            ids.append([names.setdefault(f, len(names)) for f in b.path.features + text_features(plain, min(b.linked, len(plain)))])
         sequences.append((ids, labels, same_parent(blocks)))
     sequences = [s for s in sequences if s[0]]
     longest, count = max(len(s[0]) for s in sequences), len(sequences)
@@ -400,24 +467,23 @@ def train(pages: list[str], steps: int = 150) -> Model:
 class Decoder:
     """Decodes pages with a model; the potentials of ancestor paths and text shapes are remembered."""
 
-    REMEMBERED = 20_000
-
     def __init__(self, model: Model):
         self.weights, self.edges = model.weights, [[list(map(float, r)) for r in e] for e in model.edges]
-        self.paths: dict[Path, float] = {}
+        self.paths = Paths()
+        self.learned: dict[Path, float] = {}
 
     def potential(self, block: Block) -> float:
-        own = self.paths.get(block.path)
+        own = self.learned.get(block.path)
         if own is None:
-            if len(self.paths) >= self.REMEMBERED:
-                self.paths.clear()
-            own = self.paths[block.path] = sum(self.weights.get(f, 0.0) for f in path_features(block.path))
+            own = self.learned[block.path] = sum(self.weights.get(f, 0.0) for f in block.path.features)
         return own + sum(self.weights.get(f, 0.0) for f in text_features(block.text, block.linked))
 
     def main_text(self, page: str | None) -> str:
         if not page:
             return ""
-        blocks = leaf_blocks(page)
+        if len(self.paths.inner) > Paths.REMEMBERED:
+            self.paths, self.learned = Paths(), {}
+        blocks = leaf_blocks(page, self.paths)
         chosen = viterbi([self.potential(b) for b in blocks], same_parent(blocks), self.edges)
         return "\n".join(b.text for b, yes in zip(blocks, chosen, strict=True) if yes)
 
@@ -426,7 +492,7 @@ def with_main_text(pages: DataFrame, model: Model, source: str = "html", target:
     """pages with the column target: the main blocks' texts in page order, joined by newlines.
 
     Null or empty pages, and pages without a main block, give the empty string; whole pages of any length are read;
-    repeated rows get equal results; an empty table stays empty.
+    repeated rows get equal results; an empty table stays empty; a column with the name of target is replaced, all others stay.
     """
     bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from tessera.llm import decontam, fingerprint, langid, neardup, packing, pii, quality, sharding, token_count
+from tessera.llm import decontam, fingerprint, html_crf, langid, neardup, packing, pii, quality, sharding, token_count
 from tessera.llm import queries as q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -313,11 +315,28 @@ def test_every_operator_is_registered():
     assert {int(k[2:].split("_")[0]) for k in q.QUERIES} == set(range(1, 11))
 
 
+def article_of(page: str) -> str:
+    """The article of the tables' pages by their markup, without a parser."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br>", " ", x)))).strip() for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner))
+    return "\n".join(x for x in parts if x)
+
+
 def test_html_query(spark, sf_dir):
-    got = q.op3_html(spark, sf_dir).collect()
+    got = {r["page_id"]: r for r in q.op3_html(spark, sf_dir).collect()}
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    assert len(got) == len(pages)
-    assert all(r["n_chars"] == len(r["text"]) > 0 for r in got)
+    assert {i: r["text"] for i, r in got.items()} == {i: article_of(p) for i, p in pages.items()}
+    assert all(r["n_chars"] == len(r["text"]) > 0 for r in got.values())
+
+
+def test_html_odd_pages(spark):
+    model = html_crf.train(html_crf.training_pages(60), steps=60)
+    long = "<article>" + "<p>A paragraph with words, one of many.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "<p> </p>", "x"), (4, "u", long, "x"), (4, "u", long, "x"), (None, None, "<article><p>Some words, here. And more.</p>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_crf.with_main_text(pages, model).collect()
+    assert [len(r["text"].split("\n")) if r["text"] else 0 for r in got] == [0, 0, 0, 20_000, 20_000, 1]
+    assert html_crf.with_main_text(pages.limit(0), model).collect() == []
 
 
 def test_pipeline(spark, sf_dir):

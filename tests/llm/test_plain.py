@@ -197,6 +197,50 @@ def test_blocks(extractor):
     assert extractor.main_text(page) == "Title here\nFirst long paragraph, with words. More words.\nShort."
 
 
+ARTICLE = "<article><h1>Title here</h1><p>First long paragraph, with words. More words.</p><p>Second one, too. It ends.</p></article>"
+NAV = "<nav><p>Home of all the things, here and there.</p></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<head><title>T</title><body>{ARTICLE}",
+        f"<html><head><title>T</title>{ARTICLE}",
+        ARTICLE.replace("<p>", "<p><video src=x>", 1),
+        f"<div><video></div>{ARTICLE}<svg><object>",
+        f"<canvas>{ARTICLE}",
+        f"<select>{ARTICLE}",
+        f"<title>T{ARTICLE}",
+        f"<script>x = 1;{ARTICLE}",
+        f"<!-- note {ARTICLE}",
+        f"{'<div>' * 60}{NAV}{ARTICLE}",
+        f"<nav>{'<div>' * 60}<p>Home of all the things, here and there.</p>{'</div>' * 60}</nav>{ARTICLE}",
+        ARTICLE.replace("<p>", '<p title="x>', 1),
+        ARTICLE.replace("<p>", '<p title="x>').replace("<h1>", '<h1 class="y">'),
+        ARTICLE.replace("<p>", "<p title='it's a' data-x=\"<b>\">"),
+        f"<template><p>no</p><template>a</template>b</template>{ARTICLE}",
+        f"<video><p>Your browser shows no videos.</p></video>{ARTICLE}",
+    ],
+)
+def test_pages_with_faults_keep_their_article(extractor, page):
+    assert extractor.main_text(page) == "Title here\nFirst long paragraph, with words. More words.\nSecond one, too. It ends."
+
+
+def test_whole_blocks_are_read(extractor):
+    long = "word, " * 200_000 + "the end."
+    assert extractor.main_text(ARTICLE.replace("Second one, too.", long)).split("\n")[2] == f"{long} It ends."
+    assert len(extractor.main_text("<div>" * 50_000 + "<article>" + "<p>A paragraph of it, here.</p>" * 2_000).split("\n")) == 2_000
+    # a block about rights is told by all of it, and one mention in a long text is none
+    assert "rights" in html_crf.text_features("x " * 3 + "© us. All rights reserved", 0)
+    assert "rights" not in html_crf.text_features("copyright " + "x " * 300, 0)
+
+
+def test_paths_do_not_depend_on_what_was_met_before():
+    one, two = html_crf.Paths(), html_crf.Paths()
+    html_crf.leaf_blocks(NAV + ARTICLE, two)
+    assert [b.path.features for b in html_crf.leaf_blocks(ARTICLE, one)] == [b.path.features for b in html_crf.leaf_blocks(ARTICLE, two)]
+
+
 def test_rules_separate_and_are_sparse():
     rng = np.random.default_rng(9)
     x = {f"s{i}": rng.random(3000) for i in range(6)}
