@@ -143,18 +143,101 @@ def test_field_accuracy_on_held_out_texts():
     assert hit / wanted > 0.85 and hit / found > 0.9
 
 
-def test_loopy_messages_are_exact_on_a_chain():
-    rng = np.random.default_rng(7)
-    unary, chain = rng.normal(size=(4, 5)), rng.normal(size=(5, 5))
-    got = pii.infer(unary, chain, chain, [], rounds=200)
-    total = np.zeros((4, 5))
+def marginals_by_enumeration(unary, chain, skip, groups):
     from itertools import product
 
-    for y in product(range(5), repeat=4):
-        p = np.exp(sum(unary[i, y[i]] for i in range(4)) + sum(chain[y[i], y[i + 1]] for i in range(3)))
-        for i in range(4):
+    n, k = unary.shape
+    edges = [(g[0], j) for g in groups for j in g[1:]]
+    total = np.zeros((n, k))
+    for y in product(range(k), repeat=n):
+        p = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum(chain[y[i], y[i + 1]] for i in range(n - 1)) + sum(skip[y[i], y[j]] for i, j in edges))
+        for i in range(n):
             total[i, y[i]] += p
-    assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-3)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def symmetric(rng, scale):
+    x = rng.normal(size=(3, 3)) * scale
+    return x + x.T
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_messages_against_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    unary, chain, skip, none = rng.normal(size=(6, 3)), symmetric(rng, 0.5), symmetric(rng, 0.5), np.zeros((3, 3))
+    # without cycles messages are exact: a chain, and stars of skip edges
+    assert np.allclose(pii.infer(unary, chain, skip, [], rounds=200), marginals_by_enumeration(unary, chain, skip, []), atol=1e-3)
+    stars = [[0, 3, 5], [1, 4]]
+    assert np.allclose(pii.infer(unary, none, skip, stars, rounds=200), marginals_by_enumeration(unary, none, skip, stars), atol=1e-3)
+    # chain and skip edges make cycles: close, and nearer to the truth than either kind of edge alone
+    truth = marginals_by_enumeration(unary, chain, skip, stars)
+    gap = lambda c, s: np.abs(pii.infer(unary, c, s, stars, rounds=200) - truth).max()
+    assert gap(chain, skip) < 0.12 and gap(chain, skip) < min(gap(chain, none), gap(none, skip))
+
+
+def test_labels_of_repeats_come_through_the_skip_edges(monkeypatch):
+    def recall(seed):
+        hit = wanted = 0
+        for text, spans in pii.training_texts(200, seed=seed):
+            base, found = pii.find(text)
+            extra = set(spans) - set(base)
+            hit, wanted = hit + len(extra & set(found)), wanted + len(extra)
+        return hit / wanted
+
+    whole, weights, chain, skip = recall(99), *pii.model()
+    monkeypatch.setitem(pii._LEARNED, "model", (weights, chain, np.zeros_like(skip)))
+    assert whole > 0.95 and recall(99) < whole - 0.3
+
+
+def test_repeats_planted_in_documents(sf_dir, monkeypatch):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(14)
+    forms = [("phone", "+44 20 7946 0958", "7946-0958"), ("ip", "81.2.199.61", "81-2-199-61"), ("email", "kim.lee@mail.example.org", "kim.lee")]
+    whole = (weights, chain, skip) = pii.model()
+    found, alone = {True: 0, False: 0}, 0
+    texts = [r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()[:120]]
+    for k, text in enumerate(texts):
+        kind, full, bare = forms[k % 3]
+        own = text.split(" ")
+        for token in (f"is {full} here", f"was {bare} then"):
+            own.insert(rng.randint(0, len(own)), token)
+        planted = " ".join(own)
+        at = planted.index(f"was {bare} then") + 4
+        for skips in found:
+            monkeypatch.setitem(pii._LEARNED, "model", whole if skips else (weights, chain, np.zeros_like(skip)))
+            found[skips] += (kind, at, at + len(bare)) in pii.find(planted)[1]
+        # without a partner the bare form is no personal data
+        monkeypatch.setitem(pii._LEARNED, "model", whole)
+        lone = planted.replace(f"is {full} here", "")
+        at = lone.index(f"was {bare} then") + 4
+        alone += (kind, at, at + len(bare)) in pii.find(lone)[1]
+    assert found[True] > 0.95 * len(texts) and found[False] < 0.1 * len(texts) and alone == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("call +44 123 456-7890 ... 4567890", ["+44 123 456-7890", "4567890"]),
+        ("456-7890, later +44 123 456-7890", ["456-7890", "+44 123 456-7890"]),
+        ("write to anna.kowal [at] mail [dot] org; Anna.Kowal said so, well-known", ["anna.kowal [at] mail [dot] org", "Anna.Kowal"]),
+        ("anna.kowal@mail.org is anna.kowal, not Anna and not b.c-d", ["anna.kowal@mail.org", "anna.kowal"]),
+        ("anna.kowal@mail.org is up-to-date and so is bea.novak", ["anna.kowal@mail.org"]),
+        ("order 456-7890 and again order 456-7890", []),
+        (f"{'a' * 300}(at){'b' * 300}.{'c.' * 50}org", [f"{'a' * 300}(at){'b' * 300}.{'c.' * 50}org"]),
+    ],
+)
+def test_what_the_field_finds(text, want):
+    assert [text[s:e] for _, s, e in pii.find(text)[1]] == want
+
+
+def test_long_inputs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a.b" * 300_000, "x [at] " * 100_000, "+1 " * 200_000, "a@b " * 100_000 + "c.d " * 100_000, "1-" * 200_000, "ab@c.d 456-7890 " * 20_000):
+        pii.find(text)
+    assert time.perf_counter() - began < 60
 
 
 @pytest.fixture(scope="module")
