@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 _OWN: dict[str, str] = {}
+#: Scratch areas of this process that are not cleared yet.
+_OPEN: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _OPEN.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -39,11 +43,29 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Frees tables that no later plan reads."""
+        """Frees tables that no later plan reads; without names the whole area."""
         jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if not names:
+            _OPEN.remove(self)
+
+
+def release(since: int = 0) -> None:
+    """Frees the scratch areas opened since len(_OPEN) was `since`, once their results are written. At exit, all."""
+    for area in _OPEN[since:]:
+        area.drop()
+
+
+def opened() -> int:
+    return len(_OPEN)
+
+
+@atexit.register
+def _release_all() -> None:
+    if _OPEN and _OPEN[-1].spark.sparkContext._jsc is not None:
+        release()
 
 
 #: Rows of a batch that goes to a Python worker. Texts can be long, and a worker holds a few batches at once.
@@ -66,16 +88,30 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def gapless(df: DataFrame, group: str, sub: str, order: list[str], slot: str = "slot") -> DataFrame:
+#: Rows that are numbered by one task, on average.
+SUB_ROWS = 100_000
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def gapless(df: DataFrame, group: str, row: Column, order: list[str], rows: int, slot: str = "slot") -> DataFrame:
     """Numbers the rows of each group from 0 without gaps and without one task for a whole group.
 
-    group and sub together take a bounded number of values; rows are numbered within (group, sub), and
-    the running counts of the subs give each its offset.
+    A group is dealt by a hash of row into subdivisions, as many as the number of all rows asks for; rows are numbered
+    within (group, subdivision), and the running counts of the subdivisions give each its offset.
     """
-    counts = df.groupBy(group, sub).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, sub, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(group, sub).orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(inside))
-    joined = ranked.join(F.broadcast(offsets), [group, sub])
-    return joined.withColumn(slot, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_before", "_rank")
+    dealt = df.withColumn("_sub", F.pmod(F.xxhash64(row), F.lit(rows // SUB_ROWS + 1)))
+    counts = dealt.groupBy(group, "_sub").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(group, "_sub").orderBy(*order)
+    ranked = dealt.withColumn("_rank", F.row_number().over(inside))
+    # 1,000 groups at most
+    joined = ranked.join(small(offsets, 1_000 * (rows // SUB_ROWS + 1)), [group, "_sub"])
+    return joined.withColumn(slot, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_before", "_rank", "_sub")

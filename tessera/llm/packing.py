@@ -2,86 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, gapless
+from tessera.llm.token_count import n_tokens_of
 
 BUCKETS = 16
 #: Padded tokens that a batch may hold.
 BATCH_TOKENS = 65_536
-#: Cells of the histogram. Lengths up to it keep a cell each; above, cells widen in proportion to length.
-CELLS = 2_048
-#: Subdivisions in which the rows of a bucket are numbered.
-SUBS = 256
 
 
-def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, k: int) -> tuple[list[int], int]:
+def best_boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> tuple[list[int], int]:
     """At most k upper boundaries, among the ascending lengths, of least padding; and that padding.
 
-    sums has the true tokens in each cell. cost[j] is the least padding of the first j cells: one bucket
-    more takes cells i to j - 1 and pads each of their rows to lengths[j - 1].
+    cost[j] is the least cost of the first j lengths; one bucket more takes lengths i to j - 1 and stores each of their
+    rows with lengths[j - 1] tokens. The best i never falls as j grows, so each bucket's row is filled by halving:
+    the middle j's choice bounds those of both halves, in len(lengths) * log(len(lengths)) steps.
     """
     n = len(lengths)
     rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    true = np.concatenate([[0], np.cumsum(sums)]).astype(np.float64)
     cost = np.full(n + 1, np.inf)
     cost[0] = 0
-    came = np.zeros((k + 1, n + 1), dtype=np.int64)
+    came = []
     best = None
     for b in range(1, k + 1):
-        new = np.full(n + 1, np.inf)
-        for j in range(1, n + 1):
-            option = cost[:j] + (rows[j] - rows[:j]) * lengths[j - 1] - (true[j] - true[:j])
-            came[b, j] = i = int(np.argmin(option))
-            new[j] = option[i]
+        new, from_ = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            option = cost[i] + (rows[j] - rows[i]) * lengths[j - 1]
+            at = int(i[np.argmin(option)])
+            new[j], from_[j] = option[at - first], at
+            todo += [(low, j - 1, first, at), (j + 1, high, at, last)]
         cost = new
+        came.append(from_)
         if best is None or cost[n] < best[0]:
             best = (cost[n], b)
     edges, j = [], n
     for b in range(best[1], 0, -1):
         edges.append(int(lengths[j - 1]))
-        j = came[b, j]
-    return edges[::-1], int(best[0])
+        j = came[b - 1][j]
+    return edges[::-1], int(best[0] - (lengths.astype(np.float64) * counts).sum())
 
 
-def cell_of(length, cells: int = CELLS):
-    """The upper length of the histogram cell: exact up to cells, then rounded up to 1 part in cells / 2."""
-    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(length, F.lit(1)) / F.lit(float(cells)))) + 1))
-    return F.when(length <= cells, length).otherwise(F.ceil(length / step) * step).cast("long")
+#: The columns that packing adds.
+PACKED = ("n_tokens", "bucket", "bucket_tokens", "batch", "slot", "pad_tokens")
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, cells: int = CELLS) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, bucket, bucket_tokens, batch, slot, pad_tokens.
+def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, tokens: Column | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per row of docs: the columns keep, then n_tokens, bucket, bucket_tokens, batch, slot, pad_tokens.
 
-    Tokens are the runs of non-blank characters. The histogram of all lengths (bounded: its cells grow
-    with the logarithm of the longest text) goes to the driver, where dynamic programming finds the
-    boundaries of least padding, each the longest length of a cell. A batch of a bucket holds as many rows as fit batch_tokens when padded
+    tokens gives a row's length; by default the model tokens of its text. The histogram of all lengths goes to the
+    driver: one row for each length that occurs, so its size is bounded by the longest text. There dynamic programming
+    finds the boundaries of least padding. A batch of a bucket holds as many rows as fit batch_tokens when padded
     to the bucket's boundary; a row longer than batch_tokens makes a batch alone. batch counts from 0 in
     each bucket and slot from 0 in each batch. Null and empty texts have 0 tokens and share the lowest
-    bucket; repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
+    bucket; repeated rows are packed each; an empty table gives an empty result; columns of docs that are not kept are
+    ignored, kept ones with the name of an added column give way to it.
     """
     spark = docs.sparkSession
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"))
-    counted = Scratch(spark, "pack").save(counted.withColumn("cell", cell_of(F.col("n_tokens"), cells)), "lengths")
-    histogram = counted.groupBy("cell").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("top")).orderBy("cell").toPandas()
-    if histogram.empty:
-        edges = [0]
-    else:
-        edges, _ = best_boundaries(histogram["top"].to_numpy(), histogram["n"].to_numpy(), histogram["t"].to_numpy(), buckets)
+    length = F.coalesce(n_tokens_of(spark, F.col("text")) if tokens is None else tokens, F.lit(0)).cast("long")
+    kept = [c for c in keep if c not in PACKED]
+    # inside, kept columns have names of their own
+    own = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(kept)]
+    counted = docs.select(*own, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.monotonically_increasing_id().alias("_row"), length.alias("n_tokens"))
+    counted = Scratch(spark, "pack").save(counted, "lengths")
+    histogram = counted.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toPandas()
+    edges = best_boundaries(histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy(), buckets)[0] if len(histogram) else [0]
     bucket = sum((F.when(F.col("n_tokens") > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0))
     upper = F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("bucket") + 1)
     rows = counted.withColumn("bucket", bucket.cast("int")).withColumn("bucket_tokens", upper)
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SUBS)))
-    rows = gapless(rows, "bucket", "sub", ["doc_id", "n_tokens"], "place")
+    rows = gapless(rows, "bucket", F.when(F.col("_id") == "", F.col("_row").cast("string")).otherwise(F.col("_id")), ["_id", "n_tokens", "_row"], int(histogram["n"].sum()), "_place")
     room = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket_tokens"), F.lit(1)))).cast("long")
     return rows.select(
-        "doc_id",
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)],
         "n_tokens",
         "bucket",
         "bucket_tokens",
-        F.floor(F.col("place") / room).cast("long").alias("batch"),
-        (F.col("place") % room).cast("long").alias("slot"),
+        F.floor(F.col("_place") / room).cast("long").alias("batch"),
+        (F.col("_place") % room).cast("long").alias("slot"),
         (F.col("bucket_tokens") - F.col("n_tokens")).alias("pad_tokens"),
     )

@@ -9,7 +9,8 @@ from itertools import accumulate
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches
@@ -162,21 +163,39 @@ def standard_edits(text: str) -> list[Edit]:
 COUNTED = "n_pretokens long, n_tokens long, edited_chars long, edited_tokens long, reencoded long"
 
 
+def shared_ranks(spark: SparkSession, vocabulary: str) -> Broadcast[bytes]:
+    """The bytes of a ranks file (about 1 MB), read by Spark where the path is a URI, else on the driver."""
+    if "://" in vocabulary:
+        ranks = bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()[0])
+    else:
+        ranks = Path(vocabulary).read_bytes()
+    return spark.sparkContext.broadcast(ranks)
+
+
+def n_tokens_of(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY) -> Column:
+    """The number of tokens of a whole text; of a null one 0."""
+    bounded_batches(spark)
+    shared = shared_ranks(spark, vocabulary)
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        counter = _counter(shared.value)
+        return pd.Series([sum(counter.counts(counter.split(t))) if t else 0 for t in texts], dtype="int64")
+
+    return count(text)
+
+
 def with_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, edits: Callable[[str], list[Edit]] = standard_edits, text: str = "text") -> DataFrame:
     """docs with a struct column `tokens`: pre-tokens and tokens of the text; code points and tokens after
     the edits; and the pre-tokens that the edits had encoded again.
 
     vocabulary is the path of a ranks file, by Spark where it is a URI, else a file of the driver; its bytes (about
     1 MB) are broadcast. A null text counts as empty (all zero but for what the edits insert); whole texts of any length are counted; repeated
-    rows get equal results; an empty table stays empty; edits outside a text are clipped to it.
+    rows get equal results; an empty table stays empty; edits outside a text are clipped to it; a column `tokens` that
+    docs has is replaced, all others stay.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    if "://" in vocabulary:
-        ranks = bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()[0])
-    else:
-        ranks = Path(vocabulary).read_bytes()
-    shared = spark.sparkContext.broadcast(ranks)
+    bounded_batches(docs.sparkSession)
+    shared = shared_ranks(docs.sparkSession, vocabulary)
 
     @F.pandas_udf(COUNTED)
     def count(texts: pd.Series) -> pd.DataFrame:

@@ -141,49 +141,86 @@ def test_fingerprints_have_no_python(docs):
 
 
 def test_packing(docs, empty):
-    got = packing.pack(clashing(docs), buckets=4, batch_tokens=300).collect()
-    count = {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect()}
-    assert {r["doc_id"]: r["n_tokens"] for r in got} == count
-    assert all(r["pad_tokens"] == r["bucket_tokens"] - r["n_tokens"] >= 0 for r in got)
-    batches: dict = {}
-    for r in got:
-        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
-    for own in batches.values():
-        assert sorted(r["slot"] for r in own) == list(range(len(own)))
-        assert len(own) == 1 or len(own) * own[0]["bucket_tokens"] <= 300
-    lengths, counts = np.unique(list(count.values()), return_counts=True)
-    assert sum(r["pad_tokens"] for r in got) == packing.best_boundaries(lengths, counts, lengths * counts, 4)[1]
+    from pyspark.sql import functions as F
+
+    counter = token_count.Counter(open(token_count.VOCABULARY, "rb").read())
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for tokens, size in ((None, lambda t: sum(counter.counts(counter.split(t)))), (F.regexp_count("text", F.lit(r"\S+")), lambda t: len(t.split()))):
+        got = packing.pack(clashing(docs), buckets=4, batch_tokens=300, tokens=tokens).collect()
+        count = {i: size(t or "") for i, t in rows.items()}
+        assert {r["doc_id"]: r["n_tokens"] for r in got} == count
+        assert all(r["pad_tokens"] == r["bucket_tokens"] - r["n_tokens"] >= 0 for r in got)
+        batches: dict = {}
+        for r in got:
+            batches.setdefault((r["bucket"], r["batch"]), []).append(r)
+        for own in batches.values():
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            assert len(own) == 1 or len(own) * own[0]["bucket_tokens"] <= 300
+        for bucket in {b for b, _ in batches}:
+            numbers = sorted(n for b, n in batches if b == bucket)
+            room = max(1, 300 // max(1, batches[bucket, 0][0]["bucket_tokens"]))
+            assert numbers == list(range(len(numbers))) and all(len(batches[bucket, n]) == room for n in numbers[:-1])
+        lengths, counts = np.unique(list(count.values()), return_counts=True)
+        assert sum(r["pad_tokens"] for r in got) == packing.best_boundaries(lengths, counts, 4)[1]
     assert packing.pack(empty).collect() == []
 
 
-def test_long_lengths_share_cells(spark):
-    from pyspark.sql import functions as F
+def test_packing_keeps_columns_and_odd_rows(spark, monkeypatch):
+    from tessera.llm import common
 
-    rows = spark.range(1, 200_000, 37).select(packing.cell_of(F.col("id"), 64).alias("cell"), "id")
-    assert rows.where("cell < id OR cell > id * 1.07").count() == 0
-    assert rows.select("cell").distinct().count() < 600
+    monkeypatch.setattr(common, "SUB_ROWS", 3)
+    rows = [(None, "a b", "x", "s", 1)] * 4 + [(5, "a b c", None, None, None)] * 4 + [(6, None, None, None, None), (7, "", None, None, None)]
+    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", "'k' AS bucket", "1 AS _row", "2 AS _id")
+    got = packing.pack(odd, keep=odd.columns).collect()
+    assert len(got) == 10 and set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "_row", "_id", *packing.PACKED}
+    assert sorted(r["slot"] for r in got if r["bucket"] == 0) == list(range(sum(r["bucket"] == 0 for r in got)))
+    assert {(r["text"], r["n_tokens"]) for r in got} == {("a b", 2), ("a b c", 3), (None, 0), ("", 0)}
 
 
-def test_sharding(docs, empty, spark):
-    rows = docs.collect()
-    hot = spark.createDataFrame([(1000 + i, "the same text " * 20, None, None, None) for i in range(400)], DOCS)
-    both = docs.where("doc_id <> 505").unionByName(hot)
-    got = sharding.assign_shards(clashing(both), n_shards=5, bundles=64).collect()
-    assert len(got) == len(rows) - 1 + 400
-    text = {r["doc_id"]: r["text"] or "" for r in both.collect()}
+def held_by_shards(got, text):
     held: dict = {}
     for r in got:
         raw = text[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"]) == (len(raw) + sharding.ROW_BYTES, zlib.crc32(raw))
         held.setdefault(r["shard"], []).append(r)
+    for own in held.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    return held
+
+
+@pytest.mark.parametrize("copies", [12, 30, 400])
+def test_sharding(docs, empty, spark, copies):
+    """A group of equal texts below a shard's even part stays whole, a larger one gets the fewest pieces."""
+    rows = docs.collect()
+    hot = spark.createDataFrame([(1000 + i, "the same text " * 80, None, None, None) for i in range(copies)], DOCS)
+    both = docs.where("doc_id <> 505").unionByName(hot)
+    got = sharding.assign_shards(clashing(both), n_shards=5, bundles=64).collect()
+    assert len(got) == len(rows) - 1 + copies
+    held = held_by_shards(got, {r["doc_id"]: r["text"] or "" for r in both.collect()})
+    even = sum(r["size"] for r in got) / 5
+    group = sum(r["size"] for r in got if r["doc_id"] >= 1000)
+    assert len({r["shard"] for r in got if r["doc_id"] >= 1000}) == max(1, -(-group // even))
     assert set(held) == set(range(5))
     sizes = [sum(r["size"] for r in own) for own in held.values()]
     assert max(sizes) - min(sizes) < 0.05 * max(sizes)
-    for own in held.values():
-        assert sorted(r["slot"] for r in own) == list(range(len(own)))
     assert sharding.assign_shards(empty).collect() == []
 
 
+def test_sharding_odd_rows(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "SUB_ROWS", 7)
+    rows = [(None, "one text for all " * 30, None, None, None)] * 60 + [(3, "another", "x", "y", 1)] * 5 + [(4, None, None, None, None)] + [(10 + i, f"row {i}", None, None, None) for i in range(100)]
+    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS shard", "2 AS row", "3 AS pieces", "4 AS _sub")
+    got = sharding.assign_shards(odd, n_shards=4).collect()
+    held = held_by_shards(got, {r[0]: r[1] or "" for r in rows})
+    assert len(got) == len(rows) and set(held) == set(range(4))
+    sizes = [sum(r["size"] for r in own) for own in held.values()]
+    # the pieces of the group, dealt by row, differ by whole texts
+    assert max(sizes) - min(sizes) <= 2 * 30 * 17
+    assert len({r["shard"] for r in got if r["doc_id"] == 3}) == 1
+
+
 def test_language_id(spark, empty):
     rng = random.Random(3)
     alphabets = {"aa": "abcde fg", "bb": "uvwxy zé"}

@@ -16,7 +16,7 @@ def test_boundaries_are_optimal():
     for _ in range(20):
         lengths = np.unique(rng.integers(1, 60, 9))
         counts = rng.integers(1, 9, len(lengths))
-        edges, pad = packing.best_boundaries(lengths, counts, lengths * counts, 3)
+        edges, pad = packing.best_boundaries(lengths, counts, 3)
         best = None
         from itertools import combinations
 
@@ -35,10 +35,31 @@ def test_vectors_balance():
     bins = sharding.pack_vectors(loads, 16)
     held = np.array([loads[bins == b].sum(axis=0) for b in range(16)])
     assert (held.max(axis=0) / held.mean(axis=0) < 1.02).all()
-    assert held[:, 0].max() - held[:, 0].min() <= 100
+    assert held[:, 0].max() - held[:, 0].min() <= 100 and held[:, 2].max() - held[:, 2].min() <= 100
     assert sharding.pack_vectors(np.zeros((0, 3)), 4).tolist() == []
 
 
+def test_boundaries_of_many_lengths_are_optimal():
+    """Against the plain recursion over all splits, beyond what can be enumerated."""
+    rng = np.random.default_rng(15)
+    lengths = np.unique(rng.integers(0, 20_000, 900))
+    counts = rng.integers(1, 1_000, len(lengths))
+    rows = np.concatenate([[0], np.cumsum(counts)])
+    cost = np.array([0.0] + [np.inf] * len(lengths))
+    for _ in range(6):
+        cost = np.array([0.0] + [min(cost[:j] + (rows[j] - rows[:j]) * lengths[j - 1]) for j in range(1, len(lengths) + 1)])
+    edges, pad = packing.best_boundaries(lengths, counts, 6)
+    assert pad == cost[-1] - (lengths * counts).sum() == sum(int(c) * (min(e for e in edges if e >= n) - int(n)) for n, c in zip(lengths, counts, strict=True))
+
+
+def test_a_vector_that_fits_a_bin_is_not_split_and_bins_stay_even():
+    rng = np.random.default_rng(16)
+    loads = np.concatenate([[[700.0, 400, 90], [650, 90, 20]], rng.integers(1, 9, (800, 3))])
+    bins = sharding.pack_vectors(loads, 5)
+    held = np.array([loads[bins == b].sum(axis=0) for b in range(5)])
+    assert (np.abs(held / held.mean(axis=0) - 1).max(axis=0) < [0.01, 0.02, 0.02]).all()
+
+
 @pytest.mark.parametrize("size", [1, 2, 5])
 def test_shingles_are_those_of_the_words(size):
     rng = random.Random(2)
