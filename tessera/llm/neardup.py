@@ -1,7 +1,7 @@
 """Near-duplicates: MinHash signatures joined by a multi-index Hamming search, links confirmed on full sets.
 
-A signature has CHUNKS * WIDTH symbols of 16 bits. By the pigeonhole principle two signatures that differ in at most
-CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS errors; enumerating the places of the errors in
+A signature has chunks * width symbols of 16 bits. By the pigeonhole principle two signatures that differ in at most
+chunks * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS errors; enumerating the places of the errors in
 each chunk turns that into equality of keys, so every such pair meets under a key. Keys with one member are dropped.
 Members of a key are never paired all with all. Each is first confirmed against the member that shares most with
 others, which joins most copies of a text into one component. Pairs of members that are then still in different
@@ -12,7 +12,9 @@ they share; what passes, nearly all of it true links, is confirmed on the full s
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, bounded_batches, small
 
-CHUNKS, WIDTH, ERRORS = 10, 5, 1
-#: Bits of the sketch, and the distance beyond which a pair cannot have the similarity 0.8: that gives a tenth of the
-#: bits on average, 204.8, with a deviation of 13.6; 268 lies 4.7 deviations beyond.
-SKETCH, SKETCH_DISTANCE = 2_048, 268
+#: Symbols of a signature at most, and the places of a chunk that may be in error.
+SYMBOLS, ERRORS = 50, 1
+#: Chance with which a pair at the similarity may fail to meet under any key.
+MISSED = 2e-6
+#: Bits of the long sketch, and the deviations beyond the expected distance up to which a pair is still compared in full:
+#: a pair at the similarity lies beyond with a chance of 1e-9.
+SKETCH, DEVIATIONS = 2_048, 6.0
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
@@ -32,6 +37,33 @@ _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _POWERS = 1 << 20
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a signature is cut for a similarity, in percent: `chunks` chunks of `width` symbols, the widest (and so
+    most selective) under which a pair at the similarity meets but for MISSED; and the sketch's distance limit."""
+
+    chunks: int
+    width: int
+    limit: int
+
+    @classmethod
+    def of(cls, percent: int) -> Layout:
+        s = percent / 100
+        meets = lambda w: sum(comb(w, e) * s ** (w - e) * (1 - s) ** e for e in range(ERRORS + 1))
+        width = next((w for w in range(SYMBOLS // 2, ERRORS + 1, -1) if (1 - meets(w)) ** (SYMBOLS // w) <= MISSED), ERRORS + 1)
+        apart = (1 - s) / 2
+        return cls(SYMBOLS // width, width, min(SKETCH, int(SKETCH * apart + DEVIATIONS * (SKETCH * apart * (1 - apart)) ** 0.5)))
+
+    @property
+    def guaranteed(self) -> int:
+        """Symbols in which two signatures may differ and still be sure to meet under a key."""
+        return self.chunks * (ERRORS + 1) - 1
+
+    @property
+    def kept(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.width), self.width - ERRORS))
+
+
 def _powers(base: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(np.concatenate([[_U(1)], np.full(_POWERS, base, dtype=np.uint64)]))
@@ -96,7 +128,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 _RNG = np.random.default_rng(10)
-_MULTIPLY = _RNG.integers(0, 1 << 31, CHUNKS * WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MULTIPLY = _RNG.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SKETCH_MULTIPLY = _RNG.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -121,16 +153,13 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((minima(hashes, _SKETCH_MULTIPLY) >> _U(63)).astype(np.uint8)).view(np.int64)
 
 
-_KEPT = [keep for keep in combinations(range(WIDTH), WIDTH - ERRORS)]
-
-
-def keys(symbols: np.ndarray) -> np.ndarray:
+def keys(symbols: np.ndarray, layout: Layout) -> np.ndarray:
     """One key for each chunk and each set of places that are kept: the others may be in error."""
     with np.errstate(over="ignore"):
-        grid = symbols.reshape(CHUNKS, WIDTH)
+        grid = symbols[: layout.chunks * layout.width].reshape(layout.chunks, layout.width)
         out = []
-        for which, keep in enumerate(_KEPT):
-            h = np.arange(CHUNKS, dtype=np.uint64) * _U(len(_KEPT)) + _U(which + 1)
+        for which, keep in enumerate(layout.kept):
+            h = np.arange(layout.chunks, dtype=np.uint64) * _U(len(layout.kept)) + _U(which + 1)
             for place in keep:
                 h = mix(h * _BASE + grid[:, place])
             out.append(h)
@@ -140,14 +169,18 @@ def keys(symbols: np.ndarray) -> np.ndarray:
 SIGNED = "n_shingles long, digest binary, keys array<long>"
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
+def digest_of(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def signed(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
     @F.pandas_udf(SIGNED)
     def sign(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             own = shingles(text, words)
             if len(own):
-                rows.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), keys(signature(own))))
+                rows.append((len(own), digest_of(own), keys(signature(own), layout)))
             else:
                 rows.append((0, None, None))
         return pd.DataFrame(rows, columns=["n_shingles", "digest", "keys"])
@@ -197,19 +230,20 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     A document's set has its distinct shingles of `words` words (A to Z lower-cased), or its whole word
     sequence where it has fewer. Documents link if 100 * intersection >= percent * union, confirmed on the full
     sets; component_id is the least doc_id reachable. Null, empty and blank texts have no set and link
-    with nothing. Equal sets are handled as one node, so copies cost one row each. Rows with the same
-    doc_id and text get equal results; a null doc_id stays alone with a null component_id; an empty table gives
-    an empty result; other columns are ignored.
+    with nothing. Equal sets are handled as one node, so copies cost one row each. Each row counts as a document of its
+    own text: rows that share a doc_id but no text may be in different components. A null doc_id stays alone with a null
+    component_id; an empty table gives an empty result; other columns, of any name, are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "neardup")
+    layout = Layout.of(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(signed(texts, words), "signed")
-    # one node for each distinct set, named by its least doc_id
+    rows = scratch.save(signed(texts, words, layout).withColumn("row", F.monotonically_increasing_id()), "signed")
+    # one node for each distinct set, named by its least row; its least doc_id leads to its text
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = F.min_by("keys", "doc_id").alias("keys")
-    nodes = scratch.save(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), first), "nodes")
+    nodes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    nodes = scratch.save(nodes, "nodes")
     key = Window.partitionBy("key")
     met = nodes.select("node", F.explode("keys").alias("key")).withColumn("members", F.count("*").over(key))
     met = scratch.save(met.where("members > 1"), "met")
@@ -217,18 +251,19 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     known = shares.count()
     nearby = lambda df: small(df, known)
 
-    @F.pandas_udf("hashes array<long>, sketch array<long>")
+    @F.pandas_udf("digest binary, hashes array<long>, sketch array<long>")
     def of(column: pd.Series) -> pd.DataFrame:
         own = [shingles(t, words) for t in column]
-        return pd.DataFrame({"hashes": [h.view(np.int64) for h in own], "sketch": [sketch(h) for h in own]})
+        return pd.DataFrame({"digest": list(map(digest_of, own)), "hashes": [h.view(np.int64) for h in own], "sketch": [sketch(h) for h in own]})
 
-    # the sets of the nodes that meet others; a doc_id on rows of different texts has as many: the node's has its size
-    needed = texts.join(nearby(shares.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    sets = needed.select(F.col("doc_id").alias("node"), of("text").alias("s")).select("node", "s.*")
-    sets = sets.join(nodes.join(nearby(shares), "node").select("node", "n", "keys"), "node").where(F.size("hashes") == F.col("n"))
+    # the sets of the nodes that meet others, from the texts of their doc_ids; a doc_id can stand on other texts too
+    met_nodes = nodes.join(nearby(shares), "node").select("digest", "node", "least", "n", "keys")
+    needed = texts.join(nearby(met_nodes.select(F.col("least").alias("doc_id"))), "doc_id", "left_semi")
+    sets = needed.select(of("text").alias("s")).select("s.*").join(met_nodes.drop("least"), "digest").drop("digest")
     sets = scratch.save(sets, "sets")
     if sets.count() > known:
-        sets = scratch.save(sets.groupBy("node").agg(*[F.min_by(c, "hashes").alias(c) for c in ("n", "keys", "sketch")], F.min("hashes").alias("hashes")), "one-set")
+        # the node's text stands on several rows with its doc_id: all have the same set
+        sets = scratch.save(sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", "hashes", "sketch")]), "one-set")
 
     rank = F.struct("shares", (-F.col("node")).alias("least"))
     led = met.join(nearby(shares), "node").withColumn("hub", F.max(rank).over(key))
@@ -246,36 +281,35 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     bits = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     # a pair counts once, under the least key that both have
     once = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
-    cross = x.join(y, (x["key"] == y["key"]) & apart & fits & (bits <= SKETCH_DISTANCE) & once)
+    cross = x.join(y, (x["key"] == y["key"]) & apart & fits & (bits <= layout.limit) & once)
     cross = scratch.save(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).join(hubs, ["a", "b"], "left_anti"), "cross")
     more = confirm(cross, sets, percent)
     comps = components(scratch.save(links.union(more), "links"), scratch, "all")
-    scratch.drop("met", "shares", "sets", "one-set", "hub-edges", "all-edges")
-    named = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
+    comps = scratch.save(comps, "comps")
+    scratch.drop("met", "shares", "sets", "one-set", "hubs", "hub-links", "cross", "links", "hub-edges", "all-edges")
+    labelled = nodes.join(comps, "node", "left").select("digest", "least", F.coalesce("comp", "node").alias("comp"))
+    first = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = labelled.join(first, "comp").select("digest", "component_id")
     joined = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def distance_guaranteed() -> int:
-    """Symbols in which two signatures may differ and still be sure to meet under a key."""
-    return CHUNKS * (ERRORS + 1) - 1
-
-
-def brute_force(rows: list[tuple[int, str | None]], words: int = 2, percent: int = 80) -> dict[int, int]:
-    """doc_id to component_id by comparing all pairs; for tests."""
-    sets = {i: set(shingles(t, words).tolist()) for i, t in rows}
-    parent = {i: i for i in sets}
+def brute_force(rows: list[tuple[int, str | None]], words: int = 2, percent: int = 80) -> list[int]:
+    """The component_id of each row by comparing all pairs; for tests."""
+    sets = [set(shingles(t, words).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(i: int) -> int:
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a, b in combinations(sorted(sets), 2):
+    for a, b in combinations(range(len(rows)), 2):
         both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
-            low, high = sorted((root(a), root(b)))
-            parent[high] = low
-    return {i: root(i) for i in parent}
-
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            parent[root(b)] = root(a)
+    least: dict[int, int] = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    return [least[root(i)] for i in range(len(rows))]

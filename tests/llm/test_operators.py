@@ -62,13 +62,20 @@ def clashing(docs):
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(docs, size):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = neardup.brute_force(rows, size)
+    want = dict(zip([i for i, _ in rows], neardup.brute_force(rows, size), strict=True))
     got = {r["doc_id"]: r for r in neardup.near_duplicates(clashing(docs), words=size).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
     assert all(r["n_shingles"] == len(neardup.shingles(dict(rows)[i], size)) for i, r in got.items())
 
 
+@pytest.mark.parametrize("percent", [60, 90])
+def test_near_duplicates_at_other_similarities(docs, percent):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=percent).collect()}
+    assert [got[i] for i, _ in rows] == neardup.brute_force(rows, percent=percent)
+
+
 def test_near_duplicates_odd_rows(spark, empty):
     assert neardup.near_duplicates(empty).collect() == []
     odd = spark.createDataFrame([(1, "a b c", "x", "s", 5), (1, "a b c", "x", "s", 5), (None, "a b c", "x", "s", 5), (2, "A B C", None, "s", 5)], DOCS)
@@ -76,6 +83,20 @@ def test_near_duplicates_odd_rows(spark, empty):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, False)], key=str)
 
 
+def test_one_doc_id_on_several_texts(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(12):
+        base = words(rng, 60)
+        near = [*base[:-1], "other"]
+        # the least doc_id stands on the texts of all groups, some groups also share others
+        rows += [(1, " ".join(base)), (2 + k, " ".join(near)), (2 + k // 2, " ".join([*near[:-1], "third"]))]
+    rows += [(1, rows[0][1]), (40, ""), (40, "x"), (41, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == sorted(zip([i for i, _ in rows], neardup.brute_force(rows), strict=True))
+
+
 def test_a_large_group_of_near_copies_is_one_component(spark):
     """Members that differ more than the threshold from each other but hang together; no quadratic join."""
     rng = random.Random(4)
@@ -88,7 +109,7 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
         rows.append((i, " ".join(own), None, None, None))
     got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     want = neardup.brute_force([r[:2] for r in rows])
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(zip([r[0] for r in rows], want, strict=True))
 
 
 def test_components_of_a_chain(spark):

@@ -81,14 +81,31 @@ def test_long_texts_hash_as_short_ones():
     assert len(neardup.word_hashes(("x" * (neardup._POWERS + 5) + " y").encode())) == 2
 
 
-def test_pairs_within_the_distance_share_a_key():
+@pytest.mark.parametrize("percent", [50, 60, 80, 90, 99])
+def test_pairs_within_the_distance_share_a_key(percent):
     rng = np.random.default_rng(3)
+    layout = neardup.Layout.of(percent)
+    n = layout.chunks * layout.width
     for _ in range(200):
-        a = rng.integers(0, 1 << 16, neardup.CHUNKS * neardup.WIDTH).astype(np.uint64)
+        a = rng.integers(0, 1 << 16, neardup.SYMBOLS).astype(np.uint64)
         b = a.copy()
-        wrong = rng.choice(len(a), neardup.distance_guaranteed(), replace=False)
+        wrong = rng.choice(n, layout.guaranteed, replace=False)
         b[wrong] ^= np.uint64(1)
-        assert set(neardup.keys(a).tolist()) & set(neardup.keys(b).tolist())
+        assert set(neardup.keys(a, layout).tolist()) & set(neardup.keys(b, layout).tolist())
+
+
+def test_layouts_follow_the_similarity():
+    layout = neardup.Layout.of(80)
+    assert (layout.chunks, layout.width, layout.guaranteed) == (10, 5, 19)
+    assert [neardup.Layout.of(p).width for p in (50, 80, 90)] == sorted(neardup.Layout.of(p).width for p in (50, 80, 90))
+    rng = np.random.default_rng(17)
+    for percent in (60, 80):
+        # sets at the similarity stay well within the sketch's limit
+        for _ in range(20):
+            both, own = 2_000 * percent // 100, 2_000 * (100 - percent) // 200
+            pool = rng.integers(0, 1 << 63, both + 2 * own).astype(np.uint64)
+            a, b = (neardup.sketch(np.sort(x)) for x in (np.concatenate([pool[:both], pool[both : both + own]]), np.concatenate([pool[:both], pool[both + own :]])))
+            assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= neardup.Layout.of(percent).limit
 
 
 def test_alignment_against_the_full_table():
