@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, fresh
 
 #: Hash buckets of the n-grams, and the n-gram lengths in characters.
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
@@ -32,6 +32,11 @@ class Model:
     log_prob: np.ndarray
     log_prior: np.ndarray
 
+    @cached_property
+    def columns(self) -> list[np.ndarray]:
+        """log_prob by language, each in one stretch of memory."""
+        return [np.ascontiguousarray(self.log_prob[:, k]) for k in range(len(self.languages))]
+
     @cached_property
     def usual(self) -> np.ndarray:
         """For each language, the mean log-probability of an n-gram of its training texts."""
@@ -107,42 +112,76 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()).astype(np.float32))
 
 
-def judged(model: Model, text: str | None) -> tuple[str, float, float]:
-    """The likeliest language, its posterior, and how well it fits: the mean log-probability of the text's n-grams less
-    that of the language's training texts. (und, 0, -inf) for texts that are null or without a letter."""
-    if text is None or not model.languages or not any(map(str.isalpha, text)):
-        return UNDETERMINED, 0.0, -np.inf
-    score = model.log_prior.astype(np.float64)
-    n = 0
-    for ids in text_buckets(text):
-        at = np.bincount(ids, minlength=BUCKETS) if len(ids) > BUCKETS // 2 else None
-        score = score + (at @ model.log_prob if at is not None else model.log_prob[ids].sum(axis=0, dtype=np.float64))
-        n += len(ids)
-    best = int(np.argmax(score))
-    fit = float((score[best] - model.log_prior[best]) / n - model.usual[best])
-    return model.languages[best], float(1.0 / np.exp(score - score[best]).sum()), fit
-
-
-def posterior(model: Model, text: str | None) -> tuple[str, float]:
-    """The likeliest language and its posterior; (und, 0) for texts that are null or without a letter."""
-    return judged(model, text)[:2]
+#: N-grams that are scored together; a group of texts has a few more at most, one long text is scored in pieces.
+GROUP_GRAMS = 1 << 18
+
+
+def text_sums(model: Model, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the log-probabilities of each text's n-grams by language, and their numbers.
+
+    Texts are gathered into sparse batches: the bucket ids of all, and where each piece of a text begins; one gather and
+    one segmented sum then score a batch."""
+    sums, sizes = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), dtype=np.int64)
+    ids: list[np.ndarray] = []
+    owner: list[int] = []
+    held = 0
+
+    def score() -> None:
+        nonlocal held
+        if ids:
+            begins = np.cumsum([0, *map(len, ids[:-1])])
+            flat = np.concatenate(ids)
+            for k in range(len(model.languages)):
+                np.add.at(sums[:, k], owner, np.add.reduceat(model.columns[k][flat], begins, dtype=np.float64))
+            np.add.at(sizes, owner, [len(x) for x in ids])
+            ids.clear()
+            owner.clear()
+            held = 0
+
+    for i, text in enumerate(texts):
+        for piece in text_buckets(text):
+            if len(piece):
+                ids.append(piece)
+                owner.append(i)
+                held += len(piece)
+            if held >= GROUP_GRAMS:
+                score()
+    score()
+    return sums, sizes
+
+
+def judged(model: Model, texts: Sequence[str | None]) -> list[tuple[str, float, float]]:
+    """For each text the likeliest language, its posterior, and how well it fits: the mean log-probability of the text's
+    n-grams less that of the language's training texts. (und, 0, -inf) for texts that are null or without a letter."""
+    out = [(UNDETERMINED, 0.0, -np.inf)] * len(texts)
+    known = [i for i, t in enumerate(texts) if t is not None and model.languages and any(map(str.isalpha, t))]
+    if known:
+        sums, sizes = text_sums(model, [texts[i] for i in known])
+        score = sums + model.log_prior.astype(np.float64)
+        best = score.argmax(axis=1)
+        rows = np.arange(len(known))
+        post = 1.0 / np.exp(score - score[rows, best][:, None]).sum(axis=1)
+        fit = sums[rows, best] / sizes - model.usual[best]
+        for i, k, p, f in zip(known, best.tolist(), post.tolist(), fit.tolist(), strict=True):
+            out[i] = (model.languages[k], p, f)
+    return out
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
     """docs with the columns label and score added, and on demand the fit. Whole texts are scored; repeated rows get equal
-    results; a null text or one without letters is `und` with score 0; an empty table stays empty. The
-    model is broadcast: BUCKETS x languages floats."""
+    results; a null text or one without letters is `und` with score 0; an empty table stays empty; columns of docs with
+    the names of added ones are replaced, all others stay. The model is broadcast: BUCKETS x languages floats."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("label string, score double, fit double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        own = shared.value
-        return pd.DataFrame([judged(own, t) for t in texts], columns=["label", "score", "fit"])
+        return pd.DataFrame(judged(shared.value, list(texts)), columns=["label", "score", "fit"])
 
-    added = docs.withColumn("_predicted", predict(F.col(text)))
-    found = added.withColumn(label, F.col("_predicted.label")).withColumn(score, F.col("_predicted.score"))
-    return (found.withColumn(fit, F.col("_predicted.fit")) if fit else found).drop("_predicted")
+    own = fresh(docs, "_predicted")
+    found = docs.withColumn(own, predict(F.col(text)))
+    added = {label: F.col(f"{own}.label"), score: F.col(f"{own}.score")} | ({fit: F.col(f"{own}.fit")} if fit else {})
+    return found.withColumns(added).drop(own)
 
 
 def held_out(doc_id, parts: int, part: int):

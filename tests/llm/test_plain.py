@@ -404,3 +404,37 @@ def test_messages_do_not_depend_on_how_many_are_computed_together(monkeypatch):
     whole = pii.infer(unary, chain, skip, groups)
     monkeypatch.setattr(pii, "EDGES", 7)
     assert np.allclose(pii.infer(unary, chain, skip, groups), whole, rtol=0, atol=1e-12)
+
+
+def test_batches_of_texts_against_plain_naive_bayes(monkeypatch):
+    """Against the formula, one text and one n-gram at a time."""
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abcdéß ñ.") for _ in range(rng.choice([1, 2, 3, 50, 400]))) for _ in range(60)] + [None, "", "12 !", "a"]
+    table = np.random.default_rng(19).random((langid.BUCKETS, 3))
+    model = langid.Model(["x", "y", "z"], np.log(table / table.sum(axis=0)).astype(np.float32), np.log(np.array([0.2, 0.3, 0.5])).astype(np.float32))
+    for group in (langid.GROUP_GRAMS, 40):
+        monkeypatch.setattr(langid, "GROUP_GRAMS", group)
+        for text, (lang, score, fit) in zip(texts, langid.judged(model, texts), strict=True):
+            if not text or not any(map(str.isalpha, text)):
+                assert (lang, score, fit) == ("und", 0.0, -np.inf)
+                continue
+            points = langid.code_points(text)
+            ids = [int(langid.gram_buckets(points[i : i + n])[-1]) for n in langid.ORDERS for i in range(len(points) - n + 1)]
+            sums = np.array([sum(float(model.log_prob[g, k]) for g in ids) for k in range(3)])
+            total = sums + model.log_prior
+            k = int(total.argmax())
+            assert lang == model.languages[k]
+            assert score == pytest.approx(1 / np.exp(total - total[k]).sum(), rel=1e-5)
+            assert fit == pytest.approx(sums[k] / len(ids) - model.usual[k], rel=1e-5, abs=1e-6)
+
+
+def test_training_counts_equal_plain_counts(spark):
+    rows = [(i, "abc abd " * (i % 4), "x" if i % 2 else "y") for i in range(40)] + [(90, None, "x"), (91, "zz", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for k, lang in enumerate(["x", "y"]):
+        counts = np.full(langid.BUCKETS, langid.SMOOTHING)
+        for _, text, own in rows:
+            if own == lang and text:
+                for ids in langid.text_buckets(text):
+                    np.add.at(counts, ids, 1)
+        assert np.allclose(model.log_prob[:, k], np.log(counts / counts.sum()), rtol=1e-5)
