@@ -243,6 +243,6 @@ def copies(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that hold no copy of a benchmark item, with all their columns."""
-    flagged = Scratch(docs.sparkSession, "decontam-ids").save(copies(docs, benchmark, threshold).select(F.col("doc_id").alias("_flagged")).distinct(), "ids")
-    return docs.join(small(flagged, flagged.count()), docs["doc_id"] == F.col("_flagged"), "left_anti")
+    """The rows of docs that hold no copy of a benchmark item, with all their columns, of any name."""
+    flagged = Scratch(docs.sparkSession, "decontam-ids").save(copies(docs, benchmark, threshold).select("doc_id").distinct(), "ids")
+    return docs.join(small(flagged, flagged.count()), "doc_id", "left_anti").select(docs.columns)

@@ -391,12 +391,12 @@ def joined(spans: list[Span]) -> str:
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
 
 
-def with_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `pii`: counts and digest of the base spans, all spans, the masked text.
+def with_pii(docs: DataFrame, text: str = "text", target: str = "pii") -> DataFrame:
+    """docs with a struct column `target`: counts and digest of the base spans, all spans, the masked text.
 
     Offsets are code points, ends exclusive. A null text has no spans and stays null when masked; whole
-    texts of any length are read; repeated rows get equal results; an empty table stays empty; a column `pii` that docs
-    has is replaced, all others stay.
+    texts of any length are read; repeated rows get equal results; an empty table stays empty; a column of that name that
+    docs has is replaced, all others stay.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
@@ -411,4 +411,4 @@ def with_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), mask(t, spans)))
         return pd.DataFrame(out, columns=[f.split()[0] for f in FOUND.split(", ")])
 
-    return docs.withColumn("pii", scan(F.col(text)))
+    return docs.withColumn(target, scan(F.col(text)))

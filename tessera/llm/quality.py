@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import fresh, text_or_empty
 
 #: Labelled rows used at most, chosen by a hash of doc_id: the fit's documented bound.
 FIT_ROWS = 20_000
@@ -149,13 +149,14 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on the statistics of labelled documents: labels has doc_id and quality (0 or 1), other values and nulls are
-    left out. At most about FIT_ROWS rows, drawn by a hash of doc_id, reach the driver, as numbers."""
-    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), "quality")
+    left out, other columns of any name ignored. At most about FIT_ROWS rows, drawn by a hash of doc_id, reach the driver, as
+    numbers; without any, every score is 0.5."""
+    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality")
     total = known.count()
-    draw = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1_000_003)) / 1_000_003
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / 1_000_003
     sample = known.where(draw < min(1.0, FIT_ROWS / max(1, total))) if total > FIT_ROWS else known
     # at most about FIT_ROWS rows of two numbers
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("_id")).select("quality", text_or_empty().alias("text"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
     stats = statistics(F.col("text"))
     got = rows.select("quality", *[c.alias(k) for k, c in stats.items()]).toPandas()
     return fit({k: got[k].to_numpy(dtype=float) for k in stats}, got["quality"].to_numpy(dtype=float))
@@ -172,10 +173,11 @@ def with_quality(docs: DataFrame, model: Model, target: str = "score") -> DataFr
     """docs with the column target: the probability (0 to 1) that the text is of quality 1.
 
     Only the whole text enters; a null text counts as empty and is scored like it; repeated rows get equal
-    scores; an empty table stays empty. All of it is built-in expressions, without Python on the executors.
+    scores; an empty table stays empty; a column with the name of target is replaced, all others stay. All of it is
+    built-in expressions, without Python on the executors.
     """
     used = sorted({name for rule in model.rules for name, _, _ in rule.terms})
-    stats = statistics(F.col("_text"))
-    prepared = docs.withColumn("_text", text_or_empty()).withColumn("_stats", F.struct(*[stats[k].alias(k) for k in used] or [F.lit(0).alias("none")]))
-    scored = prepared.withColumn(target, score_column(model, {k: F.col(f"_stats.{k}") for k in used}))
-    return scored.drop("_text", "_stats")
+    text, own = fresh(docs, "_text"), fresh(docs, "_stats")
+    stats = statistics(F.col(text))
+    prepared = docs.withColumn(text, text_or_empty()).withColumn(own, F.struct(*[stats[k].alias(k) for k in used] or [F.lit(0).alias("none")]))
+    return prepared.withColumn(target, score_column(model, {k: F.col(f"{own}.{k}") for k in used})).drop(text, own)

@@ -52,11 +52,16 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+CLASHES = """node key group cell bucket score pos stretch gram row least digest comp hashes sketch keys members shares bundle
+    pieces place slot shard size tokens pii lang_pred _sub _rank _n _before _row _id _k0 _text _stats _predicted _lang _score _fit
+    _kept _flagged _pii item_id words grams df weight sure part of s n own edited next version terms quality label""".split()
+
+
 def clashing(docs):
     """Columns with the names that operators use inside."""
     from pyspark.sql import functions as F
 
-    return docs.withColumns({k: F.lit(1) for k in ("node", "key", "group", "cell", "bucket", "score", "pos", "stretch", "gram")})
+    return docs.withColumns({k: F.lit(1) for k in CLASHES})
 
 
 @pytest.mark.parametrize("size", [2, 5])
@@ -403,20 +408,89 @@ def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [k for k, _ in p.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "packing"]
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    groups = neardup.brute_force(list(rows.items()), p.SHINGLE_WORDS, p.SIMILARITY)
+    groups = dict(zip(rows, neardup.brute_force(list(rows.items()), p.SHINGLE_WORDS, p.SIMILARITY), strict=True))
     kept = {i for i, c in groups.items() if i == c}
     items = [decontam.words_of(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     dirty = {i for i in kept if any(decontam.align(w, decontam.words_of(rows[i]))[0] >= decontam.THRESHOLD * decontam.MATCH * len(w) for w in items)}
-    want = {i: len((pii.mask(rows[i], pii.find(rows[i])[1]) or "").split()) for i in kept - dirty}
-    got = p.run(spark, sf_dir).collect()
-    assert {r["doc_id"]: r["n_tokens"] for r in got} == want
+    want = {i: pii.mask(rows[i], pii.find(rows[i])[1]) or "" for i in kept - dirty}
+    got = {r["doc_id"]: r for r in p.run(spark, sf_dir).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    counter = token_count.Counter(open(token_count.VOCABULARY, "rb").read())
+    assert all(r["n_tokens"] == sum(counter.counts(counter.split(r["text"]))) and r["n_chars"] == len(r["text"]) for r in got.values())
+    assert set(next(iter(got.values())).asDict()) == {*docs.columns, *packing.PACKED}
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
-    odd = spark.createDataFrame([(1, None, "en", "s", 1), (None, "the words of this text", "en", "s", 1), (None, "other words stand here", "en", "s", 1), (2, "", "en", "s", 0)], DOCS)
-    assert sorted(r["text"] or "" for r in p.near_dedup(spark, odd, sf_dir).collect()) == ["", "", "other words stand here", "the words of this text"]
-    assert p.mask_pii(spark, odd, sf_dir).count() == 4
-    for _, stage in p.STAGES:
-        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    text = "The words of this document are plain words, and there are a few of them in it. "
+    long = " ".join(f"word{i} of the text" for i in range(30_000))
+    rows = [(1, None, "en", "s", 1), (None, text, "en", "s", 1), (None, text + "Two.", "en", None, 1), (2, "", "en", "s", 0), (3, text, None, "s", 1), (3, text, None, "s", 1)]
+    rows += [(4, text, "en", "s", 1), (5, f"{text} {item}", "en", "s", 1), (6, f"{long} call +44 20 7946 0958", None, "s", 1), (7, "12 34", "en", "s", 1)]
+    odd = spark.createDataFrame(rows, DOCS)
+    wide = clashing(odd)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    for docs in (odd, wide):
+        told = p.language_id(spark, docs, sf_dir)
+        assert told.columns == docs.columns and ids(told) == [3, 3, 4, 5, 6, None, None]
+        assert {r["lang"] for r in told.collect()} == {"en"}
+        single = p.near_dedup(spark, docs, sf_dir)
+        assert single.columns == docs.columns and ids(single) == [1, 2, 3, 5, 6, 7, None, None]
+        clean = p.decontaminate(spark, docs, sf_dir)
+        assert clean.columns == docs.columns and ids(clean) == [1, 2, 3, 3, 4, 6, 7, None, None]
+        masked = p.mask_pii(spark, docs, sf_dir)
+        assert masked.columns == docs.columns and len(rows) == masked.count()
+        assert [r["text"] for r in masked.where("doc_id = 6").collect()] == [f"{long} call [PHONE]"]
+        packed = p.packing(spark, docs, sf_dir)
+        assert set(packed.columns) == {*docs.columns, *packing.PACKED} and packed.count() == len(rows)
+        for _, stage in p.STAGES:
+            assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_added_columns_leave_others_alone(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = clashing(spark.createDataFrame([(1, "some words here", "en", "s", 1), (2, None, None, None, None)], DOCS))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    plain = quality.train(table, labels)
+    assert quality.train(clashing(table), labels.withColumns({c: F.lit(1) for c in CLASHES if c != "quality"})) == plain
+    model = langid.train(clashing(table))
+    added = {
+        "score": quality.with_quality(docs, plain),
+        "pii": pii.with_pii(docs),
+        "tokens": token_count.with_token_counts(docs),
+        "lang_pred": langid.identify(docs, model, score="lang_pred_score").drop("lang_pred_score"),
+    }
+    for name, got in added.items():
+        assert set(got.columns) == set(docs.columns)
+        assert all(r[c] == 1 for r in got.collect() for c in CLASHES if c != name)
+        assert all(r[name] != 1 for r in got.collect())
+
+
+def test_queries_keep_to_their_contracts(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    part = lambda i, n: zlib.crc32(str(i).encode()) % n
+    told = q.op5_language_id(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["held_out"] for r in told} == {i: part(i, 4) == 2 for i in docs}
+    scored = q.op6_quality(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["held_out"] for r in scored} == {i: part(i, 5) == 0 for i in docs}
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in scored)
+    placed = q.op9_sharding(spark, sf_dir).collect()
+    assert {r["law"] for r in placed} == {"bytes"} and {r["grown_shard"] for r in placed} == {None}
+    assert set(held_by_shards(placed, docs)) == set(range(40)) and len(placed) == len(docs)
+    found = {r["doc_id"]: r for r in q.op8_pii(spark, sf_dir).collect()}
+    for i, text in docs.items():
+        base, spans = pii.find(text)
+        assert found[i]["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest() and found[i]["spans"] == pii.joined(spans)
+        assert [found[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+    grouped = {r["doc_id"]: r["component_id"] for r in q.op10_minhash(spark, sf_dir).collect()}
+    assert grouped == dict(zip(docs, neardup.brute_force(list(docs.items())), strict=True))
+    packed = q.op1_packing(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in packed) == sorted(docs)
 
 
 def test_documents_that_no_language_fits_go(spark, sf_dir):
