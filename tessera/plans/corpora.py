@@ -159,7 +159,7 @@ def x33_repaired_readings(spark, sf):
     """Readings shorter than the rules' are replaced by them; words outside the writing system have none."""
     words = docs(spark, sf).select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
     short = words.select("word", F.substring("word", 1, 2).alias("attested"))
-    ruled = short.withColumn("rule", normalise.on_texts(phonemes.try_word)(F.col("word")))
+    ruled = short.withColumn("rule", phonemes.ipa(F.col("word")))
     longer = phonemes.sound_count(F.col("rule")) > phonemes.sound_count(F.col("attested"))
     return ruled.where("rule IS NOT NULL").select("word", F.when(longer, F.col("rule")).otherwise(F.col("attested")).alias("ipa"))
 
@@ -223,7 +223,7 @@ def v11_paired_by_stem(spark, sf):
 def v15_rules_cover(spark, sf):
     """Words that the reading rules take, of all distinct words."""
     words = docs(spark, sf).select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
-    return words.agg(F.count(normalise.on_texts(phonemes.try_word)(F.col("word"))).alias("readable"), F.count("*").alias("words"))
+    return words.agg(F.count(phonemes.ipa(F.col("word"))).alias("readable"), F.count("*").alias("words"))
 
 
 @query("SELECT lang, line, count(*) AS n FROM (SELECT DISTINCT lang, string_split(text, chr(10))[1] AS line FROM documents) GROUP BY ALL HAVING length(line) BETWEEN 20 AND 300")

@@ -119,6 +119,27 @@ def test_units_rebuild_the_document(parts, budget):
     assert all(len(u.text.split()) <= budget for u in units)
 
 
+@pytest.mark.parametrize(
+    ("doc", "budget", "target", "want"),
+    [
+        ("One two. Three.\nFour", 9, 9, ["One two.", "Three.", "Four"]),
+        ("Dr. J. Who went. \"Yes!\" he said.", 9, 9, ["Dr. J. Who went.", "\"Yes!\"", "he said."]),
+        ("a b; c d, e f: g h", 9, 4, ["a b;", "c d, e f:", "g h"]),
+        ("a b; c d, e f: g h", 9, 6, ["a b; c d, e f:", "g h"]),
+        ("a b, c d, e f", 9, 4, ["a b, c d,", "e f"]),
+        ("a b c d e", 2, 2, ["a b", "c d", "e"]),
+        ("a, b c d e; f", 2, 2, ["a,", "b c", "d e;", "f"]),
+        ("  lead\n\n tail  ", 9, 9, ["lead", "tail"]),
+    ],
+)
+def test_units(doc, budget, target, want):
+    size = lambda t: len(t.split())
+    found = segment.units(doc, size, budget, target)
+    assert "".join(u.prefix + u.text + u.suffix for u in found) == doc
+    assert all(size(u.text) <= budget for u in found)
+    assert [u.text for u in found] == want
+
+
 def test_unwrapping():
     wrapped = "\n".join(["word " * 11 + "end"] * 9 + ["short"])
     assert "\n" not in segment.unwrap(wrapped)[:100]
@@ -129,9 +150,12 @@ def test_unwrapping():
 
 
 def test_phonemes(spark):
-    assert phonemes.read_word("tamɣart") == "θæmʁɑrθ" and phonemes.read_word("ddu") == "dːu" and phonemes.read_word("anfa") == "æmfæ"
-    with pytest.raises(phonemes.PhonemeError):
-        phonemes.read_word("a1")
+    spoken = {"tamɣart": "θæmʁɑrθ", "ddu": "dːu", "anfa": "æmfæ", "qar": "qɑr", "ennnaţ": "ənːnætː", "aččar": "æt͡ʃːær", "bb": "bː", "ḍagg": "ðˤɑɡː", "nxuyy": "ŋχujː", "Maß": "mæsː", "a1": None, "": ""}
+    rows = spark.createDataFrame([(w,) for w in spoken], "word string")
+    assert {r["word"]: r["ipa"] for r in rows.select("word", phonemes.ipa(F.col("word")).alias("ipa")).collect()} == spoken
+    with pytest.raises(Exception, match="cannot be read aloud: a1"):
+        rows.select(phonemes.ipa(F.col("word"), strict=True)).collect()
+    assert one(spark, phonemes.ipa(F.col("t"), strict=True), t="azul") == "æzul"
     words = spark.createDataFrame([("Azul",), ("x1",), ("ddu",)], "word string")
     known = spark.createDataFrame([("azul", "ɑzul"), ("ddu", "")], "word string, ipa string")
     assert {r["word"]: r["ipa"] for r in phonemes.readings(words, known).collect()} == {"Azul": "ɑzul", "x1": None, "ddu": "dːu"}
