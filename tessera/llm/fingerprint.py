@@ -10,6 +10,8 @@ again with a larger sketch, until none is left.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +19,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, small, text_or_empty
 
 SUBTABLES, WIDTH, GROWTH = 3, 32, 4
-#: Passes over the subtables before a pair counts as failed at a size.
-PASSES = 4
 #: Rows that a stretch of the doc_id order has on average, and the most stretches there are.
 STRETCH_ROWS, STRETCHES = 512, 1 << 16
+#: What a blank line holds at most.
+BLANKS = " \t\r\v\f"
 #: Documents whose sketches a task builds and peels at most, on average.
 PART_ROWS = 8_192
 
@@ -35,7 +37,7 @@ def cell_of(digest: Column, subtable: int, width: int) -> Column:
 
 def digests(text: Column) -> Column:
     """The distinct digests of the paragraphs (lines that are not blank)."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
@@ -44,11 +46,13 @@ def ring(docs: DataFrame) -> DataFrame:
 
     The order is cut at quantiles of doc_id into stretches; each stretch also gets the head of the one
     that follows it, so the rows are shuffled once and no task sees more than its stretch. pos counts
-    from 0 along the order. Rows with equal doc_id follow a hash of their texts, null doc_ids come last.
+    from 0 along the order. Rows with equal doc_id follow a hash of their texts and share a stretch; null doc_ids
+    come last, dealt to stretches by that hash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ids = rows.select("doc_id")
-    total = ids.count()
+    total, named = ids.agg(F.count("*"), F.count("doc_id")).first()
+    unnamed = total - named
     side = math.ceil(math.sqrt(max(1, min(STRETCHES, total // STRETCH_ROWS))))
     n = side * side
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n + 1000)).first()[0] if n > 1 else None
@@ -63,8 +67,10 @@ def ring(docs: DataFrame) -> DataFrame:
     if cuts:
         outer = above(longs(coarse))
         stretch = outer * side + above(F.element_at(F.array(*[longs(x) for x in fine]), outer + 1))
-    placed = rows.withColumn("stretch", F.when(F.col("doc_id").isNull(), -1).otherwise(stretch).cast("int"))
-    # at most STRETCHES + 1 rows
+    parts = min(STRETCHES, unnamed // STRETCH_ROWS + 1)
+    hashed = F.shiftright(F.shiftright(F.xxhash64("text"), 40) * F.lit(parts) + F.lit(parts << 23), 24)
+    placed = rows.withColumn("stretch", F.when(F.col("doc_id").isNull(), -1 - hashed).otherwise(stretch).cast("int"))
+    # at most 2 * STRETCHES rows
     sizes = placed.groupBy("stretch").agg(F.count("*").alias("n"), F.max("doc_id").alias("head")).orderBy(F.desc("stretch")).collect()
     start, follow = 0, []
     for i, r in enumerate(sizes):
@@ -96,14 +102,18 @@ def subtract(cells: DataFrame, terms: Column) -> DataFrame:
     return signed.groupBy("pos", "kind", "slot").agg(F.sum(F.col("c") * F.col("sign")).alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("h").alias("h")).where("c <> 0 OR x <> 0 OR h <> 0")
 
 
-def peel(cells: DataFrame, width: int) -> DataFrame:
-    """Peels all pairs (pos, kind) at once. Rows with slot -1 are recovered digests: x the digest, c the side
-    it is on. Rows with other slots are cells that didn't empty: their pair needs a larger sketch."""
-    state = cells.select("pos", "kind", "slot", F.lit(0).cast("long").alias("of"), "c", "x", "h")
-    for turn in range(PASSES * SUBTABLES):
-        s = turn % SUBTABLES
+def pure(subtable: int, width: int) -> Column:
+    """Whether a cell of the subtable holds a single digest."""
+    x = F.col("x")
+    inside = F.col("slot").between(subtable * width, (subtable + 1) * width - 1)
+    return inside & (F.abs("c") == 1) & (check_of(x) == F.col("h")) & (cell_of(x, subtable, width) == F.col("slot"))
+
+
+def peel(state: DataFrame, width: int) -> DataFrame:
+    """Peels all pairs (pos, kind) at once, by one pass over the subtables. Rows with slot -1 are recovered digests: x the
+    digest, c the side it is on. Rows with other slots are cells that are not empty yet."""
+    for s in range(SUBTABLES):
         x, c = F.col("x"), F.col("c")
-        pure = F.col("slot").between(s * width, (s + 1) * width - 1) & (F.abs(c) == 1) & (check_of(x) == F.col("h")) & (cell_of(x, s, width) == F.col("slot"))
         zero = F.lit(0).cast("long")
 
         def row(slot: Column, of: Column, count: Column, xor: Column, check: Column) -> Column:
@@ -113,14 +123,31 @@ def peel(cells: DataFrame, width: int) -> DataFrame:
         # a digest leaves its cells of the other subtables; its own cell is simply not passed on
         others = [row(cell_of(x, t, width), zero, -c, x, F.col("h")) for t in range(SUBTABLES) if t != s]
         found = row(F.lit(-1), x, c, zero, zero)
-        out = F.when(pure, F.array(found, *others)).otherwise(F.array(itself))
+        out = F.when(pure(s, width), F.array(found, *others)).otherwise(F.array(itself))
         moved = state.select("pos", "kind", F.inline(out))
         state = moved.groupBy("pos", "kind", "slot", "of").agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("h").alias("h")).where("c <> 0 OR x <> 0 OR h <> 0")
-    return state.select("pos", "kind", "slot", F.when(F.col("slot") < 0, F.col("of")).otherwise(F.col("x")).alias("x"), "c")
+    return state
+
+
+def peeled_out(cells: DataFrame, width: int, scratch: Scratch, level: int) -> tuple[list[DataFrame], DataFrame]:
+    """Peels pass by pass until no cell holds a single digest: the tables of recovered digests (pos, kind, x, c), and
+    the pairs (pos, kind) that need a larger sketch. Most pairs end with the first pass; later ones read only the
+    cells that are left."""
+    state = cells.select("pos", "kind", "slot", F.lit(0).cast("long").alias("of"), "c", "x", "h")
+    found, turn = [], 0
+    while True:
+        state = scratch.save(peel(state, width), f"peeled-{level}-{turn}")
+        found.append(state.where("slot < 0").select("pos", "kind", F.col("of").alias("x"), "c"))
+        state = state.where("slot >= 0")
+        if not state.where(reduce(or_, [pure(s, width) for s in range(SUBTABLES)])).limit(1).count():
+            # a digest that was recovered twice, or on no single side, is a false one
+            wrong = reduce(DataFrame.unionByName, found).groupBy("pos", "kind", "x").agg(F.sum("c").alias("c")).where("abs(c) <> 1")
+            return found, state.select("pos", "kind").union(wrong.select("pos", "kind")).distinct()
+        turn += 1
 
 
 def version_pairs(versions: DataFrame, width: int, parts: int) -> DataFrame:
-    """Peeled differences of the pairs that versions asks for (columns edit_open, next_open).
+    """Subtracted sketches of the pairs that versions asks for (columns edit_open, next_open).
 
     versions has pos and the digests of the text (own), of its edited form (edited) and of the next
     document (next). Rows are dealt by pos once, to a stated number of parts since the rows are few but fan out;
@@ -134,7 +161,7 @@ def version_pairs(versions: DataFrame, width: int, parts: int) -> DataFrame:
     )
     each = dealt.select("pos", F.posexplode(sets).alias("version", "v")).select("pos", "version", "v.digests", "v.terms").where(F.size("terms") > 0)
     cells = sketch(each, ["pos", "version", "terms"], width)
-    return peel(subtract(cells, F.col("terms")), width)
+    return subtract(cells, F.col("terms"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -142,11 +169,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_edited, near_next, and the numbers of paragraphs that the edit removed and added.
 
     The edited text is the text with its last third of code points replaced by the first as many (or all)
-    of the next document's, by descending doc_id. Paragraphs are lines that are not blank, as a set. A fingerprint
+    of the next document's, by descending doc_id. Paragraphs are lines that are not blank (of blanks, tabs and line controls), as a set. A fingerprint
     is the paragraph count and the sketch's non-empty cells, so equal texts have equal ones. Likeness is the
     Jaccard index of the paragraph sets, whose difference peeling recovers from the sketches; two texts
     without paragraphs are alike (1.0). Null texts count as empty; repeated rows each stand in the order; a
-    single row follows itself; an empty table gives an empty result; other columns are ignored.
+    single row follows itself; an empty table gives an empty result; other columns, of any name,
+    are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprint")
@@ -169,22 +197,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     open_ = versions.withColumns({"edit_open": F.lit(True), "next_open": F.lit(True)})
     results = []
     while True:
-        peeled = scratch.save(version_pairs(open_.select("pos", "own", "edited", "next", "edit_open", "next_open"), width, parts), f"peeled-{level}")
-        failed = peeled.where("slot >= 0 OR abs(c) <> 1").select("pos", "kind").distinct()
-        failed = scratch.save(failed.groupBy("pos").agg(F.max(F.col("kind") == "edit").alias("edit_open"), F.max(F.col("kind") == "next").alias("next_open")), f"failed-{level}")
-        left = failed.count()
-        good = peeled.where("slot < 0")
+        cells = version_pairs(open_.select("pos", "own", "edited", "next", "edit_open", "next_open"), width, parts)
+        found, bad = peeled_out(cells, width, scratch, level)
+        bad = scratch.save(bad, f"bad-{level}")
+        left = bad.count()
+        good = reduce(DataFrame.unionByName, found)
         if left:
-            bad = failed.select("pos", F.explode(F.array_compact(F.array(F.when(F.col("edit_open"), F.lit("edit")), F.when(F.col("next_open"), F.lit("next"))))).alias("kind"))
-            good = good.join(small(bad, 2 * left), ["pos", "kind"], "left_anti")
+            good = good.join(small(bad, left), ["pos", "kind"], "left_anti")
+            failed = bad.groupBy("pos").agg(F.max(F.col("kind") == "edit").alias("edit_open"), F.max(F.col("kind") == "next").alias("next_open"))
         results.append(good)
         if not left:
             break
         open_ = versions.join(small(failed, left), "pos")
         width, level = width * GROWTH, level + 1
-    recovered = results[0]
-    for more in results[1:]:
-        recovered = recovered.unionByName(more)
+    recovered = reduce(DataFrame.unionByName, results)
     side = lambda kind, sign: F.count_if((F.col("kind") == kind) & (F.col("c") == sign))
     counted = recovered.groupBy("pos").agg(side("edit", 1).alias("e_own"), side("edit", -1).alias("e_other"), side("next", 1).alias("n_own"), side("next", -1).alias("n_other"))
     pairs = versions.select("pos", F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("own").alias("digests")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("digests")))).alias("v"))

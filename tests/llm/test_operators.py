@@ -127,7 +127,7 @@ def test_components_of_a_chain(spark):
 
 def brute_fingerprint(rows):
     order = sorted(rows, key=lambda r: -r[0])
-    paragraphs = lambda t: {x for x in t.split("\n") if x.strip(" ")}
+    paragraphs = lambda t: {x for x in t.split("\n") if x.strip()}
     near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     out = {}
     for k, (i, t) in enumerate(order):
@@ -162,8 +162,27 @@ def test_fingerprint_of_a_single_row_follows_itself(spark):
 
 
 def test_fingerprints_have_no_python(docs):
-    plan = fingerprint.ring(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+    for plan in (fingerprint.ring(docs), fingerprint.fingerprints(docs)):
+        plan = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_fingerprints_of_odd_rows(spark, monkeypatch):
+    """Null and repeated doc_ids each stand in the order: by doc_id, then by a hash of the text, null ones last."""
+    monkeypatch.setattr(fingerprint, "STRETCH_ROWS", 3)
+    rng = random.Random(22)
+    text = lambda: "\n".join([" ".join(words(rng, 4)) for _ in range(rng.randint(1, 6))] + ["\t\r", " "])
+    rows = [(None, text()) for _ in range(12)] + [(5, text()) for _ in range(5)] + [(i, text()) for i in range(10, 30)] + [(40, None), (41, "\n".join(words(rng, 3_000)))]
+    wide = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = fingerprint.fingerprints(wide).collect()
+    assert len(got) == len(rows)
+    from pyspark.sql import functions as F
+
+    hashed = {r["text"]: r["h"] for r in wide.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    third = lambda t: len(t) // 3
+    want = sorted(((i, hashlib.sha256((t[: len(t) - third(t)] + order[(k + 1) % len(order)][1][: third(t)]).encode()).hexdigest()) for k, (i, t) in enumerate(order)), key=str)
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=str) == want
 
 
 def test_packing(docs, empty):
