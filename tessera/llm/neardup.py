@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     # the sets of the nodes that meet others, from the texts of their doc_ids; a doc_id can stand on other texts too
     met_nodes = nodes.join(nearby(shares), "node").select("digest", "node", "least", "n", "keys")
     needed = texts.join(nearby(met_nodes.select(F.col("least").alias("doc_id"))), "doc_id", "left_semi")
-    sets = needed.select(of("text").alias("s")).select("s.*").join(met_nodes.drop("least"), "digest").drop("digest")
+    # marked so that no test of its result is moved before the join above, where it would run on every text
+    sets = needed.select(of.asNondeterministic()("text").alias("s")).select("s.*").join(met_nodes.drop("least"), "digest").drop("digest")
     sets = scratch.save(sets, "sets")
     if sets.count() > known:
         # the node's text stands on several rows with its doc_id: all have the same set
