@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -25,11 +26,10 @@ from tessera.llm.common import Scratch, bounded_batches, small
 
 #: Symbols of a signature at most, and the places of a chunk that may be in error.
 SYMBOLS, ERRORS = 50, 1
-#: Chance with which a pair at the similarity may fail to meet under any key.
+#: Chance with which a pair at the similarity may fail to meet under any key, and then to stay within the sketch's limit.
 MISSED = 2e-6
-#: Bits of the long sketch, and the deviations beyond the expected distance up to which a pair is still compared in full:
-#: a pair at the similarity lies beyond with a chance of 1e-9.
-SKETCH, DEVIATIONS = 2_048, 6.0
+#: Bits of the long sketch.
+SKETCH = 2_048
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
@@ -52,7 +52,8 @@ class Layout:
         meets = lambda w: sum(comb(w, e) * s ** (w - e) * (1 - s) ** e for e in range(ERRORS + 1))
         width = next((w for w in range(SYMBOLS // 2, ERRORS + 1, -1) if (1 - meets(w)) ** (SYMBOLS // w) <= MISSED), ERRORS + 1)
         apart = (1 - s) / 2
-        return cls(SYMBOLS // width, width, min(SKETCH, int(SKETCH * apart + DEVIATIONS * (SKETCH * apart * (1 - apart)) ** 0.5)))
+        beyond = NormalDist(SKETCH * apart, max(0.1, SKETCH * apart * (1 - apart)) ** 0.5).inv_cdf(1 - MISSED)
+        return cls(SYMBOLS // width, width, min(SKETCH, ceil(beyond)))
 
     @property
     def guaranteed(self) -> int:
