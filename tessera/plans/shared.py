@@ -37,3 +37,11 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 pairs_sql = """SELECT conv_id, turn, text AS left_text, right_text FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS right_text,
 lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS answers FROM conversations) WHERE role = 'user' AND answers = 'assistant'"""
+
+
+def in_orthography(text):
+    """The text with two of its letters as those of the orthography that look-alikes exist for: the tables hold none."""
+    return F.translate(text, "egEG", "ɛɣƐƔ")
+
+
+ORTHOGRAPHY_SQL = "translate({}, 'egEG', 'ɛɣƐƔ')"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import align, labels, normalise, phonemes, script, segment, text
-from tessera.plans.shared import LETTERS, TOKENS, WORDS, docs, pairs, pairs_sql, sql_list, squeezed
+from tessera.functions import align, corrupt, labels, normalise, phonemes, script, segment, text
+from tessera.plans import forms
+from tessera.plans.shared import LETTERS, ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql, sql_list, squeezed
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -111,7 +112,8 @@ def m10_edit_distance(spark, sf):
     return both.select(F.col("a_n_nationkey").alias("a_key"), F.col("b_n_nationkey").alias("b_key"), F.levenshtein("a_n_name", "b_n_name").alias("edits"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {forms.aligned("SELECT a.n_name AS r, b.n_name AS h FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")}
+    SELECT r AS ref_name, h AS hyp_name, place, ref, hyp FROM pairs_""")
 def m11_character_alignment(spark, sf):
     a = table(spark, sf, "nation").alias("a")
     b = table(spark, sf, "nation").alias("b")
@@ -130,9 +132,9 @@ def m12_cosine(spark, sf):
     return e.join(after, "vec_id").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
 
 
-@query("SELECT doc_id, replace(text, 'e', '') AS kept, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n_removed FROM documents WHERE n_chars < 2000")
+@query("SELECT doc_id, replace(text, 'e', '') AS kept, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n_removed FROM documents")
 def m13_vowel_skeleton(spark, sf):
-    found = docs(spark, sf).where("n_chars < 2000").select("doc_id", script.skeleton(T()).alias("s"))
+    found = docs(spark, sf).select("doc_id", script.skeleton(T()).alias("s"))
     return found.select("doc_id", "s.kept", F.size("s.places").cast("long").alias("n_removed"))
 
 
@@ -165,19 +167,19 @@ def m16_likelihood_figures(spark, sf):
     )
 
 
-@query()
+@query(f"SELECT w AS word, ipa, CAST({forms.sound_count('ipa')} AS INTEGER) AS sounds FROM (SELECT w, {forms.ipa('w')} AS ipa FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents))")
 def m17_sound_count(spark, sf):
-    words = docs(spark, sf).select(F.explode(text.words(T())).alias("word")).distinct().where(F.col("word").rlike("^[a-z]+$"))
+    words = docs(spark, sf).select(F.explode(text.words(T())).alias("word")).distinct()
     none = spark.createDataFrame([], "word string, ipa string")
     return phonemes.readings(words, none).select("word", "ipa", phonemes.sound_count(F.col("ipa")).alias("sounds"))
 
 
-@query()
+@query(f"SELECT doc_id, {forms.normal_form('text')} AS text FROM documents")
 def x01_normalised(spark, sf):
     return docs(spark, sf).select("doc_id", normalise.normalised(T()).alias("text"))
 
 
-@query()
+@query(f"WITH {forms.FLAGS} SELECT kind, text, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS texts FROM flags WHERE kind IS NOT NULL GROUP BY ALL")
 def x03_edit_report(spark, sf):
     found = docs(spark, sf).select("doc_id", normalise.reported(T()).alias("r"))
     return found.select("doc_id", F.explode("r.flags").alias("f")).groupBy("f.kind", "f.text").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("texts"))
@@ -208,16 +210,15 @@ def x06_table_transliteration(spark, sf):
     return docs(spark, sf).select("doc_id", script.table_tifinagh(T()).alias("tifinagh"))
 
 
-@query()
+@query(f"SELECT md5(key) AS key, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first FROM (SELECT doc_id, {forms.duplicate_key('text')} AS key FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def x07_duplicate_key(spark, sf):
     keyed = docs(spark, sf).select("doc_id", normalise.fingerprint(T()).alias("key"))
     return keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query()
+@query(f"""SELECT conv_id, turn, md5({forms.duplicate_key("(left_text || ' ' || right_text)")}) AS key FROM ({pairs_sql})""")
 def x08_pair_key(spark, sf):
-    keyed = pairs(spark, sf).select("conv_id", "turn", normalise.pair_fingerprint(F.col("left_text"), F.col("right_text")).alias("key"))
-    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return pairs(spark, sf).select("conv_id", "turn", normalise.pair_fingerprint(F.col("left_text"), F.col("right_text")).alias("key"))
 
 
 @query(
@@ -228,23 +229,23 @@ def x09_ngram_sets(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(text.ngrams(T(), 8)).cast("long").alias("grams"))
 
 
-@query()
+@query(f"SELECT doc_id, {forms.collation_key('text')} AS key FROM documents")
 def x11_collation_key(spark, sf):
     return docs(spark, sf).select("doc_id", normalise.on_texts(labels.collation_key)(T()).alias("key"))
 
 
-@query()
+@query(f"""WITH {forms.LABELLED} SELECT lang, mark, "case", CAST(count(*) AS BIGINT) AS n FROM labelled GROUP BY ALL""")
 def x12_labelled_words(spark, sf):
     found = docs(spark, sf).select("lang", F.explode(labels.annotated(T())).alias("w"))
     return found.groupBy("lang", "w.mark", "w.case").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {forms.LABELLED}, r AS (SELECT doc_id, string_agg({forms.RESTORED}, ' ' ORDER BY held, i) AS text FROM labelled GROUP BY doc_id) SELECT d.doc_id, coalesce(r.text, '') AS text FROM documents d LEFT JOIN r USING (doc_id)")
 def x12_restored(spark, sf):
     return docs(spark, sf).select("doc_id", labels.restored(labels.annotated(T())).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {forms.spoken('text')} AS target FROM documents")
 def x13_spoken_target(spark, sf):
     return docs(spark, sf).select("doc_id", normalise.on_texts(labels.spoken)(T()).alias("target"))
 
@@ -261,9 +262,11 @@ def x17_shouted_lines(spark, sf):
     return lines.where(text.shouted(T())).select("doc_id", "line", text.soften(T()).alias("soft"))
 
 
-@query()
+@query(f"WITH documents AS (SELECT doc_id, {forms.SET_TO_70} AS text FROM documents), {forms.UNWRAPPED} SELECT d.doc_id, coalesce(g.text, d.text) AS text FROM documents d LEFT JOIN glued g USING (doc_id)")
 def x18_unwrapped(spark, sf):
-    return docs(spark, sf).select("doc_id", normalise.on_texts(segment.unwrap)(T()).alias("text"))
+    """Over the documents as if set to 70 columns."""
+    wrapped = F.regexp_replace(T(), r"([^\n]{1,70})[ ]+", "$1\n")
+    return docs(spark, sf).select("doc_id", normalise.on_texts(segment.unwrap)(wrapped).alias("text"))
 
 
 @query()
@@ -271,7 +274,7 @@ def x19_units(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(segment.segmented(T())).alias("place", "u")).select("doc_id", "place", "u.text", "u.prefix", "u.suffix")
 
 
-@query()
+@query(f"WITH {forms.UNWRAPPED} SELECT d.doc_id, coalesce(g.text, d.text) AS text FROM documents d LEFT JOIN glued g USING (doc_id)")
 def x20_reassembled(spark, sf):
     return docs(spark, sf).select("doc_id", segment.assembled(segment.segmented(T())).alias("text"))
 
@@ -285,9 +288,9 @@ def x21_sentence_split(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(own).cast("long").alias("sentences"), F.get(own, 0).alias("head"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '''{2,}', ' ', 'g'), '<[^>]+>', ' ', 'g') AS plain FROM documents WHERE NOT regexp_matches(text, '(\\{\\{|\\[\\[|(?m:^)[=*#:;|!{])')")
+@query(f"SELECT doc_id, {forms.WIKITEXT} AS plain FROM documents")
 def x22_wikitext(spark, sf):
-    return docs(spark, sf).where(~T().rlike(r"(\{\{|\[\[|(?m:^)[=*#:;|!{])")).select("doc_id", text.strip_wikitext(T()).alias("plain"))
+    return docs(spark, sf).select("doc_id", text.strip_wikitext(T()).alias("plain"))
 
 
 @query(f"SELECT page_id, {squeezed(chr(34) + 'stripped' + chr(34))} AS plain FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS stripped FROM pages)")
@@ -295,7 +298,7 @@ def x23_html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
-@query()
+@query(f"SELECT word, n, {forms.affricates('ipa')} AS ipa FROM (SELECT word, CAST(count(*) AS BIGINT) AS n, {forms.ipa('word')} AS ipa FROM (SELECT unnest({forms.spoken_words('text')}) AS word FROM documents) GROUP BY word)")
 def x14_phonemes(spark, sf):
     words = docs(spark, sf).select(F.explode(phonemes.spoken_words(T())).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     none = spark.createDataFrame([], "word string, ipa string")
@@ -326,9 +329,9 @@ def x27_feature_string(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.feature_string(feats).alias("feats"))
 
 
-@query("SELECT doc_id, translate(text, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted FROM documents WHERE n_chars < 3000")
+@query(f"SELECT doc_id, translate({ORTHOGRAPHY_SQL.format('text')}, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted FROM documents")
 def x28_homoglyph_corruption(spark, sf):
-    return docs(spark, sf).where("n_chars < 3000").select("doc_id", F.translate(T(), "ɛɣƐƔ", "εγΣΓ").alias("corrupted"))
+    return docs(spark, sf).select("doc_id", corrupt.lookalike(in_orthography(T())).alias("corrupted"))
 
 
 @query(f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<a>' || left_text || '<b>' || right_text ELSE '<b>' || right_text || '<a>' || left_text END AS document FROM ({pairs_sql})")
