@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import corpora, files, hygiene, measures, relations, texts, whole
+from tessera.plans import corpora, files, hygiene, measures, readings, relations, texts, whole
 
-MODULES = (hygiene, texts, relations, measures, corpora, files, whole)
+MODULES = (hygiene, texts, relations, measures, corpora, files, readings, whole)
 
 
 def queries() -> dict[str, Callable]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import PurePosixPath
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +177,18 @@ def treebank(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n\n").text(path).mapInPandas(read, TREEBANK)
 
 
+def scoring_positions(sentences: DataFrame, words: bool, corrupt: Callable[[Column], Column] | None = None) -> DataFrame:
+    """sent_id, place, form and gold of each position that a tagger must label: syntactic words, or surface tokens, of which
+    one that spans several words has no gold. corrupt changes what the tagger reads, never the gold."""
+    if words:
+        rows = sentences.select("sent_id", F.posexplode("words").alias("place", "u")).select("sent_id", "place", "u.form", F.col("u.upos").alias("gold"))
+    else:
+        rows = sentences.select("sent_id", "words", F.posexplode("tokens").alias("place", "u"))
+        gold = F.when(F.col("u.first") == F.col("u.last"), F.get("words", F.col("u.first") - 1)["upos"])
+        rows = rows.select("sent_id", "place", "u.form", gold.alias("gold"))
+    return rows.withColumn("form", corrupt(F.col("form"))) if corrupt else rows
+
+
 def treebank_words(sentences: DataFrame) -> DataFrame:
     return sentences.select("sent_id", F.explode("words").alias("w")).select("sent_id", "w.form", "w.lemma", "w.upos")
 
@@ -232,6 +246,96 @@ def speech_rows(spark: SparkSession, path: str, durations: str, columns: list[st
     return clips.join(lengths.withColumn("duration_ms", F.col("duration_ms").cast("long")), "path", "left")
 
 
+def splits(spark: SparkSession, root: str, language: str, names: list[str]) -> DataFrame:
+    """Benchmark sentences, a JSON Lines file `<root>/<split>/<language>.jsonl` for each split. Ids start anew in each, so the key is
+    (split, id). A split that is missing or has no sentence is refused."""
+    schema = "id long, text string, domain string, topic string, url string, last_updated string, iso_639_3 string, iso_15924 string"
+    found = []
+    for name in names:
+        path = f"{root}/{name}/{language}.jsonl"
+        try:
+            rows = json_lines(spark, path, schema, strict=True)
+        except AnalysisException as missing:
+            raise ReadError(f"split {name} of {language} is not there: {path}") from missing
+        if rows.isEmpty():
+            raise ReadError(f"split {name} of {language} has no sentence: {path}")
+        rest = [F.coalesce(c, F.lit("")).alias(c) for c in rows.columns if c not in ("id", "text")]
+        found.append(rows.select(F.lit(name).alias("split"), "id", "text", *rest))
+    return reduce(DataFrame.unionByName, found)
+
+
+def pair_rows(df: DataFrame, own: str = "kab", named: str = "") -> DataFrame:
+    """own, other and code from either layout: a column for each language, or source and target with their languages. named
+    is the file's name, which tells a language that no column states. Rows with a blank side go."""
+    text = lambda *names: F.trim(F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in df.columns], F.lit("")))
+    guess = F.lit("eng" if "eng" in named else "fra")
+    if own in df.columns:
+        # a layout with both: the row is of the first language that has a text
+        code = F.when(text("eng") != "", "eng").otherwise("fra") if "eng" in df.columns else F.lit("fra")
+        rows = df.select(text(own).alias("own"), text("eng", "fra").alias("other"), code.alias("code"))
+    else:
+        source, target = text("src_text", "source"), text("tgt_text", "target")
+        source_code, target_code = text("src_lang", "source_lang"), text("tgt_lang", "target_lang")
+        first = (source_code == own) | F.lit(own in named)
+        told = lambda c: F.when(c == "", guess).otherwise(c)
+        rows = df.select(F.when(first, source).otherwise(target).alias("own"), F.when(first, target).otherwise(source).alias("other"), F.when(first, told(target_code)).otherwise(told(source_code)).alias("code"))
+    return rows.where("own <> '' AND other <> ''")
+
+
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """The field `text` of JSON Lines. A line that is no record, or one without the field, fails the job with its file and content."""
+    rows = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file"), F.from_json("value", "text string").alias("r"))
+    refused = F.raise_error(F.concat(F.col("file"), F.lit(": no record with a text: "), F.substring("value", 1, 200))).cast("string")
+    return rows.select(F.coalesce("r.text", refused).alias("text"))
+
+
+def column_of(spark: SparkSession, path: str, width: int, index: int) -> DataFrame:
+    """One column of the lines that have exactly width columns, quoting off."""
+    return exact_width(spark, path, "\t", [f"c{i}" for i in range(width)]).select(F.col(f"c{index}").alias("text"))
+
+
+#: Fields of a record that can hold the line to be set, the first one that is there.
+LINE_FIELDS = ("text", "kab", "text_latn", "text_tfng")
+
+
+def set_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines for page images from a corpus: a Parquet file's script column, a record's field, or the plain line. A line
+    that opens a record and is none goes, rather than raw JSON into the targets."""
+    if PurePosixPath(path).suffix.lower() == ".parquet":
+        table = spark.read.parquet(path)
+        chosen = next((c for c in ("text_tfng", "text_latn") if c in table.columns), table.columns[0])
+        found = table.select(F.trim(F.col(chosen).cast("string")).alias("text"))
+    else:
+        rows = spark.read.text(path).select(F.trim("value").alias("v"))
+        record = F.try_parse_json("v")
+        fields = [F.try_variant_get(record, f"$.{f}", "string") for f in LINE_FIELDS]
+        found = rows.select(F.trim(F.when(~F.col("v").startswith("{"), F.col("v")).when(record.isNotNull(), F.coalesce(*fields, "v"))).alias("text"))
+    return found.where("text <> ''")
+
+
+def book_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Books as folders with `crops/page_<n>.png`, and the text of a page where the book's pages.jsonl has it. Only names
+    are read of the images."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "page_*.png").load(root)
+    images = found.select(F.col("_metadata.file_path").alias("path"))
+    # paths come as addresses, with their blanks encoded
+    book = lambda path, tail: F.url_decode(F.replace(F.regexp_extract(path, rf"([^/]+)/{tail}$", 1), F.lit("+"), F.lit("%2B")))
+    pages = images.select("path", book("path", r"crops/page_[^/]*").alias("book"), F.regexp_extract("path", r"_([0-9]+)\.png$", 1).cast("int").alias("page")).where("book <> ''")
+    lines_ = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "pages.jsonl").text(root)
+    stated = lines_.select(book(F.col("_metadata.file_path"), "pages.jsonl").alias("book"), F.from_json("value", "page_number int, text string").alias("r")).where("r.page_number IS NOT NULL")
+    known = stated.groupBy("book", F.col("r.page_number").alias("page")).agg(F.max("r.text").alias("text"))
+    return pages.join(known, ["book", "page"], "left").select("book", "page", "path", "text")
+
+
+def filelist(spark: SparkSession, path: str) -> DataFrame:
+    """audio|text|speaker. A line of another width, or with a blank audio or speaker, fails the job."""
+    parts = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
+    rows = spark.read.text(path).where("trim(value) <> ''").select("value", parts.alias("p"))
+    whole = (F.size("p") == 3) & (F.get("p", 0) != "") & (F.get("p", 2) != "")
+    refused = F.raise_error(F.concat(F.lit("a filelist's line lacks a field: "), F.col("value"))).cast("string")
+    return rows.select(F.when(whole, F.get("p", 0)).otherwise(refused).alias("audio"), F.get("p", 1).alias("text"), F.get("p", 2).alias("speaker"))
+
+
 def by_suffix(spark: SparkSession, path: str) -> DataFrame:
     """The reader for a path's extension."""
     suffix = PurePosixPath(path).suffix.lower()

@@ -85,6 +85,20 @@ def find(catalogue: DataFrame, tier: str | None = None, modality: str | None = N
     return catalogue
 
 
+def record(df: DataFrame, path: str, schema: str) -> None:
+    """Appends records of what was fetched, deferred or removed to a log; earlier ones are never rewritten."""
+    fields = T._parse_datatype_string(schema).names
+    missing = set(fields) - set(df.columns)
+    if missing:
+        raise RegistryError(f"a record lacks {sorted(missing)}")
+    df.select(*fields).write.mode("append").json(path)
+
+
+def recorded(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log's records; a line that is none fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def standing_removals(manifest: DataFrame, removals: DataFrame) -> DataFrame:
     """Removals that no later fetch of the same artifact supersedes."""
     last = manifest.groupBy("source_id", "path").agg(F.max("fetched_at").alias("last"))

@@ -22,6 +22,24 @@ def non_empty(df: DataFrame, path: str, form: str = "parquet") -> None:
     corpus(df, path, form)
 
 
+def lexicon(entries: DataFrame, priority: dict[str, int], path: str) -> None:
+    """Merged entries in one commit; no entry at all is refused."""
+    from tessera.operators.lexicon import merge
+
+    non_empty(merge(entries, priority), path)
+
+
+def splits(df: DataFrame, path: str, names: list[str], key: str | None = None, split: str = "split", form: str = "json") -> dict[str, int]:
+    """A folder for each split, and the rows of each. A split without rows, an unnamed one, or a key in two is refused."""
+    counts = {r[split]: r["count"] for r in df.groupBy(split).count().collect()}
+    if set(counts) != set(names):
+        raise SinkError(f"splits {sorted(map(str, counts))}, not {sorted(names)}")
+    if key and not df.groupBy(key).agg(F.count_distinct(split).alias("n")).where("n > 1").isEmpty():
+        raise SinkError(f"a {key} stands in two splits")
+    corpus(df, path, form, [split])
+    return counts
+
+
 def release(df: DataFrame, columns: list[str], path: str, split: str = "split") -> None:
     """The declared columns, missing ones as nulls; refused if a column is null in every row."""
     shaped = df.select(split, *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])

@@ -162,3 +162,50 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     job.processAllAvailable()
     job.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() == batch.select("event_id").distinct().count()
+
+
+def test_benchmark_splits(spark, tmp_path):
+    for split, rows in (("dev", '{"id": 0, "text": "a", "topic": "t"}\n\n{"id": 1, "text": "b"}\n'), ("devtest", '{"id": 0, "text": "c"}\n'), ("bare", "\n")):
+        (tmp_path / split).mkdir()
+        put(tmp_path / split, "kab_Latn.jsonl", rows)
+    got = readers.splits(spark, f"file://{tmp_path}", "kab_Latn", ["dev", "devtest"]).collect()
+    assert sorted((r["split"], r["id"], r["text"], r["topic"]) for r in got) == [("dev", 0, "a", "t"), ("dev", 1, "b", ""), ("devtest", 0, "c", "")]
+    with pytest.raises(readers.ReadError, match="not there"):
+        readers.splits(spark, f"file://{tmp_path}", "kab_Latn", ["dev", "gone"])
+    with pytest.raises(readers.ReadError, match="no sentence"):
+        readers.splits(spark, f"file://{tmp_path}", "kab_Latn", ["bare"])
+
+
+def test_pair_layouts(spark):
+    both = spark.createDataFrame([("azul", "hello", None), ("a", None, "b"), (" ", "x", None), ("c", None, None)], "kab string, eng string, fra string")
+    assert {tuple(r) for r in readers.pair_rows(both).collect()} == {("azul", "hello", "eng"), ("a", "b", "fra")}
+    named = spark.createDataFrame([("x", "y", "eng", "kab"), ("k", "l", "kab", "fra")], "source string, target string, source_lang string, target_lang string")
+    assert {tuple(r) for r in readers.pair_rows(named).collect()} == {("y", "x", "eng"), ("k", "l", "fra")}
+    bare = spark.createDataFrame([("x", "y")], "src_text string, tgt_text string")
+    assert readers.pair_rows(bare, named="kab-eng.jsonl").collect() == [("x", "y", "eng")]
+    assert readers.pair_rows(bare, named="fr.jsonl").collect() == [("y", "x", "fra")]
+
+
+def test_strict_readers(spark, tmp_path):
+    good = put(tmp_path, "t.jsonl", '{"text": "a"}\n\n{"text": "b", "n": 1}\n')
+    assert [r[0] for r in readers.texts(spark, good).collect()] == ["a", "b"]
+    for k, broken in enumerate(('{"text": "a"}\n{"text": "b', '{"other": 1}\n')):
+        with pytest.raises(Exception, match="no record with a text"):
+            readers.texts(spark, put(tmp_path, f"bad{k}.jsonl", broken)).collect()
+    with pytest.raises(Exception, match="lacks a field"):
+        readers.filelist(spark, put(tmp_path, "f.txt", "a|b|1\n |b|1\n")).collect()
+    lines = put(tmp_path, "o.txt", 'plain\n{"kab": " k "}\n{"text": "t", "kab": "k"}\n{broken\n\n{"other": 1}\n')
+    assert [r[0] for r in readers.set_lines(spark, lines).collect()] == ["plain", "k", "t", '{"other": 1}']
+
+
+def test_split_and_lexicon_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "train"), (2, "dev"), (3, "train")], "k long, split string")
+    assert sinks.splits(rows, f"file://{tmp_path}/s", ["train", "dev"], "k") == {"train": 2, "dev": 1}
+    for bad, key in ((rows.where("split = 'train'"), None), (rows.unionByName(rows.selectExpr("k", "'dev' AS split")), "k")):
+        with pytest.raises(sinks.SinkError):
+            sinks.splits(bad, f"file://{tmp_path}/t", ["train", "dev"], key)
+    none = spark.createDataFrame([], "form string, lemma string, upos string, feats map<string,string>, source string")
+    with pytest.raises(sinks.SinkError):
+        sinks.lexicon(none, {}, f"file://{tmp_path}/l")
+    with pytest.raises(registry.RegistryError):
+        registry.record(rows, f"file://{tmp_path}/m", registry.MANIFEST)
