@@ -26,6 +26,7 @@ SPELLINGS = {
 }
 UNCHANGED, OU, SUBSTITUTED, HYPHEN, SHORTENED = 0.15, 0.45, 0.90, 0.50, 0.25
 LOOKALIKES = {"ɛ": "ε", "ɣ": "γ", "Ɛ": "Σ", "Ɣ": "Γ"}
+LOOKALIKE_TABLE = str.maketrans(LOOKALIKES)
 
 
 def misspell(text: str, seed: str = "informal") -> str:

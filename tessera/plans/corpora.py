@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tessera.functions import corrupt, normalise, phonemes, plugins, text
 from tessera.operators import columns, lexicon
 from tessera.plans.relations import lexicon as word_list
-from tessera.plans.shared import TOKENS, WORDS, docs, pairs, pairs_sql
+from tessera.plans import forms
+from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
 from tessera.sources import readers, registry
 from tessera.session import table
 
@@ -54,7 +57,8 @@ def f14_redistribution_class(spark, sf):
     return catalogue(spark, sf).select("id", "redistribution")
 
 
-@query()
+@query(f"""SELECT DISTINCT name, lower(name) IN ({forms.listed(columns.METADATA)}) OR name LIKE '%\\_id' ESCAPE '\\' OR name LIKE '%\\_score' ESCAPE '\\' AS metadata FROM
+    ({' UNION ALL '.join(f"SELECT column_name AS name FROM (DESCRIBE {t})" for t in ('documents', 'pages', 'conversations', 'embeddings'))})""")
 def f16_metadata_columns(spark, sf):
     names = [(n, columns.is_metadata(n)) for t in ("documents", "pages", "conversations", "embeddings") for n in table(spark, sf, t).columns]
     return spark.createDataFrame(names, "name string, metadata boolean").distinct()
@@ -124,7 +128,7 @@ def c02_pair_columns(spark, sf):
     return spark.createDataFrame([(s.name, round(s.own, 6), round(s.english, 6), s.language) for s in scored], "name string, own double, english double, language string")
 
 
-@query()
+@query(f"SELECT lower(n_name) AS word, {forms.affricates(forms.ipa('lower(n_name)'))} AS ipa FROM nation")
 def x15_folded_affricates(spark, sf):
     names = table(spark, sf, "nation").select(F.lower("n_name").alias("word"))
     none = spark.createDataFrame([], "word string, ipa string")
@@ -136,17 +140,18 @@ def x29_informal_spelling(spark, sf):
     return docs(spark, sf).select("doc_id", corrupt.misspelled(F.col("text")).alias("informal"))
 
 
-@query("SELECT doc_id, translate(text, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted FROM documents")
+@query(f"SELECT doc_id, translate({ORTHOGRAPHY_SQL.format('text')}, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted FROM documents")
 def v16_lookalike_condition(spark, sf):
-    return docs(spark, sf).select("doc_id", corrupt.lookalike(F.col("text")).alias("corrupted"))
+    return docs(spark, sf).select("doc_id", corrupt.lookalike(in_orthography(F.col("text"))).alias("corrupted"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT lang, {forms.normal_form(ORTHOGRAPHY_SQL.format('text'))} AS clean FROM documents), b AS (SELECT *, {forms.normal_form("translate(clean, 'ɛɣƐƔ', 'εγΣΓ')")} AS back FROM c)
+    SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (back = clean) AS BIGINT) AS restored FROM b GROUP BY lang""")
 def v16_repair(spark, sf):
     """Corrupted text comes back under normalisation: the counts of texts that do."""
-    rows = docs(spark, sf).select("lang", normalise.normalised(F.col("text")).alias("clean"))
-    back = rows.withColumn("back", normalise.normalised(corrupt.lookalike(F.col("clean"))))
-    return back.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("back") == F.col("clean")).alias("restored"))
+    there_and_back = normalise.on_texts(lambda t: (clean := normalise.normalise(t)) == normalise.normalise(clean.translate(corrupt.LOOKALIKE_TABLE)), "boolean")
+    back = docs(spark, sf).select("lang", there_and_back(in_orthography(F.col("text"))).alias("same"))
+    return back.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("same").alias("restored"))
 
 
 @query()
@@ -154,11 +159,13 @@ def x32_line_chunks(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(corrupt.chunked(F.col("text"))).alias("place", "line"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents), r AS (SELECT word, {forms.ipa('word')} AS rule, {forms.ipa("substr(word, 1, 2)")} AS attested FROM w)
+    SELECT word, CASE WHEN {forms.sound_count('rule')} > {forms.sound_count('attested')} THEN rule ELSE attested END AS ipa FROM r WHERE rule IS NOT NULL""")
 def x33_repaired_readings(spark, sf):
-    """Readings shorter than the rules' are replaced by them; words outside the writing system have none."""
+    """Attested readings, here of a word's first two letters, are replaced by the rules' where those have more sounds;
+    words outside the writing system have none."""
     words = docs(spark, sf).select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
-    short = words.select("word", F.substring("word", 1, 2).alias("attested"))
+    short = words.select("word", phonemes.ipa(F.substring("word", 1, 2)).alias("attested"))
     ruled = short.withColumn("rule", phonemes.ipa(F.col("word")))
     longer = phonemes.sound_count(F.col("rule")) > phonemes.sound_count(F.col("attested"))
     return ruled.where("rule IS NOT NULL").select("word", F.when(longer, F.col("rule")).otherwise(F.col("attested")).alias("ipa"))
@@ -188,7 +195,7 @@ def z05_agreement_scorer(spark, sf):
     return pairs(spark, sf).select("conv_id", "turn", plugins.agreement(make, F.col("left_text"), F.col("right_text")).alias("agreement"))
 
 
-@query()
+@query(f"SELECT lang, tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT lang, unnest(list_transform({TOKENS('text')}, lambda t: CASE WHEN regexp_full_match(t, '\\p{{Nd}}+') THEN 'NUM' END)) AS tag FROM documents) GROUP BY ALL")
 def z04_tagger(spark, sf):
     def make():
         return lambda rows: [["NUM" if t.isdigit() else None for t in tokens] for tokens in rows]
@@ -219,11 +226,13 @@ def v11_paired_by_stem(spark, sf):
     return both.groupBy(F.col("r_name").alias("document")).agg(F.count("*").alias("pairs"))
 
 
-@query(f"WITH w AS (SELECT DISTINCT unnest({WORDS}) AS w FROM documents) SELECT CAST(count(*) FILTER (regexp_matches(w, '^[a-zčḍɛǧɣḥṛṣṭẓßţ]+$')) AS BIGINT) AS readable, CAST(count(*) AS BIGINT) AS words FROM w")
+@query(f"SELECT CAST(count(ipa) AS BIGINT) AS readable, CAST(count(*) FILTER (ipa = attested) AS BIGINT) AS reproduced, CAST(count(*) AS BIGINT) AS words FROM (SELECT {forms.ipa('w')} AS ipa, {forms.ipa('strip_accents(w)')} AS attested FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents))")
 def v15_rules_cover(spark, sf):
-    """Words that the reading rules take, of all distinct words."""
+    """Words that the reading rules take, and whose attested reading, here that without accents, they reproduce, of all."""
     words = docs(spark, sf).select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
-    return words.agg(F.count(phonemes.ipa(F.col("word"))).alias("readable"), F.count("*").alias("words"))
+    bare = normalise.on_texts(lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)))(F.col("word"))
+    read = words.select(phonemes.ipa(F.col("word")).alias("ipa"), phonemes.ipa(bare).alias("attested"))
+    return read.agg(F.count("ipa").alias("readable"), F.count_if(F.col("ipa") == F.col("attested")).alias("reproduced"), F.count("*").alias("words"))
 
 
 @query("SELECT lang, line, count(*) AS n FROM (SELECT DISTINCT lang, string_split(text, chr(10))[1] AS line FROM documents) GROUP BY ALL HAVING length(line) BETWEEN 20 AND 300")

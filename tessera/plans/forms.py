@@ -36,6 +36,9 @@ def mapped(text: str, table: dict[str, str]) -> str:
 
 FOLDED = "replace(lower({}), 'ß', 'ss')"
 
+#: Names of the covered characters, and of white space that has none.
+NAMES = {c: unicodedata.name(c, "UNNAMED") for c in [*COVERED, "\n", "\t"]}
+
 #: What decomposition makes of a letter, with its marks as blanks, since they split words.
 BLANKED = {c: "".join(" " if unicodedata.combining(x) else x for x in unicodedata.normalize("NFKD", c)) for c in COVERED if unicodedata.normalize("NFKD", c) != c}
 
@@ -159,3 +162,21 @@ def aligned(source: str) -> str:
     UNION ALL SELECT r, h, rows, CASE move WHEN 'h' THEN i ELSE i - 1 END, CASE move WHEN 'r' THEN j ELSE j - 1 END, step + 1, CASE move WHEN 'h' THEN '' ELSE r[i] END, CASE move WHEN 'r' THEN '' ELSE h[j] END
     FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND rows[i + 1][j + 1] = rows[i][j] + CASE WHEN r[i] = h[j] THEN 0 ELSE 1 END THEN 's' WHEN i > 0 AND rows[i + 1][j + 1] = rows[i][j + 1] + 1 THEN 'r' ELSE 'h' END AS move FROM b WHERE i > 0 OR j > 0)),
     pairs_ AS (SELECT r, h, ref, hyp, CAST(max(step) OVER (PARTITION BY r, h) - step AS INTEGER) AS place FROM b WHERE step > 0)"""
+
+
+def column_of(sql: str, column: str) -> str:
+    """A piece that speaks of `text`, for another column."""
+    import re
+
+    return re.sub(r"\btext\b", column, sql)
+
+
+#: Whether an output is empty, loops, stutters, has a gross length or copies its source, over left_text and right_text with
+#: token lists lt, rt and word lists lw, rw.
+STUTTER = "'(\\b' || w || '\\b|\\b' || w || '[\\s·\\-_]+)'"
+LOOPS = " OR ".join(
+    f"len(list_filter(range(1, len(rt) - {k * r} + 2), lambda i: rt[i:i + {k * (r - 1) - 1}] = rt[i + {k}:i + {k * r - 1}])) > 0" for k, r in ((1, 3), (2, 3), (3, 4), (4, 4), (5, 4))
+)
+REPEATS = "(regexp_matches(right_text, '\\b' || w || '\\b([\\s·_-]*' || w || '){2,}') OR len(regexp_extract_all(right_text, '\\b' || w || '[\\s·_-]+')) > 2 AND len(list_filter(list_distinct(regexp_extract_all(right_text, '\\b' || w || '[\\s·_-]+')), lambda x: contains(right_text, x || x || x))) > 0)"
+FAILED = f"""(regexp_matches(left_text, '\\p{{L}}') AND NOT regexp_matches(right_text, '\\p{{L}}')) OR {LOOPS} OR len(list_filter(list_distinct(regexp_extract_all(right_text, '\\p{{L}}+')), lambda w: length(w) BETWEEN 2 AND 8 AND {REPEATS})) > 0
+    OR (len(lt) >= 4 AND NOT (len(rt) / len(lt) BETWEEN 0.25 AND 3.0)) OR (len(rw) >= 4 AND len(list_filter(rw, lambda w: list_contains(lw, w))) >= 0.75 * len(rw))"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import align, labels, normalise, text
+from tessera.functions import align, corrupt, labels, normalise, text
 from tessera.functions.normalise import on_texts
 from tessera.operators import dedup, scores, splits
 from tessera.plans.relations import KEY_SQL, LEXICON_SQL, keyed, lexicon
-from tessera.plans.shared import TOKENS, WORDS, docs, pairs, pairs_sql
+from tessera.plans import forms
+from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
 from tessera.plans.texts import CLASS_SQL, word_class
 from tessera.session import table
 
@@ -84,7 +85,9 @@ def a03_strata(spark, sf):
     return c.groupBy(F.col("r_name").alias("stratum")).agg(F.count("*").alias("pairs"), bad.alias("hard"), F.round(bad / F.count("*"), 6).alias("rate"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT lang, text, {forms.normal_form('text')} AS fixed FROM documents), d AS (SELECT *, {TOKENS('text')} AS a, {TOKENS('fixed')} AS b FROM f)
+    SELECT lang, CAST(count(*) AS BIGINT) AS texts, CAST(count(*) FILTER (fixed <> text) AS BIGINT) AS changed,
+    round(avg((greatest(len(a), len(b)) - len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]))) / greatest(len(a), len(b))) FILTER (fixed <> text), 6) AS divergence FROM d GROUP BY lang""")
 def a04_orthography_audit(spark, sf):
     """Changed share, and the divergence over changed texts only."""
     own = docs(spark, sf).withColumn("fixed", normalise.normalised(F.col("text")))
@@ -94,13 +97,17 @@ def a04_orthography_audit(spark, sf):
     )
 
 
-@query()
+@query(f"""WITH documents AS (SELECT doc_id, translate({ORTHOGRAPHY_SQL.format('text')}, 'ɛɣƐƔ', 'εγΣΓ') AS text FROM documents), pieces AS (SELECT doc_id, unnest(regexp_extract_all(nfc_normalize(text), '[^{forms.SPACE}]+|[{forms.SPACE}]+')) AS p FROM documents),
+    chars AS (SELECT doc_id, {forms.GUARD} AS guarded, unnest(string_split(p, '')) AS c FROM pieces), k AS ({forms.CHANGES.format(key="doc_id, guarded")})
+    SELECT kind, c AS before, CAST(count(*) AS BIGINT) AS n FROM k WHERE kind <> 'homoglyph' OR NOT guarded GROUP BY ALL""")
 def a04_changes_by_kind(spark, sf):
-    changes = docs(spark, sf).select(F.explode(normalise.reported(F.col("text"))["changes"]).alias("c"))
+    """Of the documents as typed with the letters of another keyboard."""
+    typed = corrupt.lookalike(in_orthography(F.col("text")))
+    changes = docs(spark, sf).select(F.explode(normalise.reported(typed)["changes"]).alias("c"))
     return changes.groupBy("c.kind", "c.before").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT source, text, {forms.normal_form('text')} AS once FROM documents) SELECT source, CAST(count(*) FILTER (once <> text) AS BIGINT) AS changed, CAST(count(*) FILTER (once <> {forms.normal_form('once')}) AS BIGINT) AS not_idempotent FROM o GROUP BY source""")
 def a35_normaliser_impact(spark, sf):
     """Changed share and violations of idempotence per source."""
     once = docs(spark, sf).withColumn("once", normalise.normalised(F.col("text")))
@@ -171,7 +178,8 @@ def a11_word_error_rate(spark, sf):
     return rows.select("conv_id", edits.alias("edits"), F.size(text.tokens(F.col("l"))).alias("words")).agg(F.round(F.sum("edits") / F.sum("words"), 6).alias("wer"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {forms.aligned(f"SELECT ref AS r, hyp AS h FROM ({NAMES_SQL})")}, m AS (SELECT ref IN ('a', 'e', 'i', 'o', 'u') AS r, hyp IN ('a', 'e', 'i', 'o', 'u') AS h, ref = hyp AS same, n FROM (SELECT p.*, n FROM pairs_ p JOIN (SELECT ref AS r, hyp AS h, count(*) AS n FROM ({NAMES_SQL}) GROUP BY ALL) USING (r, h))),
+    c AS (SELECT CAST(sum(n) FILTER (r AND same) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (h AND NOT same), 0) AS BIGINT) AS fp, CAST(coalesce(sum(n) FILTER (r AND NOT same), 0) AS BIGINT) AS fn FROM m) SELECT tp, fp, fn, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
 def a12_mark_f1(spark, sf):
     """Positional hits of marked letters on the character alignment of the names."""
     pairs_ = name_pairs(spark, sf).select(F.explode(align.aligned(F.col("ref"), F.col("hyp"))).alias("p"))
@@ -292,7 +300,7 @@ def a22_character_census(spark, sf):
     return chars.groupBy("source", "character").agg(F.count("*").alias("k")).groupBy("character").agg(F.sum("k").alias("n"), F.count("*").alias("sources"))
 
 
-@query()
+@query(f"SELECT c AS character, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split({forms.spoken('text')}, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
 def a23_spoken_vocabulary(spark, sf):
     target = on_texts(labels.spoken)(F.col("text"))
     chars = docs(spark, sf).select(F.explode(F.split(target, "")).alias("character")).where("character <> ''")
@@ -563,7 +571,8 @@ def v22_reference_order(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "text").orderBy("conv_id", "turn")
 
 
-@query()
+@query(f"""SELECT c, c || ' U+' || format('{{:04X}}', unicode(c)) || ' ' || coalesce(list_extract([{', '.join(map(forms.quoted, forms.NAMES.values()))}], list_position([{', '.join(map(forms.quoted, forms.NAMES))}], c)), 'UNNAMED') AS description
+    FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''""")
 def v23_described_characters(spark, sf):
     chars = docs(spark, sf).select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where("c <> ''").distinct()
     return chars.select("c", normalise.described(F.col("c")).alias("description"))

@@ -377,7 +377,7 @@ def f06_pivot_usable(spark, sf):
     return pairs(spark, sf).where(good).select("conv_id", "turn")
 
 
-@query()
+@query(f"""SELECT conv_id, turn, {forms.FAILED} AS failed FROM (SELECT *, {TOKENS('left_text')} AS lt, {TOKENS('right_text')} AS rt, regexp_extract_all(lower(left_text), '\\p{{L}}+') AS lw, regexp_extract_all(lower(right_text), '\\p{{L}}+') AS rw FROM ({pairs_sql}))""")
 def f07_failed_translation(spark, sf):
     return pairs(spark, sf).select("conv_id", "turn", text.failed_translation(F.col("left_text"), F.col("right_text")).alias("failed"))
 
