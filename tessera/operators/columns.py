@@ -48,6 +48,12 @@ def is_metadata(name: str) -> bool:
     return own in METADATA or own.endswith("_id") or own.endswith("_score")
 
 
+def states_language(name: str, names: frozenset[str] = OWN_NAMES) -> bool:
+    """Whether a field's name is one of the names, or starts or ends with one and an underscore."""
+    low = name.lower()
+    return any(low == n or low.endswith(f"_{n}") or low.startswith(f"{n}_") for n in names)
+
+
 def score_columns(df: DataFrame, rows: int = SAMPLE_ROWS) -> list[ColumnScore]:
     """Counts are summed over the first rows and only then divided: rates are pooled, not averaged."""
     names = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]

@@ -28,6 +28,18 @@ def ngram_matches(corpus: DataFrame, benchmark: DataFrame, row: str, item: str,
     return own.join(bounded(grams), "gram").groupBy(row, item).agg(F.count("*").alias("shared"))
 
 
+def scan(corpus: DataFrame, benchmark: DataFrame, row: str, item: str, size: int = 8) -> DataFrame:
+    """One row for each leaked item: item, kind (exact or ngram), and the least corpus row that holds it.
+
+    Both sides have `key`, an array of exact keys in the benchmark and one key in the corpus, and `text`. A corpus row with an
+    exact match counts as that only; n-grams are sought in the others. The order of rows decides, not that of reading."""
+    keys = bounded(benchmark.select(F.col(item), F.explode("key").alias("key")).distinct())
+    exact = corpus.select(row, "key").join(keys, "key").select(row, item, F.lit("exact").alias("kind"))
+    others = corpus.join(exact.select(row).distinct(), row, "left_anti")
+    near = ngram_matches(others, benchmark, row, item, size=size).select(row, item, F.lit("ngram").alias("kind"))
+    return exact.unionByName(near).groupBy(item).agg(F.min(F.struct(row, "kind")).alias("m")).select(item, "m.kind", f"m.{row}")
+
+
 def without(rows: DataFrame, blocked: DataFrame, keys: list[str], blocked_key: str) -> DataFrame:
     """Rows none of whose keys is blocked: one anti join for each side."""
     sealed = bounded(blocked.select(F.col(blocked_key).alias("_blocked")).distinct())

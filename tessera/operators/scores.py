@@ -47,3 +47,108 @@ def average_rank(value: str, within: list[str] | None = None) -> Column:
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's, 0 for fewer than two rows or no variance."""
     return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
+
+
+def runs(units: Column, order: int) -> Column:
+    """All runs of that many units, each as one string."""
+    last = F.size(units) - order + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(units, i, order), "\x1f"))
+
+
+def matched(rows: DataFrame, ref: dict[str, Column], hyp: dict[str, Column], orders: dict[str, int]) -> DataFrame:
+    """(kind, order, shared, of_ref, of_hyp) over all rows: the n-grams of each kind of unit, shared ones clipped row by
+    row. ref and hyp have a column of units for each kind, orders how far it goes."""
+    key = "_row"
+    base = rows.withColumn(key, F.monotonically_increasing_id())
+
+    def grams(units: dict[str, Column], name: str) -> DataFrame:
+        each = [F.transform(runs(units[k], n), lambda g: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("order"), g.alias("g"))) for k, most in orders.items() for n in range(1, most + 1)]  # noqa: B023
+        return base.select(key, F.inline(F.concat(*each))).groupBy(key, "kind", "order", "g").agg(F.count("*").alias(name))
+
+    both = grams(ref, "r").join(grams(hyp, "h"), [key, "kind", "order", "g"], "full_outer").na.fill(0, ["r", "h"])
+    return both.groupBy("kind", "order").agg(F.sum(F.least("r", "h")).alias("shared"), F.sum("r").alias("of_ref"), F.sum("h").alias("of_hyp"))
+
+
+def letters(text: Column) -> Column:
+    """Characters, white space apart."""
+    return F.filter(F.split(F.regexp_replace(text, r"\s+", ""), ""), lambda c: c != "")
+
+
+# Fixed value: the marks that a word is parted from.
+MARKS = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+
+
+def parted(text: Column) -> Column:
+    """Words, a mark at the end, or else at the start, by itself."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def one(w: Column) -> Column:
+        n = F.char_length(w)
+        last = F.array(F.substring(w, F.lit(1), n - 1), F.substring(w, n, F.lit(1)))
+        first = F.array(F.substring(w, 1, 1), F.substring(w, F.lit(2), n))
+        return F.when(n == 1, F.array(w)).when(w.rlike(MARKS + "$"), last).when(w.rlike("^" + MARKS), first).otherwise(F.array(w))
+
+    return F.flatten(F.transform(words, one))
+
+
+# The steps of the standard tokenisation for BLEU.
+BLEU_STEPS = ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
+ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def bleu_words(text: Column) -> Column:
+    out = F.replace(F.replace(F.replace(text, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
+    for entity, plain in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(plain))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for pattern, sound in BLEU_STEPS:
+        out = F.regexp_replace(out, pattern, sound)
+    return F.filter(F.split(out, r"\s+"), lambda w: w != "")
+
+
+def chrf(rows: DataFrame, ref: str, hyp: str, chars: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
+    """One row: the F-score of character and word n-grams in percent, from corpus totals; precision and recall are
+    means over the orders that both sides have."""
+    units = lambda c: {"char": letters(F.col(c)), "word": parted(F.col(c))}
+    counts = matched(rows, units(ref), units(hyp), {"char": chars, "word": words}).where("of_ref > 0 AND of_hyp > 0")
+    p, r = F.avg(F.col("shared") / F.col("of_hyp")), F.avg(F.col("shared") / F.col("of_ref"))
+    return counts.agg(F.coalesce(100 * F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0)).alias("chrf"))
+
+
+def bleu(rows: DataFrame, ref: str, hyp: str, most: int = 4) -> DataFrame:
+    """One row: BLEU in percent from corpus totals; an order without a match counts half of one, then a quarter, and so on."""
+    counts = matched(rows, {"w": bleu_words(F.col(ref))}, {"w": bleu_words(F.col(hyp))}, {"w": most}).where("of_hyp > 0")
+    listed = counts.agg(F.array_sort(F.collect_list(F.struct("order", "shared", "of_hyp", "of_ref"))).alias("o"))
+    missed = lambda o, x: F.size(F.filter(o, lambda y: (y["order"] <= x["order"]) & (y["shared"] == 0)))
+    logs = F.transform("o", lambda x: F.log(F.when(x["shared"] > 0, x["shared"] / x["of_hyp"]).otherwise(1 / (F.pow(F.lit(2.0), missed(F.col("o"), x)) * x["of_hyp"]))))
+    total = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size("o")
+    n_hyp, n_ref = F.get("o", 0)["of_hyp"], F.get("o", 0)["of_ref"]
+    brevity = F.when(n_hyp < n_ref, F.exp(1 - n_ref / n_hyp)).otherwise(1.0)
+    # without a longest n-gram there is no score
+    return listed.select(F.when(F.size("o") == most, 100 * brevity * F.exp(total)).otherwise(0.0).alias("bleu"))
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Twice what two sets share by their sizes; 0 for two empty ones."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, 0.0).otherwise(2 * F.size(F.array_intersect(a, b)) / both)
+
+
+def remapped(ids: DataFrame, table: DataFrame, strict: bool, unknown: int = 0) -> DataFrame:
+    """ids (with a column id) with new_id from table (id, new_id). An id that the table has not fails the job if strict, else
+    it becomes unknown."""
+    joined = ids.join(table, "id", "left")
+    gone = F.raise_error(F.concat(F.lit("no longer in the vocabulary: "), F.col("id").cast("string"))).cast("long") if strict else F.lit(unknown).cast("long")
+    return joined.withColumn("new_id", F.coalesce(F.col("new_id").cast("long"), gone))
+
+
+def projected(words: Column, pieces: Column, labels: Column, budget: int, ignored: int = -100) -> Column:
+    """A label for each piece and for the marks at both ends: a word's on its first piece, `ignored` elsewhere. Words are taken
+    whole, as long as they fit the budget with the marks; pieces has the number of each word's pieces."""
+    ends = F.transform(pieces, lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    # the first word that does not fit, or has no piece, ends the row
+    bad = F.transform(ends, lambda e, i: F.when((e > budget - 2) | (F.get(pieces, i) == 0), i))
+    taken = F.coalesce(F.array_min(F.array_compact(bad)), F.size(words))
+    spread = F.transform(F.slice(pieces, F.lit(1), taken), lambda n, i: F.concat(F.array(F.get(labels, i)), F.array_repeat(F.lit(ignored), n - 1)))
+    return F.concat(F.array(F.lit(ignored)), F.flatten(spread), F.array(F.lit(ignored)))
