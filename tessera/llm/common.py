@@ -89,7 +89,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 #: Rows that are numbered by one task, on average.
-SUB_ROWS = 100_000
+SUB_ROWS = 16_384
 
 
 def fresh(df: DataFrame, name: str) -> str:
