@@ -49,7 +49,7 @@ def correlation(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
 
 
-def runs(units: Column, order: int) -> Column:
+def runs(units: Column, order: Column) -> Column:
     """All runs of that many units, each as one string."""
     last = F.size(units) - order + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
@@ -63,8 +63,10 @@ def matched(rows: DataFrame, ref: dict[str, Column], hyp: dict[str, Column], ord
     base = rows.withColumn(key, F.monotonically_increasing_id())
 
     def grams(units: dict[str, Column], name: str) -> DataFrame:
-        each = [F.transform(runs(units[k], n), lambda g: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("order"), g.alias("g"))) for k, most in orders.items() for n in range(1, most + 1)]  # noqa: B023
-        return base.select(key, F.inline(F.concat(*each))).groupBy(key, "kind", "order", "g").agg(F.count("*").alias(name))
+        # units are made once for each row and kind, before the fan-out to orders
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(most).alias("most"), units[k].alias("units")) for k, most in orders.items()])
+        each = base.select(key, F.inline(kinds)).select(key, "kind", "units", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("order"))
+        return each.select(key, "kind", "order", F.explode(runs(F.col("units"), F.col("order"))).alias("g")).groupBy(key, "kind", "order", "g").agg(F.count("*").alias(name))
 
     both = grams(ref, "r").join(grams(hyp, "h"), [key, "kind", "order", "g"], "full_outer").na.fill(0, ["r", "h"])
     return both.groupBy("kind", "order").agg(F.sum(F.least("r", "h")).alias("shared"), F.sum("r").alias("of_ref"), F.sum("h").alias("of_hyp"))

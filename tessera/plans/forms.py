@@ -107,7 +107,8 @@ def ipa(word: str) -> str:
     for letter, others in phonemes.FOLDS.items():
         low = f"replace({low}, '{letter}', '{others}')"
     out = low
-    for pattern, sound in phonemes.rules():
+    doubled = [(c * 2, c + phonemes.LONG) for c in phonemes.LETTERS if c not in phonemes.VOWELS]
+    for pattern, sound in [*doubled, *phonemes.rules()]:
         out = f"regexp_replace({out}, '{pattern}', '{sound.replace('$1', chr(92) + '1')}', 'g')"
     out = "translate({}, '{}', '{}')".format(out, *phonemes.swapped())
     for letter, sound in phonemes.spread().items():
