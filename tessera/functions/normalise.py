@@ -141,8 +141,16 @@ def on_texts(f, returns: str = "string"):
     return F.pandas_udf(batch, returns)
 
 
+#: What is white space in ASCII, apart from the line break.
+_BLANK = r"[ \t\r\f\x0B\x1C-\x1F]"
+
+
 def normalised(text: Column) -> Column:
-    return on_texts(normalise)(text)
+    """The canonical form. Rules for letters concern no ASCII text, so these take built-in functions, only the others Python."""
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), _BLANK + r"+\n", "\n"), r"\n" + _BLANK + "+", "\n")
+    plain = F.regexp_replace(lines, rf"^(?:{_BLANK}|\n)+|(?:{_BLANK}|\n)+\z", "")
+    return F.coalesce(on_texts(normalise)(F.when(~ascii_, text)), F.when(ascii_, plain))
 
 
 def fingerprint(text: Column) -> Column:

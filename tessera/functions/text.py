@@ -150,6 +150,17 @@ def ngrams(text: Column, size: int) -> Column:
     return let(tokens(F.lower(text)), of)
 
 
+def ngram_hashes(text: Column, size: int) -> Column:
+    """The hash of the token n-gram at each place of the lower-cased text."""
+
+    def of(own: Column) -> Column:
+        n = F.size(own) - size + 1
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, F.lit(size))))
+        return F.when(n < 1, F.array().cast("array<bigint>")).otherwise(hashes)
+
+    return let(tokens(F.lower(text)), of)
+
+
 def strip_html(text: Column) -> Column:
     return squeeze(F.regexp_replace(text, "<[^>]*>", " "))
 

@@ -31,24 +31,34 @@ def either_side_first(rows: DataFrame, left: str, right: str, order: str, max_ro
 
     The pass is settled in rounds instead of one by one: among undecided rows, one that is first on both its
     sides stays, and undecided rows that share a side with one that stays go. Every round decides at least the first
-    undecided row; with few repeats a handful of rounds decide all. Rounds are written to the checkpoint folder.
+    undecided row; with few repeats a handful of rounds decide all. What a round leaves open and what it keeps are written to
+    the checkpoint folder, which must be set; the open rows of a round are freed after the next.
     """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a shared folder: rounds are written there")
+    root = f"{folder.rstrip('/')}/either-{uuid.uuid4().hex[:12]}"
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
     open_ = rows
     kept = None
-    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
     for turn in range(max_rounds):
         by_left, by_right = Window.partitionBy(left), Window.partitionBy(right)
         marked = open_.withColumns({"_l": F.min(order).over(by_left), "_r": F.min(order).over(by_right)})
         stays = (F.col("_l") == F.col(order)) & (F.col("_r") == F.col(order))
         marked = marked.withColumn("_stays", stays)
         marked = marked.withColumns({"_taken_l": F.max("_stays").over(by_left), "_taken_r": F.max("_stays").over(by_right)})
-        if folder:
-            path = f"{folder.rstrip('/')}/either-{uuid.uuid4().hex[:12]}"
-            marked.write.parquet(path)
-            marked = rows.sparkSession.read.schema(marked.schema).parquet(path)
-        own = marked.where("_stays").select(*rows.columns)
+        marked = saved(marked, f"round-{turn}")
+        own = saved(marked.where("_stays").select(*rows.columns), f"kept-{turn}")
         kept = own if kept is None else kept.unionByName(own)
-        open_ = marked.where("NOT _stays AND NOT _taken_l AND NOT _taken_r").select(*rows.columns)
+        open_ = saved(marked.where("NOT _stays AND NOT _taken_l AND NOT _taken_r").select(*rows.columns), f"open-{turn}")
+        for old in (f"round-{turn}", f"open-{turn - 1}"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         if open_.isEmpty():
-            break
-    return kept
+            return kept
+    raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ngrams
+from tessera.functions.text import ngram_hashes, ngrams, tokens
 
 #: Rows up to which the benchmark side is sent to every task.
 BROADCAST_ROWS = 500_000
@@ -22,10 +22,17 @@ def exact_matches(corpus: DataFrame, benchmark: DataFrame, key: str) -> DataFram
 
 
 def ngram_matches(corpus: DataFrame, benchmark: DataFrame, row: str, item: str, text: str = "text", size: int = 8) -> DataFrame:
-    """(row, item, shared) for each corpus row and item that share n-grams; texts shorter than size match nothing."""
-    grams = benchmark.select(F.col(item), F.explode(ngrams(F.col(text), size)).alias("gram"))
-    own = corpus.select(F.col(row), F.explode(ngrams(F.col(text), size)).alias("gram"))
-    return own.join(bounded(grams), "gram").groupBy(row, item).agg(F.count("*").alias("shared"))
+    """(row, item, shared) for each corpus row and item that share n-grams; texts shorter than size match nothing.
+
+    The corpus' n-grams are compared by a hash of their tokens, so none is spelled out; the few places that meet are read
+    again and confirmed on the n-grams themselves."""
+    grams = benchmark.select(F.col(item), F.explode(ngrams(F.col(text), size)).alias("gram")).withColumn("_h", F.xxhash64(F.split("gram", " ")))
+    own = corpus.select(F.col(row), F.posexplode(ngram_hashes(F.col(text), size)).alias("_at", "_h"))
+    met = own.join(bounded(grams.select("_h").distinct()), "_h").groupBy(row).agg(F.collect_set("_at").alias("_places"))
+    again = corpus.select(row, text).join(bounded(met), row)
+    spelled = F.array_distinct(F.transform("_places", lambda i: F.array_join(F.slice(tokens(F.lower(F.col(text))), i + 1, size), " ")))
+    found = again.select(row, F.explode(spelled).alias("gram"))
+    return found.join(bounded(grams.drop("_h")), "gram").groupBy(row, item).agg(F.count("*").alias("shared"))
 
 
 def scan(corpus: DataFrame, benchmark: DataFrame, row: str, item: str, size: int = 8) -> DataFrame:

@@ -1,16 +1,36 @@
-"""Orders that become batches and blocks, without one task for all rows."""
+"""Orders that become batches and blocks. Numeric orders are cut into cells, so that no task orders a whole group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.leaks import bounded
+
+
+#: Rows of a cell, on average, and the most cells.
+CELL_ROWS, CELLS = 100_000, 4_096
+
+
+def running(rows: DataFrame, group: str, by: Column, order: list, amount: Column, name: str, total: str) -> DataFrame:
+    """rows with the sum of amount up to each row of its group, in order, and the group's total. by is a number along which
+    order runs; its quantiles cut all rows into cells, whose sums give each its offset."""
+    n = min(CELLS, rows.count() // CELL_ROWS + 1)
+    cuts = rows.select(by.cast("double").alias("b")).agg(F.percentile_approx("b", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+    cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < by)) if cuts else F.lit(0)
+    dealt = rows.withColumns({"_cell": cell, "_amount": amount})
+    sums = dealt.groupBy(group, "_cell").agg(F.sum("_amount").alias("_sum"))
+    along = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(group, "_cell", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(group)).alias(total))
+    inside = Window.partitionBy(group, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumn(name, F.sum("_amount").over(inside)).join(bounded(offsets), [group, "_cell"])
+    return ranked.withColumn(name, F.col("_before") + F.col(name)).drop("_cell", "_amount", "_before")
+
 
 def blocks(docs: DataFrame, shard: str, order: str, tokens: str, size: int) -> DataFrame:
     """Documents of each shard are strung together with one separator each and cut into blocks of `size`: for every document the
     first and last block that it reaches, and whether it ends in the dropped tail of its shard."""
-    run = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = docs.withColumn("end", F.sum(F.col(tokens) + 1).over(run)).withColumn("total", F.sum(F.col(tokens) + 1).over(Window.partitionBy(shard)))
+    ends = running(docs, shard, F.col(order), [order], F.col(tokens) + 1, "end", "total")
     start = F.col("end") - F.col(tokens) - 1
     whole = F.floor(F.col("total") / size)
     return ends.select(shard, order, F.floor(start / size).alias("first_block"), F.floor((F.col("end") - 1) / size).alias("last_block"), (F.col("end") > whole * size).alias("in_tail"))
@@ -25,5 +45,5 @@ def distinct_cluster_batches(rows: DataFrame, cluster: str, order: str, size: in
 
 def length_batches(rows: DataFrame, group: str, length: str, key: str, size: int) -> DataFrame:
     """In each group, longest first in batches of `size`; the key restores the order."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(length), key)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("long"))
+    placed = running(rows, group, -F.col(length), [F.desc(length), key], F.lit(1), "_place", "_total")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place", "_total")

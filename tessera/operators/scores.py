@@ -37,10 +37,10 @@ def error_rate(edits: Column, size: Column) -> Column:
     return F.sum(edits) / F.sum(size)
 
 
-def average_rank(value: str, within: list[str] | None = None) -> Column:
-    """Fractional ranks: ties share the mean of their places."""
-    own = Window.partitionBy(*(within or [F.lit(0)]))
-    ties = Window.partitionBy(*(within or [F.lit(0)]), value)
+def average_rank(value: str, within: list[str]) -> Column:
+    """Fractional ranks in each group: ties share the mean of their places."""
+    own = Window.partitionBy(*within)
+    ties = Window.partitionBy(*within, value)
     return F.rank().over(own.orderBy(value)) + (F.count("*").over(ties) - 1) / 2
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import align, corrupt, labels, normalise, text
 from tessera.functions.normalise import on_texts
-from tessera.operators import dedup, scores, splits
+from tessera.operators import dedup, leaks, scores, splits
 from tessera.plans.relations import KEY_SQL, LEXICON_SQL, keyed, lexicon
 from tessera.plans import forms
 from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
@@ -452,7 +452,7 @@ def v01_retrieval_metrics(spark, sf):
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     target = q.join(e.select((F.col("vec_id") - 1).alias("q"), F.col("embedding").alias("tv")), "q")
     at = target.withColumn("at", F.round(text.cosine(F.col("qv"), F.col("tv")), 9)).drop("tv")
-    nearer = e.join(F.broadcast(at), F.col("vec_id") != F.col("q")).groupBy("q").agg((1 + F.count_if(F.round(text.cosine(F.col("qv"), F.col("embedding")), 9) > F.col("at"))).alias("rank"))
+    nearer = e.join(leaks.bounded(at), F.col("vec_id") != F.col("q")).groupBy("q").agg((1 + F.count_if(F.round(text.cosine(F.col("qv"), F.col("embedding")), 9) > F.col("at"))).alias("rank"))
     return nearer.agg(F.round(F.avg((F.col("rank") <= 5).cast("int")), 6).alias("recall_at_5"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
 
 
@@ -463,7 +463,7 @@ def v01_retrieval_metrics(spark, sf):
 def v02_nearest_neighbours(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    near = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("neighbour"), F.round(text.cosine(F.col("qv"), F.col("embedding")), 9).alias("sim"))
+    near = e.join(leaks.bounded(q), F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("neighbour"), F.round(text.cosine(F.col("qv"), F.col("embedding")), 9).alias("sim"))
     return dedup.first_per_group(near, ["query"], [F.desc("sim"), "neighbour"], 3).select("query", "neighbour")
 
 

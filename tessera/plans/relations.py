@@ -526,8 +526,7 @@ def t14_few_shots(spark, sf):
 
 @query("SELECT item_id, row_number() OVER (ORDER BY md5('mix:' || item_id), item_id) AS place FROM benchmark")
 def t15_permutation(spark, sf):
-    order = Window.orderBy(splits.draw_order(F.col("item_id"), "mix"), "item_id")
-    return table(spark, sf, "benchmark").select("item_id", F.row_number().over(order).cast("long").alias("place"))
+    return splits.placed(table(spark, sf, "benchmark").select("item_id"), "item_id", "mix").select("item_id", (F.col("_place") + 1).alias("place"))
 
 
 @query(

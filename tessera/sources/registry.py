@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.leaks import bounded
+
 SIZE = T.StructType([T.StructField(n, T.DoubleType() if n == "hours" else T.LongType()) for n in ("rows", "bytes", "sentences", "tokens", "hours", "articles")])
 SOURCE = T.StructType(
     [T.StructField(n, T.StringType(), n in ("checksum", "notes")) for n in ("id", "name", "modality", "tier", "access", "uri", "licence")]
@@ -132,7 +134,7 @@ def placement(tier: Column, modality: Column, path: Column, size: Column) -> Col
 
 def compose(stats: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Kept rows and shares by redistribution class; sources without an entry count as unregistered."""
-    joined = stats.join(F.broadcast(catalogue.select(F.col("id").alias("source_id"), "redistribution")), "source_id", "left")
+    joined = stats.join(bounded(catalogue.select(F.col("id").alias("source_id"), "redistribution")), "source_id", "left")
     by_class = joined.groupBy(F.coalesce("redistribution", F.lit("unregistered")).alias("redistribution")).agg(F.sum("kept").alias("kept"))
     total = by_class.agg(F.sum("kept").alias("total"))
     return by_class.join(F.broadcast(total)).select("redistribution", "kept", (F.col("kept") / F.col("total")).alias("share"))
