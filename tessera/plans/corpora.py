@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import corrupt, normalise, phonemes, plugins, text
 from tessera.operators import columns, lexicon
 from tessera.plans.relations import lexicon as word_list
-from tessera.plans import forms
+from tessera.plans import forms, whole
 from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
 from tessera.sources import readers, registry
 from tessera.session import table
@@ -124,7 +124,7 @@ def s24_directed_rows(spark, sf):
 @query()
 def c02_pair_columns(spark, sf):
     """Both text columns of the pairs are scored in one pass; with no marked letters here no own column is claimed."""
-    scored = columns.score_columns(pairs(spark, sf))
+    scored = columns.score_columns(pairs(spark, sf), 1 << 30)
     return spark.createDataFrame([(s.name, round(s.own, 6), round(s.english, 6), s.language) for s in scored], "name string, own double, english double, language string")
 
 
@@ -235,11 +235,7 @@ def v15_rules_cover(spark, sf):
     return read.agg(F.count("ipa").alias("readable"), F.count_if(F.col("ipa") == F.col("attested")).alias("reproduced"), F.count("*").alias("words"))
 
 
-@query("SELECT lang, line, count(*) AS n FROM (SELECT DISTINCT lang, string_split(text, chr(10))[1] AS line FROM documents) GROUP BY ALL HAVING length(line) BETWEEN 20 AND 300")
+@query(whole.ORACLES["v21_whole_pools"])
 def v21_language_pools(spark, sf):
-    """Unique usable first lines of each language's pool."""
-    pools = [docs(spark, sf).where(F.col("lang") == c).select(F.lit(c).alias("lang"), F.get(F.split("text", "\n"), 0).alias("line")) for c in ("en", "fr", "de", "es")]
-    union = pools[0]
-    for p in pools[1:]:
-        union = union.unionByName(p)
-    return union.distinct().where(F.char_length("line").between(20, 300)).groupBy("lang", "line").agg(F.count("*").alias("n"))
+    """Unique usable sentences of each language."""
+    return whole.v21_whole_pools(spark, sf)
\ No newline at end of file

@@ -396,3 +396,22 @@ def v11_documents_by_stem(spark, sf):
     files = docs(spark, sf).where("doc_id % 7 <> 3").select(name.alias("name"), "n_chars")
     side = lambda suffix, n: files.where(F.col("name").endswith(suffix)).select(F.split_part("name", F.lit("."), F.lit(1)).alias("stem"), F.col("n_chars").alias(n))
     return side(".kab", "own_chars").join(side(".eng", "other_chars"), "stem")
+
+
+def pooled(column: str, words: list[str]) -> str:
+    own = f"regexp_extract_all(lower({column}), '\\p{{L}}+')"
+    return f"sum(len(list_filter({own}, lambda w: w IN ({', '.join(map(forms.quoted, words))})))) / sum(len({own}))"
+
+
+def side(column: str) -> str:
+    return f"SELECT '{column}' AS name, {column_score(column)} AS own, {pooled(column, text.ENGLISH)} AS english, {pooled(column, text.FRENCH)} AS french FROM ({pairs_sql})"
+
+
+#: Twins of queries in other modules that state the same as one here.
+ORACLES["a11_word_error_rate"] = ORACLES["a11_word_errors"]
+ORACLES["j09_full_cascade"] = ORACLES["j09_all_routes"]
+ORACLES["j17_disjoint_splits"] = ORACLES["j17_sealed_splits"]
+ORACLES["k10_checksums"] = ORACLES["k10_checksums_of_a_file"]
+ORACLES["f03_pair_defects"] = f"SELECT conv_id, turn, {DEFECTS} AS defects, len(list_intersect({DEFECTS}, [{', '.join(map(forms.quoted, text.HARD_DEFECTS))}])) > 0 AS hard FROM ({pairs_sql})"
+ORACLES["c02_pair_columns"] = f"""SELECT name, round(own, 6) AS own, round(english, 6) AS english, CASE WHEN greatest(english, french) < {columns.LEAST_RATE} THEN 'other' WHEN english >= french * {columns.MARGIN} THEN 'eng' WHEN french >= english * {columns.MARGIN} THEN 'fra' ELSE 'other' END AS language
+    FROM ({side('left_text')} UNION ALL {side('right_text')})"""

@@ -9,7 +9,7 @@ from tessera.functions import align, corrupt, labels, normalise, text
 from tessera.functions.normalise import on_texts
 from tessera.operators import dedup, leaks, scores, splits
 from tessera.plans.relations import KEY_SQL, LEXICON_SQL, keyed, lexicon
-from tessera.plans import forms
+from tessera.plans import forms, whole
 from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
 from tessera.plans.texts import CLASS_SQL, word_class
 from tessera.session import table
@@ -283,15 +283,10 @@ def a20_word_frequencies(spark, sf):
     return docs(spark, sf).select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM documents WHERE lang = 'es') GROUP BY w HAVING count(*) >= 2),
-    s AS (SELECT n, unnest(flatten(list_transform(range(1, length(w) + 1), lambda i: list_transform(range(2, least(5, length(w) - i + 2)), lambda k: substr(w, i, k))))) AS piece FROM w)
-    SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY piece"""
-)
+@query(whole.ORACLES["a21_whole_substring_counts"])
 def a21_substring_counts(spark, sf):
-    """Substrings of 2 to 4 characters, weighted by the counts of the words that occur twice or more."""
-    counts = docs(spark, sf).where("lang = 'es'").select(F.explode(text.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 2")
-    return counts.select("n", F.explode(F.concat(*[pieces_at(F.col("w"), k) for k in (2, 3, 4)])).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
+    """Pieces of 1 to 16 characters of all words, with the word start."""
+    return whole.a21_whole_substring_counts(spark, sf)
 
 
 @query("SELECT c AS character, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM (SELECT source, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
@@ -431,11 +426,10 @@ def a37_document_measures(spark, sf):
     )
 
 
-@query("SELECT lang, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer FROM (SELECT lang, substr(text, 1, 200) AS a, lower(substr(text, 1, 200)) AS b FROM documents) GROUP BY lang")
+@query(whole.ORACLES["a39_whole_references"])
 def a39_corrected_against_uncorrected(spark, sf):
-    """Openings of 200 characters, as the operator's sentence-sized unit."""
-    a = F.substring("text", 1, 200)
-    return docs(spark, sf).select("lang", a.alias("a"), F.lower(a).alias("b")).groupBy("lang").agg(F.round(scores.error_rate(F.levenshtein("a", "b"), F.char_length("a")), 6).alias("cer"))
+    """Whole texts against their lower case."""
+    return whole.a39_whole_references(spark, sf)
 
 
 VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
@@ -467,14 +461,10 @@ def v02_nearest_neighbours(spark, sf):
     return dedup.first_per_group(near, ["query"], [F.desc("sim"), "neighbour"], 3).select("query", "neighbour")
 
 
-@query(f"SELECT w AS word, row_number() OVER (ORDER BY w) - 1 AS new_id FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents WHERE lang = 'es')")
+@query(whole.ORACLES["v03_whole_vocabulary"])
 def v03_reachable_vocabulary(spark, sf):
-    """New ids by ascending order; numbered within first letters, whose counts give the offsets."""
-    words = docs(spark, sf).where("lang = 'es'").select(F.explode(text.words(F.col("text"))).alias("word")).distinct().withColumn("cell", F.substring("word", 1, 1))
-    cells = words.groupBy("cell").agg(F.count("*").alias("n"))
-    before = cells.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("word")) - 1
-    return words.join(F.broadcast(before), "cell").select("word", place.alias("new_id"))
+    """New ids by ascending order, of the words of all documents."""
+    return whole.v03_whole_vocabulary(spark, sf)
 
 
 @query("SELECT DISTINCT c AS character, CASE WHEN lower(c) <> c AND regexp_matches(lower(c), '[a-z]') THEN lower(c) ELSE translate(c, 'éèêçñóíáüöäß', 'eeecnoiauoas') END AS donor FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE regexp_matches(c, '[^a-z]') AND regexp_matches(c, '\\p{L}')")
@@ -583,11 +573,10 @@ def v24_retitled(spark, sf):
     return docs(spark, sf).select("doc_id", F.regexp_replace("text", r"\A[^\n]*", "Title").alias("retitled"))
 
 
-@query(f"SELECT doc_id, CAST(unnest(range(0, greatest(0, len({TOKENS('text')}) - 63), 64)) AS BIGINT) AS start FROM documents")
+@query(whole.ORACLES["v25_stream_windows"])
 def v25_token_windows(spark, sf):
-    n = F.size(text.tokens(F.col("text")))
-    starts = F.when(n >= 64, F.sequence(F.lit(0), n - 64, F.lit(64))).otherwise(F.array().cast("array<int>"))
-    return docs(spark, sf).select("doc_id", F.explode(starts.cast("array<long>")).alias("start"))
+    """Windows over one stream of tokens."""
+    return whole.v25_stream_windows(spark, sf)
 
 
 @query("SELECT name, round(avg(CASE WHEN n_chars > 0 THEN share END), 6) AS score FROM (SELECT 'text' AS name, length(text) AS n_chars, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text) AS share FROM documents UNION ALL SELECT 'source', length(source), length(regexp_replace(source, '[^\\p{L}]', '', 'g')) / length(source) FROM documents) GROUP BY name")

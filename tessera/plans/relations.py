@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import dedup, leaks, packing, scores, splits
+from tessera.plans import whole
 from tessera.plans.hygiene import sql_key
 from tessera.plans.shared import TOKENS, WORDS, docs, pairs, pairs_sql
 from tessera.plans.texts import SENTENCES_SQL
@@ -33,14 +34,10 @@ def keyed(df, column="text"):
     return df.withColumn("key", sql_key(F.col(column)))
 
 
-@query(
-    f"""SELECT d.doc_id FROM (SELECT doc_id, {KEY_SQL.format("string_split(text, chr(10))[1]")} AS key FROM documents) d
-    WHERE NOT EXISTS (SELECT 1 FROM (SELECT {KEY_SQL.format("string_split(text, chr(10))[1]")} AS key FROM benchmark) b WHERE b.key = d.key)"""
-)
+@query(whole.ORACLES["j01_whole_blocklist"])
 def j01_benchmark_blocklist(spark, sf):
-    head = lambda df: df.withColumn("head", F.get(F.split("text", "\n"), 0))
-    blocked = keyed(head(table(spark, sf, "benchmark")), "head").select(F.col("key").alias("bad"))
-    return leaks.without(keyed(head(docs(spark, sf)), "head"), blocked, ["key"], "bad").select("doc_id")
+    """Whole texts and every line against whole items and their lines."""
+    return whole.j01_whole_blocklist(spark, sf)
 
 
 def GRAMS(name: str, k: int = 8) -> str:
@@ -153,14 +150,14 @@ def lexicon(spark, sf):
     return counts.where("n >= 5").select("form", upos.alias("upos"))
 
 
-PROBE_SQL = f"""x AS ({LEXICON_SQL}), w AS (SELECT DISTINCT unnest({TOKENS('text')}) AS word FROM documents WHERE lang = 'en'),
+PROBE_SQL = f"""x AS ({LEXICON_SQL}), w AS (SELECT DISTINCT unnest({TOKENS('text')}) AS word FROM documents),
     p AS (SELECT word, unnest([{{'r': 0, 'f': word}}, {{'r': 1, 'f': CASE WHEN contains(word, '-') AND length(split_part(word, '-', 1)) >= 2 THEN split_part(word, '-', 1) END}}, {{'r': 2, 'f': lower(word)}}]) AS p FROM w)"""
 
 
 @query(f"WITH {PROBE_SQL} SELECT word, min(p.r) AS route FROM p JOIN x ON x.form = p.f GROUP BY word")
 def j09_probe_cascade(spark, sf):
     """Exact, clitic head, lower case: the first probe with a reading wins."""
-    words = docs(spark, sf).where("lang = 'en'").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    words = docs(spark, sf).select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
     probes = words.select("word", F.posexplode(F.array("word", text.clitic_head(F.col("word")), F.lower("word"))).alias("route", "form"))
     return probes.join(lexicon(spark, sf), "form").groupBy("word").agg(F.min("route").alias("route"))
 

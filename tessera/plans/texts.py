@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import align, corrupt, labels, normalise, phonemes, script, segment, text
-from tessera.plans import forms
+from tessera.plans import forms, whole
 from tessera.plans.shared import LETTERS, ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql, sql_list, squeezed
 from tessera.session import table
 
@@ -250,10 +250,10 @@ def x13_spoken_target(spark, sf):
     return docs(spark, sf).select("doc_id", normalise.on_texts(labels.spoken)(T()).alias("target"))
 
 
-@query("SELECT conv_id, turn, translate(text, '“”„«»❝❞‘’‚—–⁃', '\"\"\"\"\"\"\"''''''---') AS folded FROM conversations WHERE text NOT LIKE '%\\_%' ESCAPE '\\'")
+@query(whole.ORACLES["x16_whole_typography"])
 def x16_typography(spark, sf):
-    rows = table(spark, sf, "conversations").where(~T().contains("_"))
-    return rows.select("conv_id", "turn", text.fold_typography(T()).alias("folded"))
+    """Emphasis marks, quotation marks and dashes of all turns."""
+    return whole.x16_whole_typography(spark, sf)
 
 
 @query()

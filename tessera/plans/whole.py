@@ -1,28 +1,40 @@
-"""Whole-table forms of queries whose SQL twins read a part of the rows, lines or characters.
-
-They have no SQL twin; tests/test_whole.py holds them against plain Python.
-"""
+"""Operators over whole tables and whole texts, each with its SQL twin; tests/test_whole.py also holds them against plain Python."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import script, text
 from tessera.operators import leaks, scores
+from tessera.operators.packing import running
+from tessera.plans import forms
 from tessera.plans.hygiene import sql_key
-from tessera.plans.shared import docs
+from tessera.plans.shared import TOKENS, WORDS, docs, squeezed
 from tessera.session import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+#: What stands before a word in its pieces, and the longest piece.
+METASPACE, MAX_PIECE = "▁", 16
+
+SENTENCE = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: {squeezed('x')}), lambda x: x <> '')"
+USABLE = f"""NOT regexp_matches(line, '\\{{\\{{|\\}}\\}}|\\[\\[|\\]\\]|\\||https?://') AND len({TOKENS('line')}) BETWEEN 5 AND 120 AND length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) > 0
+    AND length(regexp_replace(regexp_replace(line, '[^\\p{{L}}]', '', 'g'), '[^\\p{{Latin}}]', '', 'g')) >= 0.8 * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g'))"""
+LINE_KEYS = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^\\p{L}]+', ' ', 'g'))), lambda k: k <> '')"
+KEYS = f"list_filter(list_append({LINE_KEYS}, array_to_string({LINE_KEYS}, ' ')), lambda k: k <> '')"
+EMPHASIS = "regexp_replace({}, '(^|[^\\p{{L}}\\p{{N}}])_([^_\\n]{{1,200}})_([^\\p{{L}}\\p{{N}}]|$)', '\\1\\2\\3', 'g')"
+PIECES = "flatten(list_transform(range(1, length(m) + 1), lambda i: list_transform(range(1, least(16, length(m) - i + 1) + 1), lambda k: substr(m, i, k))))"
 
 
 def lowered_rate(rows: DataFrame) -> DataFrame:
@@ -35,35 +47,31 @@ def lowered_rate(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang").agg(F.round(scores.error_rate(edits, F.char_length("text")), 6).alias("cer"))
 
 
-@query
+@query("SELECT lang, round(sum(length(regexp_replace(text, '[^\\p{Lu}]', '', 'g'))) / sum(length(text)), 6) AS cer FROM documents GROUP BY lang")
 def a39_whole_references(spark, sf):
     return lowered_rate(docs(spark, sf))
 
 
-@query
+@query("SELECT doc_id, replace(text, 'e', '') AS kept, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS n_removed FROM documents")
 def m13_whole_skeletons(spark, sf):
     return docs(spark, sf).select("doc_id", script.skeleton(F.col("text")).alias("s")).select("doc_id", "s.kept", F.size("s.places").cast("long").alias("n_removed"))
 
 
-@query
+@query(f"SELECT conv_id, turn, translate({EMPHASIS.format(EMPHASIS.format('text'))}, '“”„«»❝❞‘’‚—–⁃', '\"\"\"\"\"\"\"---') AS folded FROM conversations")
 def x16_whole_typography(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.fold_typography(F.col("text")).alias("folded"))
 
 
-@query
+@query(f"SELECT doc_id, {forms.WIKITEXT} AS plain FROM documents")
 def x22_whole_wikitext(spark, sf):
     return docs(spark, sf).select("doc_id", text.strip_wikitext(F.col("text")).alias("plain"))
 
 
-@query
+@query("SELECT doc_id, translate(text, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted FROM documents")
 def x28_whole_corruption(spark, sf):
     return docs(spark, sf).select("doc_id", F.translate("text", "ɛɣƐƔ", "εγΣΓ").alias("corrupted"))
 
 
-#: What stands before a word in its pieces, and the longest piece.
-METASPACE, MAX_PIECE = "▁", 16
-
-
 def pieces_of(word: Column) -> Column:
     """All substrings of 1 to MAX_PIECE characters of the word with its start mark."""
     marked = F.concat(F.lit(METASPACE), word)
@@ -78,7 +86,7 @@ def substring_counts(rows: DataFrame) -> DataFrame:
     return counts.select("n", F.explode(pieces_of(F.col("w"))).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-@query
+@query(f"WITH w AS (SELECT '{METASPACE}' || w AS m, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM documents) GROUP BY w HAVING count(*) >= 2), s AS (SELECT n, unnest({PIECES}) AS piece FROM w) SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY piece")
 def a21_whole_substring_counts(spark, sf):
     return substring_counts(docs(spark, sf))
 
@@ -92,7 +100,7 @@ def vocabulary_ids(rows: DataFrame) -> DataFrame:
     return words.join(F.broadcast(before), "cell").select("word", place.alias("new_id"))
 
 
-@query
+@query(f"SELECT w AS word, row_number() OVER (ORDER BY w) - 1 AS new_id FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents)")
 def v03_whole_vocabulary(spark, sf):
     return vocabulary_ids(docs(spark, sf))
 
@@ -103,7 +111,8 @@ def pools(rows: DataFrame) -> DataFrame:
     return lines.where(text.usable_line(F.col("line"))).groupBy("lang", "line").agg(F.min(F.struct("doc_id", "place")).alias("first")).select("lang", "line", "first.doc_id", "first.place")
 
 
-@query
+@query(f"""WITH s AS (SELECT lang, doc_id, unnest({SENTENCE}) AS line, generate_subscripts({SENTENCE}, 1) - 1 AS place FROM documents)
+    SELECT lang, line, min(doc_id) AS doc_id, CAST(arg_min(place, (doc_id, place)) AS INTEGER) AS place FROM s WHERE {USABLE} GROUP BY lang, line""")
 def v21_whole_pools(spark, sf):
     return pools(docs(spark, sf))
 
@@ -124,27 +133,17 @@ def without_items(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.select("doc_id").join(found, "doc_id", "left_anti")
 
 
-@query
+@query(f"WITH b AS (SELECT DISTINCT unnest({KEYS}) AS k FROM benchmark), d AS (SELECT doc_id, unnest({KEYS}) AS k FROM documents) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN b USING (k))")
 def j01_whole_blocklist(spark, sf):
     return without_items(docs(spark, sf), table(spark, sf, "benchmark"))
 
 
-#: Stretches of the documents in which token counts run up; the stretches' totals give each its offset.
-STRETCHES = 256
-
-
 def stream_windows(rows: DataFrame, window: int = 64) -> DataFrame:
     """Windows over one stream of all tokens in the order of doc_id: number, and document and token at which it starts.
 
     Only a remainder shorter than a window is left over. Repeated doc_ids stand in the order of their texts."""
-    counted = rows.select("doc_id", F.sha2("text", 256).alias("digest"), F.greatest(F.size(text.tokens(F.col("text"))), F.lit(0)).cast("long").alias("n"))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / STRETCHES for i in range(1, STRETCHES)], 0.001)))
-    cell = F.udf(lambda x: -1 if x is None else bisect_right(cuts, x), "int")
-    placed = counted.withColumn("cell", cell("doc_id"))
-    totals = placed.groupBy("cell").agg(F.sum("n").alias("of"))
-    ahead = totals.select("cell", F.coalesce(F.sum("of").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("of").over(Window.partitionBy(F.lit(1))).alias("total"))
-    inside = Window.partitionBy("cell").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ahead), "cell").withColumn("offset", F.col("ahead") + F.col("before"))
+    counted = rows.select("doc_id", F.lit(0).alias("stream"), F.sha2("text", 256).alias("digest"), F.greatest(F.size(text.tokens(F.col("text"))), F.lit(0)).cast("long").alias("n"))
+    at = running(counted, "stream", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), [F.asc_nulls_first("doc_id"), "digest"], F.col("n"), "end", "total").withColumn("offset", F.col("end") - F.col("n"))
     w = F.lit(window)
     first = F.ceil(F.col("offset") / w)
     last = F.least(F.ceil((F.col("offset") + F.col("n")) / w), F.floor(F.col("total") / w)) - 1
@@ -152,6 +151,9 @@ def stream_windows(rows: DataFrame, window: int = 64) -> DataFrame:
     return at.select("doc_id", "offset", F.explode(numbers).alias("window")).select("window", "doc_id", (F.col("window") * w - F.col("offset")).alias("start"))
 
 
-@query
+@query(
+    f"""WITH n AS (SELECT doc_id, len({TOKENS('text')}) AS n, sha256(text) AS digest FROM documents), o AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id, digest) - n AS begins, sum(n) OVER () AS total FROM n),
+    w AS (SELECT doc_id, begins, unnest(range(CAST(ceil(begins / 64) AS BIGINT), CAST(least(ceil((begins + n) / 64), floor(total / 64)) AS BIGINT))) AS k FROM o) SELECT k AS "window", doc_id, CAST(k * 64 - begins AS BIGINT) AS start FROM w"""
+)
 def v25_stream_windows(spark, sf):
     return stream_windows(docs(spark, sf))
