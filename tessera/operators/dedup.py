@@ -27,7 +27,8 @@ def most_frequent(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def either_side_first(rows: DataFrame, left: str, right: str, order: str, max_rounds: int = 1_000_000) -> DataFrame:
-    """Greedy pass in order: a row stays if neither side was seen on a row that stayed.
+    """Greedy pass in order: a row stays if neither side was seen on a row that stayed. Rows of equal order stand in that of
+    their sides; of rows with equal sides only the first can stay.
 
     The pass is settled in rounds instead of one by one: among undecided rows, one that is first on both its
     sides stays, and undecided rows that share a side with one that stays go. Every round decides at least the first
@@ -44,13 +45,13 @@ def either_side_first(rows: DataFrame, left: str, right: str, order: str, max_ro
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    open_ = rows
+    open_ = first_copies(rows, [left, right], [order])
+    total = F.struct(order, left, right)
     kept = None
     for turn in range(max_rounds):
         by_left, by_right = Window.partitionBy(left), Window.partitionBy(right)
-        marked = open_.withColumns({"_l": F.min(order).over(by_left), "_r": F.min(order).over(by_right)})
-        stays = (F.col("_l") == F.col(order)) & (F.col("_r") == F.col(order))
-        marked = marked.withColumn("_stays", stays)
+        marked = open_.withColumn("_own", total)
+        marked = marked.withColumn("_stays", (F.min("_own").over(by_left) == F.col("_own")) & (F.min("_own").over(by_right) == F.col("_own")))
         marked = marked.withColumns({"_taken_l": F.max("_stays").over(by_left), "_taken_r": F.max("_stays").over(by_right)})
         marked = saved(marked, f"round-{turn}")
         own = saved(marked.where("_stays").select(*rows.columns), f"kept-{turn}")

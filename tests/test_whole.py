@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.functions import script, text
+from tessera.functions import corrupt, script, segment, text
 from tessera.plans import catalogue, whole
 
 DOCS = "doc_id long, text string, lang string"
@@ -86,3 +86,87 @@ def test_windows_of_one_stream(spark):
     got = {r["window"]: (r["doc_id"], r["start"]) for r in whole.stream_windows(docs).collect()}
     assert got == {w: stream[w * 64] for w in range(len(stream) // 64)}
     assert whole.stream_windows(docs.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def by_doc(rows, value):
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["place"])):
+        out.setdefault(r["doc_id"], []).append(value(r))
+    return out
+
+
+def test_units_of_the_documents(spark, sf_dir, texts):
+    got = by_doc(catalogue.queries()["x19_units"](spark, sf_dir).collect(), lambda r: (r["text"], r["prefix"], r["suffix"]))
+    assert got == {i: [(u.text, u.prefix, u.suffix) for u in segment.units(t)] for i, t in texts.items()}
+    assert all("".join(p + x + s for x, p, s in own) == segment.unwrap(texts[i]) for i, own in got.items())
+
+
+def test_seeded_changes_of_the_documents(spark, sf_dir, texts):
+    got = by_doc(catalogue.queries()["x32_line_chunks"](spark, sf_dir).collect(), lambda r: r["line"])
+    for i, lines in got.items():
+        assert " ".join(lines).split() == texts[i].split()
+        assert all(len(x) <= 80 or " " not in x for x in lines)
+        # a line is only ended where the next word would not fit the widest line
+        assert all(len(a) + 1 + len(b.split(" ")[0]) > 30 for a, b in zip(lines, lines[1:], strict=False))
+    informal = {r["doc_id"]: r["informal"] for r in catalogue.queries()["x29_informal_spelling"](spark, sf_dir).collect()}
+    assert informal == {i: corrupt.misspell(t) for i, t in texts.items()}
+
+
+def test_shouted_lines_of_the_documents(spark, sf_dir, texts):
+    def soft(line):
+        def fold(p):
+            only = "".join(c for c in p if c.isalpha())
+            if not only or re.fullmatch("[IVXLCDM]+", only) or re.fullmatch(r"(?:[^\W\d_]\.){2,}", p.strip("\"'()[]“”‘’«»")):
+                return p
+            at = next(k for k, c in enumerate(p) if c.isalpha())
+            return p[:at] + p[at].upper() + p[at + 1 :].lower()
+
+        return "".join(map(fold, re.findall(r"\S+|\s+", line)))
+
+    lines = {(i, k): x for i, t in texts.items() for k, x in enumerate(t.split("\n"))}
+    runs = {k: re.findall(r"[^\W\d_]{2,}", x) for k, x in lines.items()}
+    want = {k: soft(lines[k]) for k, own in runs.items() if len(own) >= 2 and all(w == w.upper() and w.lower() != w for w in own)}
+    assert {(r["doc_id"], r["line"]): r["soft"] for r in catalogue.queries()["x17_shouted_lines"](spark, sf_dir).collect()} == want
+    rows = spark.createDataFrame([(0, "THE END OF PART XIV, BY A.B. (NOW)\nA line\nOK", "en"), (1, "DES ÉTÉS", "fr")], DOCS)
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in rows.select(text.soften(F.split("text", "\n")[0])).collect()] == ["The End Of Part XIV, By A.B. (Now)", "Des Étés"]
+
+
+def test_greedy_pass_over_orders(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()
+    first: dict = {}
+    for r in rows:
+        key, seq = (r["l_partkey"], r["l_suppkey"]), r["l_orderkey"] * 10 + r["l_linenumber"]
+        first[key] = min(seq, first.get(key, seq))
+    left, right, kept = set(), set(), set()
+    for (a, b), seq in sorted(first.items(), key=lambda x: (x[1], *x[0])):
+        if a not in left and b not in right:
+            kept.add((a, b, seq))
+            left.add(a)
+            right.add(b)
+    assert {tuple(r) for r in catalogue.queries()["u08_either_side"](spark, sf_dir).collect()} == kept
+
+
+def test_tokenizer_evaluation_of_the_documents(spark, sf_dir):
+    import base64
+
+    import tiktoken
+
+    from tessera.plans.files import VOCABULARY
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(VOCABULARY, "rb").read().splitlines() if x.strip())}
+    enc = tiktoken.Encoding("t", pat_str=r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+    tally: dict = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        own = tally.setdefault(r["lang"], [0, 0, 0])
+        own[0] += len(enc.encode_ordinary(r["text"]))
+        own[1] += len(r["text"].split())
+        own[2] += r["n_chars"]
+    got = {r["lang"]: (r["tokens_per_word"], r["tokens_per_char"], r["not_restored"]) for r in catalogue.queries()["a38_tokenizer_evaluation"](spark, sf_dir).collect()}
+    assert got == {k: (pytest.approx(a / b, abs=1e-4), pytest.approx(a / c, abs=1e-4), 0) for k, (a, b, c) in tally.items()}
