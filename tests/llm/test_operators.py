@@ -539,6 +539,17 @@ def test_added_columns_leave_others_alone(spark, sf_dir):
         assert all(r[name] != 1 for r in got.collect())
 
 
+@pytest.mark.parametrize("name", sorted(q.ORACLES))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(q.ORACLES[name])
+    got = q.QUERIES[name](spark, sf_dir).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_queries_keep_to_their_contracts(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     part = lambda i, n: zlib.crc32(str(i).encode()) % n
