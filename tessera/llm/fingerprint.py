@@ -140,10 +140,16 @@ def peeled_out(cells: DataFrame, width: int, scratch: Scratch, level: int) -> tu
         found.append(state.where("slot < 0").select("pos", "kind", F.col("of").alias("x"), "c"))
         state = state.where("slot >= 0")
         if not state.where(reduce(or_, [pure(s, width) for s in range(SUBTABLES)])).limit(1).count():
-            # a digest that was recovered twice, or on no single side, is a false one
-            wrong = reduce(DataFrame.unionByName, found).groupBy("pos", "kind", "x").agg(F.sum("c").alias("c")).where("abs(c) <> 1")
-            return found, state.select("pos", "kind").union(wrong.select("pos", "kind")).distinct()
+            break
         turn += 1
+    # a digest that was recovered twice, or on no single side, is a false one; only pairs that took more than one pass
+    # can have it in two tables
+    wrong = found[0].where("abs(c) <> 1").select("pos", "kind")
+    if turn:
+        late = reduce(DataFrame.unionByName, found[1:]).select("pos", "kind").distinct()
+        again = reduce(DataFrame.unionByName, found).join(small(late, late.count()), ["pos", "kind"], "left_semi")
+        wrong = wrong.union(again.groupBy("pos", "kind", "x").agg(F.sum("c").alias("c")).where("abs(c) <> 1").select("pos", "kind"))
+    return found, state.select("pos", "kind").union(wrong).distinct()
 
 
 def version_pairs(versions: DataFrame, width: int, parts: int) -> DataFrame:
