@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,9 +120,11 @@ def chrf(rows: DataFrame, ref: str, hyp: str, chars: int = 6, words: int = 2, be
     return counts.agg(F.coalesce(100 * F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0)).alias("chrf"))
 
 
-def bleu(rows: DataFrame, ref: str, hyp: str, most: int = 4) -> DataFrame:
-    """One row: BLEU in percent from corpus totals; an order without a match counts half of one, then a quarter, and so on."""
-    counts = matched(rows, {"w": bleu_words(F.col(ref))}, {"w": bleu_words(F.col(hyp))}, {"w": most}).where("of_hyp > 0")
+def bleu(rows: DataFrame, ref: str, hyp: str, most: int = 4, units: Callable[[str], Column] | None = None) -> DataFrame:
+    """One row: BLEU in percent from corpus totals; an order without a match counts half of one, then a quarter, and so on.
+    units makes the array of a column's units: its words if not given."""
+    cut = units or (lambda c: bleu_words(F.col(c)))
+    counts = matched(rows, {"w": cut(ref)}, {"w": cut(hyp)}, {"w": most}).where("of_hyp > 0")
     listed = counts.agg(F.array_sort(F.collect_list(F.struct("order", "shared", "of_hyp", "of_ref"))).alias("o"))
     missed = lambda o, x: F.size(F.filter(o, lambda y: (y["order"] <= x["order"]) & (y["shared"] == 0)))
     logs = F.transform("o", lambda x: F.log(F.when(x["shared"] > 0, x["shared"] / x["of_hyp"]).otherwise(1 / (F.pow(F.lit(2.0), missed(F.col("o"), x)) * x["of_hyp"]))))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import corpora, evaluation, files, hygiene, measures, readings, relations, texts, whole
+from tessera.plans import corpora, evaluation, files, hygiene, measures, readings, relations, subwords, texts, whole
 
-MODULES = (hygiene, texts, relations, measures, corpora, files, readings, evaluation, whole)
+MODULES = (hygiene, texts, relations, measures, corpora, files, readings, evaluation, whole, subwords)
 
 
 def queries() -> dict[str, Callable]:
