@@ -69,7 +69,7 @@ def test_search_of_odd_rows(spark, monkeypatch):
     vectors = [(int(i), [float(x) for x in rng.normal(0, 0.3, 6)]) for i in range(300)]
     hot = [0.5, -0.25, 0.125, 0.0, 0.75, -0.5]
     vectors += [(1000 + i, hot) for i in range(70)]  # one vector of many rows, several of them queries
-    vectors += [(40, vectors[40][1]), (40, hot), (None, hot), (None, None), (60, None), (80, [1.0, None, 0, 0, 0, 0]), (100, [float("nan")] * 6), (120, [float("inf")] * 6), (140, [0.3, 0.2]), (160, []), (-20, [0.0] * 6)]
+    vectors += [(40, vectors[40][1]), (40, hot), (None, hot), (None, None), (60, None), (80, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (100, [float("nan")] * 6), (120, [float("inf")] * 6), (140, [0.3, 0.2]), (160, []), (-20, [0.0] * 6)]
     rows = [(i, v, None, 7, "clash") for i, v in vectors]
     integers = [(i, None if v is None or any(x is None or not math.isfinite(x) for x in v) else [math.floor(64 * x) for x in v]) for i, v in vectors]
     for k in (3, 20):
