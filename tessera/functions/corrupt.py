@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
-import re
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tessera.functions.normalise import RULES, on_texts
+from tessera.functions.text import let
 
 # Informal spellings with their weights, and the probabilities of each kind of change.
 SPELLINGS = {
-    "ɣ": [("gh", 0.75), ("r", 0.25)],
+    "ɣ": [("gh", 0.75), ("g", 0.10), ("3", 0.08), ("8", 0.07)],
+    "x": [("kh", 0.85), ("k", 0.10), ("5", 0.05)],
     "c": [("ch", 0.75), ("c", 0.20), ("sh", 0.05)],
     "č": [("tch", 0.70), ("ch", 0.20), ("tc", 0.10)],
-    "ǧ": [("dj", 0.80), ("j", 0.15), ("g", 0.05)],
+    "ğ": [("dj", 0.80), ("j", 0.15), ("g", 0.05)],
     "ḍ": [("dh", 0.75), ("d", 0.25)],
     "ṭ": [("th", 0.70), ("t", 0.30)],
     "ṣ": [("s", 0.75), ("ss", 0.25)],
@@ -27,38 +30,58 @@ SPELLINGS = {
 UNCHANGED, OU, SUBSTITUTED, HYPHEN, SHORTENED = 0.15, 0.45, 0.90, 0.50, 0.25
 LOOKALIKES = {"ɛ": "ε", "ɣ": "γ", "Ɛ": "Σ", "Ɣ": "Γ"}
 LOOKALIKE_TABLE = str.maketrans(LOOKALIKES)
+#: Hexadecimal digits of a draw: 52 bits, so a double holds it exactly.
+DIGITS = 13
+#: The prepositions that are typed as one letter; applied twice, as neighbours share the blank between them.
+SHORT_FORMS = ((r"(^|[^\p{L}\p{N}_])deg\s+", "$1g "), (r"(^|[^\p{L}\p{N}_])seg\s+", "$1s "))
 
 
-def misspell(text: str, seed: str = "informal") -> str:
-    rng = random.Random(hashlib.sha256(f"{seed}:{text}".encode()).digest())
-    if rng.random() < UNCHANGED:
-        return text
-
-    def letter(c: str) -> str:
-        low = c.lower()
-        if low == "u" and rng.random() < OU:
-            return "ou" if c == low else "Ou"
-        if low not in SPELLINGS or rng.random() >= SUBSTITUTED:
-            return c
-        drawn = rng.choices(*zip(*SPELLINGS[low], strict=True))[0]
-        return drawn if c == low else drawn.capitalize()
-
-    out = "".join(map(letter, text))
-    if "-" in out and rng.random() < HYPHEN:
-        out = out.replace("-", rng.choice((" ", "")))
-    if rng.random() < SHORTENED:
-        out = re.sub(r"\b(?:de|se)g\s+", lambda m: "g " if m[0][0] == "d" else "s ", out)
-    return out
+def bound(p: float) -> str:
+    """The digits that a draw of a probability below p stays under; digits are compared as they stand."""
+    return "g" if p >= 1 else f"{math.ceil(p * 16**DIGITS):0{DIGITS}x}"
+
+
+def below(digest: Column, k: int, p: float) -> Column:
+    """Whether the kth draw from [0, 1) that a digest holds, from 0, is below p."""
+    return F.substring(digest, 1 + DIGITS * k, DIGITS) < bound(p)
+
+
+def cumulated(options: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Options with the upper ends of their parts of [0, 1)."""
+    ends = [round(sum(w for _, w in options[: k + 1]), 9) for k in range(len(options))]
+    return [(to, end) for (to, _), end in zip(options, ends, strict=True)]
 
 
 def misspelled(text: Column, seed: str = "informal") -> Column:
-    return on_texts(lambda t: misspell(t, seed))(text)
+    """An informal spelling, drawn from digests of the text itself, so that order and partitioning do not matter.
+
+    One digest for the row decides whether it stays, its hyphens and its prepositions; one for each letter of the table, whether
+    it is replaced and by what. An upper-case letter gets a capitalised spelling."""
+    options = F.create_map(*[x for c, listed in SPELLINGS.items() for x in (F.lit(c), F.array(*[F.struct(F.lit(bound(end)).alias("end"), F.lit(to).alias("to")) for to, end in cumulated(listed)]))])
+
+    def letter(own: Column, c: Column, i: Column) -> Column:
+        low = F.lower(c)
+        cased = lambda to: F.when(c == low, to).otherwise(F.concat(F.upper(F.substring(to, 1, 1)), F.substring(to, 2, 9)))
+        chosen = lambda h: F.filter(F.element_at(options, low), lambda o: F.substring(h, 1 + DIGITS, DIGITS) < o["end"])[0]["to"]
+        changed = lambda h: F.when(low == "u", F.when(below(h, 0, OU), cased(F.lit("ou"))).otherwise(c)).when(below(h, 0, SUBSTITUTED), cased(chosen(h))).otherwise(c)
+        return F.when((low == "u") | low.isin(list(SPELLINGS)), let(F.md5(F.concat(own, F.lit(":"), (i + 1).cast("string"))), changed)).otherwise(c)
+
+    def whole(own: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(text, ""), lambda c, i: letter(own, c, i)), "")
+        return let(F.sha2(F.concat(own, F.lit(":row")), 256), lambda row: F.when(below(row, 0, UNCHANGED), text).otherwise(let(spelled, lambda out: ended(row, out))))
+
+    def ended(row: Column, out: Column) -> Column:
+        parted = F.when(F.contains(out, F.lit("-")) & below(row, 1, HYPHEN), F.replace(out, F.lit("-"), F.when(below(row, 2, 0.5), " ").otherwise(""))).otherwise(out)
+        short = parted
+        for pattern, to in SHORT_FORMS:
+            short = F.regexp_replace(F.regexp_replace(short, pattern, to), pattern, to)
+        return F.when(below(row, 3, SHORTENED), short).otherwise(parted)
+
+    return let(F.sha2(F.concat(F.lit(f"{seed}:"), text), 256), whole)
 
 
 def lookalike(text: Column) -> Column:
     """The homoglyph condition; every pair must be one that normalisation undoes."""
-    from pyspark.sql import functions as F
-
     wrong = [c for c, fake in LOOKALIKES.items() if RULES.letters.get(fake) != c]
     if wrong:
         raise ValueError(f"normalisation would not undo {wrong}")

@@ -1,4 +1,4 @@
-"""Choice of text columns by content: one aggregate pass over a sample scores every column, the driver picks."""
+"""Choice of text columns by content: one aggregate pass scores every column, the driver picks."""
 
 from __future__ import annotations
 
@@ -54,8 +54,13 @@ def states_language(name: str, names: frozenset[str] = OWN_NAMES) -> bool:
     return any(low == n or low.endswith(f"_{n}") or low.startswith(f"{n}_") for n in names)
 
 
-def score_columns(df: DataFrame, rows: int = SAMPLE_ROWS) -> list[ColumnScore]:
-    """Counts are summed over the first rows and only then divided: rates are pooled, not averaged."""
+def sampled(df: DataFrame, order: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The first rows by a stated order: a top-k, so each task sends no more than that many."""
+    return df.orderBy(*order).limit(rows)
+
+
+def score_columns(df: DataFrame) -> list[ColumnScore]:
+    """Counts are summed over all rows and only then divided: rates are pooled, not averaged. For a sample see sampled()."""
     names = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     if not names:
         return []
@@ -76,7 +81,7 @@ def score_columns(df: DataFrame, rows: int = SAMPLE_ROWS) -> list[ColumnScore]:
             F.count_if(F.trim(value) != "").alias(f"filled{i}"),
             F.coalesce(F.every(value.rlike(r"^[\d\s.,:%+-]*$")), F.lit(True)).alias(f"numeric{i}"),
         ]
-    got = df.limit(rows).agg(F.count("*").alias("n"), *aggregates).first()
+    got = df.agg(F.count("*").alias("n"), *aggregates).first()
     ratio = lambda a, b: (a or 0) / b if b else 0.0
     out = []
     for i, name in enumerate(names):

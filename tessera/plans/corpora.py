@@ -10,7 +10,7 @@ from tessera.functions import corrupt, normalise, phonemes, plugins, text
 from tessera.operators import columns, lexicon
 from tessera.plans.relations import lexicon as word_list
 from tessera.plans import forms, whole
-from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
+from tessera.plans.shared import FULL_ORTHOGRAPHY_SQL, ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_full_orthography, in_orthography, pairs, pairs_sql
 from tessera.sources import readers, registry
 from tessera.session import table
 
@@ -124,7 +124,7 @@ def s24_directed_rows(spark, sf):
 @query()
 def c02_pair_columns(spark, sf):
     """Both text columns of the pairs are scored in one pass; with no marked letters here no own column is claimed."""
-    scored = columns.score_columns(pairs(spark, sf), 1 << 30)
+    scored = columns.score_columns(pairs(spark, sf))
     return spark.createDataFrame([(s.name, round(s.own, 6), round(s.english, 6), s.language) for s in scored], "name string, own double, english double, language string")
 
 
@@ -135,9 +135,11 @@ def x15_folded_affricates(spark, sf):
     return phonemes.readings(names, none).select("word", phonemes.fold_affricates(F.col("ipa")).alias("ipa"))
 
 
-@query()
+@query(f"SELECT doc_id, {forms.informal('t')} AS informal, t AS canonical FROM (SELECT doc_id, trim({FULL_ORTHOGRAPHY_SQL.format('text')}, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents) WHERE t <> ''")
 def x29_informal_spelling(spark, sf):
-    return docs(spark, sf).select("doc_id", corrupt.misspelled(F.col("text")).alias("informal"))
+    """Pairs of an informal and the canonical spelling of each text, in the full orthography; empty texts make none."""
+    canonical = F.trim(in_full_orthography(F.col("text")), F.lit(" \t\n\r"))
+    return docs(spark, sf).select("doc_id", canonical.alias("canonical")).where("canonical <> ''").select("doc_id", corrupt.misspelled(F.col("canonical")).alias("informal"), "canonical")
 
 
 @query(f"SELECT doc_id, translate({ORTHOGRAPHY_SQL.format('text')}, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted FROM documents")
@@ -219,11 +221,11 @@ def j09_full_cascade(spark, sf):
     return lexicon.analyse(words, entries).groupBy("route").agg(F.countDistinct("word").alias("words"), F.count("*").alias("readings"))
 
 
-@query("SELECT r_name AS document, CAST(count(*) AS BIGINT) AS pairs FROM region JOIN nation ON n_regionkey = r_regionkey WHERE lower(substr(r_name, 1, 1)) = lower(substr(n_name, 1, 1)) GROUP BY r_name")
+@query("SELECT conv_id AS document, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS pairs FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') = count(*) FILTER (role = 'assistant')")
 def v11_paired_by_stem(spark, sf):
-    stem = lambda c: F.lower(F.substring(c, 1, 1))
-    both = table(spark, sf, "region").join(table(spark, sf, "nation"), (F.col("n_regionkey") == F.col("r_regionkey")) & (stem("r_name") == stem("n_name")))
-    return both.groupBy(F.col("r_name").alias("document")).agg(F.count("*").alias("pairs"))
+    """Conversations as documents in two languages, one for each role: both sides of a stem are paired where they have as many lines."""
+    side = lambda role, n: table(spark, sf, "conversations").where(F.col("role") == role).groupBy(F.col("conv_id").alias("document")).agg(F.count("*").alias(n))
+    return side("user", "pairs").join(side("assistant", "others"), "document").where("pairs = others").drop("others")
 
 
 @query(f"SELECT CAST(count(ipa) AS BIGINT) AS readable, CAST(count(*) FILTER (ipa = attested) AS BIGINT) AS reproduced, CAST(count(*) AS BIGINT) AS words FROM (SELECT {forms.ipa('w')} AS ipa, {forms.ipa('strip_accents(w)')} AS attested FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents))")

@@ -287,7 +287,7 @@ CANDIDATES = {"plain": "text", "marked": ORTHOGRAPHY_SQL.format("text"), "code":
 def c01_chosen_column(spark, sf):
     """Of the plain text, the text in the orthography, a column of numbers and one named as metadata, the second is chosen by its content."""
     rows = docs(spark, sf).select(F.col("text").alias("plain"), in_orthography(F.col("text")).alias("marked"), F.col("doc_id").cast("string").alias("code"), in_orthography(F.col("text")).alias("lang_id"))
-    scored = columns.score_columns(rows, 1 << 30)
+    scored = columns.score_columns(rows)
     best = columns.own_column(scored)
     return spark.createDataFrame([(s.name, round(s.own, 6)) for s in scored if s.name == best], "name string, own double")
 
@@ -382,7 +382,7 @@ def f03_all_defects(spark, sf):
 @query(f"SELECT name, round(own, 6) AS own FROM (SELECT unnest([{{'name': 'left_text', 'own': {column_score('left_text')}}}, {{'name': 'right_text', 'own': {column_score('right_text')}}}], recursive := true) FROM ({pairs_sql}))")
 def c02_column_scores(spark, sf):
     """Both text columns of the pairs, scored in one pass over all rows."""
-    scored = columns.score_columns(pairs(spark, sf), 1 << 30)
+    scored = columns.score_columns(pairs(spark, sf))
     return spark.createDataFrame([(s.name, round(s.own, 6)) for s in scored if s.name.endswith("_text")], "name string, own double")
 
 

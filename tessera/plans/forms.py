@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from tessera.functions import labels, normalise, phonemes
+from tessera.functions import corrupt, labels, normalise, phonemes
 
 #: Blocks whose characters the tables cover.
 COVERED = [chr(c) for a, b in ((0x20, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2070)) for c in range(a, b)]
@@ -116,6 +116,24 @@ def ipa(word: str) -> str:
     return f"CASE WHEN regexp_full_match({low}, '[{phonemes.LETTERS}]*') THEN {out} END"
 
 
+def informal(text: str, seed: str = "informal") -> str:
+    """The informal spelling, drawn from digests as tessera.functions.corrupt does."""
+    below = lambda h, k, p: f"substr({h}, {1 + corrupt.DIGITS * k}, {corrupt.DIGITS}) < '{corrupt.bound(p)}'"
+    cased = lambda to: f"CASE WHEN c = lower(c) THEN {quoted(to)} ELSE {quoted(to[:1].upper() + to[1:])} END"
+    one = lambda listed: "CASE " + " ".join(f"WHEN {below('h', 1, end)} THEN {cased(to)}" for to, end in corrupt.cumulated(listed)) + " END"
+    table = " ".join(f"WHEN {quoted(c)} THEN CASE WHEN {below('h', 0, corrupt.SUBSTITUTED)} THEN {one(listed)} ELSE c END" for c, listed in corrupt.SPELLINGS.items())
+    letter = f"CASE WHEN contains('u{''.join(corrupt.SPELLINGS)}', lower(c)) THEN list_transform([md5(own || ':' || i)], lambda h: CASE lower(c) WHEN 'u' THEN CASE WHEN {below('h', 0, corrupt.OU)} THEN {cased('ou')} ELSE c END {table} END)[1] ELSE c END"
+    spelled = f"array_to_string(list_transform(string_split({text}, ''), lambda c, i: {letter}), '')"
+    parted = f"CASE WHEN contains(spelled, '-') AND {below('r', 1, corrupt.HYPHEN)} THEN replace(spelled, '-', CASE WHEN {below('r', 2, 0.5)} THEN ' ' ELSE '' END) ELSE spelled END"
+    short = "parted"
+    for pattern, to in corrupt.SHORT_FORMS:
+        for _ in range(2):
+            short = f"regexp_replace({short}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    ended = f"list_transform([{parted}], lambda parted: CASE WHEN {below('r', 3, corrupt.SHORTENED)} THEN {short} ELSE parted END)[1]"
+    rest = f"list_transform([{spelled}], lambda spelled: {ended})[1]"
+    return f"list_transform([sha256('{seed}:' || {text})], lambda own: list_transform([sha256(own || ':row')], lambda r: CASE WHEN {below('r', 0, corrupt.UNCHANGED)} THEN {text} ELSE {rest} END)[1])[1]"
+
+
 def affricates(sounds: str) -> str:
     for pair, single in phonemes.AFFRICATES.items():
         sounds = f"replace({sounds}, '{pair}', '{single}')"

@@ -272,9 +272,10 @@ def u02_distinct_keys(spark, sf):
     return table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def u03_difference(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").select("o_custkey"))
+    """Customers without an urgent order."""
+    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'fr'")

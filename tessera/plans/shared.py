@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import FOLD_FROM
 from tessera.session import table
 
 LETTERS = "length(regexp_replace(text, '[^\\p{L}]', '', 'g'))"
@@ -45,3 +46,25 @@ def in_orthography(text):
 
 
 ORTHOGRAPHY_SQL = "translate({}, 'egEG', 'ɛɣƐƔ')"
+
+
+#: What stands for the letters that informal spelling changes: the tables hold few of them.
+STANDING_IN, INFORMAL = "eghklmnrswyzECGS", "ɛɣxčğḍṭṣẓṛḥ-ƐČƔṢ"
+
+
+def in_full_orthography(text):
+    """The text with a letter of its own for each that informal spelling changes, hyphens, and the prepositions it shortens."""
+    return F.replace(F.replace(F.translate(text, STANDING_IN, INFORMAL), F.lit(" dɛ "), F.lit(" deg ")), F.lit(" of "), F.lit(" seg "))
+
+
+FULL_ORTHOGRAPHY_SQL = f"replace(replace(translate({{}}, '{STANDING_IN}', '{INFORMAL}'), ' dɛ ', ' deg '), ' of ', ' seg ')"
+#: Letters that stand for the marks of set type.
+SET_FROM = "abdfgklmpvwxy"
+
+
+def typeset(text):
+    """The text with words in emphasis and with quotation marks and dashes of set type, which the tables hold none of."""
+    return F.translate(F.regexp_replace(text, r" (\p{L}{2,4}) ", " _$1_ "), SET_FROM, FOLD_FROM)
+
+
+TYPESET_SQL = f"translate(regexp_replace({{}}, ' (\\p{{{{L}}}}{{{{2,4}}}}) ', ' _\\1_ ', 'g'), '{SET_FROM}', '{FOLD_FROM}')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import align, corrupt, labels, normalise, phonemes, script, segment, text
 from tessera.plans import forms, whole
-from tessera.plans.shared import LETTERS, ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql, sql_list, squeezed
+from tessera.plans.shared import LETTERS, ORTHOGRAPHY_SQL, TOKENS, TYPESET_SQL, WORDS, docs, in_orthography, pairs, pairs_sql, sql_list, squeezed, typeset
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -250,10 +250,11 @@ def x13_spoken_target(spark, sf):
     return docs(spark, sf).select("doc_id", normalise.on_texts(labels.spoken)(T()).alias("target"))
 
 
-@query(whole.ORACLES["x16_whole_typography"])
+@query(f"SELECT doc_id, {whole.folded('x')} AS folded, CAST(length(regexp_replace(x, '[^{text.FOLD_FROM}]', '', 'g')) AS INTEGER) AS marks FROM (SELECT doc_id, {TYPESET_SQL.format('text')} AS x FROM documents)")
 def x16_typography(spark, sf):
-    """Emphasis marks, quotation marks and dashes of all turns."""
-    return whole.x16_whole_typography(spark, sf)
+    """Documents set in type, folded, and how many marks of set type they had."""
+    own = typeset(T())
+    return docs(spark, sf).select("doc_id", text.fold_typography(own).alias("folded"), F.regexp_count(own, F.lit(f"[{text.FOLD_FROM}]")).alias("marks"))
 
 
 @query()

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import script, text
+from tessera.functions import corrupt, script, text
 from tessera.operators import leaks, scores
 from tessera.operators.packing import running
 from tessera.plans import forms
 from tessera.plans.hygiene import sql_key
-from tessera.plans.shared import TOKENS, WORDS, docs, squeezed
+from tessera.plans.shared import FULL_ORTHOGRAPHY_SQL, TOKENS, TYPESET_SQL, WORDS, docs, in_full_orthography, squeezed, typeset
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -57,9 +57,14 @@ def m13_whole_skeletons(spark, sf):
     return docs(spark, sf).select("doc_id", script.skeleton(F.col("text")).alias("s")).select("doc_id", "s.kept", F.size("s.places").cast("long").alias("n_removed"))
 
 
-@query(f"SELECT conv_id, turn, translate({EMPHASIS.format(EMPHASIS.format('text'))}, '“”„«»❝❞‘’‚—–⁃', '\"\"\"\"\"\"\"---') AS folded FROM conversations")
+def folded(column: str) -> str:
+    return f"translate({EMPHASIS.format(EMPHASIS.format(column))}, '{text.FOLD_FROM}', {forms.quoted(text.FOLD_TO)})"
+
+
+@query(f"SELECT conv_id, turn, {folded('x')} AS folded FROM (SELECT conv_id, turn, {TYPESET_SQL.format('text')} AS x FROM conversations)")
 def x16_whole_typography(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", text.fold_typography(F.col("text")).alias("folded"))
+    """Turns set in type, with emphasis, quotation marks and dashes."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.fold_typography(typeset(F.col("text"))).alias("folded"))
 
 
 @query(f"SELECT doc_id, {forms.WIKITEXT} AS plain FROM documents")
@@ -67,9 +72,11 @@ def x22_whole_wikitext(spark, sf):
     return docs(spark, sf).select("doc_id", text.strip_wikitext(F.col("text")).alias("plain"))
 
 
-@query("SELECT doc_id, translate(text, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted FROM documents")
+@query(f"SELECT doc_id, translate(x, 'ɛɣƐƔ', 'εγΣΓ') AS corrupted, CAST(length(regexp_replace(x, '[^ɛɣƐƔ]', '', 'g')) AS INTEGER) AS changed FROM (SELECT doc_id, {FULL_ORTHOGRAPHY_SQL.format('text')} AS x FROM documents)")
 def x28_whole_corruption(spark, sf):
-    return docs(spark, sf).select("doc_id", F.translate("text", "ɛɣƐƔ", "εγΣΓ").alias("corrupted"))
+    """Texts in the full orthography, of which four letters have look-alikes, and how many are changed."""
+    x = in_full_orthography(F.col("text"))
+    return docs(spark, sf).select("doc_id", corrupt.lookalike(x).alias("corrupted"), F.regexp_count(x, F.lit("[ɛɣƐƔ]")).alias("changed"))
 
 
 def pieces_of(word: Column) -> Column:
