@@ -192,7 +192,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     bounded_batches(spark)
     scratch, places = Scratch(spark, "vafile"), k + 1
     asked = queries.where("id IS NOT NULL AND v IS NOT NULL").select("id", "v")
-    classes = scratch.save(asked.groupBy("v").agg(F.min("id").alias("qid")), "queries")
+    # numbers are fixed once the table is written; an id can stand for several vectors
+    classes = scratch.save(asked.select("v").distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
     n, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = scratch.save(index(rows.where("v IS NOT NULL").select("id", "v"), places), "index")
     passes = max(1, -(-n * 8 * max(dims or 1, 1) // PASS_BYTES))
