@@ -63,7 +63,7 @@ def _padded(lists: pa.ListArray, dims: int) -> np.ndarray:
     if len(sizes) and (sizes == dims).all():
         return flat.reshape(len(sizes), dims)
     out = np.zeros((len(sizes), dims), dtype=np.int64)
-    for i, (begin, size) in enumerate(zip(np.cumsum([0, *sizes[:-1]]), sizes, strict=True)):
+    for i, (begin, size) in enumerate(zip(np.cumsum(sizes) - sizes, sizes, strict=True)):
         out[i, :size] = flat[begin : begin + size]
     return out
 
