@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.plans.shared import docs, squeezed
 from tessera.session import table
-from tessera.sources import readers, sinks
+from tessera.sources import landing, readers, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,11 +98,34 @@ def k08_filelist(spark, sf):
     return readers.exact_width(spark, path, "|", ["audio", "text", "speaker"]).withColumn("speaker", F.col("speaker").cast("int"))
 
 
+def landed(spark, rows, name: str, chunk: int):
+    """Texts written as files, then fetched from there by ranges: the files' states and the root they landed in."""
+    source, root = folder(spark, name), folder(spark, f"{name}-root")
+    sinks.plain_text(rows, "text", source)
+    files = sinks.checksums(spark, source).where("path LIKE '%part-%'")
+    manifest = files.select(F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("url"), F.col("length").alias("size"), "sha256")
+    return landing.land(manifest, root, chunk), root
+
+
 @query()
 def k10_checksums(spark, sf):
-    path = folder(spark, "landed")
-    sinks.plain_text(table(spark, sf, "benchmark").orderBy("item_id").coalesce(1), "text", path)
-    return sinks.checksums(spark, path).where("path LIKE '%part-%'").select("length", "sha256")
+    """The items in their order as one file, fetched by ranges of 4 kB: its size and its digest over the chunks."""
+    states, _ = landed(spark, table(spark, sf, "benchmark").orderBy("item_id").coalesce(1), "items", 4096)
+    return states.where("state = 'complete'").select(F.col("landed").alias("length"), "sha256")
+
+
+@query(f"SELECT 'complete' AS state, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM (SELECT {squeezed('text')} AS line FROM documents) WHERE line <> ''")
+def s33_transfer_states(spark, sf):
+    """The documents as files, fetched by ranges of 64 kB and verified: bytes by state."""
+    states, _ = landed(spark, docs(spark, sf), "documents", 65_536)
+    return states.where("size > 0").groupBy("state").agg(F.sum("landed").alias("bytes"))
+
+
+@query(f"SELECT line AS text, CAST(count(*) AS BIGINT) AS n FROM (SELECT {squeezed('text')} AS line FROM documents) WHERE line <> '' GROUP BY line")
+def s33_landed_lines(spark, sf):
+    """Lines of landed files, read from the chunks in parallel; most lines here cross an edge of a chunk of 1,000 bytes."""
+    _, root = landed(spark, docs(spark, sf), "lines", 1_000)
+    return landing.lines(landing.held(spark, root)).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_shipdate, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity > 45 GROUP BY l_shipdate")

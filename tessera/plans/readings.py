@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import corrupt, phonemes, text
 from tessera.plans import forms
 from tessera.plans.files import folder
-from tessera.plans.shared import WORDS, docs, in_orthography, pairs, pairs_sql
+from tessera.plans.shared import WORDS, docs, in_orthography, pairs, pairs_sql, squeezed
 from tessera.session import table
 from tessera.sources import lexicon, readers, registry, sinks
 
@@ -76,6 +76,21 @@ def s09_bundle_pairs(spark, sf):
     return readers.zip_pairs(spark, bundle(spark, sf), "kab", "en").select(F.col("line").cast("int").alias("line"), "kab", "en")
 
 
+@query(f"SELECT 'part' || part || '.en-kab.kab' AS member, kab, en, CAST(count(*) AS BIGINT) AS n FROM (SELECT conv_id % 4 AS part, {squeezed('left_text')} AS kab, {squeezed('right_text')} AS en FROM ({pairs_sql})) WHERE kab <> '' AND en <> '' GROUP BY ALL")
+def s09_turns_by_member(spark, sf):
+    """Questions and answers as a bundle of four pairs of members, each member read by a task of its own."""
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    rows = pairs(spark, sf).select((F.col("conv_id") % 4).alias("part"), squeeze("left_text").alias("kab"), squeeze("right_text").alias("en")).orderBy("part", "kab", "en")
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for part in range(4):
+            own = rows.where(F.col("part") == part).collect()
+            for side in ("kab", "en"):
+                z.writestr(f"part{part}.en-kab.{side}", "".join(f"{r[side]}\n" for r in own))
+    found = readers.zip_pairs(spark, put(spark, f"{folder(spark, 'turns')}.zip", data.getvalue()), "kab", "en")
+    return found.groupBy("member", "kab", "en").agg(F.count("*").alias("n"))
+
+
 @query("SELECT unnest(['.csv', '.jsonl', '.parquet', '.tsv', '.txt']) AS suffix, CAST(count(*) AS BIGINT) AS n, min(n_name) AS least FROM nation")
 def s07_by_suffix(spark, sf):
     """One table in five formats; the reader follows from the suffix."""

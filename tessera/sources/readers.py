@@ -3,8 +3,6 @@ Zip bundles and treebanks are not splittable by Spark: one task reads one file o
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import PurePosixPath
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources import landing
+
 #: Levels of nested records that become dotted columns.
 DEPTH = 3
 
@@ -81,47 +81,29 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("text")).where("text <> ''")
 
 
-def members(name: str, data: bytes, wanted) -> Iterator[tuple[str, list[str]]]:
-    with zipfile.ZipFile(io.BytesIO(data)) as bundle:
-        for member in bundle.namelist():
-            if wanted(member):
-                yield member, bundle.read(member).decode("utf-8", "replace").splitlines()
-
-
 def zip_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """One row for each non-blank line of every member with the suffix."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                for member, rows in members(name, data, lambda m: m.endswith(suffix)):
-                    kept = [(member, i, r.strip()) for i, r in enumerate(rows) if r.strip()]
-                    yield pd.DataFrame(kept, columns=["member", "line", "text"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(read, "member string, line long, text string")
+    """One row for each non-blank line of every member with the suffix; a member is read by one task, as a stream."""
+    rows = landing.zip_members(spark, path, suffix)
+    return rows.select("member", "line", stripped("text").alias("text")).where("text <> ''")
 
 
 def zip_pairs(spark: SparkSession, path: str, own: str, other: str) -> DataFrame:
-    """Line-aligned members of one stem: a row where both sides are non-blank. Unequal line counts fail the job."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                found = dict(members(name, data, lambda m: PurePosixPath(m).suffix in (f".{own}", f".{other}")))
-                for member, left in found.items():
-                    if not member.endswith(f".{own}"):
-                        continue
-                    right = found.get(member[: -len(own)] + other)
-                    if right is None:
-                        continue
-                    if len(left) != len(right):
-                        raise ReadError(f"{name}: {member} has {len(left)} lines, its other side {len(right)}")
-                    kept = [(member, i, a.strip(), b.strip()) for i, (a, b) in enumerate(zip(left, right, strict=True)) if a.strip() and b.strip()]
-                    yield pd.DataFrame(kept, columns=["member", "line", own, other])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(read, f"member string, line long, {own} string, {other} string")
+    """Line-aligned members of one stem: a row where both sides are non-blank. Unequal line counts fail the job; a member without
+    another side makes no rows. Lines are joined by their numbers, so a side of any length is spread over the tasks."""
+    rows = landing.zip_members(spark, path, f".{own}", f".{other}")
+    dot = F.char_length("member") - F.char_length(F.substring_index("member", ".", -1))
+    cut = rows.select("bundle", "line", F.substring("member", F.lit(1), dot).alias("stem"), F.substring_index("member", ".", -1).alias("side"), stripped("text").alias("text"))
+    found = cut.groupBy("bundle", "stem", "line").agg(*[F.max(F.when(F.col("side") == s, F.col("text"))).alias(s) for s in (own, other)])
+    sides = cut.groupBy("bundle", "stem").agg(F.count_distinct("side").alias("sides"))
+    # two rows for each pair of members
+    both = found.join(F.broadcast(sides.where("sides = 2").drop("sides")), ["bundle", "stem"])
+    message = F.concat("bundle", F.lit(": "), "stem", F.lit(" has sides of different numbers of lines, at line "), F.col("line").cast("string"))
+    checked = both.withColumn(own, F.when(F.col(own).isNull() | F.col(other).isNull(), F.raise_error(message).cast("string")).otherwise(F.col(own)))
+    return checked.where((F.col(own) != "") & (F.col(other) != "")).select(F.concat("stem", F.lit(own)).alias("member"), "line", own, other)
+
+
+def stripped(column: str) -> Column:
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 
 
 def record_pairs(df: DataFrame, own: str, other: str) -> DataFrame:
