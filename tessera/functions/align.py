@@ -1,46 +1,103 @@
-"""Edit distances over words and backtraced character alignments: sequential tables, so Arrow-batched."""
+"""Edit distances and alignments of texts of any length: a column of Levenshtein's table is two integers, a bit for each row.
+
+A step from one column to the next is a handful of operations on these integers, so 100,000 by 100,000 symbols take seconds
+and a few kB. Alignments need the way back, too: columns are kept at every square root of the length, and those between are
+made again, a stretch at a time, from the end to the beginning.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Hashable, Iterator, Sequence
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def table(a: Sequence, b: Sequence) -> list[list[int]]:
-    """Levenshtein's table, a row for each prefix of a."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, start=1):
-        up, row = rows[-1], [i]
-        for j, y in enumerate(b, start=1):
-            row.append(min(up[j - 1] + (x != y), up[j] + 1, row[j - 1] + 1))
-        rows.append(row)
-    return rows
-
-
-def distance(a: Sequence, b: Sequence) -> int:
-    return table(a, b)[-1][-1]
+def masks(a: Sequence[Hashable]) -> dict[Hashable, int]:
+    """The rows at which each symbol stands, as bits."""
+    places: dict[Hashable, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    size = (len(a) + 7) // 8
+    found = {}
+    for x, at in places.items():
+        bits = bytearray(size)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        found[x] = int.from_bytes(bits, "little")
+    return found
+
+
+def columns(rows: dict[Hashable, int], n: int, up: int, down: int, b: Sequence[Hashable]) -> Iterator[tuple[int, int, int, int]]:
+    """For each symbol of b the rows at which the table grows and falls from the row above (up, down), and from the column before
+    (right, left). The first row grows by one each column."""
+    every = (1 << n) - 1
+    for y in b:
+        equal = rows.get(y, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        left = diagonal & up
+        right = down | (every & ~(diagonal | up))
+        shifted = (right << 1) | 1
+        down = shifted & diagonal & every
+        up = ((left << 1) | ~(shifted | diagonal)) & every
+        yield up, down, right, left
+
+
+def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Insertions, deletions and substitutions that make b of a."""
+    n = len(a)
+    if not n or not len(b):
+        return max(n, len(b))
+    total, last = n, 1 << (n - 1)
+    for _, _, right, left in columns(masks(a), n, (1 << n) - 1, 0, b):
+        total += bool(right & last) - bool(left & last)
+    return total
 
 
 def alignment(a: str, b: str) -> list[tuple[str, str]]:
-    """Aligned characters, an empty one on the side of a gap; substitutions are taken before gaps."""
-    rows, i, j, out = table(a, b), len(a), len(b), []
-    while i or j:
-        here = rows[i][j]
-        if i and j and here == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((a[i], b[j]))
-        elif i and here == rows[i - 1][j] + 1:
-            i -= 1
-            out.append((a[i], ""))
-        else:
+    """Aligned characters, an empty one on the side of a gap; substitutions are taken before gaps, gaps of b before those of a."""
+    n, rows = len(a), masks(a)
+    every, step = (1 << n) - 1, isqrt(len(b)) + 1
+    kept = [(every, 0)]
+    for j, (up, down, _, _) in enumerate(columns(rows, n, every, 0, b), start=1):
+        if j % step == 0:
+            kept.append((up, down))
+    out: list[tuple[str, str]] = []
+    i, j = n, len(b)
+    while j:
+        # the stretch of columns that ends at j
+        first = (j - 1) // step * step
+        stretch = list(columns(rows, n, *kept[first // step], b[first:j]))
+        while j > first:
+            up, down, right, left = stretch[j - first - 1]
+            if i:
+                grows = (up >> (i - 1) & 1) - (down >> (i - 1) & 1)
+                along = (right >> (i - 2) & 1) - (left >> (i - 2) & 1) if i > 1 else 1
+                if grows + along == (a[i - 1] != b[j - 1]):
+                    i, j = i - 1, j - 1
+                    out.append((a[i], b[j]))
+                    continue
+                if grows == 1:
+                    i -= 1
+                    out.append((a[i], ""))
+                    continue
             j -= 1
             out.append(("", b[j]))
+    out += [(x, "") for x in reversed(a[:i])]
     return out[::-1]
 
 
+def edits(a: Column, b: Column) -> Column:
+    """Edits between the characters of two texts of any length."""
+
+    def batch(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([distance(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
+
+    return F.pandas_udf(batch, "long")(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Edits between white-space tokens."""
 

@@ -112,6 +112,38 @@ def m10_edit_distance(spark, sf):
     return both.select(F.col("a_n_nationkey").alias("a_key"), F.col("b_n_nationkey").alias("b_key"), F.levenshtein("a_n_name", "b_n_name").alias("edits"))
 
 
+ASCII_SQL = "regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g')"
+EDITED_SQL = "length(text) - length(replace(text, 'e', '')) + length(text) - length(replace(text, 'o', ''))"
+
+
+def edited(column):
+    """The text without one of its letters and with a sign for another, so that the edits can be counted in SQL."""
+    return F.translate(F.replace(column, F.lit("e"), F.lit("")), "o", "\x01")
+
+
+@query(f"SELECT doc_id, CAST({EDITED_SQL} AS BIGINT) AS edits FROM documents")
+def m10_whole_distance(spark, sf):
+    """Edits between each whole text and its edited form."""
+    return docs(spark, sf).select("doc_id", align.edits(T(), edited(T())).alias("edits"))
+
+
+@query(f"SELECT conv_id, turn, CAST(levenshtein({ASCII_SQL.format('left_text')}, {ASCII_SQL.format('right_text')}) AS BIGINT) AS edits FROM ({pairs_sql})")
+def m10_turn_distance(spark, sf):
+    """Edits between each question and its answer, characters beyond ASCII as one sign: the twin counts bytes."""
+    ascii_ = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    return pairs(spark, sf).select("conv_id", "turn", align.edits(ascii_("left_text"), ascii_("right_text")).alias("edits"))
+
+
+@query("""SELECT lang, CAST(sum(length(text) - length(regexp_replace(text, '[eo]', '', 'g'))) AS BIGINT) AS edited, CAST(sum(length(regexp_replace(text, '[eo]', '', 'g'))) AS BIGINT) AS matched,
+    CAST(sum(length(text) - length(replace(text, 'e', ''))) AS BIGINT) AS dropped, CAST(sum(length(text) - length(replace(text, 'o', ''))) AS BIGINT) AS replaced, CAST(0 AS BIGINT) AS added FROM documents GROUP BY lang""")
+def m11_whole_alignment(spark, sf):
+    """The aligned characters of each whole text and its edited form, counted by what became of them."""
+    p = docs(spark, sf).select("lang", F.inline(align.aligned(T(), edited(T()))))
+    of = lambda c: F.count_if(c)
+    ref, hyp = F.col("ref"), F.col("hyp")
+    return p.groupBy("lang").agg(of(ref != hyp).alias("edited"), of(ref == hyp).alias("matched"), of(hyp == "").alias("dropped"), of((ref != hyp) & (ref != "") & (hyp != "")).alias("replaced"), of(ref == "").alias("added"))
+
+
 @query(f"""WITH RECURSIVE {forms.aligned("SELECT a.n_name AS r, b.n_name AS h FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")}
     SELECT r AS ref_name, h AS hyp_name, place, ref, hyp FROM pairs_""")
 def m11_character_alignment(spark, sf):
