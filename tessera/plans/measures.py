@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import align, corrupt, labels, normalise, text
 from tessera.functions.normalise import on_texts
-from tessera.operators import dedup, leaks, scores, splits
+from tessera.operators import dedup, leaks, retrieval, scores, splits
 from tessera.plans.relations import KEY_SQL, LEXICON_SQL, keyed, lexicon
 from tessera.plans import forms, whole
 from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
@@ -435,6 +435,16 @@ def a39_corrected_against_uncorrected(spark, sf):
 VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 
 
+PREFIXES = (64, 32, 16)
+
+
+def retrieval_pairs(spark, sf):
+    """A stated query set, each query with the row after it as its target, and all rows as passages."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = e.where("id % 20 = 0").withColumn("target", F.col("id") + 1)
+    return q.join(e.select(F.col("id").alias("target"), F.col("v").alias("t")), "target"), e
+
+
 @query(
     f"""WITH q AS (SELECT vec_id, label, v FROM ({VEC}) WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id, e.vec_id AS other, round(list_cosine_similarity(q.v, e.v), 9) AS sim, e.vec_id = q.vec_id + 1 AS target FROM q JOIN ({VEC}) e ON e.vec_id <> q.vec_id),
     t AS (SELECT vec_id, sim AS hit FROM s WHERE target), r AS (SELECT s.vec_id, 1 + count(*) FILTER (sim > hit) AS rank FROM s JOIN t USING (vec_id) GROUP BY s.vec_id)
@@ -442,12 +452,22 @@ VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 )
 def v01_retrieval_metrics(spark, sf):
     """A stated query set against all passages: rank is one more than the passages strictly nearer than the target."""
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    target = q.join(e.select((F.col("vec_id") - 1).alias("q"), F.col("embedding").alias("tv")), "q")
-    at = target.withColumn("at", F.round(text.cosine(F.col("qv"), F.col("tv")), 9)).drop("tv")
-    nearer = e.join(leaks.bounded(at), F.col("vec_id") != F.col("q")).groupBy("q").agg((1 + F.count_if(F.round(text.cosine(F.col("qv"), F.col("embedding")), 9) > F.col("at"))).alias("rank"))
-    return nearer.agg(F.round(F.avg((F.col("rank") <= 5).cast("int")), 6).alias("recall_at_5"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
+    queries, passages = retrieval_pairs(spark, sf)
+    found = retrieval.metrics(retrieval.ranks(queries, passages, PREFIXES[:1]))
+    return found.select(F.round("recall_at_5", 6).alias("recall_at_5"), F.round("mrr", 6).alias("mrr"))
+
+
+@query(
+    f"""WITH d AS (SELECT unnest({list(PREFIXES)}) AS dims), e AS (SELECT dims, vec_id, v[:dims] AS v FROM ({VEC}), d), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
+    s AS (SELECT q.dims, q.vec_id, round(list_cosine_similarity(q.v, e.v), 9) AS sim, e.vec_id = q.vec_id + 1 AS target FROM q JOIN e ON e.dims = q.dims AND e.vec_id <> q.vec_id),
+    t AS (SELECT dims, vec_id, sim AS hit FROM s WHERE target), r AS (SELECT dims, s.vec_id, hit, 1 + count(*) FILTER (sim > hit) AS rank, sum(sim) FILTER (NOT target) AS others, count(*) FILTER (NOT target) AS n FROM s JOIN t USING (dims, vec_id) GROUP BY ALL)
+    SELECT CAST(dims AS INTEGER) AS dims, round(avg(CAST(rank <= 1 AS INTEGER)), 6) AS recall_at_1, round(avg(CAST(rank <= 5 AS INTEGER)), 6) AS recall_at_5, round(avg(1 / rank), 6) AS mrr, round(avg(hit), 6) AS mean_positive,
+    round(sum(others) / sum(n), 6) AS mean_negative, round(avg(hit) - sum(others) / sum(n), 6) AS margin FROM r GROUP BY dims"""
+)
+def v01_metrics_by_prefix(spark, sf):
+    """All measures of retrieval, for the whole vectors and their leading dimensions."""
+    found = retrieval.metrics(retrieval.ranks(*retrieval_pairs(spark, sf), PREFIXES))
+    return found.select("dims", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr", "mean_positive", "mean_negative", "margin")])
 
 
 @query(
@@ -455,10 +475,24 @@ def v01_retrieval_metrics(spark, sf):
     FROM ({VEC}) q JOIN ({VEC}) e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rn <= 3"""
 )
 def v02_nearest_neighbours(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    near = e.join(leaks.bounded(q), F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("neighbour"), F.round(text.cosine(F.col("qv"), F.col("embedding")), 9).alias("sim"))
-    return dedup.first_per_group(near, ["query"], [F.desc("sim"), "neighbour"], 3).select("query", "neighbour")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.nearest(e.where("id % 20 = 0"), e, 3).select("query", "neighbour")
+
+
+@query(
+    f"""WITH e AS ({VEC}), q AS (SELECT a.vec_id AS vec_id, list_transform(range(1, 65), lambda i: a.v[i] - b.v[i] + c.v[i]) AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 10 = 0)
+    SELECT query, neighbour, round(sim, 6) AS cosine, CAST(place AS INTEGER) AS place FROM (SELECT q.vec_id AS query, e.vec_id AS neighbour, round(list_cosine_similarity(q.v, e.v), 9) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, e.vec_id) AS place
+    FROM q JOIN e ON e.vec_id NOT BETWEEN q.vec_id AND q.vec_id + 2) WHERE place <= 5"""
+)
+def v02_analogies(spark, sf):
+    """a - b + c for each tenth row and the two after it: the three are over-fetched and then left out."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    at = lambda k: e.select((F.col("id") - k).alias("id"), F.col("v").alias(f"v{k}")).where("id % 10 = 0")
+    three = at(0).join(at(1), "id").join(at(2), "id")
+    v = F.zip_with(F.zip_with("v0", "v1", lambda a, b: a - b), "v2", lambda a, c: a + c)
+    near = retrieval.nearest(three.select("id", v.alias("v")), e, 5 + 3, excluded=False).where(~F.col("neighbour").between(F.col("query"), F.col("query") + 2))
+    order = Window.partitionBy("query").orderBy("place")
+    return near.withColumn("place", F.row_number().over(order)).where("place <= 5").select("query", "neighbour", F.round("cosine", 6).alias("cosine"), "place")
 
 
 @query(whole.ORACLES["v03_whole_vocabulary"])
