@@ -36,11 +36,34 @@ def blocks(docs: DataFrame, shard: str, order: str, tokens: str, size: int) -> D
     return ends.select(shard, order, F.floor(start / size).alias("first_block"), F.floor((F.col("end") - 1) / size).alias("last_block"), (F.col("end") > whole * size).alias("in_tail"))
 
 
-def distinct_cluster_batches(rows: DataFrame, cluster: str, order: str, size: int) -> DataFrame:
-    """Batches of at most `size` rows with no cluster twice: the k-th members of all clusters make up round k, which is cut."""
-    rounds = rows.withColumn("round", F.row_number().over(Window.partitionBy(cluster).orderBy(order)) - 1)
-    place = F.row_number().over(Window.partitionBy("round").orderBy(cluster)) - 1
-    return rounds.withColumn("batch", F.floor(place / size).cast("long")).withColumn("round", F.col("round").cast("long"))
+def full_batches(sizes: dict[int, int], batch: int) -> int:
+    """The most batches of that many rows of different clusters, from {cluster size: clusters}: the greatest n for which the
+    clusters, none with more than n of its rows, can fill n batches."""
+    low, high = 0, sum(c * k for c, k in sizes.items()) // batch
+    while low < high:
+        n = (low + high + 1) // 2
+        low, high = (n, high) if sum(min(c, n) * k for c, k in sizes.items()) >= n * batch else (low, n - 1)
+    return low
+
+
+def distinct_cluster_batches(rows: DataFrame, cluster: str, key: str, size: int, full: bool = True, seed: str = "batch") -> DataFrame:
+    """rows with batch and slot, no batch with a cluster twice. Clusters and rows stand in an order of digests of the seed.
+
+    Rows are numbered cluster after cluster and dealt in turn to n batches: a cluster of at most n rows then meets none
+    twice. With full, n is the number of batches that can be filled, and what they leave over is left out; without, all rows
+    are dealt to the fewest batches that hold them. Only the counts of clusters by size come to the driver, and neither a
+    cluster nor a batch is in one task."""
+    counts = rows.groupBy(cluster).agg(F.count("*").alias("_c"))
+    sizes = {r["_c"]: r["k"] for r in counts.groupBy("_c").agg(F.count("*").alias("k")).collect()}
+    n = full_batches(sizes, size) if full else max(max(sizes, default=0), -(-sum(c * k for c, k in sizes.items()) // size))
+    drawn = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")))
+    number = lambda digest: F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
+    taken = counts.withColumns({"_taken": F.least("_c", F.lit(n)), "_one": F.lit(0), "_d": drawn(cluster)})
+    begins = running(taken, "_one", number(F.col("_d")), ["_d", cluster], F.col("_taken"), "_end", "_total").select(cluster, (F.col("_end") - F.col("_taken")).alias("_begins"))
+    placed = running(rows.withColumn("_d", drawn(key)), cluster, number(F.col("_d")), ["_d", key], F.lit(1), "_k", "_n").where(F.col("_k") <= n)
+    at = F.col("_begins") + F.col("_k") - 1
+    dealt = placed.join(bounded(begins), cluster).withColumns({"batch": (at % n).cast("long"), "slot": F.floor(at / n).cast("long")})
+    return dealt.where(F.col("slot") < size).drop("_d", "_k", "_n", "_begins")
 
 
 def length_batches(rows: DataFrame, group: str, length: str, key: str, size: int) -> DataFrame:

@@ -236,10 +236,21 @@ def a15_pearson(spark, sf):
     SELECT c_nationkey, round(coalesce(corr(a, b), 0), 6) AS spearman FROM r GROUP BY c_nationkey HAVING count(*) > 3"""
 )
 def a15_spearman(spark, sf):
-    c = table(spark, sf, "customer").select("c_nationkey", scores.average_rank("c_acctbal", ["c_nationkey"]).alias("a"), scores.average_rank("c_mktsegment", ["c_nationkey"]).alias("b"))
+    ranked = scores.average_ranks(table(spark, sf, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment"), ["c_nationkey"], "c_acctbal", "c_mktsegment")
+    c = ranked.select("c_nationkey", F.col("c_acctbal_rank").alias("a"), F.col("c_mktsegment_rank").alias("b"))
     return c.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.coalesce(scores.correlation(F.col("a"), F.col("b")), F.lit(0.0)), 6).alias("spearman")).where("n > 3").drop("n")
 
 
+@query(
+    """WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)
+    SELECT round(corr(a, b), 6) AS spearman FROM r"""
+)
+def a15_spearman_of_all(spark, sf):
+    """Over one group of all rows, one column with 50 values and one with many."""
+    ranked = scores.average_ranks(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), [], "l_quantity", "l_extendedprice")
+    return ranked.agg(F.round(scores.correlation(F.col("l_quantity_rank"), F.col("l_extendedprice_rank")), 6).alias("spearman"))
+
+
 @query(
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5('iso:' || vec_id), vec_id LIMIT 60)
     SELECT round(avg(c), 5) AS mean, round(stddev_pop(c), 5) AS spread, round(min(c), 5) AS low, round(max(c), 5) AS high, avg(c) > 0.5 OR stddev_pop(c) < 0.08 AS collapsed

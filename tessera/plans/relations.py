@@ -324,7 +324,14 @@ def w01_first_copy_wins(spark, sf):
 @query("SELECT c_custkey, c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -2)) + (count(*) OVER (PARTITION BY c_mktsegment, round(c_acctbal, -2)) - 1) / 2 AS rank FROM customer")
 def w02_average_rank(spark, sf):
     rows = table(spark, sf, "customer").withColumn("v", F.round("c_acctbal", -2))
-    return rows.select("c_custkey", "c_mktsegment", scores.average_rank("v", ["c_mktsegment"]).alias("rank"))
+    return scores.average_ranks(rows, ["c_mktsegment"], "v").select("c_custkey", "c_mktsegment", F.col("v_rank").alias("rank"))
+
+
+@query("SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_linestatus) + (count(*) OVER (PARTITION BY l_linestatus) - 1) / 2 AS by_status, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS by_price FROM lineitem")
+def w02_rank_of_all(spark, sf):
+    """Ranks of all rows as one group, by a string of few values and a number of many."""
+    ranked = scores.average_ranks(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_extendedprice"), [], "l_linestatus", "l_extendedprice")
+    return ranked.select("l_orderkey", "l_linenumber", F.col("l_linestatus_rank").alias("by_status"), F.col("l_extendedprice_rank").alias("by_price"))
 
 
 FREQ = f"SELECT w, count(*) AS n FROM (SELECT unnest({TOKENS('text')}) AS w FROM documents) GROUP BY w"
@@ -406,13 +413,25 @@ def w12_document_blocks(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS round FROM documents)
-    SELECT doc_id, source, round, CAST(floor((row_number() OVER (PARTITION BY round ORDER BY source) - 1) / 6) AS BIGINT) AS batch FROM r"""
+    """WITH c AS (SELECT source, count(*) AS c FROM documents GROUP BY source), b AS (SELECT max(b) AS b FROM range(1, (SELECT CAST(sum(c) // 6 + 1 AS BIGINT) FROM c)) t(b) WHERE (SELECT sum(least(c, b)) FROM c) >= 6 * b),
+    k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('batch:' || doc_id), doc_id) AS k FROM documents),
+    p AS (SELECT doc_id, source, b, row_number() OVER (ORDER BY md5('batch:' || source), source, k) - 1 AS p FROM k, b WHERE k <= b)
+    SELECT doc_id, source, CAST(p % b AS BIGINT) AS batch, CAST(p // b AS BIGINT) AS slot FROM p WHERE p // b < 6"""
 )
 def w13_distinct_cluster_batches(spark, sf):
+    """As many full batches of six documents of different sources as there can be."""
     return packing.distinct_cluster_batches(docs(spark, sf).select("doc_id", "source"), "source", "doc_id", 6)
 
 
+@query(
+    """WITH c AS (SELECT lang, count(*) AS c FROM documents GROUP BY lang), b AS (SELECT greatest(max(c), CAST(ceil(sum(c) / 3) AS BIGINT)) AS b FROM c),
+    p AS (SELECT doc_id, lang, b, row_number() OVER (ORDER BY md5('batch:' || lang), lang, md5('batch:' || doc_id), doc_id) - 1 AS p FROM documents, b) SELECT doc_id, lang, CAST(p % b AS BIGINT) AS batch, CAST(p // b AS BIGINT) AS slot FROM p"""
+)
+def w13_all_rows_in_batches(spark, sf):
+    """All documents in batches of three languages at most, of which some stay short."""
+    return packing.distinct_cluster_batches(docs(spark, sf).select("doc_id", "lang"), "lang", "doc_id", 3, full=False)
+
+
 @query("SELECT doc_id, lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1) / 16) AS BIGINT) AS batch FROM documents")
 def w14_length_batches(spark, sf):
     return packing.length_batches(docs(spark, sf).select("doc_id", "lang", "n_chars"), "lang", "n_chars", "doc_id", 16).select("doc_id", "lang", "batch")

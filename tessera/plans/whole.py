@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import corrupt, script, text
-from tessera.operators import leaks, scores
+from tessera.operators import leaks, masking, scores
+from tessera.operators.masking import SpanMasker
 from tessera.operators.packing import running
 from tessera.plans import forms
 from tessera.plans.hygiene import sql_key
@@ -164,3 +165,39 @@ def stream_windows(rows: DataFrame, window: int = 64) -> DataFrame:
 )
 def v25_stream_windows(spark, sf):
     return stream_windows(docs(spark, sf))
+
+
+#: Size of windows and vocabulary of the masks.
+WINDOW, MASKS = 64, SpanMasker(vocabulary=16_000, mask_id=4, special=400, random_share=0.1, kept_share=0.1, max_span=3)
+MASKED_SHARE = 0.15
+IDS_SQL = f"""n AS (SELECT doc_id, {TOKENS('text')} AS t, sha256(text) AS digest FROM documents), o AS (SELECT t, sum(len(t)) OVER (ORDER BY doc_id, digest) - len(t) AS begins FROM n),
+    k AS (SELECT unnest(t) AS token, CAST(begins + generate_subscripts(t, 1) - 1 AS BIGINT) AS pos FROM o), w AS (SELECT CAST(pos // {WINDOW} AS BIGINT) AS "window", list(CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {MASKS.vocabulary} ORDER BY pos) AS ids FROM k GROUP BY 1 HAVING count(*) = {WINDOW})"""
+
+
+def token_stream(rows: DataFrame) -> DataFrame:
+    """(at, id): all tokens in the order of doc_id, each with its place in the stream and an id from its digest."""
+    counted = rows.select("doc_id", "text", F.lit(0).alias("stream"), F.sha2("text", 256).alias("digest"), F.greatest(F.size(text.tokens(F.col("text"))), F.lit(0)).cast("long").alias("n"))
+    placed = running(counted, "stream", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), [F.asc_nulls_first("doc_id"), "digest"], F.col("n"), "end", "total")
+    each = placed.select((F.col("end") - F.col("n")).alias("begins"), F.posexplode(text.tokens(F.col("text"))).alias("i", "token"))
+    return each.select((F.col("begins") + F.col("i")).alias("at"), (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % MASKS.vocabulary).alias("id"))
+
+
+@query(f"WITH {IDS_SQL} SELECT \"window\", array_to_string(ids, ' ') AS ids FROM w")
+def v25_window_ids(spark, sf):
+    """The windows of the stream of all tokens, as ids."""
+    return masking.windows(token_stream(docs(spark, sf)), "at", "id", WINDOW).select("window", F.array_join("ids", " ").alias("ids"))
+
+
+@query(
+    f"""WITH {IDS_SQL}, d AS (SELECT "window", ids, list_transform(range(0, {WINDOW}), lambda i: sha256('mask:' || "window" || ':' || i)) AS d FROM w),
+    s AS (SELECT *, flatten(list_transform(range(0, {WINDOW}), lambda k: list_transform(range(0, CAST('0x' || substr(d[k + 1], 1, 13) AS BIGINT) % {MASKS.max_span} + 1), lambda z: k)))[:{WINDOW}] AS span FROM d),
+    r AS (SELECT *, list_transform(range(1, {WINDOW + 1}), lambda i: CASE WHEN ids[i] < {MASKS.special} THEN 'z' ELSE substr(d[span[i] + 1], 14, 13) END) AS ratio FROM s),
+    t AS (SELECT *, list_sort(ratio)[{int(WINDOW * MASKED_SHARE)}] AS least FROM r)
+    SELECT "window", array_to_string(list_transform(range(1, {WINDOW + 1}), lambda i: CASE WHEN ratio[i] > least OR ratio[i] = 'z' THEN ids[i] WHEN substr(d[span[i] + 1], 27, 13) < '{round(MASKS.random_share * 16**13):013x}' THEN CAST('0x' || substr(d[i], 40, 13) AS BIGINT) % {MASKS.vocabulary - MASKS.special} + {MASKS.special}
+        WHEN substr(d[span[i] + 1], 27, 13) >= '{round((MASKS.random_share + MASKS.kept_share) * 16**13):013x}' THEN {MASKS.mask_id} ELSE ids[i] END), ' ') AS inputs,
+    array_to_string(list_transform(range(1, {WINDOW + 1}), lambda i: CASE WHEN ratio[i] > least OR ratio[i] = 'z' THEN -100 ELSE ids[i] END), ' ') AS labels FROM t"""
+)
+def v25_span_masks(spark, sf):
+    """Masked windows over the whole stream: 15 percent of each by spans, a tenth random and a tenth kept."""
+    w = masking.windows(token_stream(docs(spark, sf)), "at", "id", WINDOW)
+    return w.withColumn("m", MASKS.masked(F.col("ids"), F.col("window"), MASKED_SHARE)).select("window", F.array_join("m.inputs", " ").alias("inputs"), F.array_join("m.labels", " ").alias("labels"))

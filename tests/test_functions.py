@@ -224,11 +224,13 @@ def test_splits(spark):
 
 def test_batches(spark):
     rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9), ("c", 8)], "c string, i int")
-    got = packing.distinct_cluster_batches(rows, "c", "i", 2).collect()
-    seen: dict = {}
-    for r in got:
-        seen.setdefault((r["round"], r["batch"]), []).append(r["c"])
-    assert all(len(set(v)) == len(v) <= 2 for v in seen.values())
+    for full in (True, False):
+        got = packing.distinct_cluster_batches(rows, "c", "i", 2, full=full).collect()
+        seen: dict = {}
+        for r in got:
+            seen.setdefault(r["batch"], []).append(r["c"])
+        assert all(len(set(v)) == len(v) <= 2 for v in seen.values())
+        assert len(got) == (4 if full else 7)
     docs = spark.createDataFrame([("s", 1, 5), ("s", 2, 3), ("s", 3, 9)], "shard string, id int, n int")
     b = {r["id"]: (r["first_block"], r["last_block"], r["in_tail"]) for r in packing.blocks(docs, "shard", "id", "n", 8).collect()}
     assert b == {1: (0, 0, False), 2: (0, 1, False), 3: (1, 2, True)}
