@@ -6,15 +6,18 @@ each chunk turns that into equality of keys, so every such pair meets under a ke
 Members of a key are never paired all with all. Each is first confirmed against the member that shares most with
 others, which joins most copies of a text into one component. Pairs of members that are then still in different
 components are compared inside a join, by set size and by a long sketch of one-bit symbols, under the least key that
-they share; what passes, nearly all of it true links, is confirmed on the full sets.
+they share; what passes, nearly all of it true links, is confirmed on the full sets. Members of large keys, such as the
+pages of one template that differ in their contents, are not compared by the key: they are joined by their rarest shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
+from operator import and_
 from statistics import NormalDist
 
 import numpy as np
@@ -28,6 +31,8 @@ from tessera.llm.common import Scratch, bounded_batches, small
 SYMBOLS, ERRORS = 50, 1
 #: Chance with which a pair at the similarity may fail to meet under any key, and then to stay within the sketch's limit.
 MISSED = 2e-6
+#: Members of a key, or holders of a shingle, up to which all are compared with all in one task.
+PAIRED = 512
 #: Bits of the long sketch.
 SKETCH = 2_048
 _U = np.uint64
@@ -225,6 +230,36 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
 
 
+def alike(members: DataFrame, on: list[str], percent: int, layout: Layout, once) -> DataFrame:
+    """Pairs (a, b) of members in different components that have the columns `on` in common and pass the sizes and the sketch."""
+    x, y = (members.select(*on, *[F.col(c).alias(f"{p}{c}") for c in members.columns if c not in on]) for p in ("x_", "y_"))
+    apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp"))
+    fits = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    bits = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    same = reduce(and_, (x[c] == y[c] for c in on))
+    found = x.join(y, same & apart & fits & (bits <= layout.limit) & once(x, y))
+    return found.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, hash, lo, hi, block): what the nodes of large keys are joined by instead of these keys.
+
+    A set that links with another shares at least percent in 100 of its shingles with it, so both hold a shingle in common among
+    the n - ceil(n * percent / 100) + 1 that are rarest in all the sets: no link is lost, and what all pages of a template share
+    joins none of them. A shingle with more than PAIRED holders cuts them into blocks and its pairs into a grid of pairs of
+    blocks (lo, hi), so that no task compares more than these."""
+    each = sets.select("node", F.explode("hashes").alias("hash"))
+    counts = each.groupBy("hash").agg(F.count("*").alias("holders"))
+    ranked = each.join(counts, "hash").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "hash"))).alias("h"))
+    n = F.size("h")
+    first = F.slice("h", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
+    kept = ranked.select("node", F.explode(first).alias("h")).select("node", "h.hash", "h.holders").where("holders > 1")
+    blocks = F.ceil(F.col("holders") / PAIRED)
+    own = kept.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    cells = own.select("node", "hash", "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    return cells.select("node", "hash", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -273,22 +308,24 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     hubs = scratch.save(hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hubs")
     links = scratch.save(confirm(hubs, sets, percent), "hub-links")
     comps = components(links, scratch, "hub")
-    # keys whose members are still in several components: all their cross pairs are compared
+    # keys whose members are still in several components: cross pairs of small keys are compared, of large ones what can link
     open_ = met.select("key", "node").join(nearby(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = open_.withColumns({"lo": F.min("comp").over(key), "hi": F.max("comp").over(key)}).where("lo < hi").select("key", "node", "comp")
-    open_ = open_.join(sets.select("node", "n", "sketch", "keys"), "node")
-    x, y = (open_.select(F.col("key"), *[F.col(c).alias(f"{p}{c}") for c in open_.columns if c != "key"]) for p in ("x_", "y_"))
-    apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp"))
-    fits = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
-    bits = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    open_ = open_.withColumns({"lo": F.min("comp").over(key), "hi": F.max("comp").over(key), "size": F.count("*").over(key)}).where("lo < hi").select("key", "node", "comp", "size")
+    open_ = scratch.save(open_, "open")
+    few = open_.where(F.col("size") <= PAIRED).drop("size").join(sets.select("node", "n", "sketch", "keys"), "node")
     # a pair counts once, under the least key that both have
-    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
-    cross = x.join(y, (x["key"] == y["key"]) & apart & fits & (bits <= layout.limit) & once)
-    cross = scratch.save(cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).join(hubs, ["a", "b"], "left_anti"), "cross")
+    cross = alike(few, ["key"], percent, layout, lambda x, y: F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"])
+    crowd = scratch.save(open_.where(F.col("size") > PAIRED).select("node", "comp").distinct(), "crowd")
+    if not crowd.isEmpty():
+        held = sets.join(nearby(crowd), "node")
+        rare = scratch.save(rarest(held.select("node", "hashes"), percent), "rarest")
+        members = rare.join(held.select("node", "comp", "n", "sketch"), "node")
+        cross = cross.unionByName(alike(members, ["hash", "lo", "hi"], percent, layout, lambda x, y: (x["lo"] == x["hi"]) | (F.col("x_block") != F.col("y_block")))).distinct()
+    cross = scratch.save(cross.join(hubs, ["a", "b"], "left_anti"), "cross")
     more = confirm(cross, sets, percent)
     comps = components(scratch.save(links.union(more), "links"), scratch, "all")
     comps = scratch.save(comps, "comps")
-    scratch.drop("met", "shares", "sets", "one-set", "hubs", "hub-links", "cross", "links", "hub-edges", "all-edges")
+    scratch.drop("met", "shares", "sets", "one-set", "hubs", "hub-links", "open", "crowd", "rarest", "cross", "links", "hub-edges", "all-edges")
     labelled = nodes.join(comps, "node", "left").select("digest", "least", F.coalesce("comp", "node").alias("comp"))
     first = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = labelled.join(first, "comp").select("digest", "component_id")
