@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ngram_hashes, ngrams, tokens
+from tessera.session import written
 
 #: Rows up to which the benchmark side is sent to every task.
 BROADCAST_ROWS = 500_000
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the side's counted rows allow it; else the join shuffles both sides."""
+    """A broadcast hint if the side's counted rows allow it; else the join shuffles both sides. Counting runs the side, so one
+    that reads a corpus is written first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -29,6 +31,7 @@ def ngram_matches(corpus: DataFrame, benchmark: DataFrame, row: str, item: str,
     grams = benchmark.select(F.col(item), F.explode(ngrams(F.col(text), size)).alias("gram")).withColumn("_h", F.xxhash64(F.split("gram", " ")))
     own = corpus.select(F.col(row), F.posexplode(ngram_hashes(F.col(text), size)).alias("_at", "_h"))
     met = own.join(bounded(grams.select("_h").distinct()), "_h").groupBy(row).agg(F.collect_set("_at").alias("_places"))
+    met = written(met, "places")
     again = corpus.select(row, text).join(bounded(met), row)
     spelled = F.array_distinct(F.transform("_places", lambda i: F.array_join(F.slice(tokens(F.lower(F.col(text))), i + 1, size), " ")))
     found = again.select(row, F.explode(spelled).alias("gram"))
@@ -42,7 +45,8 @@ def scan(corpus: DataFrame, benchmark: DataFrame, row: str, item: str, size: int
     exact match counts as that only; n-grams are sought in the others. The order of rows decides, not that of reading."""
     keys = bounded(benchmark.select(F.col(item), F.explode("key").alias("key")).distinct())
     exact = corpus.select(row, "key").join(keys, "key").select(row, item, F.lit("exact").alias("kind"))
-    others = corpus.join(exact.select(row).distinct(), row, "left_anti")
+    exact = written(exact, "exact")
+    others = corpus.join(bounded(exact.select(row).distinct()), row, "left_anti")
     near = ngram_matches(others, benchmark, row, item, size=size).select(row, item, F.lit("ngram").alias("kind"))
     return exact.unionByName(near).groupBy(item).agg(F.min(F.struct(row, "kind")).alias("m")).select(item, "m.kind", f"m.{row}")
 

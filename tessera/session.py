@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that do not depend on the machine; sizes are left to the cluster.
@@ -29,3 +33,34 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; Catalyst prunes columns and pushes filters into the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that the driver and all executors share: that of spark.checkpoint.dir, or on a local master
+    without one a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written once, for results that are read more than once; freed when the process ends."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _free() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is not None:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
