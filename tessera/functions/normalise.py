@@ -99,30 +99,22 @@ def normalise(text: str | None, rules: Rules = RULES, fold: bool = False) -> str
     return out
 
 
-def report(text: str, rules: Rules = RULES) -> tuple[list[tuple], list[tuple]]:
+def kinds(rules: Rules, fold: bool) -> dict[str, tuple[str, str]]:
+    """{character: (kind of change, what it becomes)}; where several kinds have a character, the first of them counts."""
+    tables = [("invisible-removed", dict.fromkeys(INVISIBLE, "")), ("homoglyph", rules.letters), ("diacritic-fold", rules.accents if fold else {}), ("whitespace", rules.spaces), ("punctuation", rules.marks)]
+    return {c: (kind, to) for kind, table in reversed(tables) for c, to in table.items()}
+
+
+def report(text: str, rules: Rules = RULES, fold: bool = False) -> tuple[list[tuple], list[tuple]]:
     """Changes as (kind, position, before, after) and flags as (kind, position, text), by position in the composed text."""
     composed = unicodedata.normalize("NFC", text)
-    changes = [("nfc", 0, text, composed)] if composed != text else []
-    flags = []
+    known = kinds(rules, fold)
     spans = [s for s in guarded(composed, rules) if any(c in rules.letters for c in composed[s[0] : s[1]])]
     inside = {i for start, end in spans for i in range(start, end)}
-    for i, c in enumerate(composed):
-        if c in INVISIBLE:
-            changes.append(("invisible-removed", i, c, ""))
-        elif c in rules.letters:
-            if i not in inside:
-                changes.append(("homoglyph", i, c, rules.letters[c]))
-        elif c in rules.spaces:
-            changes.append(("whitespace", i, c, rules.spaces[c]))
-        elif c in rules.marks:
-            changes.append(("punctuation", i, c, rules.marks[c]))
-        if c in PRESERVED:
-            flags.append(("legacy-t-cedilla", i, c))
-        elif c in REJECTED:
-            flags.append(("rejected-character", i, c))
-        elif c.isalpha() and c not in ALPHABET and c not in rules.letters:
-            flags.append(("out-of-inventory", i, c))
-    flags += [("foreign-proper-noun", start, composed[start:end]) for start, end in spans]
+    changes = [("nfc", 0, text, composed)] if composed != text else []
+    changes += [(known[c][0], i, c, known[c][1]) for i, c in enumerate(composed) if c in known and not (known[c][0] == "homoglyph" and i in inside)]
+    named = [(i, c, "legacy-t-cedilla" if c in PRESERVED else "rejected-character" if c in REJECTED else "out-of-inventory" if c.isalpha() and c not in ALPHABET and c not in rules.letters else None) for i, c in enumerate(composed)]
+    flags = [(kind, i, c) for i, c, kind in named if kind] + [("foreign-proper-noun", start, composed[start:end]) for start, end in spans]
     return changes, flags
 
 
@@ -145,12 +137,13 @@ def on_texts(f, returns: str = "string"):
 _BLANK = r"[ \t\r\f\x0B\x1C-\x1F]"
 
 
-def normalised(text: Column) -> Column:
-    """The canonical form. Rules for letters concern no ASCII text, so these take built-in functions, only the others Python."""
+def normalised(text: Column, fold: bool = False) -> Column:
+    """The canonical form, with fold also without accents. Rules for letters concern no ASCII text, so these take built-in
+    functions, only the others Python."""
     ascii_ = F.octet_length(text) == F.char_length(text)
     lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), _BLANK + r"+\n", "\n"), r"\n" + _BLANK + "+", "\n")
     plain = F.regexp_replace(lines, rf"^(?:{_BLANK}|\n)+|(?:{_BLANK}|\n)+\z", "")
-    return F.coalesce(on_texts(normalise)(F.when(~ascii_, text)), F.when(ascii_, plain))
+    return F.coalesce(on_texts(lambda x: normalise(x, RULES, fold))(F.when(~ascii_, text)), F.when(ascii_, plain))
 
 
 def fingerprint(text: Column) -> Column:
@@ -161,11 +154,11 @@ def fingerprint(text: Column) -> Column:
 REPORT = "changes array<struct<kind:string,position:int,before:string,after:string>>, flags array<struct<kind:string,position:int,text:string>>"
 
 
-def reported(text: Column) -> Column:
+def reported(text: Column, fold: bool = False) -> Column:
     """The edits and flags of a text as a struct of two arrays."""
 
     def batch(column: pd.Series) -> pd.DataFrame:
-        rows = [report(x) if x else ([], []) for x in column]
+        rows = [report(x, RULES, fold) if x else ([], []) for x in column]
         name = lambda xs, keys: [dict(zip(keys, x, strict=True)) for x in xs]
         return pd.DataFrame({"changes": [name(c, ("kind", "position", "before", "after")) for c, _ in rows], "flags": [name(f, ("kind", "position", "text")) for _, f in rows]})
 

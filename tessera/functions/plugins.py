@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,26 @@ def identified(make: Make, text: Column) -> Column:
     return batched(make, "string", text)
 
 
+@dataclass(frozen=True)
+class Identifier:
+    """A language identifier with what a result must state about it: its name, its revision and the labels it can give."""
+
+    name: str
+    revision: str
+    labels: frozenset[str]
+    make: Make
+
+    def label(self, text: Column) -> Column:
+        """The label of each text, null where it gives none; a label outside its set fails the job."""
+        found = identified(self.make, text)
+        message = F.concat(F.lit(f"{self.name} {self.revision} gave a label it does not state: "), found)
+        return F.when(found.isNull() | found.isin(*sorted(self.labels)), found).otherwise(F.raise_error(message).cast("string"))
+
+    def covers(self, language: str) -> bool:
+        """Whether it could give the language at all: else a score of it says nothing."""
+        return language in self.labels
+
+
 def encoded(make: Make, text: Column) -> Column:
     """Token ids."""
     return batched(make, "array<int>", text)

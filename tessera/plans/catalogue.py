@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import corpora, evaluation, files, hygiene, measures, readings, relations, signals, subwords, texts, whole
+from tessera.plans import corpora, details, evaluation, files, hygiene, measures, readings, relations, signals, subwords, texts, whole
 
-MODULES = (hygiene, texts, relations, measures, corpora, files, readings, evaluation, whole, subwords, signals)
+MODULES = (hygiene, texts, relations, measures, corpora, files, readings, evaluation, whole, subwords, signals, details)
 
 
 def queries() -> dict[str, Callable]:

@@ -54,6 +54,19 @@ def load(spark: SparkSession, entries: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SOURCE).withColumn("redistribution", redistribution(F.col("licence")))
 
 
+#: A sibling language's source has no tier: what decides about its text is another catalogue.
+SIBLING = T.StructType([f for f in SOURCE.fields if f.name != "tier"])
+
+
+def load_siblings(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """The catalogue of sibling languages, as a table of another schema: what takes sources of the corpus cannot take it."""
+    for e in entries:
+        extra = set(e) - set(SIBLING.names)
+        if extra:
+            raise RegistryError(f"{e.get('id')}: unknown fields {sorted(extra)}")
+    return load(spark, [{**e, "tier": "excluded"} for e in entries]).select(*SIBLING.names, "redistribution")
+
+
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue file; needs a YAML parser on the driver."""
     try:
@@ -66,6 +79,8 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
 
 def eligible(catalogue: DataFrame, benchmarks: list[str]) -> DataFrame:
     """Sources whose text may enter the corpus, in the order in which first copies win."""
+    if "tier" not in catalogue.columns:
+        raise RegistryError("these sources have no tier: siblings do not enter the corpus")
     kept = catalogue.where((F.col("tier") != "excluded") & ~F.col("modality").isin(*SKIPPED_MODALITIES) & ~F.col("id").isin(*benchmarks))
     ranked = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     kept = kept.withColumn("priority", F.coalesce(F.try_element_at(ranked(RANK), F.col("redistribution")), F.lit(4)))
