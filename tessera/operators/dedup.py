@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shared_folder
+
 
 def first_copies(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """The row of each key that comes first; order must be total, so that partitioning cannot matter."""
@@ -30,36 +30,55 @@ def either_side_first(rows: DataFrame, left: str, right: str, order: str, max_ro
     """Greedy pass in order: a row stays if neither side was seen on a row that stayed. Rows of equal order stand in that of
     their sides; of rows with equal sides only the first can stay.
 
-    The pass is settled in rounds instead of one by one: among undecided rows, one that is first on both its
-    sides stays, and undecided rows that share a side with one that stays go. Every round decides at least the first
-    undecided row; with few repeats a handful of rounds decide all. What a round leaves open and what it keeps are written to
-    the checkpoint folder, which must be set; the open rows of a round are freed after the next.
+    The pass is settled in rounds instead of one by one. A round finds the first two open rows of each side; each task sends
+    two of a side at most, however many it has. A row that is first on both sides stays. A row that is first on one side and
+    second on the other stays if and only if the first of that side goes: such rows hang in chains, which are followed by
+    doubling, so a chain of any length that ends in a row that stays is decided in one round. Open rows that share a side with
+    one that stays go. Tables between rounds are written to the shared folder, those of a round are freed after the next.
     """
     spark = rows.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a shared folder: rounds are written there")
-    root = f"{folder.rstrip('/')}/either-{uuid.uuid4().hex[:12]}"
+    root = shared_folder(spark, "either")
 
     def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    open_ = first_copies(rows, [left, right], [order])
-    total = F.struct(order, left, right)
+    def free(name: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    own = F.struct(order, left, right, "_row")
+    open_ = saved(first_copies(rows, [left, right], [order]).withColumn("_row", F.monotonically_increasing_id()), "open-start")
     kept = None
     for turn in range(max_rounds):
-        by_left, by_right = Window.partitionBy(left), Window.partitionBy(right)
-        marked = open_.withColumn("_own", total)
-        marked = marked.withColumn("_stays", (F.min("_own").over(by_left) == F.col("_own")) & (F.min("_own").over(by_right) == F.col("_own")))
-        marked = marked.withColumns({"_taken_l": F.max("_stays").over(by_left), "_taken_r": F.max("_stays").over(by_right)})
-        marked = saved(marked, f"round-{turn}")
-        own = saved(marked.where("_stays").select(*rows.columns), f"kept-{turn}")
-        kept = own if kept is None else kept.unionByName(own)
-        open_ = saved(marked.where("NOT _stays AND NOT _taken_l AND NOT _taken_r").select(*rows.columns), f"open-{turn}")
-        for old in (f"round-{turn}", f"open-{turn - 1}"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{old}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"open-{turn - 1}" if turn else "open-start"
+        marked = open_.withColumn("_own", own)
+        for side in (left, right):
+            two = first_per_group(open_.select(side, own.alias("_o")), [side], ["_o"], 2).groupBy(side).agg(F.array_sort(F.collect_list("_o")).alias(f"_{side}"))
+            marked = marked.join(two, side)
+        at = lambda side, k: F.get(f"_{side}", F.lit(k))
+        first, second = ({side: at(side, k) == F.col("_own") for side in (left, right)} for k in (0, 1))
+        parent = F.when(first[left] & second[right], at(right, 0)["_row"]).when(first[right] & second[left], at(left, 0)["_row"])
+        marked = saved(marked.select(*rows.columns, "_row", (first[left] & first[right]).alias("_stays"), parent.alias("_parent")), f"round-{turn}")
+        settled = marked.where("_stays").select("_row")
+        chains = marked.where("_parent IS NOT NULL").select("_row", F.col("_parent").alias("_to"), F.lit(1).alias("_odd"))
+        step = 0
+        while True:
+            chains = saved(chains, f"chains-{turn}-{step}")
+            further = chains.select(F.col("_row").alias("_to"), F.col("_to").alias("_next"), F.col("_odd").alias("_more"))
+            if chains.join(further, "_to", "left_semi").isEmpty():
+                break
+            chains = chains.join(further, "_to", "left").select("_row", F.coalesce("_next", "_to").alias("_to"), ((F.col("_odd") + F.coalesce("_more", F.lit(0))) % 2).alias("_odd"))
+            step += 1
+        hung = chains.where("_odd = 0").join(settled.withColumnRenamed("_row", "_to"), "_to", "left_semi").select("_row")
+        stay = saved(marked.join(settled.unionByName(hung), "_row", "left_semi").select(*rows.columns, "_row"), f"kept-{turn}")
+        kept = stay.select(*rows.columns) if kept is None else kept.unionByName(stay.select(*rows.columns))
+        left_over = marked.select(*rows.columns, "_row")
+        for side in (left, right):
+            left_over = left_over.join(stay.select(side).distinct(), side, "left_anti")
+        open_ = saved(left_over.select(*rows.columns, "_row"), f"open-{turn}")
+        for old in (f"round-{turn}", before, *(f"chains-{turn}-{k}" for k in range(step + 1))):
+            free(old)
         if open_.isEmpty():
             return kept
     raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")

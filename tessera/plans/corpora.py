@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import corrupt, normalise, phonemes, plugins, text
 from tessera.operators import columns, lexicon
+from tessera.operators.leaks import bounded
 from tessera.plans.relations import lexicon as word_list
 from tessera.plans import forms, whole
 from tessera.plans.shared import FULL_ORTHOGRAPHY_SQL, ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_full_orthography, in_orthography, pairs, pairs_sql
@@ -49,7 +50,7 @@ def f02_source_eligibility(spark, sf):
 
 @query(f"SELECT doc_id FROM documents JOIN ({CATALOGUE_SQL}) ON id = source WHERE {CLASS_SQL} = 'permissive'")
 def f13_permissive_cut(spark, sf):
-    return registry.permissive(docs(spark, sf).join(F.broadcast(catalogue(spark, sf)), F.col("id") == F.col("source"))).select("doc_id")
+    return registry.permissive(docs(spark, sf).join(bounded(catalogue(spark, sf)), F.col("id") == F.col("source"))).select("doc_id")
 
 
 @query(f"SELECT id, {CLASS_SQL} AS redistribution FROM ({CATALOGUE_SQL})")
@@ -87,7 +88,7 @@ def w01_release_priority(spark, sf):
     from tessera.plans.hygiene import sql_key
 
     ranked = lambda t, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in t.items() for x in p]), F.col(c)), F.lit(9))
-    rows = docs(spark, sf).join(F.broadcast(catalogue(spark, sf)), F.col("id") == F.col("source")).select("doc_id", "source", sql_key(F.col("text")).alias("key"), ranked(registry.RANK, "redistribution").alias("r"), ranked(registry.TIER_RANK, "tier").alias("t"))
+    rows = docs(spark, sf).join(bounded(catalogue(spark, sf)), F.col("id") == F.col("source")).select("doc_id", "source", sql_key(F.col("text")).alias("key"), ranked(registry.RANK, "redistribution").alias("r"), ranked(registry.TIER_RANK, "tier").alias("t"))
     return first_copies(rows, ["key"], ["r", "t", "source", "doc_id"]).select("doc_id", "source")
 
 

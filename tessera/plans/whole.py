@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import corrupt, script, text
@@ -100,12 +100,10 @@ def a21_whole_substring_counts(spark, sf):
 
 
 def vocabulary_ids(rows: DataFrame) -> DataFrame:
-    """The distinct words in ascending order, numbered within first letters, whose counts give the offsets."""
-    words = rows.select(F.explode(text.words(F.col("text"))).alias("word")).distinct().withColumn("cell", F.substring("word", 1, 1))
-    cells = words.groupBy("cell").agg(F.count("*").alias("n"))
-    before = cells.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("word")) - 1
-    return words.join(F.broadcast(before), "cell").select("word", place.alias("new_id"))
+    """The distinct words in ascending order, numbered in cells that their first bytes cut, so no task orders all of them or all of
+    one letter."""
+    words = rows.select(F.explode(text.words(F.col("text"))).alias("word")).distinct().withColumn("all", F.lit(0))
+    return running(words, "all", scores.along(F.col("word"), "string"), ["word"], F.lit(1), "end", "total").select("word", (F.col("end") - 1).alias("new_id"))
 
 
 @query(f"SELECT w AS word, row_number() OVER (ORDER BY w) - 1 AS new_id FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents)")

@@ -98,3 +98,35 @@ def test_masks_keep_their_shares(spark):
 def test_whole_windows_of_a_stream(spark):
     df = spark.createDataFrame([(i, i * 10) for i in range(10)], "at long, id long").repartition(3)
     assert sorted((r["window"], list(r["ids"])) for r in masking.windows(df, "at", "id", 4).collect()) == [(0, [0, 10, 20, 30]), (1, [40, 50, 60, 70])]
+
+
+def greedy(rows):
+    lefts, rights, kept = set(), set(), set()
+    for seq, a, b in sorted(rows):
+        if a not in lefts and b not in rights:
+            kept.add((seq, a, b))
+            lefts.add(a)
+            rights.add(b)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_that_stay_on_either_side(spark, seed):
+    from tessera.operators import dedup
+
+    rng = random.Random(seed)
+    n = [0, 30, 120, 300][seed]
+    rows = [(rng.randint(0, 60 * n), rng.choice([0, 0, rng.randint(0, 40)]), rng.randint(0, [5, 40, 40, 90][seed])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "seq long, a long, b long")
+    assert {(r["seq"], r["a"], r["b"]) for r in dedup.either_side_first(df, "a", "b", "seq").collect()} == greedy(set(rows))
+
+
+def test_a_long_chain_is_decided_in_one_round(spark):
+    from tessera.operators import dedup
+
+    rows = [(i, (i + 1) // 2, i // 2) for i in range(3_001)]
+    rng = random.Random(5)
+    other = [(10_000 - abs(k), 5_000 + (k + 1) // 2, 5_000 + k // 2) for k in range(-40, 40)]
+    df = spark.createDataFrame(rng.sample(rows + other, len(rows) + len(other)), "seq long, a long, b long")
+    got = {(r["seq"], r["a"], r["b"]) for r in dedup.either_side_first(df, "a", "b", "seq", max_rounds=3).collect()}
+    assert got == greedy(rows + other) and len([r for r in got if r[0] <= 3_000]) == 1_501
