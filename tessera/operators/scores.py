@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.leaks import bounded
 from tessera.operators.packing import running
+from tessera.session import written
 
 
 def confusion(rows: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -56,7 +57,7 @@ def average_ranks(rows: DataFrame, within: list[str], *values: str) -> DataFrame
     for value in values:
         kind = rows.schema[value].dataType.simpleString()
         grouped = rows.select(F.struct(*within).alias("_g") if within else F.lit(0).alias("_g"), F.col(value).alias("_v"))
-        counts = grouped.groupBy("_g", "_v").agg(F.count("*").alias("_n"))
+        counts = written(grouped.groupBy("_g", "_v").agg(F.count("*").alias("_n")), "values")
         ends = running(counts, "_g", F.coalesce(along(F.col("_v"), kind), F.lit(float("-inf"))), [F.asc_nulls_first("_v")], F.col("_n"), "_end", "_total")
         rank = ends.select("_g", "_v", (F.col("_end") - (F.col("_n") - 1) / 2).alias(f"{value}_rank"))
         joined = out.withColumn("_own", F.struct(*within) if within else F.lit(0)).join(bounded(rank), (F.col("_own") == F.col("_g")) & F.col(value).eqNullSafe(F.col("_v")))
