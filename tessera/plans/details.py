@@ -9,8 +9,8 @@ from tessera.functions import align, corrupt, normalise, phonemes, plugins, text
 from tessera.operators import inventories, scores, splits
 from tessera.plans import forms
 from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography
-from tessera.session import table
-from tessera.sources import registry
+from tessera.session import shared_folder, table
+from tessera.sources import lexicon, registry
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,24 @@ def z01_stated_identifier(spark, sf):
     own = plugins.Identifier("function-words", "1", frozenset(("eng", "fra")), make)
     found = docs(spark, sf).select("lang", own.label(F.col("text")).alias("label"))
     return found.groupBy("lang", "label").agg(F.count("*").alias("n")).select(F.lit(own.name).alias("identifier"), F.lit(own.revision).alias("revision"), "lang", "label", "n")
+
+
+ATTESTED_SQL = f"SELECT w AS word, CASE WHEN md5(w) < 'c' THEN {forms.ipa('w')} ELSE {forms.ipa('substr(w, 1, length(w) - 1)')} END AS attested FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM benchmark) WHERE length(w) > 1"
+
+
+@query(
+    f"""WITH a AS (SELECT * FROM ({ATTESTED_SQL}) WHERE attested IS NOT NULL AND attested <> ''), d AS (SELECT w AS word, {forms.ipa('w')} AS rule FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents))
+    SELECT CASE WHEN attested IS NULL THEN 'not attested' WHEN rule IS NULL THEN 'no reading' WHEN rule = attested THEN 'reproduced' ELSE 'differs' END AS outcome, CAST(count(*) AS BIGINT) AS words FROM d LEFT JOIN a USING (word) GROUP BY 1"""
+)
+def v15_attested_readings(spark, sf):
+    """The words of the documents by what the rules make of the readings that a pronunciation file attests: here that of the
+    benchmark's words, some without their last letter."""
+    w = F.col("w")
+    listed = table(spark, sf, "benchmark").select(F.explode(text.words(F.col("text"))).alias("w")).distinct().where(F.char_length("w") > 1)
+    attested = F.when(F.md5("w") < "c", phonemes.ipa(w)).otherwise(phonemes.ipa(F.substring(w, F.lit(1), F.char_length(w) - 1)))
+    path = shared_folder(spark, "attested")
+    listed.select(F.concat(w, F.lit("\t"), F.coalesce(attested, F.lit("")))).write.text(path)
+    known = lexicon.pronunciations(spark, path).select(F.col("orthography").alias("word"), F.col("ipa").alias("attested"))
+    words = docs(spark, sf).select(F.explode(text.words(F.col("text"))).alias("word")).distinct().withColumn("rule", phonemes.ipa(F.col("word")))
+    outcome = F.when(F.col("attested").isNull(), "not attested").when(F.col("rule").isNull(), "no reading").when(F.col("rule") == F.col("attested"), "reproduced").otherwise("differs")
+    return words.join(known, "word", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("words"))
