@@ -319,8 +319,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     if not crowd.isEmpty():
         held = sets.join(nearby(crowd), "node")
         rare = scratch.save(rarest(held.select("node", "hashes"), percent), "rarest")
-        members = rare.join(held.select("node", "comp", "n", "sketch"), "node")
-        cross = cross.unionByName(alike(members, ["hash", "lo", "hi"], percent, layout, lambda x, y: (x["lo"] == x["hi"]) | (F.col("x_block") != F.col("y_block")))).distinct()
+        own = rare.groupBy("node").agg(F.collect_set("hash").alias("firsts"))
+        members = rare.join(held.select("node", "comp", "n", "sketch").join(nearby(own), "node"), "node")
+        # a pair counts once, under the least shingle that both are joined by, and in one cell of its grid
+        grid = lambda x, y: ((x["lo"] == x["hi"]) | (F.col("x_block") != F.col("y_block"))) & (F.array_min(F.array_intersect("x_firsts", "y_firsts")) == x["hash"])
+        cross = cross.unionByName(alike(members, ["hash", "lo", "hi"], percent, layout, grid)).distinct()
     cross = scratch.save(cross.join(hubs, ["a", "b"], "left_anti"), "cross")
     more = confirm(cross, sets, percent)
     comps = components(scratch.save(links.union(more), "links"), scratch, "all")
