@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import batches
+
 # Marks by label.
 LABEL_OF = {",": "COMMA", ".": "PERIOD", "!": "PERIOD", ";": "PERIOD", "?": "QUESTION", ":": "COLON"}
 MARK_OF = {"NONE": "", "COMMA": ",", "PERIOD": ".", "QUESTION": "?", "COLON": ":"}
@@ -18,11 +23,19 @@ def in_word(c: str) -> bool:
     return c.isalnum() or c == "-"
 
 
+#: What in_word takes.
+RUN = re.compile(r"(?:[^\W_]|-)+")
+
+
+@cache
+def format_characters() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf") + "]")
+
+
 def split_words(text: str) -> list[str]:
     """Runs of letters, digits and hyphens of the composed text; invisible format characters vanish, hyphens alone are no word."""
-    shown = (c for c in unicodedata.normalize("NFC", text) if unicodedata.category(c) != "Cf")
-    parts = "".join(c if in_word(c) else " " for c in shown).split()
-    return [p for p in parts if p.strip("-")]
+    shown = text if text.isascii() else format_characters().sub("", unicodedata.normalize("NFC", text))
+    return [p for p in RUN.findall(shown) if p.strip("-")]
 
 
 def collation_key(text: str) -> str:
@@ -34,6 +47,9 @@ def annotate(text: str) -> list[tuple[str, str, str]]:
     mark to the word before, if that has none."""
     out: list[list[str]] = []
     for token in unicodedata.normalize("NFC", text).split():
+        if token.isalnum():
+            out.append([token.lower(), "NONE", "UPPER_INIT" if token[0].isupper() else "LOWER"])
+            continue
         end = len(token)
         while end and not in_word(token[end - 1]):
             end -= 1
@@ -52,15 +68,16 @@ def spoken(text: str) -> str:
 
 
 ANNOTATED = "array<struct<word:string,mark:string,case:string>>"
+FIELDS = dict.fromkeys(("word", "mark", "case"), pa.string())
 
 
-def annotated(text: Column) -> Column:
-    """The words with their labels. Composition and Unicode categories need Python; the fan-out follows as explode."""
+def labelled(texts: list[str | None]) -> pa.Array:
+    return batches.lists([None if x is None else annotate(x) for x in texts], FIELDS)
 
-    def batch(column: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [dict(zip(("word", "mark", "case"), a, strict=True)) for a in annotate(x)] for x in column], dtype=object)
 
-    return F.pandas_udf(batch, ANNOTATED)(text)
+def annotated(text: Column) -> Column:
+    """The words with their labels. Composition and Unicode categories need Python; the fan-out follows as explode."""
+    return batches.column(labelled, ANNOTATED)(text)
 
 
 def restored(words: Column) -> Column:
