@@ -5,9 +5,8 @@ from __future__ import annotations
 import tracemalloc
 
 import pyarrow as pa
-import pytest
 
-from tessera.functions import batches, labels
+from tessera.functions import batches, labels, normalise
 
 
 def held(make, texts, limit=batches.STRETCH):
@@ -39,3 +38,8 @@ def test_lists_keep_nulls_and_empty_rows():
 def test_labelled_words_of_a_full_batch():
     parts, most = held(labels.labelled, ["Ab, cd " * 300] * 2_000, 64 << 10)
     assert parts > 30 and most < 16 << 20
+
+
+def test_reports_of_a_full_batch():
+    parts, most = held(normalise.both_reports(fold=True), ["εγé ç" * 400] * 1_000, 64 << 10)
+    assert parts > 30 and most < 32 << 20
