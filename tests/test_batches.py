@@ -6,7 +6,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from tessera.functions import batches, labels, normalise
+from tessera.functions import batches, labels, normalise, raster
 
 
 def held(make, texts, limit=batches.STRETCH):
@@ -43,3 +43,10 @@ def test_labelled_words_of_a_full_batch():
 def test_reports_of_a_full_batch():
     parts, most = held(normalise.both_reports(fold=True), ["εγé ç" * 400] * 1_000, 64 << 10)
     assert parts > 30 and most < 32 << 20
+
+
+def test_page_images_of_a_full_batch():
+    image = pa.array([raster.write(raster.set_page(["a line of text"] * 50))] * 200, pa.binary())
+    sizes = [len(part) for part in batches.by_stretches(raster.cut, raster.IMAGES)(iter([image]))]
+    # a page has 540 kB
+    assert sum(sizes) == 200 and max(sizes) < 40
