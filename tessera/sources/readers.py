@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.functions import batches
 from tessera.sources import landing
 
 #: Levels of nested records that become dotted columns.
@@ -151,12 +154,16 @@ def parse_block(block: str) -> dict | None:
 def treebank(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of a treebank, split at blank lines by the reader itself."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for r in map(parse_block, batch["value"]) if r]
-            yield pd.DataFrame(rows, columns=["sent_id", "words", "tokens"])
+    schema = to_arrow_schema(T.StructType.fromDDL(TREEBANK))
 
-    return spark.read.option("lineSep", "\n\n").text(path).mapInPandas(read, TREEBANK)
+    def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            blocks = batch.column(0)
+            # a word's record takes some twenty times its row
+            for a, b in batches.stretches(pc.binary_length(blocks).to_pylist()):
+                yield pa.RecordBatch.from_pylist([r for r in map(parse_block, blocks[a:b].to_pylist()) if r], schema)
+
+    return spark.read.option("lineSep", "\n\n").text(path).mapInArrow(read, TREEBANK)
 
 
 def scoring_positions(sentences: DataFrame, words: bool, corrupt: Callable[[Column], Column] | None = None) -> DataFrame:
