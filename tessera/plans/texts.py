@@ -138,8 +138,8 @@ def m10_turn_distance(spark, sf):
     CAST(sum(length(text) - length(replace(text, 'e', ''))) AS BIGINT) AS dropped, CAST(sum(length(text) - length(replace(text, 'o', ''))) AS BIGINT) AS replaced, CAST(0 AS BIGINT) AS added FROM documents GROUP BY lang""")
 def m11_whole_alignment(spark, sf):
     """The aligned characters of each whole text and its edited form, counted by what became of them."""
-    p = docs(spark, sf).select("lang", F.inline(align.aligned(T(), edited(T()))))
-    of = lambda c: F.count_if(c)
+    p = docs(spark, sf).select("lang", F.inline(align.tallied(T(), edited(T()))))
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     ref, hyp = F.col("ref"), F.col("hyp")
     return p.groupBy("lang").agg(of(ref != hyp).alias("edited"), of(ref == hyp).alias("matched"), of(hyp == "").alias("dropped"), of((ref != hyp) & (ref != "") & (hyp != "")).alias("replaced"), of(ref == "").alias("added"))
 

@@ -62,3 +62,30 @@ def test_long_texts_take_bounded_memory():
     assert held < 100 << 20
     assert "".join(x for x, _ in found) == c and "".join(y for _, y in found) == d
     assert sum(x != y for x, y in found) == align.distance(c, d)
+
+
+def test_parted_texts_align_as_a_whole():
+    rng = random.Random(4)
+    parts = 0
+    for _ in range(1_500):
+        a = "".join(rng.choices("abc^]- \n", k=rng.randint(0, 30)))
+        drop, to = rng.choice("abc^]- "), rng.choice(["\x01", "b", "", " "])
+        b = "".join(c if rng.random() < 0.3 else {drop: to}.get(c, c) for c in a)
+        a, b = (a, b) if rng.random() < 0.5 else (b, a)
+        parts += align.parted(a, b) is not None
+        assert align.distance(a, b) == table(a, b)[-1][-1]
+        assert align.alignment(a, b) == way_back(a, b)
+        counts = {}
+        for pair in way_back(a, b):
+            counts[pair] = counts.get(pair, 0) + 1
+        assert {(x, y): n for x, y, n in align.tally(a, b)} == counts
+    assert parts > 200
+
+
+def test_edited_words_take_linear_time():
+    a = "some of the words here " * 20_000
+    b = a.replace("e", "").replace("o", "\x01")
+    began = time.perf_counter()
+    assert align.distance(a, b) == a.count("e") + a.count("o")
+    assert sum(n for x, y, n in align.tally(a, b) if x != y) == a.count("e") + a.count("o")
+    assert time.perf_counter() - began < 5
