@@ -138,12 +138,13 @@ REMAP = f"""kept AS (SELECT w AS id, 2 + row_number() OVER (ORDER BY w) AS new_i
 def v03_remapped(spark, sf):
     """The vocabulary that the English documents reach, after three ids that are always kept; words of others become the
     unknown id, 1."""
-    words = docs(spark, sf).select("lang", F.explode(text.words(F.col("text"))).alias("id"))
+    # each language's distinct words are looked up once
+    words = docs(spark, sf).select("lang", F.explode(text.words(F.col("text"))).alias("id")).groupBy("lang", "id").agg(F.count("*").alias("n"))
     from tessera.plans.whole import vocabulary_ids
 
     kept = vocabulary_ids(docs(spark, sf).where("lang = 'en'")).select(F.col("word").alias("id"), (F.col("new_id") + 3).alias("new_id"))
     found = scores.remapped(words, kept, strict=False, unknown=1)
-    return found.groupBy("lang").agg(F.count_if(F.col("new_id") == 1).alias("unknown"), F.sum("new_id").alias("checksum"))
+    return found.groupBy("lang").agg(F.sum(F.when(F.col("new_id") == 1, F.col("n")).otherwise(0)).alias("unknown"), F.sum(F.col("new_id") * F.col("n")).alias("checksum"))
 
 
 BUDGET = 64
