@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
+from tessera.functions import batches
 from tessera.operators.leaks import bounded
 from tessera.operators.packing import running
 from tessera.session import written
@@ -70,27 +75,57 @@ def correlation(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
 
 
-def runs(units: Column, order: Column) -> Column:
-    """All runs of that many units, each as one string."""
-    last = F.size(units) - order + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(units, i, order), "\x1f"))
+def counted(ref: pa.ListArray, hyp: pa.ListArray, most: int) -> pa.ListArray:
+    """For each row of two arrays of units (order, shared, of_ref, of_hyp). Units and n-grams are numbered, rows are counted all at
+    once: an n-gram of one order more is the number of the shorter one before its last unit."""
+    n = len(ref)
+    codes = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ref, hyp)]
+    rows = np.concatenate([np.repeat(np.arange(n), k) for k in sizes])
+    ends = np.cumsum(np.concatenate(sizes))
+    left = np.repeat(ends, np.concatenate(sizes)) - np.arange(len(codes))
+    first = int(sizes[0].sum())
+    units, grams = int(codes.max(initial=0)) + 1, np.zeros(len(codes), np.int64)
+    table = np.zeros((n, most, 4), np.int64)
+    for order in range(1, most + 1):
+        at = np.flatnonzero(left >= order)
+        distinct, own = np.unique(grams[at] * units + codes[at + order - 1], return_inverse=True)
+        grams[at] = own
+        keys = rows[at] * max(len(distinct), 1) + own
+        (a, na), (b, nb) = (np.unique(keys[side], return_counts=True) for side in (at < first, at >= first))
+        both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        shared = np.bincount(both // max(len(distinct), 1), np.minimum(na[i], nb[j]), n)
+        table[:, order - 1] = np.stack([np.full(n, order), shared.astype(np.int64), *(np.maximum(k - order + 1, 0) for k in sizes)], axis=1)
+    there = table[:, :, 2:].any(axis=2)
+    flat = table[there]
+    values = pa.StructArray.from_arrays([pa.array(flat[:, k], t) for k, t in enumerate(CLIPPED.values())], names=list(CLIPPED))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]), pa.int32()), values)
+
+
+def clipped(ref: Column, hyp: Column, most: int) -> Column:
+    """(order, shared, of_ref, of_hyp) of two arrays of units for each order up to most, n-grams that both have clipped. An n-gram
+    is counted within its row only, so none leaves the task."""
+
+    def made(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for r, h in columns:
+            sizes = [x + y for x, y in zip(*(pc.fill_null(pc.list_value_length(c), 0).to_pylist() for c in (r, h)), strict=True)]
+            for i, j in batches.stretches(sizes, UNITS):
+                yield counted(r[i:j], h[i:j], most)
+
+    return F.arrow_udf(made, "array<struct<order:int,shared:bigint,of_ref:bigint,of_hyp:bigint>>", ArrowUDFType.SCALAR_ITER)(ref, hyp)
+
+
+#: Units of rows that a task counts before it sends them on.
+UNITS = 1 << 18
+CLIPPED = {"order": pa.int32(), "shared": pa.int64(), "of_ref": pa.int64(), "of_hyp": pa.int64()}
 
 
 def matched(rows: DataFrame, ref: dict[str, Column], hyp: dict[str, Column], orders: dict[str, int]) -> DataFrame:
     """(kind, order, shared, of_ref, of_hyp) over all rows: the n-grams of each kind of unit, shared ones clipped row by
     row. ref and hyp have a column of units for each kind, orders how far it goes."""
-    key = "_row"
-    base = rows.withColumn(key, F.monotonically_increasing_id())
-
-    def grams(units: dict[str, Column], name: str) -> DataFrame:
-        # units are made once for each row and kind, before the fan-out to orders
-        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(most).alias("most"), units[k].alias("units")) for k, most in orders.items()])
-        each = base.select(key, F.inline(kinds)).select(key, "kind", "units", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("order"))
-        return each.select(key, "kind", "order", F.explode(runs(F.col("units"), F.col("order"))).alias("g")).groupBy(key, "kind", "order", "g").agg(F.count("*").alias(name))
-
-    both = grams(ref, "r").join(grams(hyp, "h"), [key, "kind", "order", "g"], "full_outer").na.fill(0, ["r", "h"])
-    return both.groupBy("kind", "order").agg(F.sum(F.least("r", "h")).alias("shared"), F.sum("r").alias("of_ref"), F.sum("h").alias("of_hyp"))
+    each = rows.select(*[clipped(ref[k], hyp[k], most).alias(f"_{i}") for i, (k, most) in enumerate(orders.items())])
+    kinds = each.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{i}").alias("c")) for i, k in enumerate(orders)])).alias("k"))
+    return kinds.select("k.kind", F.inline("k.c")).groupBy("kind", "order").agg(*[F.sum(c).alias(c) for c in ("shared", "of_ref", "of_hyp")])
 
 
 def letters(text: Column) -> Column:

@@ -14,7 +14,7 @@ from tessera.plans.relations import J02, LEXICON_SQL
 from tessera.plans.relations import lexicon as word_list
 from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
 from tessera.plans.texts import FREE_SQL
-from tessera.session import table
+from tessera.session import table, written
 from tessera.sources import sinks
 
 QUERIES: dict = {}
@@ -110,7 +110,9 @@ def a14_translation_metrics(spark, sf):
     rows = pairs(spark, sf).select(in_orthography(F.col("left_text")).alias("ref"), corrupt.lookalike(in_orthography(F.col("right_text"))).alias("hyp"))
     both = {"raw": rows, "normalised": rows.select(normalise.normalised(F.col("ref")).alias("ref"), normalise.normalised(F.col("hyp")).alias("hyp"))}
     found = None
-    for name, own in both.items():
+    for name, texts in both.items():
+        # two scores read the texts, several units each
+        own = written(texts, name)
         one = scores.chrf(own, "ref", "hyp").join(scores.bleu(own, "ref", "hyp")).select(F.lit(name).alias("condition"), F.round("chrf", 4).alias("chrf"), F.round("bleu", 4).alias("bleu"))
         found = one if found is None else found.unionByName(one)
     # two rows

@@ -261,3 +261,15 @@ def test_stutters_of_words_beside_marked_letters(spark):
     want = {"osñción cióncióncies y ción": True, "osncion cioncioncies y cion": False, "cion cion cion": True, "cion cion": False, "rde de de, x de de": False, "aa de de de b": True, "cion cioncion": True, None: None}
     rows = spark.createDataFrame([(t,) for t in want], "t string")
     assert {r[0]: r[1] for r in rows.select("t", text.stutters(F.col("t"))).collect()} == want
+
+
+def test_ngrams_are_counted_within_their_rows(spark):
+    """No n-gram is shuffled: the only exchange carries sums by kind and order."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import scores
+
+    rows = spark.createDataFrame([(["a", "b", "a"], ["a", "a", "c"]), ([], ["a"]), (None, None)], "r array<string>, h array<string>")
+    found = scores.matched(rows, {"w": F.col("r")}, {"w": F.col("h")}, {"w": 2})
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    assert {tuple(r) for r in found.collect()} == {("w", 1, 2, 3, 4), ("w", 2, 0, 2, 2)}
