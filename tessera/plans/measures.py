@@ -12,7 +12,7 @@ from tessera.plans.relations import KEY_SQL, LEXICON_SQL, keyed, lexicon
 from tessera.plans import forms, whole
 from tessera.plans.shared import ORTHOGRAPHY_SQL, TOKENS, WORDS, docs, in_orthography, pairs, pairs_sql
 from tessera.plans.texts import CLASS_SQL, word_class
-from tessera.session import table
+from tessera.session import table, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -346,13 +346,15 @@ def a26_holdout_tallies(spark, sf):
 )
 def a27_term_consistency(spark, sf):
     """The dominant rendering of each frequent term, candidates scored by the Dice coefficient over segments."""
-    both = pairs(spark, sf).withColumn("seg", F.struct("conv_id", "turn"))
-    side = lambda c: both.select("seg", F.explode(F.array_distinct(text.words(F.col(c)))).alias("w")).where(F.char_length("w") >= 4)
-    source, target = side("left_text"), side("right_text")
+    own = lambda c: F.filter(F.array_distinct(text.words(F.col(c))), lambda w: F.char_length(w) >= 4)
+    both = pairs(spark, sf).select(own("left_text").alias("source"), own("right_text").alias("target"))
+    counted = lambda side, word, n: both.select(F.explode(side).alias(word)).groupBy(word).agg(F.count("*").alias(n))
     total = both.agg(F.greatest(F.lit(1), F.floor(0.15 * F.count("*"))).alias("most"))
-    terms = source.groupBy(F.col("w").alias("term")).agg(F.count("*").alias("occurrences")).join(F.broadcast(total)).where("occurrences >= 3 AND occurrences <= most").drop("most")
-    cands = target.groupBy(F.col("w").alias("cand")).agg(F.count("*").alias("seen"))
-    met = source.withColumnRenamed("w", "term").join(terms, "term").join(target.withColumnRenamed("w", "cand"), "seg").groupBy("term", "cand", "occurrences").agg(F.count("*").alias("shared"))
+    terms = written(counted("source", "term", "occurrences").join(F.broadcast(total)).where("occurrences >= 3 AND occurrences <= most").drop("most"), "terms")
+    cands = counted("target", "cand", "seen")
+    # a segment's pairs are made and counted where the segment is, so only counts are shuffled
+    met = both.select(F.explode("source").alias("term"), "target").join(leaks.bounded(terms), "term").select("term", "occurrences", F.explode("target").alias("cand"))
+    met = met.groupBy("term", "cand", "occurrences").agg(F.count("*").alias("shared"))
     scored = met.join(cands, "cand").withColumn("dice", 2 * F.col("shared") / (F.col("occurrences") + F.col("seen")))
     best = dedup.first_copies(scored, ["term"], [F.desc("dice"), F.desc("shared"), "cand"])
     share = F.col("shared") / F.col("occurrences")
