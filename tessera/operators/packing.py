@@ -1,4 +1,4 @@
-"""Orders that become batches and blocks. Numeric orders are cut into cells, so that no task orders a whole group."""
+"""Orders that become batches and blocks. Orders are cut into cells, so that no task orders a whole group."""
 
 from __future__ import annotations
 
@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.leaks import bounded
+from tessera.session import written
 
 
 #: Rows of a cell, on average, and the most cells.
 CELL_ROWS, CELLS = 100_000, 4_096
 
 
-def running(rows: DataFrame, group: str, by: Column, order: list, amount: Column, name: str, total: str) -> DataFrame:
-    """rows with the sum of amount up to each row of its group, in order, and the group's total. by is a number along which
-    order runs; its quantiles cut all rows into cells, whose sums give each its offset."""
-    n = min(CELLS, rows.count() // CELL_ROWS + 1)
-    cuts = rows.select(by.cast("double").alias("b")).agg(F.percentile_approx("b", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < by)) if cuts else F.lit(0)
-    dealt = rows.withColumns({"_cell": cell, "_amount": amount})
+def running(rows: DataFrame, group: str, order: list, amount: Column, name: str, total: str) -> DataFrame:
+    """rows with the sum of amount up to each row of its group, in order, and the group's total. Spark's ranges of group and
+    order, of some CELL_ROWS rows each, are the cells, whose sums give each its offset; rows of equal order share one."""
+    held = written(rows.withColumn("_amount", amount), "order")
+    n = min(CELLS, held.count() // CELL_ROWS + 1)
+    # ranges are drawn anew by each run, so what they cut is written
+    dealt = written(held.repartitionByRange(n, group, *order).withColumn("_cell", F.spark_partition_id()), "cells") if n > 1 else held.withColumn("_cell", F.lit(0))
     sums = dealt.groupBy(group, "_cell").agg(F.sum("_amount").alias("_sum"))
     along = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(group, "_cell", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(group)).alias(total))
@@ -30,7 +31,7 @@ def running(rows: DataFrame, group: str, by: Column, order: list, amount: Column
 def blocks(docs: DataFrame, shard: str, order: str, tokens: str, size: int) -> DataFrame:
     """Documents of each shard are strung together with one separator each and cut into blocks of `size`: for every document the
     first and last block that it reaches, and whether it ends in the dropped tail of its shard."""
-    ends = running(docs, shard, F.col(order), [order], F.col(tokens) + 1, "end", "total")
+    ends = running(docs, shard, [order], F.col(tokens) + 1, "end", "total")
     start = F.col("end") - F.col(tokens) - 1
     whole = F.floor(F.col("total") / size)
     return ends.select(shard, order, F.floor(start / size).alias("first_block"), F.floor((F.col("end") - 1) / size).alias("last_block"), (F.col("end") > whole * size).alias("in_tail"))
@@ -57,10 +58,9 @@ def distinct_cluster_batches(rows: DataFrame, cluster: str, key: str, size: int,
     sizes = {r["_c"]: r["k"] for r in counts.groupBy("_c").agg(F.count("*").alias("k")).collect()}
     n = full_batches(sizes, size) if full else max(max(sizes, default=0), -(-sum(c * k for c, k in sizes.items()) // size))
     drawn = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")))
-    number = lambda digest: F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
     taken = counts.withColumns({"_taken": F.least("_c", F.lit(n)), "_one": F.lit(0), "_d": drawn(cluster)})
-    begins = running(taken, "_one", number(F.col("_d")), ["_d", cluster], F.col("_taken"), "_end", "_total").select(cluster, (F.col("_end") - F.col("_taken")).alias("_begins"))
-    placed = running(rows.withColumn("_d", drawn(key)), cluster, number(F.col("_d")), ["_d", key], F.lit(1), "_k", "_n").where(F.col("_k") <= n)
+    begins = running(taken, "_one", ["_d", cluster], F.col("_taken"), "_end", "_total").select(cluster, (F.col("_end") - F.col("_taken")).alias("_begins"))
+    placed = running(rows.withColumn("_d", drawn(key)), cluster, ["_d", key], F.lit(1), "_k", "_n").where(F.col("_k") <= n)
     at = F.col("_begins") + F.col("_k") - 1
     dealt = placed.join(bounded(begins), cluster).withColumns({"batch": (at % n).cast("long"), "slot": F.floor(at / n).cast("long")})
     return dealt.where(F.col("slot") < size).drop("_d", "_k", "_n", "_begins")
@@ -68,5 +68,5 @@ def distinct_cluster_batches(rows: DataFrame, cluster: str, key: str, size: int,
 
 def length_batches(rows: DataFrame, group: str, length: str, key: str, size: int) -> DataFrame:
     """In each group, longest first in batches of `size`; the key restores the order."""
-    placed = running(rows, group, -F.col(length), [F.desc(length), key], F.lit(1), "_place", "_total")
+    placed = running(rows, group, [F.desc(length), key], F.lit(1), "_place", "_total")
     return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place", "_total")

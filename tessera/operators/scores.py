@@ -48,11 +48,6 @@ def error_rate(edits: Column, size: Column) -> Column:
     return F.sum(edits) / F.sum(size)
 
 
-def along(value: Column, kind: str) -> Column:
-    """A number that never falls where value rises, for cells: a string's first six bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double") if kind == "string" else value.cast("double")
-
-
 def average_ranks(rows: DataFrame, within: list[str], *values: str) -> DataFrame:
     """rows with <value>_rank for each of the values, its fractional rank in its group: ties share the mean of their places.
 
@@ -60,10 +55,9 @@ def average_ranks(rows: DataFrame, within: list[str], *values: str) -> DataFrame
     summed up in cells, so no task orders a whole group. Nulls rank first, as one value."""
     out = rows
     for value in values:
-        kind = rows.schema[value].dataType.simpleString()
         grouped = rows.select(F.struct(*within).alias("_g") if within else F.lit(0).alias("_g"), F.col(value).alias("_v"))
-        counts = written(grouped.groupBy("_g", "_v").agg(F.count("*").alias("_n")), "values")
-        ends = running(counts, "_g", F.coalesce(along(F.col("_v"), kind), F.lit(float("-inf"))), [F.asc_nulls_first("_v")], F.col("_n"), "_end", "_total")
+        counts = grouped.groupBy("_g", "_v").agg(F.count("*").alias("_n"))
+        ends = running(counts, "_g", [F.asc_nulls_first("_v")], F.col("_n"), "_end", "_total")
         rank = ends.select("_g", "_v", (F.col("_end") - (F.col("_n") - 1) / 2).alias(f"{value}_rank"))
         joined = out.withColumn("_own", F.struct(*within) if within else F.lit(0)).join(bounded(rank), (F.col("_own") == F.col("_g")) & F.col(value).eqNullSafe(F.col("_v")))
         out = joined.drop("_own", "_g", "_v")

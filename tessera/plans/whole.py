@@ -100,10 +100,10 @@ def a21_whole_substring_counts(spark, sf):
 
 
 def vocabulary_ids(rows: DataFrame) -> DataFrame:
-    """The distinct words in ascending order, numbered in cells that their first bytes cut, so no task orders all of them or all of
+    """The distinct words in ascending order, numbered in cells that are ranges of them, so no task orders all of them or all of
     one letter."""
     words = rows.select(F.explode(text.words(F.col("text"))).alias("word")).distinct().withColumn("all", F.lit(0))
-    return running(words, "all", scores.along(F.col("word"), "string"), ["word"], F.lit(1), "end", "total").select("word", (F.col("end") - 1).alias("new_id"))
+    return running(words, "all", ["word"], F.lit(1), "end", "total").select("word", (F.col("end") - 1).alias("new_id"))
 
 
 @query(f"SELECT w AS word, row_number() OVER (ORDER BY w) - 1 AS new_id FROM (SELECT DISTINCT unnest({WORDS}) AS w FROM documents)")
@@ -149,7 +149,7 @@ def stream_windows(rows: DataFrame, window: int = 64) -> DataFrame:
 
     Only a remainder shorter than a window is left over. Repeated doc_ids stand in the order of their texts."""
     counted = rows.select("doc_id", F.lit(0).alias("stream"), F.sha2("text", 256).alias("digest"), F.greatest(F.size(text.tokens(F.col("text"))), F.lit(0)).cast("long").alias("n"))
-    at = running(counted, "stream", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), [F.asc_nulls_first("doc_id"), "digest"], F.col("n"), "end", "total").withColumn("offset", F.col("end") - F.col("n"))
+    at = running(counted, "stream", [F.asc_nulls_first("doc_id"), "digest"], F.col("n"), "end", "total").withColumn("offset", F.col("end") - F.col("n"))
     w = F.lit(window)
     first = F.ceil(F.col("offset") / w)
     last = F.least(F.ceil((F.col("offset") + F.col("n")) / w), F.floor(F.col("total") / w)) - 1
@@ -175,7 +175,7 @@ IDS_SQL = f"""n AS (SELECT doc_id, {TOKENS('text')} AS t, sha256(text) AS digest
 def token_stream(rows: DataFrame) -> DataFrame:
     """(at, id): all tokens in the order of doc_id, each with its place in the stream and an id from its digest."""
     counted = rows.select("doc_id", "text", F.lit(0).alias("stream"), F.sha2("text", 256).alias("digest"), F.greatest(F.size(text.tokens(F.col("text"))), F.lit(0)).cast("long").alias("n"))
-    placed = running(counted, "stream", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), [F.asc_nulls_first("doc_id"), "digest"], F.col("n"), "end", "total")
+    placed = running(counted, "stream", [F.asc_nulls_first("doc_id"), "digest"], F.col("n"), "end", "total")
     each = placed.select((F.col("end") - F.col("n")).alias("begins"), F.posexplode(text.tokens(F.col("text"))).alias("i", "token"))
     return each.select((F.col("begins") + F.col("i")).alias("at"), (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % MASKS.vocabulary).alias("id"))
 

@@ -130,3 +130,14 @@ def test_a_long_chain_is_decided_in_one_round(spark):
     df = spark.createDataFrame(rng.sample(rows + other, len(rows) + len(other)), "seq long, a long, b long")
     got = {(r["seq"], r["a"], r["b"]) for r in dedup.either_side_first(df, "a", "b", "seq", max_rounds=3).collect()}
     assert got == greedy(rows + other) and len([r for r in got if r[0] <= 3_000]) == 1_501
+
+
+def test_words_of_one_beginning_are_numbered_in_many_cells(spark, small_cells, monkeypatch):
+    from tessera.plans import whole
+
+    kept = {}
+    monkeypatch.setattr(packing, "written", lambda df, name, own=packing.written: kept.setdefault(name, own(df, name)))
+    words = sorted({f"zusammen{'abc'[i % 3]}{'é' * (i % 5)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)}, key=str.encode)
+    rows = spark.createDataFrame([(" ".join(words),), (" ".join(words[::2]),)], "text string")
+    assert {r["word"]: r["new_id"] for r in whole.vocabulary_ids(rows).collect()} == {w: i for i, w in enumerate(words)}
+    assert max(r["count"] for r in kept["cells"].groupBy("_cell").count().collect()) <= len(words) // 5
