@@ -119,14 +119,13 @@ def treebank(spark, sf) -> DataFrame:
     path = f"{folder(spark, 'bank')}.conllu"
     own = text.words(F.col("text"))
     upos = lambda w: F.when(F.char_length(w) % 3 == 0, "NOUN").when(F.char_length(w) % 3 == 1, "VERB").otherwise("ADP")
-    cells = lambda *c: F.concat_ws("\t", *c)
-    blank = F.lit("_")
+    tab, blanks = F.lit("\t"), lambda n: F.lit("\t_" * n)
 
     def row(words):
         def one(w, i):
             n = (i + 1).cast("string")
-            plain = cells(n, w, w, upos(w), blank, blank, blank, blank, blank, blank)
-            span = cells(F.concat(n, F.lit("-"), (i + 2).cast("string")), F.concat(w, F.get(words, i + 1)), *[blank] * 8)
+            plain = F.concat(n, tab, w, tab, w, tab, upos(w), blanks(6))
+            span = F.concat(n, F.lit("-"), (i + 2).cast("string"), tab, w, F.get(words, i + 1), blanks(8))
             return F.when((i % 7 == 0) & (i + 1 < F.size(words)), F.concat_ws("\n", span, plain)).otherwise(plain)
 
         return F.array_join(F.transform(words, one), "\n")
@@ -159,14 +158,13 @@ def v19_treebank_words(spark, sf):
     SELECT setting, gold, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (contains(form, 'e') OR contains(form, 'g')) AS BIGINT) AS changed FROM p WHERE gold IS NOT NULL GROUP BY ALL"""
 )
 def v20_scoring_positions(spark, sf):
-    """Both settings, read under the look-alike condition; positions without gold are no part of the score."""
-    bank = treebank(spark, sf)
-    faked = lambda c: corrupt.lookalike(in_orthography(c))
-    rows = None
-    for setting in ("words", "tokens"):
-        own = readers.scoring_positions(bank, setting == "words", faked).withColumn("setting", F.lit(setting))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.where("gold IS NOT NULL").groupBy("setting", "gold").agg(F.count("*").alias("n"), F.count_if(F.col("form").rlike("[εγ]")).alias("changed"))
+    """Both settings, read under the look-alike condition; positions without gold are no part of the score. A sentence is parsed
+    once for both, and a form changed once for all its positions."""
+    settings = F.array(*[F.struct(F.lit(name).alias("setting"), readers.positions(name == "words").alias("own")) for name in ("words", "tokens")])
+    rows = treebank(spark, sf).select(F.inline(settings)).select("setting", F.inline("own")).where("gold IS NOT NULL")
+    forms_ = rows.groupBy("setting", "gold", "form").agg(F.count("*").alias("n"))
+    changed = corrupt.lookalike(in_orthography(F.col("form"))).rlike("[εγ]")
+    return forms_.groupBy("setting", "gold").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(changed, F.col("n"))), F.lit(0)).alias("changed"))
 
 
 @query("SELECT 's' || s_suppkey || '.mp3' AS path, CAST(s_nationkey AS VARCHAR) AS client_id, s_name AS sentence, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_suppkey * 7 AS BIGINT) END AS duration_ms FROM supplier WHERE s_suppkey % 10 <> 1")

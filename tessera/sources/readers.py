@@ -116,8 +116,13 @@ def record_pairs(df: DataFrame, own: str, other: str) -> DataFrame:
 TREEBANK = "sent_id string, words array<struct<id:int,form:string,lemma:string,upos:string,feats:string>>, tokens array<struct<form:string,first:int,last:int,space_after:boolean>>"
 
 
-def parse_block(block: str) -> dict | None:
-    """A sentence of ten tab-separated columns: its syntactic words and its surface tokens, which may span words. Empty nodes go."""
+WORD = {"id": pa.int32(), "form": pa.string(), "lemma": pa.string(), "upos": pa.string(), "feats": pa.string()}
+TOKEN = {"form": pa.string(), "first": pa.int32(), "last": pa.int32(), "space_after": pa.bool_()}
+
+
+def parse_block(block: str) -> tuple[str | None, list[tuple], list[tuple]] | None:
+    """A sentence of ten tab-separated columns: its syntactic words and its surface tokens, which may span words, as tuples of
+    their fields. Empty nodes go."""
     sent_id, words, tokens, covered = None, [], [], 0
     for raw in block.splitlines():
         if raw.startswith("#"):
@@ -129,26 +134,26 @@ def parse_block(block: str) -> dict | None:
         cells = raw.split("\t")
         if len(cells) != 10:
             raise ReadError(f"a treebank row has {len(cells)} columns: {raw!r}")
-        spaced = "SpaceAfter=No" not in cells[9].split("|")
+        spaced = cells[9] == "_" or "SpaceAfter=No" not in cells[9].split("|")
         if "." in cells[0]:
             continue
         if "-" in cells[0]:
             first, last = map(int, cells[0].split("-"))
             if first <= covered or last < first:
                 raise ReadError(f"the range {cells[0]} overlaps or is empty")
-            tokens.append({"form": cells[1], "first": first, "last": last, "space_after": spaced})
+            tokens.append((cells[1], first, last, spaced))
             covered = last
             continue
         number = int(cells[0])
         if number != len(words) + 1:
             raise ReadError(f"word {number} follows word {len(words)}")
-        words.append({"id": number, "form": cells[1], "lemma": cells[2], "upos": cells[3], "feats": cells[5]})
+        words.append((number, cells[1], cells[2], cells[3], cells[5]))
         if number > covered:
-            tokens.append({"form": cells[1], "first": number, "last": number, "space_after": spaced})
+            tokens.append((cells[1], number, number, spaced))
             covered = number
-    if tokens and tokens[-1]["last"] > len(words):
+    if tokens and tokens[-1][2] > len(words):
         raise ReadError("a range ends beyond the last word")
-    return {"sent_id": sent_id, "words": words, "tokens": tokens} if words else None
+    return (sent_id, words, tokens) if words else None
 
 
 def treebank(spark: SparkSession, path: str) -> DataFrame:
@@ -156,12 +161,17 @@ def treebank(spark: SparkSession, path: str) -> DataFrame:
 
     schema = to_arrow_schema(T.StructType.fromDDL(TREEBANK))
 
+    def columns(rows: list[tuple]) -> list[pa.Array]:
+        ids, words, tokens = zip(*rows, strict=True) if rows else ((), (), ())
+        return [pa.array(ids, pa.string()), batches.lists(words, WORD), batches.lists(tokens, TOKEN)]
+
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             blocks = batch.column(0)
             # a word's record takes some twenty times its row
             for a, b in batches.stretches(pc.binary_length(blocks).to_pylist()):
-                yield pa.RecordBatch.from_pylist([r for r in map(parse_block, blocks[a:b].to_pylist()) if r], schema)
+                made = columns([r for r in map(parse_block, blocks[a:b].to_pylist()) if r])
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
     return spark.read.option("lineSep", "\n\n").text(path).mapInArrow(read, TREEBANK)
 
@@ -169,15 +179,19 @@ def treebank(spark: SparkSession, path: str) -> DataFrame:
 def scoring_positions(sentences: DataFrame, words: bool, corrupt: Callable[[Column], Column] | None = None) -> DataFrame:
     """sent_id, place, form and gold of each position that a tagger must label: syntactic words, or surface tokens, of which
     one that spans several words has no gold. corrupt changes what the tagger reads, never the gold."""
-    if words:
-        rows = sentences.select("sent_id", F.posexplode("words").alias("place", "u")).select("sent_id", "place", "u.form", F.col("u.upos").alias("gold"))
-    else:
-        rows = sentences.select("sent_id", "words", F.posexplode("tokens").alias("place", "u"))
-        gold = F.when(F.col("u.first") == F.col("u.last"), F.get("words", F.col("u.first") - 1)["upos"])
-        rows = rows.select("sent_id", "place", "u.form", gold.alias("gold"))
+    rows = sentences.select("sent_id", F.inline(positions(words)))
     return rows.withColumn("form", corrupt(F.col("form"))) if corrupt else rows
 
 
+def positions(words: bool) -> Column:
+    """A sentence's positions as an array of place, form and gold. Gold is found before they are rows, so that none carries the
+    words of its sentence."""
+    if words:
+        return F.transform("words", lambda u, i: F.struct(i.alias("place"), u["form"].alias("form"), u["upos"].alias("gold")))
+    gold = lambda u: F.when(u["first"] == u["last"], F.get("words", u["first"] - 1)["upos"])
+    return F.transform("tokens", lambda u, i: F.struct(i.alias("place"), u["form"].alias("form"), gold(u).alias("gold")))
+
+
 def treebank_words(sentences: DataFrame) -> DataFrame:
     return sentences.select("sent_id", F.explode("words").alias("w")).select("sent_id", "w.form", "w.lemma", "w.upos")
 

@@ -209,3 +209,16 @@ def test_split_and_lexicon_sinks(spark, tmp_path):
         sinks.lexicon(none, {}, f"file://{tmp_path}/l")
     with pytest.raises(registry.RegistryError):
         registry.record(rows, f"file://{tmp_path}/m", registry.MANIFEST)
+
+
+def test_positions_of_a_long_sentence_carry_no_words_with_them(spark, tmp_path):
+    n = 20_000
+    block = "# sent_id = s\n" + "\n".join(f"{i}\tw{i}\tw{i}\tNOUN\t_\t_\t_\t_\t_\t_" for i in range(1, n + 1))
+    (tmp_path / "long.conllu").write_text(block.replace("\n1\t", "\n1-2\tw1w2\t_\t_\t_\t_\t_\t_\t_\tSpaceAfter=No\n1\t", 1) + "\n\n")
+    bank = readers.treebank(spark, str(tmp_path / "long.conllu"))
+    found = bank.select(F.inline(readers.positions(False)))
+    assert found.count() == n - 1
+    assert [tuple(r) for r in found.where("place < 2").collect()] == [(0, "w1w2", None), (1, "w3", "NOUN")]
+    spans = bank.select(F.get("tokens", 0)["space_after"], F.get("tokens", 1)["space_after"]).first()
+    assert tuple(spans) == (False, True)
+    assert [r["gold"] for r in readers.scoring_positions(bank, False).where("place < 2").select("gold").collect()] == [None, "NOUN"]
