@@ -27,7 +27,7 @@ def ranks(spark: SparkSession, path: str) -> Broadcast:
 def units(text: Column) -> Column:
     """A blank stands before the first word, too, so each word has one unit with a blank. Joined, they are the text."""
     squeezed = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.concat(F.lit(" "), squeezed), F.lit(UNITS), 0))
+    return F.regexp_extract_all(F.concat(F.lit(" "), squeezed), F.lit(UNITS), 0)
 
 
 def merged(unit: bytes, ranks: Mapping[bytes, int]) -> list[bytes]:

@@ -111,8 +111,8 @@ def v05_subword_grid(spark, sf):
 def v16_letter_pieces(spark, sf):
     """Each letter that occurs in the texts as typed and as repaired, and whether the vocabulary has it in one piece: a vocabulary
     fitted to wrong letters has those and splits the right ones."""
-    letters = conditions(docs(spark, sf)).select("condition", F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}"), 0)).alias("letter"))
-    counts = letters.groupBy("condition", "letter").agg(F.count("*").alias("uses"))
+    characters = conditions(docs(spark, sf)).select("condition", F.explode(F.split("t", "")).alias("letter"))
+    counts = characters.groupBy("condition", "letter").agg(F.count("*").alias("uses")).where(F.col("letter").rlike(r"^\p{L}\z"))
     own = F.size(F.get(subword.pieces(F.array("letter"), subword.ranks(spark, VOCABULARIES["english"])), 0))
     return counts.withColumn("pieces", own).select("condition", "letter", "uses", "pieces", (F.col("pieces") == 1).alias("single"))
 

@@ -273,3 +273,21 @@ def test_ngrams_are_counted_within_their_rows(spark):
     found = scores.matched(rows, {"w": F.col("r")}, {"w": F.col("h")}, {"w": 2})
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
     assert {tuple(r) for r in found.collect()} == {("w", 1, 2, 3, 4), ("w", 2, 0, 2, 2)}
+
+
+def test_normalising_takes_little_time_and_keeps_guarded_names():
+    import time
+
+    t = "Éγiγ aεiγ Éric\tεγ  x\u200bγ\u0301 – " * 40_000
+    began = time.perf_counter()
+    found = normalise.normalise(t)
+    assert time.perf_counter() - began < 3
+    assert found == ("Éγiγ aɛiɣ Éric\tɛɣ xɣ\u0301 - " * 40_000).strip()
+
+
+def test_letters_are_counted_once_each(spark, tmp_path):
+    from tessera.plans import subwords
+
+    spark.createDataFrame([(1, "ab1 é𝒳", "x")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["condition"], r["letter"], r["uses"]) for r in subwords.v16_letter_pieces(spark, str(tmp_path)).collect()}
+    assert found == {(c, x, 1) for c in ("typed", "repaired") for x in "abé𝒳"}
