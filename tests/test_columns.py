@@ -46,3 +46,23 @@ def test_corruption_depends_on_the_text_alone(spark):
     same = sum(t == x for t, x in one) / len(one)
     assert 0.05 < same < 0.3
     assert all(" ".join(corrupt.chunks(t, 5, 9)) == t for t in texts)
+
+
+def test_scores_are_those_of_plain_counts_over_all_rows(spark):
+    import re
+
+    from tessera.functions import text as texts
+    from tessera.operators import columns as chosen
+
+    values = ["Ɣer deg č d ɣef", None, "  ", "ΑΒΓ δεζ ɣ", "the ḍ of, où d", "12.5", "日本 ɛ ţŢ"]
+    got = {s.name: s for s in chosen.score_columns(spark.createDataFrame([(i, v, str(i)) for i, v in enumerate(values)], "i int, plain string, digits string"))}
+    letters = lambda v: [c for c in v if c.isalpha()]
+    latin = [v for v in values if v and v.strip() and letters(v) and sum(c <= "ɏ" or c in texts.MARKED for c in letters(v)) / len(letters(v)) >= texts.LATIN_LEAST]
+    words = lambda vs: [w for v in vs if v for w in re.findall(r"[^\W\d_]+", v.lower())]
+    share = lambda listed, own: sum(w in listed for w in own) / len(own)
+    marked = sum(c in texts.MARKED for v in latin for c in v) / sum(len(letters(v)) for v in latin)
+    own = 0.6 * min(marked / 0.08, 1) + 0.4 * min(share(texts.FUNCTION_WORDS, words(latin)) / 0.30, 1)
+    s = got["plain"]
+    assert (s.own, s.english, s.french, s.coverage, s.numeric) == pytest.approx((own, share(texts.ENGLISH, words(values)), share(texts.FRENCH, words(values)), 5 / 7, False))
+    assert got["digits"].numeric and got["digits"].own == 0 and got["digits"].coverage == 1
+    assert [x.numeric for x in chosen.score_columns(spark.createDataFrame([], "a string"))] == [True]
