@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import batches, digests
 from tessera.functions.normalise import RULES, on_texts
 from tessera.functions.text import let
 
@@ -52,23 +57,80 @@ def cumulated(options: list[tuple[str, float]]) -> list[tuple[str, float]]:
     return [(to, end) for (to, _), end in zip(options, ends, strict=True)]
 
 
+#: Characters that are worked through at a time.
+BLOCK = 1 << 15
+#: The letters that are changed, in both cases; the kind of a letter is its place here, from 1, and 0 is any other character.
+CHANGED = [(c, [(to if c.islower() else to.capitalize(), end) for to, end in options]) for low, options in {"u": [("ou", 1.0)], **{c: cumulated(listed) for c, listed in SPELLINGS.items()}}.items() for c in (low, low.upper())]
+MOST = max(len(options) for _, options in CHANGED)
+
+
+def tables() -> tuple[np.ndarray, ...]:
+    """By code point: the kind of a letter, all above the last have none. By kind: what the first draw stays under if the letter
+    is changed, and the ends of its options. By kind and option: the length of the spelling and its characters."""
+    kinds = np.zeros(max(ord(c) for c, _ in CHANGED) + 2, np.uint8)
+    limits, ends = np.zeros(len(CHANGED) + 1, np.int64), np.full((len(CHANGED) + 1, MOST - 1), 16**DIGITS, np.int64)
+    sizes, spelled = np.ones((len(CHANGED) + 1, MOST), np.int64), np.zeros((len(CHANGED) + 1, MOST, 3), np.uint32)
+    for kind, (c, options) in enumerate(CHANGED, start=1):
+        kinds[ord(c)] = kind
+        limits[kind] = math.ceil((OU if c.lower() == "u" else SUBSTITUTED) * 16**DIGITS)
+        for k, (to, end) in enumerate(options):
+            if end < 1:
+                ends[kind, k] = math.ceil(end * 16**DIGITS)
+            sizes[kind, k] = len(to)
+            spelled[kind, k, : len(to)] = [ord(x) for x in to]
+    return kinds, limits, ends, sizes, spelled
+
+
+KINDS, LIMITS, ENDS, SIZES, SPELLED = tables()
+
+
+def respelled(owns: list[str | None], texts: list[str | None]) -> pa.Array:
+    """Texts with their letters spelled informally by the digests of their rows, in hexadecimal."""
+    rows = [(own, x) for own, x in zip(owns, texts, strict=True) if x is not None]
+    sizes = np.array([len(x) for _, x in rows], np.int64)
+    points = np.frombuffer("".join(x for _, x in rows).encode("utf-32-le"), "<u4")
+    states = digests.begun([own for own, _ in rows])
+    ends, grown, pieces = np.cumsum(sizes), np.zeros(len(rows), np.int64), []
+    for first in range(0, len(points), BLOCK):
+        part = points[first : first + BLOCK]
+        kind = KINDS.take(part, mode="clip")
+        at = np.flatnonzero(kind)
+        row = np.searchsorted(ends, first + at, side="right")
+        kind = kind[at]
+        one, two = drawn([s[row] for s in states], first + at + 1 - (ends - sizes)[row])
+        hit = np.flatnonzero(one < LIMITS[kind])
+        at, row, kind, two = at[hit], row[hit], kind[hit], two[hit]
+        option = (two[:, None] >= ENDS[kind]).sum(axis=1)
+        lengths = np.ones(len(part), np.int64)
+        lengths[at] = SIZES[kind, option]
+        to = np.cumsum(lengths) - lengths
+        out = np.empty(lengths.sum(), "<u4")
+        out[to] = part
+        for k in range(SPELLED.shape[2]):
+            longer = lengths[at] > k
+            out[to[at[longer]] + k] = SPELLED[kind[longer], option[longer], k]
+        grown += np.bincount(row, lengths[at] - 1, len(rows)).astype(np.int64)
+        pieces.append(out.tobytes().decode("utf-32-le"))
+    spelled, bounds = "".join(pieces), [0, *np.cumsum(sizes + grown).tolist()]
+    made: Iterator[str] = itertools.starmap(lambda a, b: spelled[a:b], itertools.pairwise(bounds))
+    return pa.array([None if x is None else next(made) for x in texts], pa.string())
+
+
+def drawn(states: list[np.ndarray], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two draws of each letter, from the digest of its row's digest, a colon and its place in the text."""
+    high, low = digests.ended(states, places)
+    return (high >> 12).astype(np.int64), ((high & 0xFFF) << 40 | low >> 24).astype(np.int64)
+
+
 def misspelled(text: Column, seed: str = "informal") -> Column:
     """An informal spelling, drawn from digests of the text itself, so that order and partitioning do not matter.
 
     One digest for the row decides whether it stays, its hyphens and its prepositions; one for each letter of the table, whether
-    it is replaced and by what. An upper-case letter gets a capitalised spelling."""
-    options = F.create_map(*[x for c, listed in SPELLINGS.items() for x in (F.lit(c), F.array(*[F.struct(F.lit(bound(end)).alias("end"), F.lit(to).alias("to")) for to, end in cumulated(listed)]))])
-
-    def letter(own: Column, c: Column, i: Column) -> Column:
-        low = F.lower(c)
-        cased = lambda to: F.when(c == low, to).otherwise(F.concat(F.upper(F.substring(to, 1, 1)), F.substring(to, 2, 9)))
-        chosen = lambda h: F.filter(F.element_at(options, low), lambda o: F.substring(h, 1 + DIGITS, DIGITS) < o["end"])[0]["to"]
-        changed = lambda h: F.when(low == "u", F.when(below(h, 0, OU), cased(F.lit("ou"))).otherwise(c)).when(below(h, 0, SUBSTITUTED), cased(chosen(h))).otherwise(c)
-        return F.when((low == "u") | low.isin(list(SPELLINGS)), let(F.md5(F.concat(own, F.lit(":"), (i + 1).cast("string"))), changed)).otherwise(c)
-
-    def whole(own: Column) -> Column:
-        spelled = F.array_join(F.transform(F.split(text, ""), lambda c, i: letter(own, c, i)), "")
-        return let(F.sha2(F.concat(own, F.lit(":row")), 256), lambda row: F.when(below(row, 0, UNCHANGED), text).otherwise(let(spelled, lambda out: ended(row, out))))
+    it is replaced and by what. An upper-case letter gets a capitalised spelling. Letters are drawn in Arrow batches, as there are
+    as many digests as letters; all else is built in."""
+    own = F.sha2(F.concat(F.lit(f"{seed}:"), text), 256)
+    row = F.sha2(F.concat(own, F.lit(":row")), 256)
+    spelled = batches.column(respelled, "string")(own, F.when(~below(row, 0, UNCHANGED), text))
 
     def ended(row: Column, out: Column) -> Column:
         parted = F.when(F.contains(out, F.lit("-")) & below(row, 1, HYPHEN), F.replace(out, F.lit("-"), F.when(below(row, 2, 0.5), " ").otherwise(""))).otherwise(out)
@@ -77,7 +139,7 @@ def misspelled(text: Column, seed: str = "informal") -> Column:
             short = F.regexp_replace(F.regexp_replace(short, pattern, to), pattern, to)
         return F.when(below(row, 3, SHORTENED), short).otherwise(parted)
 
-    return let(F.sha2(F.concat(F.lit(f"{seed}:"), text), 256), whole)
+    return let(F.struct(row.alias("row"), spelled.alias("out")), lambda x: F.when(x["out"].isNull(), text).otherwise(ended(x["row"], x["out"])))
 
 
 def lookalike(text: Column) -> Column:

@@ -7,9 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.functions import corrupt, script, segment, text
+from tessera.functions import corrupt, digests, script, segment, text
 from tessera.plans import catalogue, shared, whole
 
 DOCS = "doc_id long, text string, lang string"
@@ -122,6 +124,29 @@ def test_seeded_changes_of_the_documents(spark, sf_dir, texts):
     assert all(re.search(re.escape(to), "".join(informal.values())) for listed in corrupt.SPELLINGS.values() for to, _ in listed)
 
 
+def test_letters_are_drawn_in_batches(spark, sf_dir):
+    """One digest for each letter, but no step of a plan for each: texts longer than a block, letters beyond its edges, of several
+    rows in one, and none at all."""
+    long = "ČuḥxẒ-deg 😀ɛ seg c" * (corrupt.BLOCK // 16)
+    texts_ = [None, "", "u", "𐊀ɣ deg\tuxxam", "plain", long, *(long[:n] for n in range(1, 40)), "ẓ" * 10, "Ğ" * (corrupt.BLOCK // 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["x"] for r in df.select("i", corrupt.misspelled(F.col("t")).alias("x")).collect()}
+    assert got == {i: t and misspelled_plainly(t) for i, t in enumerate(texts_)}
+    plan = catalogue.queries()["x29_informal_spelling"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "md5" not in plan
+
+
+def test_digests_are_those_of_the_library():
+    shared = [hashlib.sha256(bytes([k])).hexdigest() for k in range(3)]
+    numbers = np.array([x for k in range(10) for x in (10**k - 1, 10**k)] + [10**10 - 1])
+    row = np.repeat(np.arange(3), len(numbers))
+    high, low = digests.ended([s[row] for s in digests.begun(shared)], np.tile(numbers, 3))
+    assert [f"{a:016x}{b:016x}" for a, b in zip(high.tolist(), low.tolist(), strict=True)] == [hashlib.md5(f"{own}:{n}".encode()).hexdigest() for own in shared for n in numbers]
+    for refused in (-1, 10**10):
+        with pytest.raises(ValueError, match="digits"):
+            digests.ended([s[:1] for s in digests.begun(shared)], np.array([refused]))
+
+
 def misspelled_plainly(text: str) -> str:
     """One text's informal spelling, letter by letter."""
 
