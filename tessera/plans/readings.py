@@ -78,16 +78,13 @@ def s09_bundle_pairs(spark, sf):
 
 @query(f"SELECT 'part' || part || '.en-kab.kab' AS member, kab, en, CAST(count(*) AS BIGINT) AS n FROM (SELECT conv_id % 4 AS part, {squeezed('left_text')} AS kab, {squeezed('right_text')} AS en FROM ({pairs_sql})) WHERE kab <> '' AND en <> '' GROUP BY ALL")
 def s09_turns_by_member(spark, sf):
-    """Questions and answers as a bundle of four pairs of members, each member read by a task of its own."""
+    """Questions and answers as bundles of four pairs of members, one from each task, each member read by a task of its own."""
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    rows = pairs(spark, sf).select((F.col("conv_id") % 4).alias("part"), squeeze("left_text").alias("kab"), squeeze("right_text").alias("en")).orderBy("part", "kab", "en")
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for part in range(4):
-            own = rows.where(F.col("part") == part).collect()
-            for side in ("kab", "en"):
-                z.writestr(f"part{part}.en-kab.{side}", "".join(f"{r[side]}\n" for r in own))
-    found = readers.zip_pairs(spark, put(spark, f"{folder(spark, 'turns')}.zip", data.getvalue()), "kab", "en")
+    part = F.coalesce((F.col("conv_id") % 4).cast("string"), F.lit(""))
+    rows = pairs(spark, sf).select(F.concat(F.lit("part"), part, F.lit(".en-kab")).alias("stem"), squeeze("left_text").alias("kab"), squeeze("right_text").alias("en"))
+    path = folder(spark, "turns")
+    sinks.zip_pairs(rows, "stem", "kab", "en", path)
+    found = readers.zip_pairs(spark, path, "kab", "en").withColumn("member", F.nullif("member", F.lit("part.en-kab.kab")))
     return found.groupBy("member", "kab", "en").agg(F.count("*").alias("n"))
 
 

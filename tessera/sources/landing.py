@@ -9,19 +9,23 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import json
 import time
 import urllib.request
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Bytes of a range.
 CHUNK = 8 << 20
@@ -86,12 +90,15 @@ def opened(url: str) -> BinaryIO:
         return io.BufferedReader(HttpFile(url), 1 << 16)
     if scheme in ("", "file"):
         return open(unquote(urlparse(url).path), "rb")
-    from pyarrow import fs
-
     system, path = fs.FileSystem.from_uri(url)
     return system.open_input_file(path)
 
 
+def placed(url: str) -> tuple[fs.FileSystem, str]:
+    """A folder to write in, by path or a file system that Arrow knows."""
+    return (fs.LocalFileSystem(), unquote(urlparse(url).path)) if urlparse(url).scheme in ("", "file") else fs.FileSystem.from_uri(url)
+
+
 def _fetched(url: str, offset: int, length: int) -> bytes:
     with opened(url) as f:
         f.seek(offset)
@@ -270,7 +277,8 @@ class Member(InputPartition):
 class ZipMembers(DataSource):
     """Lines of the members of zip archives: (bundle, member, line, text), with the options bundles and suffixes as JSON lists.
 
-    Only the archives' directories are read to plan; a task then reads its member as a stream."""
+    Only the archives' directories are read to plan; a task then reads its member as a stream. Written are (member, text), a task's
+    lines as an archive of its own in the folder of the path."""
 
     @classmethod
     def name(cls) -> str:
@@ -283,6 +291,58 @@ class ZipMembers(DataSource):
         return _ZipReader(json.loads(self.options["bundles"]), tuple(json.loads(self.options["suffixes"])))
 
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise LandingError("archives are added to a folder, none is replaced")
+        return _ZipWriter(self.options["path"])
+
+
+@dataclass
+class Archive(WriterCommitMessage):
+    name: str | None
+
+
+class _ZipWriter(DataSourceArrowWriter):
+    """An archive's name starts with an underscore, which Spark's listings pass over, until all tasks are done."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archive:
+        lines_ = (row for batch in iterator for row in zip(batch.column("member").to_pylist(), batch.column("text").to_pylist(), strict=True))
+        first = next(lines_, None)
+        if first is None:
+            return Archive(None)
+        system, root = placed(self.root)
+        name = f"{uuid.uuid4().hex}.zip"
+        system.create_dir(root)
+        try:
+            with system.open_output_stream(f"{root}/_{name}") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                for member, own in itertools.groupby(itertools.chain([first], lines_), lambda row: row[0]):
+                    if within(member) in z.NameToInfo:
+                        raise LandingError(f"the lines of {member!r} do not stand together")
+                    with z.open(member, "w", force_zip64=True) as out:
+                        for _, text in own:
+                            out.write(f"{text}\n".encode())
+        except BaseException:
+            system.delete_file(f"{root}/_{name}")
+            raise
+        return Archive(name)
+
+    def commit(self, messages: list[Archive | None]) -> None:
+        system, root = placed(self.root)
+        system.create_dir(root)
+        for m in messages:
+            if m and m.name:
+                system.move(f"{root}/_{m.name}", f"{root}/{m.name}")
+
+    def abort(self, messages: list[Archive | None]) -> None:
+        system, root = placed(self.root)
+        for m in messages:
+            if m and m.name:
+                system.delete_file(f"{root}/_{m.name}")
+
+
 class _ZipReader(DataSourceReader):
     def __init__(self, bundles: list[str], suffixes: tuple[str, ...]):
         self.bundles, self.suffixes = bundles, suffixes

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import landing
+
 
 class SinkError(ValueError):
     """An output that must not be published."""
@@ -73,6 +75,17 @@ def filelist(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("|", "audio", "text", "speaker")).write.mode("overwrite").text(path)
 
 
+def zip_pairs(df: DataFrame, stem: str, own: str, other: str, path: str) -> None:
+    """Line-aligned members <stem>.<own> and <stem>.<other> of the pairs, in an archive from each task; readers.zip_pairs reads the
+    folder. A missing side is a blank line. Lines hold no line break: a side that does fails the job."""
+    df.sparkSession.dataSource.register(landing.ZipMembers)
+    text = lambda side: F.when(F.contains(side, F.lit("\n")), F.raise_error(F.concat(F.lit("a line break in a line: "), F.substring(side, 1, 200))).cast("string")).otherwise(F.coalesce(side, F.lit("")))
+    line = lambda side: F.struct(F.concat(F.col(stem), F.lit(f".{side}")).alias("member"), "line", text(F.col(side)).alias("text"))
+    # numbered where they are written, so that both sides of a task have one order
+    rows = df.select(stem, own, other, F.monotonically_increasing_id().alias("line")).select(F.inline(F.array(line(own), line(other))))
+    rows.sortWithinPartitions("member", "line").select("member", "text").write.format("zip_members").mode("append").save(path)
+
+
 def checksums(spark, path: str) -> DataFrame:
     """Path, size and SHA-256 of the files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import catalogue
 from tessera.sources import readers, registry, sinks
 from tessera.streaming import events
 
@@ -57,6 +58,40 @@ def test_zip_bundles(spark, tmp_path):
         readers.zip_pairs(spark, bad, "kab", "en").collect()
 
 
+def test_bundles_are_written_by_their_tasks(spark, tmp_path):
+    """An archive from each task with rows, none from a failed one; sides stay aligned, also where one is missing."""
+    pairs = [(f"T{i % 3}.en-kab", f"k {i} ɣ" if i % 5 else None, f"e {i}" if i % 7 else "") for i in range(1000)]
+    df = spark.createDataFrame(pairs, "stem string, kab string, en string").repartition(4)
+    path = f"file://{tmp_path}/bundles"
+    sinks.zip_pairs(df, "stem", "kab", "en", path)
+    names = [p.name for p in (tmp_path / "bundles").iterdir()]
+    assert len(names) == 4 and all(n.endswith(".zip") and n[0] != "_" for n in names)
+    got = [(r["member"], r["kab"], r["en"]) for r in readers.zip_pairs(spark, path, "kab", "en").collect()]
+    assert sorted(got) == sorted((f"{stem}.kab", kab, en) for stem, kab, en in pairs if kab and en)
+    sinks.zip_pairs(df.where("stem = 'none'"), "stem", "kab", "en", f"{path}-of-nothing")
+    assert readers.zip_pairs(spark, f"{path}-of-nothing", "kab", "en").collect() == []
+    for wrong, message in ((F.lit("a\nb"), "line break"), (F.lit("c"), "no path below")):
+        broken = df.withColumn("kab", wrong).withColumn("stem", F.lit("../out") if "path" in message else F.col("stem"))
+        with pytest.raises(Exception, match=message):
+            sinks.zip_pairs(broken, "stem", "kab", "en", f"{path}-{message.split()[0]}")
+        assert not list(tmp_path.glob(f"bundles-{message.split()[0]}/*"))
+
+
+def test_turns_are_bundled_without_the_driver(spark, tmp_path, monkeypatch):
+    """What the driver gets is the archives' paths, no text of a turn, and turns of every number or none are kept."""
+    turns = [(c, 2 * k + i, role, None if (c, k) == (5, 1) else f"{role} {c}  {k}") for c in (-3, 0, 5, 6, 11, None) for k in range(3) for i, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    frame, seen = type(spark.range(0)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (seen.append(self.columns), collect(self))[1])
+    found = catalogue.queries()["s09_turns_by_member"](spark, str(tmp_path))
+    assert seen == [["path"]]
+    monkeypatch.undo()
+    number = lambda c: "NULL" if c is None else str(c % 4 if c > 0 else -(-c % 4))
+    want = [(None if c is None else f"part{number(c)}.en-kab.kab", f"user {c} {k}", f"assistant {c} {k}", 1) for c in (-3, 0, 5, 6, 11, None) for k in range(3) if (c, k) != (5, 1)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
 BLOCK = "# sent_id = s1\n1-2\tdu\t_\t_\t_\t_\t_\t_\t_\tSpaceAfter=No\n1\tde\tde\tADP\t_\t_\t_\t_\t_\t_\n2\tle\tle\tDET\t_\tA=1\t_\t_\t_\t_\n2.1\tx\tx\tX\t_\t_\t_\t_\t_\t_\n3\tpain\tpain\tNOUN\t_\t_\t_\t_\t_\t_"
 
 
