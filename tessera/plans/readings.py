@@ -184,12 +184,22 @@ def s13_benchmark_splits(spark, sf):
     return readers.splits(spark, root, "kab_Latn", ["dev", "devtest"]).select("split", "id", "text", "domain")
 
 
+#: The mark of an encoded text, and what encodes one: characters outside XML 1.0, or the mark itself.
+ENCODED = "\ufdd0"
+NO_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF\uFDD0]"
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS title, trim(text, ' ' || chr(10) || chr(9)) AS text FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> ''")
 def s15_dump_pages(spark, sf):
+    """Documents as pages of a dump. A text with characters that no XML can hold goes percent-encoded, after a mark."""
     path = f"{folder(spark, 'dump')}.xml"
-    pages = docs(spark, sf).select(F.col("doc_id").cast("string").alias("title"), F.struct("text").alias("revision"))
+    own = F.col("text")
+    held = F.when(own.rlike(NO_XML), F.concat(F.lit(ENCODED), F.url_encode(own))).otherwise(own)
+    pages = docs(spark, sf).select(F.col("doc_id").cast("string").alias("title"), F.struct(held.alias("text")).alias("revision"))
     pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
-    return readers.by_suffix(spark, path).select("title", "text")
+    decoded = readers.bare(F.url_decode(F.substring(own, F.lit(2), F.char_length(own))))
+    found = readers.by_suffix(spark, path).select("title", F.when(F.startswith(own, F.lit(ENCODED)), decoded).otherwise(own).alias("text"))
+    return found.where("text <> ''")
 
 
 def dictionary_file(spark, sf) -> str:

@@ -197,9 +197,16 @@ def treebank_words(sentences: DataFrame) -> DataFrame:
 
 
 def mediawiki(spark: SparkSession, path: str) -> DataFrame:
-    """Titles and wikitext of a dump's pages, with the XML format of Spark."""
-    pages = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", True).schema("title string, revision struct<text:string>").load(path)
-    return pages.select("title", F.col("revision.text").alias("text")).where("text IS NOT NULL")
+    """Titles and wikitext of a dump's pages, with the XML format of Spark. Blanks, tabs and newlines around them go, other white
+    space is theirs; a page without a text makes no row."""
+    pages = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", True).option("ignoreSurroundingSpaces", False).schema("title string, revision struct<text:string>").load(path)
+    return pages.select(bare(F.col("title")).alias("title"), bare(F.col("revision.text")).alias("text")).where("text <> ''")
+
+
+def bare(text: Column) -> Column:
+    # cutting takes time for each character, so only texts with something to cut are looked through
+    ends = reduce(Column.__or__, [end(text, F.lit(c)) for c in " \n\t" for end in (F.startswith, F.endswith)])
+    return F.when(ends, F.btrim(text, F.lit(" \n\t"))).otherwise(text)
 
 
 def hunspell(spark: SparkSession, path: str) -> DataFrame:

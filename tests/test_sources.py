@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,16 @@ def test_dictionaries(spark, tmp_path):
     assert readers.by_suffix(spark, pages).collect() == [("A", "Hello")]
 
 
+def test_dump_pages_of_odd_texts_equal_their_sql(spark, tmp_path):
+    odd = ["plain", "", None, " \n\t", "\ra", "a\r", " \r ", "a\r\nb", "\x0bx\x0c", " a\x01b ", "\x00", "a\ufffeb", "\ufdd0", "%41\x1f+ %", "a & b < c ]]>", "\u3000wide\u00a0", "null"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()["s15_dump_pages"]).fetchall()
+    assert sorted(map(tuple, catalogue.queries()["s15_dump_pages"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert len(want) == len(odd) - 3
+
+
 def test_directions_and_clusters(spark):
     rows = spark.createDataFrame([("a", "b", "kab-eng"), ("c", "d", "fra-kab"), (" ", "e", "kab-eng")], "source string, target string, direction string")
     assert {tuple(r) for r in readers.directed(rows, "kab").collect()} == {("a", "b", "eng"), ("d", "c", "fra")}
