@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,32 @@ def pieces(units: Column, vocabulary: Broadcast) -> Column:
     return F.pandas_udf(batches, "array<array<string>>", PandasUDFType.SCALAR_ITER)(units)
 
 
+def numbering(vocabulary: Broadcast) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function of units that gives their pieces as numbers, one unit's after the other's, and how many each has. Equal pieces
+    have one number as long as the function lives. It merges distinct units only, and remembers those it has met."""
+    numbers: dict[bytes, int] = {}
+    known: dict[str, np.ndarray] = {}
+
+    def of(unit: str) -> np.ndarray:
+        if (found := known.get(unit)) is None:
+            if len(known) == REMEMBERED:
+                known.clear()
+            found = known[unit] = np.array([numbers.setdefault(p, len(numbers)) for p in merged(unit.encode(), vocabulary.value)], np.int64)
+        return found
+
+    def cut(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        coded = units.dictionary_encode()
+        own = [of(u) for u in coded.dictionary.to_pylist()]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = np.array([len(x) for x in own], np.int64)
+        n = lengths[at]
+        # where a unit's pieces begin among those of the distinct units, less where they begin in the result
+        shift = (np.cumsum(lengths) - lengths)[at] - (np.cumsum(n) - n)
+        return np.concatenate([np.empty(0, np.int64), *own])[np.repeat(shift, n) + np.arange(n.sum())], n
+
+    return cut
+
+
 def unit_counts(rows: DataFrame, text: str, vocabulary: Broadcast, *groups: str) -> DataFrame:
     """(*groups, unit, n, pieces): each distinct unit is counted by group and encoded once, wherever it occurs."""
     counts = rows.select(*groups, F.explode(units(F.col(text))).alias("unit")).groupBy(*groups, "unit").agg(F.count("*").alias("n"))

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from tessera.functions import batches
+from tessera.functions import batches, subword
 from tessera.operators.leaks import bounded
 from tessera.operators.packing import running
 from tessera.session import written
@@ -69,12 +70,19 @@ def correlation(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
 
 
-def counted(ref: pa.ListArray, hyp: pa.ListArray, most: int) -> pa.ListArray:
+def counted(ref: pa.ListArray, hyp: pa.ListArray, most: int, cut: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None = None) -> pa.ListArray:
     """For each row of two arrays of units (order, shared, of_ref, of_hyp). Units and n-grams are numbered, rows are counted all at
-    once: an n-gram of one order more is the number of the shorter one before its last unit."""
+    once: an n-gram of one order more is the number of the shorter one before its last unit. With cut, what is counted are the
+    pieces that it gives of the units."""
     n = len(ref)
-    codes = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    every = pa.concat_arrays([ref.flatten(), hyp.flatten()])
     sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ref, hyp)]
+    if cut:
+        codes, pieces = cut(every)
+        before = np.concatenate([[0], np.cumsum(pieces)])
+        sizes = np.split(np.diff(before[np.concatenate([[0], np.cumsum(np.concatenate(sizes))])]), 2)
+    else:
+        codes = every.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.concatenate([np.repeat(np.arange(n), k) for k in sizes])
     ends = np.cumsum(np.concatenate(sizes))
     left = np.repeat(ends, np.concatenate(sizes)) - np.arange(len(codes))
@@ -96,28 +104,35 @@ def counted(ref: pa.ListArray, hyp: pa.ListArray, most: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]), pa.int32()), values)
 
 
-def clipped(ref: Column, hyp: Column, most: int) -> Column:
-    """(order, shared, of_ref, of_hyp) of two arrays of units for each order up to most, n-grams that both have clipped. An n-gram
-    is counted within its row only, so none leaves the task."""
+def counting(most: int, vocabulary: Broadcast | None = None) -> Callable[[Iterator], Iterator[pa.Array]]:
+    """The batch form of clipped."""
 
     def made(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        cut, limit = (subword.numbering(vocabulary), UNITS // PIECES) if vocabulary else (None, UNITS)
         for r, h in columns:
             sizes = [x + y for x, y in zip(*(pc.fill_null(pc.list_value_length(c), 0).to_pylist() for c in (r, h)), strict=True)]
-            for i, j in batches.stretches(sizes, UNITS):
-                yield counted(r[i:j], h[i:j], most)
+            for i, j in batches.stretches(sizes, limit):
+                yield counted(r[i:j], h[i:j], most, cut)
+
+    return made
 
-    return F.arrow_udf(made, "array<struct<order:int,shared:bigint,of_ref:bigint,of_hyp:bigint>>", ArrowUDFType.SCALAR_ITER)(ref, hyp)
+
+def clipped(ref: Column, hyp: Column, most: int, vocabulary: Broadcast | None = None) -> Column:
+    """(order, shared, of_ref, of_hyp) of two arrays of units for each order up to most, n-grams that both have clipped. An n-gram
+    is counted within its row only, so none leaves the task. With a vocabulary, n-grams are of the units' pieces, which do not
+    leave the task either."""
+    return F.arrow_udf(counting(most, vocabulary), "array<struct<order:int,shared:bigint,of_ref:bigint,of_hyp:bigint>>", ArrowUDFType.SCALAR_ITER)(ref, hyp)
 
 
-#: Units of rows that a task counts before it sends them on.
-UNITS = 1 << 18
+#: Units of rows that a task counts before it sends them on, and the pieces that a unit may well have.
+UNITS, PIECES = 1 << 18, 4
 CLIPPED = {"order": pa.int32(), "shared": pa.int64(), "of_ref": pa.int64(), "of_hyp": pa.int64()}
 
 
-def matched(rows: DataFrame, ref: dict[str, Column], hyp: dict[str, Column], orders: dict[str, int]) -> DataFrame:
+def matched(rows: DataFrame, ref: dict[str, Column], hyp: dict[str, Column], orders: dict[str, int], vocabulary: Broadcast | None = None) -> DataFrame:
     """(kind, order, shared, of_ref, of_hyp) over all rows: the n-grams of each kind of unit, shared ones clipped row by
-    row. ref and hyp have a column of units for each kind, orders how far it goes."""
-    each = rows.select(*[clipped(ref[k], hyp[k], most).alias(f"_{i}") for i, (k, most) in enumerate(orders.items())])
+    row. ref and hyp have a column of units for each kind, orders how far it goes; with a vocabulary, units are its pieces."""
+    each = rows.select(*[clipped(ref[k], hyp[k], most, vocabulary).alias(f"_{i}") for i, (k, most) in enumerate(orders.items())])
     kinds = each.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{i}").alias("c")) for i, k in enumerate(orders)])).alias("k"))
     return kinds.select("k.kind", F.inline("k.c")).groupBy("kind", "order").agg(*[F.sum(c).alias(c) for c in ("shared", "of_ref", "of_hyp")])
 
@@ -168,11 +183,11 @@ def chrf(rows: DataFrame, ref: str, hyp: str, chars: int = 6, words: int = 2, be
     return counts.agg(F.coalesce(100 * F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0)).alias("chrf"))
 
 
-def bleu(rows: DataFrame, ref: str, hyp: str, most: int = 4, units: Callable[[str], Column] | None = None) -> DataFrame:
+def bleu(rows: DataFrame, ref: str, hyp: str, most: int = 4, units: Callable[[str], Column] | None = None, vocabulary: Broadcast | None = None) -> DataFrame:
     """One row: BLEU in percent from corpus totals; an order without a match counts half of one, then a quarter, and so on.
-    units makes the array of a column's units: its words if not given."""
+    units makes the array of a column's units: its words if not given. With a vocabulary, their pieces are scored."""
     cut = units or (lambda c: bleu_words(F.col(c)))
-    counts = matched(rows, {"w": cut(ref)}, {"w": cut(hyp)}, {"w": most}).where("of_hyp > 0")
+    counts = matched(rows, {"w": cut(ref)}, {"w": cut(hyp)}, {"w": most}, vocabulary).where("of_hyp > 0")
     listed = counts.agg(F.array_sort(F.collect_list(F.struct("order", "shared", "of_hyp", "of_ref"))).alias("o"))
     missed = lambda o, x: F.size(F.filter(o, lambda y: (y["order"] <= x["order"]) & (y["shared"] == 0)))
     logs = F.transform("o", lambda x: F.log(F.when(x["shared"] > 0, x["shared"] / x["of_hyp"]).otherwise(1 / (F.pow(F.lit(2.0), missed(F.col("o"), x)) * x["of_hyp"]))))

@@ -131,8 +131,7 @@ def a14_subword_bleu(spark, sf):
     both = {"raw": rows, "normalised": rows.select(normalise.normalised(F.col("ref")).alias("ref"), normalise.normalised(F.col("hyp")).alias("hyp"))}
     found = None
     for name, own in both.items():
-        cut = own.select(*[F.flatten(subword.pieces(subword.units(F.col(c)), vocabulary)).alias(c) for c in ("ref", "hyp")])
-        one = scores.bleu(cut, "ref", "hyp", units=F.col).select(F.lit(name).alias("condition"), F.round("bleu", 4).alias("bleu"))
+        one = scores.bleu(own, "ref", "hyp", units=lambda c: subword.units(F.col(c)), vocabulary=vocabulary).select(F.lit(name).alias("condition"), F.round("bleu", 4).alias("bleu"))
         found = one if found is None else found.unionByName(one)
     return found
 

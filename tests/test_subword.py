@@ -5,12 +5,17 @@ from __future__ import annotations
 import base64
 import random
 import time
+import tracemalloc
 from pathlib import Path
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import subword
+from tessera.operators import scores
+from tessera.plans import catalogue
 from tessera.plans.subwords import VOCABULARIES
 
 
@@ -65,3 +70,31 @@ def test_units_are_encoded_once_and_counted_by_group(spark):
     rows = spark.createDataFrame([("x", "ab ab é"), ("y", " ab"), ("y", None), ("x", "")], "g string, text string")
     found = {(r["g"], r["unit"], r["n"], tuple(r["pieces"])) for r in subword.unit_counts(rows, "text", ranks, "g").collect()}
     assert found == {("x", " ab", 2, ("206162",)), ("y", " ab", 1, ("206162",)), ("x", " é", 1, ("20", "c3", "a9"))}
+
+
+def test_pieces_are_counted_as_numbers():
+    rng = random.Random(3)
+    vocabulary = SimpleNamespace(value={b"ab": 0, b"abc": 1, b" a": 2, b" ab": 3})
+    kind = pa.list_(pa.string())
+    drawn = lambda: ["".join(rng.choices("abcé ", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 8))] if rng.random() < 0.8 else None
+    plain = lambda rows: pa.array([None if r is None else [p.hex() for u in r for p in subword.merged(u.encode(), vocabulary.value)] for r in rows], kind)
+    for n in (0, 1, 7, 40):
+        ref, hyp = [drawn() for _ in range(n)], [drawn() for _ in range(n)]
+        found = scores.counted(pa.array(ref, kind), pa.array(hyp, kind), 4, subword.numbering(vocabulary))
+        assert found == scores.counted(plain(ref), plain(hyp), 4)
+
+
+def test_pieces_of_a_full_batch_take_little_memory():
+    vocabulary = SimpleNamespace(value=loaded(VOCABULARIES["many"]))
+    words = pa.array([[f" γwɛw{(i * 7919 + k) % 3000}" for k in range(100)] for i in range(4_000)], pa.list_(pa.string()))
+    tracemalloc.start()
+    rows = sum(map(len, scores.counting(4, vocabulary)(iter([(words, words)]))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4_000 and most < 100 << 20
+
+
+def test_pieces_of_a_score_stay_in_their_task(spark, sf_dir):
+    # arrays of pieces were flattened between Python and the counts
+    plan = catalogue.queries()["a14_subword_bleu"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array" in plan and "flatten(" not in plan
