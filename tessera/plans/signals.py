@@ -69,13 +69,16 @@ def m19_spectrum(spark, sf):
     return m.select("clip", acoustics.spectral_measures(F.col("x"), F.col("m.levels"), F.col("m.speech"), RATE).alias("s")).select("clip", "s.*")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents),
-    i AS (SELECT doc_id, place, length(regexp_replace(line[:60], '\\s', '', 'g')) AS ink, count(*) OVER (PARTITION BY doc_id) AS lines FROM l),
+#: A text's lines, each cut evenly into as many as it takes for 60 characters at most.
+SET_SQL = """flatten(list_transform(string_split(text, chr(10)), lambda x: list_transform(range(greatest(1, (length(x) + 59) // 60)),
+    lambda i: x[i * length(x) // greatest(1, (length(x) + 59) // 60) + 1:(i + 1) * length(x) // greatest(1, (length(x) + 59) // 60)])))"""
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest({SET_SQL}) AS line, generate_subscripts({SET_SQL}, 1) - 1 AS place FROM documents),
+    i AS (SELECT doc_id, place, length(regexp_replace(line, '\\s', '', 'g')) AS ink, count(*) OVER (PARTITION BY doc_id) AS lines FROM l),
     k AS (SELECT doc_id, place * 30 + 6 AS top, place * 30 + 34 AS bottom, ink FROM i WHERE ink * 4 > 0.015 * 360)
     SELECT doc_id, CAST(top AS INTEGER) AS top, CAST(bottom AS INTEGER) AS bottom, CAST(ink * 80 AS BIGINT) AS ink FROM k
     UNION ALL SELECT doc_id, 0, CAST(10 + 30 * max(lines) AS INTEGER), CAST(sum(ink) * 80 AS BIGINT) FROM i WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id""")
 def v26_line_crops(spark, sf):
-    """Documents set as page images and cut back into their lines: where each lies and how many of its pixels are ink."""
-    pages = docs(spark, sf).select("doc_id", raster.set_pages(F.col("text")).alias("page"))
-    found = pages.select("doc_id", F.explode(raster.line_crops(F.col("page"))).alias("c"))
-    return found.select("doc_id", "c.top", "c.bottom", raster.ink(F.col("c.image")).alias("ink"))
+    """Documents set as page images, whole, and cut back into their lines: where each lies and how many of its pixels are ink."""
+    return docs(spark, sf).select("doc_id", F.inline(raster.set_lines(F.col("text")))).select("doc_id", "top", "bottom", "ink")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import acoustics, raster
+from tessera.plans import catalogue
 
 RATE = 8_000
 
@@ -95,3 +98,34 @@ def test_pages_are_cut_into_their_lines(spark):
     assert raster.crops(thin) == [(36, 64)] and raster.crops(thin, least=10) == [(6, 24), (36, 64), (86, 100)]
     with pytest.raises(ValueError):
         raster.read(b"P6 1 1 255 x")
+
+
+def test_whole_texts_are_set_and_cut(spark, tmp_path):
+    texts = ["x" * 61, "ab " * 1_000, "y" * 6_001 + "\n\n" + "short line\n" + "\U0001f600é" * 95, "", "\n", "z", "a\u00a0b\x0bc\td\r", " " * 200 + "end of it", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()["v26_line_crops"]).fetchall()
+    got = sorted(tuple(r) for r in catalogue.queries()["v26_line_crops"](spark, str(tmp_path)).select("doc_id", "top", "bottom", "ink").collect())
+    assert got == sorted(want)
+    # every character that is no white space has 80 pixels in some line
+    ink = {i: sum(r[3] for r in got if r[0] == i) for i in range(len(texts) - 1)}
+    assert [ink[i] for i in range(4)] == [80 * n for n in (61, 2_000, 6_001 + 9 + 190, 0)]
+
+
+def test_lines_of_a_text_are_those_of_its_page():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        text = "".join(rng.choice(list("ab \n"), rng.integers(0, 4_000), p=[0.5, 0.3, 0.19, 0.01]))
+        page = raster.set_page(text.split("\n"))
+        assert raster.lines_set(text) == [(a, b, int((page[a:b] < raster.INK).sum())) for a, b in raster.crops(page)]
+        assert sum(ink for _, _, ink in raster.lines_set(text)) <= 80 * len("".join(text.split()))
+
+
+def test_a_page_of_a_long_text_takes_little_memory():
+    tracemalloc.start()
+    lines = raster.lines_set("word " * 100_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the page has 90 MB
+    assert sum(ink for _, _, ink in lines) == 80 * 400_000 and most < 40 << 20
